@@ -35,19 +35,23 @@ def words_of(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
-def nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, *, steps: int = 150, rate: float = 0.05, decay: float = 2e-4) -> tuple[np.ndarray, float]:
+def nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, *, steps: int = 300, rate: float = 0.05, decay: float = 5e-4, ratio: float = 2.5, least: int = 3) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier that minimises the non-negative PU risk with logistic loss (full-batch Adam).
 
     The risk is prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)); where the second part is
-    negative, the step goes against its gradient. Features that a single row has are left at zero.
+    negative, the step goes against its gradient. Only features enter that at least `least` positives have, and
+    positives at least `ratio` times as often as unlabelled rows; the others keep a weight of zero.
     """
+    n_p, n_u = max(int(positive.sum()), 1), max(int((~positive).sum()), 1)
     flat = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    used, column = np.unique(flat, return_inverse=True)
-    seen = np.bincount(np.unique(column.astype(np.int64) * len(rows) + row) // max(len(rows), 1), minlength=len(used))
-    keep = seen[column] > 1
-    row, column = row[keep], column[keep]
-    n_p, n_u = max(int(positive.sum()), 1), max(int((~positive).sum()), 1)
+    once = np.unique(flat * max(len(rows), 1) + row)
+    feature, of = once // max(len(rows), 1), positive[once % max(len(rows), 1)] if len(rows) else np.zeros(0, bool)
+    in_p, in_u = np.bincount(feature[of], minlength=DIMENSIONS), np.bincount(feature[~of], minlength=DIMENSIONS)
+    used = np.flatnonzero((in_p >= least) & ((in_p + 0.5) / (n_p + 1) >= ratio * (in_u + 0.5) / (n_u + 1)))
+    place = np.full(DIMENSIONS, -1)
+    place[used] = np.arange(len(used))
+    row, column = row[place[flat] >= 0], place[flat][place[flat] >= 0]
     w, b = np.zeros(len(used)), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
