@@ -20,8 +20,8 @@ from ._shared import pack, semi_join, ship, slices, texts, unpack, written
 
 WORDS, RARE, FLOOR = 5, 1000, 0.05
 BANDS, ROWS = 10, 4
-#: A bucket's members are compared in blocks of about so many.
-BLOCK = 512
+#: Times that a bucket's members are compared with a leader, and the size of the blocks in which the rest is compared.
+STARS, BLOCK = 5, 512
 TABLE = 16
 
 
@@ -184,14 +184,23 @@ def _verify(pairs: DataFrame, rows: DataFrame, idf: str, threshold: float) -> Da
     return joined.mapInArrow(check, "a string, b string")
 
 
+def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (node, component) after components that an edge (a, b) links are one; edges are first carried over to components."""
+    of = lambda side, name: labels.select(F.col("node").alias(side), F.col("component").alias(name))
+    between = edges.join(of("a", "x"), "a").join(of("b", "y"), "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    joined = connected(written(between, "links")).toDF("component", "root")
+    out = labels.join(joined, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    return written(out, "labels")
+
+
 def _across(members: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) within a bucket, of different classes, neither the bucket's leader, whose signatures agree in at least so many places.
+    """Pairs (a, b) within a bucket, of different classes, whose signatures agree in at least so many places.
 
-    members: bucket, n, node, leader, component, sig. Members are dealt to blocks, and pairs of blocks are compared in tasks.
+    members: bucket, n, node, component, sig. Members are dealt to blocks, and pairs of blocks are compared in tasks.
     """
     block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).cast("int")
     one = F.struct("node", "component", "sig")
-    packed = members.filter("node <> leader").withColumn("block", block).groupBy("bucket", "block").agg(F.collect_list(one).alias("m"))
+    packed = members.withColumn("block", block).groupBy("bucket", "block").agg(F.collect_list(one).alias("m"))
     packed = written(packed, "blocks")
     pairs = packed.join(packed.toDF("bucket", "other", "o"), "bucket").filter("block <= other").select("m", "o", (F.col("block") == F.col("other")).alias("same"))
 
@@ -217,10 +226,10 @@ def _across(members: DataFrame, least: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     """The class of each document: texts linked, directly or over others, by a similarity of at least the threshold.
 
-    Equal texts are one node. Nodes that share a band fall into a bucket. Each is first compared with its bucket's leader,
-    so a large group of copies costs as many comparisons as it has members; then members of a bucket that are
-    still of different classes are compared in pairs of blocks. Pairs whose signatures agree in less than half of their places are
-    not verified; all others are, on their whole texts. Pairs at the threshold miss every band with probability
+    Equal texts are one node. Nodes that share a band fall into a bucket. Members of other classes are first compared with their
+    bucket's leader, another one in each of STARS turns, so a large group of copies costs a few comparisons a member; then
+    members of a bucket that are still of different classes are compared in pairs of blocks. Pairs whose signatures agree
+    in less than 0.6 of their places (3.2 deviations below a similarity of 0.8) are not verified; all others are, on their whole texts. Pairs at the threshold miss every band with probability
     (1 - 0.8 ** ROWS) ** BANDS = 0.005.
 
     Texts without words (null and empty ones too) link to nothing; texts of under five words link by equal word
@@ -246,21 +255,28 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     sigs = written(rows.filter("words").groupBy("node").agg(F.first("sig").alias("sig")), "nodes")
     keys = F.array(*[F.xxhash64(F.lit(k), *[F.get("sig", k * ROWS + j) for j in range(ROWS)]) for k in range(BANDS)])
     banded = sigs.select("node", F.explode(keys).alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).filter("n > 1")
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    least = BANDS * ROWS * 6 // 10
     members = written(banded.join(shared, "bucket"), "buckets")
 
     sig_a, sig_b = sigs.toDF("a", "sa"), sigs.toDF("b", "sb")
-    least = BANDS * ROWS // 2
-    star = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    star = star.join(sig_a, "a").join(sig_b, "b").filter(_agreement("sa", "sb") >= least).select("a", "b")
-    edges = written(_verify(written(star, "pairs"), d, idf, threshold), "links")
-    labels = connected(edges)
-    named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labels = written(members.select("node").distinct().withColumn("component", F.col("node")), "labels")
+    for turn in range(STARS):
+        named = members.join(labels, "node")
+        leader = F.min_by(F.struct("node", "component"), F.xxhash64(F.lit(turn), "node")).alias("leader")
+        lead = named.groupBy("bucket").agg(leader, F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").drop("lo", "hi")
+        star = named.join(lead, "bucket").filter("component <> leader.component")
+        star = star.select(F.least("leader.node", "node").alias("a"), F.greatest("leader.node", "node").alias("b")).distinct()
+        star = written(star.join(sig_a, "a").join(sig_b, "b").filter(_agreement("sa", "sb") >= least).select("a", "b"), "pairs")
+        if not star.limit(1).count():
+            break
+        labels = _merged(labels, _verify(star, d, idf, threshold))
+    named = members.join(labels, "node")
     mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    open_buckets = named.join(mixed, "bucket", "left_semi").join(sigs, "node").select("bucket", "n", "node", "leader", "component", "sig")
+    open_buckets = named.join(mixed, "bucket", "left_semi").join(sigs, "node").select("bucket", "n", "node", "component", "sig")
     more = written(_across(open_buckets, least), "pairs")
     if more.limit(1).count():
-        labels = connected(edges.union(_verify(more, d, idf, threshold)))
+        labels = _merged(labels, _verify(more, d, idf, threshold))
 
     lone = F.concat_ws(":", F.lit("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.monotonically_increasing_id())
     out = rows.select("doc_id", "node", "words").join(labels, "node", "left")
