@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ._shared import as_doc_text, ship, ship_file, slices, unpack
+from ._shared import as_doc_text, ship, ship_file, slices, unpack, written
 from .lexicon import compile_lexicon, look_up
 
 #: Fixed value: how this family of tokenizers cuts text into words.
@@ -276,9 +276,13 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, tokenizer_path: str, words: int = 30_000, longest: int = 64) -> str:
-    """Compile the corpus's most frequent words (at most `words`, counted over all texts) and ship the transducer."""
+    """Compile the corpus's most frequent words (at most `words`, counted over all texts: those above the lowest fitting power of two) and ship the transducer."""
     v = Vocabulary(tokenizer_path)
-    top = count_words(docs).filter((F.length("word") > 1) & (F.length("word") <= longest)).orderBy(F.desc("n"), "word").limit(words).collect()
+    counted = written(count_words(docs).filter((F.length("word") > 1) & (F.length("word") <= longest)), "word-counts")
+    # one row tells how many words reach each power of two; those of the first power that at most `words` reach are taken
+    reach = counted.agg(*[F.count_if(F.col("n") >= (1 << k)).alias(f"k{k}") for k in range(48)]).first()
+    least = next((1 << k for k in range(48) if reach[k] <= words), 1 << 48)
+    top = counted.filter(F.col("n") >= least).collect()
     raw = [r.word.encode() for r in top]
     ids, size = v.merge(raw)
     parts = [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] if raw else []
