@@ -43,15 +43,14 @@ def nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, *, steps: i
     positives at least `ratio` times as often as unlabelled rows; the others keep a weight of zero.
     """
     n_p, n_u = max(int(positive.sum()), 1), max(int((~positive).sum()), 1)
-    flat = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    once = np.unique(flat * max(len(rows), 1) + row)
-    feature, of = once // max(len(rows), 1), positive[once % max(len(rows), 1)] if len(rows) else np.zeros(0, bool)
-    in_p, in_u = np.bincount(feature[of], minlength=DIMENSIONS), np.bincount(feature[~of], minlength=DIMENSIONS)
+    in_p, in_u = np.zeros(DIMENSIONS, np.int32), np.zeros(DIMENSIONS, np.int32)
+    for r, p in zip(rows, positive, strict=True):
+        (in_p if p else in_u)[np.unique(r)] += 1
     used = np.flatnonzero((in_p >= least) & ((in_p + 0.5) / (n_p + 1) >= ratio * (in_u + 0.5) / (n_u + 1)))
-    place = np.full(DIMENSIONS, -1)
+    place = np.full(DIMENSIONS, -1, np.int32)
     place[used] = np.arange(len(used))
-    row, column = row[place[flat] >= 0], place[flat][place[flat] >= 0]
+    kept = [x[x >= 0] for x in (place[r] for r in rows)]
+    row, column = np.repeat(np.arange(len(rows)), [len(x) for x in kept]), np.concatenate([*kept, np.zeros(0, np.int32)]).astype(np.int64)
     w, b = np.zeros(len(used)), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
@@ -73,14 +72,14 @@ def nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, *, steps: i
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    """(positive boolean, features array<int>) for the chosen training rows."""
+    """(positive boolean, features binary: 32-bit numbers) for the chosen training rows."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            rows = [[i for w in sorted(words_of(t or "")) for i in hashed(w)] for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("positive"), pa.array(rows, pa.list_(pa.int32()))], ["positive", "features"])
+            rows = [np.array([i for w in sorted(words_of(t or "")) for i in hashed(w)], np.int32).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("positive"), pa.array(rows, pa.binary())], ["positive", "features"])
 
-    return docs.select("text", "positive").mapInArrow(extract, "positive boolean, features array<int>")
+    return docs.select("text", "positive").mapInArrow(extract, "positive boolean, features binary")
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, *, positives: int = 2000, unlabelled: int = 6000) -> tuple[np.ndarray, float]:
@@ -100,7 +99,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, positives: int = 2000,
     # both sides are bounded by the parameters above, so the broadcast is too
     rows = docs.join(F.broadcast(toxic.unionByName(other.withColumn("positive", F.lit(False)))), "doc_id")
     got = _features(rows).collect()
-    return nnpu([np.array(r.features, np.int64) for r in got], np.array([r.positive for r in got], bool), prior)
+    return nnpu([np.frombuffer(r.features, np.int32) for r in got], np.array([r.positive for r in got], bool), prior)
 
 
 def score_toxicity(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
