@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None, ctes: str = BARS) -> Callable:
     """Register a query; its doubles are rounded, as are those listed after '##' in its SQL."""
     body, _, doubles = (sql or "").partition("##")
     names = [x.strip() for x in doubles.split(",") if x.strip()]
-    whole = f"with {ctes}, answer as ({body}) select * replace ({', '.join(f'round({x}, 6) + 0.0 as {x}' for x in names)}) from answer" if names else f"with {ctes} {body}"
+    whole = f"with {ctes}, answer as ({body}) select * replace ({', '.join(f'round(cast({x} as double), 6) + 0.0 as {x}' for x in names)}) from answer" if names else f"with {ctes} {body}"
 
     def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
