@@ -162,3 +162,41 @@ def exponential(series: DataFrame, value: str, alpha: float, out: str, block: in
     flat = packed.select("symbol", "_before", F.posexplode(F.arrays_zip("_a", "_ys")).alias("_k", "_e"))
     value_of = flat.select("symbol", F.col("_e._a.t").alias("t"), (F.col("_e._ys") + F.col("_before") * F.pow(F.lit(1 - alpha), F.col("_k") + 1)).alias(out))
     return series.join(value_of, ["symbol", "t"])
+
+
+def ewma_volatility(bars: DataFrame, *, span: int, least: int, step: int) -> DataFrame:
+    """symbol, t, vol: root of exponential second moment less squared mean of one-step log returns (bps) of pairs of eligible bars.
+
+    Gaps and bars that are not eligible do not update it; its last value is carried over them. Null until `least` updates.
+    """
+    w = by_time()
+    pair = (F.col("t") - F.lag("t").over(w) == step) & F.col("eligible") & F.lag("eligible").over(w)
+    d = bars.select("symbol", "t", F.when(pair, log_return(1)).alias("x"))
+    used = d.filter("x is not null").withColumn("xx", F.col("x") * F.col("x"))
+    alpha = 2.0 / (span + 1)
+    m = exponential(exponential(used, "x", alpha, "m1"), "xx", alpha, "m2").withColumn("_seen", F.row_number().over(w))
+    vol = F.when(F.col("_seen") >= least, F.sqrt(F.greatest(F.col("m2") - F.col("m1") * F.col("m1"), F.lit(0.0))))
+    back = d.select("symbol", "t").join(m.select("symbol", "t", vol.alias("vol")), ["symbol", "t"], "left")
+    return back.withColumn("vol", F.last("vol", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def executable_outcomes(h: int) -> dict[str, Column]:
+    """Entry one row later and exit h rows after it: long buys at ask and sells at bid, short the reverse, bps; null unless the book is valid at both."""
+    w = by_time()
+    at = lambda c, k: F.lead(c, k).over(w)
+    ok = at("valid", 1) & at("valid", 1 + h)
+    return {"long_bps": F.when(ok, F.log(at("bid", 1 + h) / at("ask", 1)) * 1e4), "short_bps": F.when(ok, F.log(at("bid", 1) / at("ask", 1 + h)) * 1e4)}
+
+
+def macro_change(value: Column, prior: Column, percent: Column) -> Column:
+    """Percent change where `percent`, else the change of level; null without a prior value, or a percent change from zero."""
+    return F.when(percent, (value / F.when(prior != 0, prior) - 1) * 100).otherwise(value - prior)
+
+
+def drift_bps(current: Column, frozen: Column) -> Column:
+    return F.when(frozen == 0, 0.0).otherwise((current / F.when(frozen != 0, frozen) - 1) * 1e4)
+
+
+def finite(c: Column) -> Column:
+    """Null for NaN and infinities."""
+    return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)

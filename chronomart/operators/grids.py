@@ -104,3 +104,45 @@ def book_metrics(levels: DataFrame, depth: int = 5) -> DataFrame:
     )
 
 
+def order_flow(levels: DataFrame, depths: tuple[int, ...] = (1, 5, 10), near: int = 5) -> DataFrame:
+    """Order-flow imbalance between the books of consecutive slots, rank by rank, and quantity replenished and depleted at the nearest prices.
+
+    A better price at a rank adds its quantity, an equal one the change, a worse one takes off the old quantity; a rank on one side
+    only counts in full; asks count negatively. A symbol's first book has nothing before it and gives no row.
+    """
+    key = F.struct(F.when(F.col("side") == "bid", F.col("level")).otherwise(-F.col("level")).alias("k"), F.col("amount").alias("q"))
+    most = max(*depths, near)
+    side = lambda s: F.slice(F.sort_array(F.collect_list(F.when(F.col("side") == s, key)), False), 1, most)
+    w = Window.partitionBy("symbol").orderBy("slot")
+    d = levels.groupBy("symbol", "slot").agg(side("bid").alias("b"), side("ask").alias("a"))
+    d = d.withColumns({"pb": F.lag("b").over(w), "pa": F.lag("a").over(w)}).filter("pb is not null")
+
+    def change(old: Column, new: Column) -> Column:
+        return (
+            F.when(old.isNull(), new["q"]).when(new.isNull(), -old["q"]).when(new["k"] > old["k"], new["q"])
+            .when(new["k"] == old["k"], new["q"] - old["q"]).otherwise(-old["q"])
+        )
+
+    def flow(old: str, new: str, n: int) -> Column:
+        return F.aggregate(F.zip_with(F.slice(old, 1, n), F.slice(new, 1, n), change), F.lit(0.0), lambda s, x: s + x)
+
+    def moved(old: str, new: str, sign: int) -> Column:
+        held = lambda a: F.map_from_entries(F.slice(a, 1, near))
+        prices = F.map_keys(F.map_zip_with(held(old), held(new), lambda k, x, y: x))
+        delta = lambda k: (F.coalesce(F.try_element_at(held(new), k), F.lit(0.0)) - F.coalesce(F.try_element_at(held(old), k), F.lit(0.0))) * sign
+        return F.aggregate(prices, F.lit(0.0), lambda s, k: s + F.greatest(delta(k), F.lit(0.0)))
+
+    out = [(flow("pb", "b", n) - flow("pa", "a", n)).alias(f"ofi{n}") for n in depths]
+    return d.select("symbol", "slot", *out, (moved("pb", "b", 1) + moved("pa", "a", 1)).alias("replenished"), (moved("pb", "b", -1) + moved("pa", "a", -1)).alias("depleted"))
+
+
+def valid_flow(grid: DataFrame, short: int, long: int) -> DataFrame:
+    """Quantity imbalance over `short` and `long` slots, null unless that many slots exist and all are valid."""
+    w = lambda n: Window.partitionBy("symbol").orderBy("t").rowsBetween(-(n - 1), 0)
+
+    def block(n: int) -> Column:
+        buy, sell = F.sum("buy_qty").over(w(n)), F.sum("sell_qty").over(w(n))
+        ok = (F.count("*").over(w(n)) == n) & (F.min(F.col("valid").cast("int")).over(w(n)) == 1)
+        return F.when(ok, F.when(buy + sell > 0, (buy - sell) / F.when(buy + sell > 0, buy + sell)).otherwise(0.0))
+
+    return grid.select("symbol", "t", block(short).alias("short_imbalance"), block(long).alias("long_imbalance"))
