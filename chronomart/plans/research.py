@@ -286,16 +286,19 @@ live as (select *, case when first_value(pos) over (partition by symbol, segment
 broken as (select symbol, segment, min(pos) as gap from live where not ok group by 1, 2)"""
 
 
-@query("r4_sequence", """select f.symbol, f.pos, f.segment, case when f.snapshot_id is not null then 'snapshot' when f.segment = 0 then 'invalid' when f.pos = gap then 'gap' when f.pos > gap then 'invalid' when l.k = 1 then 'bridge' when l.k > 1 then 'valid' else 'stale' end as state
-  from owned f left join live l on l.symbol = f.symbol and l.pos = f.pos left join broken b on b.symbol = f.symbol and b.segment = f.segment""", SEQUENCE)
-def r4(spark, sf):
+def depth_feed(spark, sf):
     t = ticks(spark, sf).withColumn("pos", F.row_number().over(Window.partitionBy("symbol").orderBy("us", "tick_id")).cast("long"))
     u, cut = F.col("pos") * 10, F.col("tick_id") % 37 == 0
-    feed = t.select(
+    return t.select(
         "symbol", "pos", u.alias("last"), F.when(cut, u - 5).otherwise(u - 9).alias("first"), F.when(cut, u - 7).otherwise(u - 10).alias("previous"),
         F.when(F.col("tick_id") % 29 == 0, u + F.when(F.col("tick_id") % 2 == 0, 5).otherwise(25)).alias("snapshot_id"),
     )
-    return audits.sequence_state(feed).select("symbol", "pos", "segment", "state")
+
+
+@query("r4_sequence", """select f.symbol, f.pos, f.segment, case when f.snapshot_id is not null then 'snapshot' when f.segment = 0 then 'invalid' when f.pos = gap then 'gap' when f.pos > gap then 'invalid' when l.k = 1 then 'bridge' when l.k > 1 then 'valid' else 'stale' end as state
+  from owned f left join live l on l.symbol = f.symbol and l.pos = f.pos left join broken b on b.symbol = f.symbol and b.segment = f.segment""", SEQUENCE)
+def r4(spark, sf):
+    return audits.sequence_state(depth_feed(spark, sf)).select("symbol", "pos", "segment", "state")
 
 
 OFI = f"""{UPDATES_SQL}, ranked as (select *, row_number() over (partition by symbol, slot, side order by case when side = 'bid' then -level else level end) as k, dense_rank() over (partition by symbol order by slot) as s from levels),
