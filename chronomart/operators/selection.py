@@ -93,3 +93,29 @@ def promotion(summary: DataFrame, key: list[str], gates: dict[str, Column], leas
     w = Window.partitionBy(*key)
     share = F.avg(F.col("passed").cast("double")).over(w)
     return d.withColumn("verdict", F.when(F.col("n") < least_n, "UNAVAILABLE").when(share == 1, "PROMOTE").when(share > 0.5, "INCONCLUSIVE").otherwise("REJECT")).drop("n")
+
+
+def ridge(d: DataFrame, features: list[str], y: str, alphas: list[float]) -> DataFrame:
+    """(alpha, feature, weight, intercept) of ridge regressions on features scaled by their population deviation; a constant feature weighs 0.
+
+    Spark sums one Gram matrix for all alphas; the driver solves systems as large as the number of features squared.
+    """
+    import numpy as np
+
+    from .metrics import gram
+
+    k = len(features)
+    g = np.zeros((k + 2, k + 2))
+    for r in gram(d, features, y).collect():
+        g[r.i, r.j] = g[r.j, r.i] = r.s or 0.0
+    n, out = g[0, 0], []
+    if n:
+        mean = g[0, 1:] / n
+        cov = g[1:, 1:] / n - np.outer(mean, mean)
+        sd = np.sqrt(np.maximum(np.diag(cov)[:k], 0))
+        scale = np.where(sd > 0, sd, 1.0)
+        a, b = n * cov[:k, :k] / np.outer(scale, scale), n * cov[:k, k] / scale
+        for alpha in alphas:
+            w = np.where(sd > 0, np.linalg.solve(a + alpha * np.eye(k), b), 0.0)
+            out += [(float(alpha), f, float(x), float(mean[k])) for f, x in zip(features, w, strict=True)]
+    return d.sparkSession.createDataFrame(out, "alpha double, feature string, weight double, intercept double")

@@ -430,3 +430,9 @@ def u3(spark, sf):
 def u4(spark, sf):
     at = F.struct("us", "tick_id")
     return ticks(spark, sf).groupBy("symbol", F.floor(F.col("us") / DAY_US).cast("long").alias("day")).agg(F.min_by("price", at).alias("first_price"), F.max_by("price", at).alias("last_price"))
+
+
+@query("m5_ridge", """select a as alpha, 'pred' as feature, n * c / s / (n + a) as weight, m as intercept from (select count(*)::double as n, covar_pop(pred, y) as c, stddev_pop(pred) as s, avg(y) as m from preds) cross join (values (0.1::double), (1.0), (10.0), (100.0)) g(a)
+  ## alpha, weight, intercept""", PRED)
+def m5(spark, sf):
+    return selection.ridge(preds(spark, sf), ["pred"], "y", [0.1, 1.0, 10.0, 100.0])
