@@ -229,8 +229,8 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     Equal texts are one node. Nodes that share a band fall into a bucket. Members of other classes are first compared with their
     bucket's leader, another one in each of STARS turns, so a large group of copies costs a few comparisons a member; then
     members of a bucket that are still of different classes are compared in pairs of blocks. Pairs whose signatures agree
-    in less than 0.6 of their places (3.2 deviations below a similarity of 0.8) are not verified; all others are, on their whole texts. Pairs at the threshold miss every band with probability
-    (1 - 0.8 ** ROWS) ** BANDS = 0.005.
+    in less than half of their places (4.7 deviations below a similarity of 0.8, a share of 0.000005 of pairs there) are not verified;
+    all others are, on their whole texts. Pairs at the threshold miss every band with probability (1 - 0.8 ** ROWS) ** BANDS = 0.005.
 
     Texts without words (null and empty ones too) link to nothing; texts of under five words link by equal word
     sequences; a null id is a document like others and sorts first; repeated rows give repeated rows; other columns
@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     keys = F.array(*[F.xxhash64(F.lit(k), *[F.get("sig", k * ROWS + j) for j in range(ROWS)]) for k in range(BANDS)])
     banded = sigs.select("node", F.explode(keys).alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    least = BANDS * ROWS * 6 // 10
+    least = BANDS * ROWS // 2
     members = written(banded.join(shared, "bucket"), "buckets")
 
     sig_a, sig_b = sigs.toDF("a", "sa"), sigs.toDF("b", "sb")
