@@ -223,6 +223,12 @@ def _across(members: DataFrame, least: int) -> DataFrame:
     return pairs.mapInArrow(compare, "a string, b string").distinct()
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _id and _node (the digest of the text), which are the key of a row here, and _words (whether the text has any)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumns({"_id": F.col("doc_id").cast("long"), "_node": F.md5(text.cast("binary")), "_words": text.rlike(r"[^\x20\x09-\x0D]")})
+
+
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     """The class of each document: texts linked, directly or over others, by a similarity of at least the threshold.
 
@@ -239,6 +245,11 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     Returns doc_id, class_id (the smallest doc_id of the class; the document's own where it is alone), class_size long,
     keep boolean (one row of each class: the one with the smallest doc_id).
     """
+    return _classes(docs, threshold).drop("node")
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """The rows of near_duplicates with node, the digest of the text."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     d = d.withColumn("node", F.md5(F.col("text").cast("binary")))
     idf = word_weights(d)
@@ -280,16 +291,23 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
 
     lone = F.concat_ws(":", F.lit("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.monotonically_increasing_id())
     out = rows.select("doc_id", "node", "words").join(labels, "node", "left")
-    out = out.withColumn("class", F.when(F.col("words"), F.coalesce("component", "node")).otherwise(lone)).select("doc_id", "class", F.monotonically_increasing_id().alias("row"))
+    out = out.withColumn("class", F.when(F.col("words"), F.coalesce("component", "node")).otherwise(lone)).select("doc_id", "node", "class", F.monotonically_increasing_id().alias("row"))
     out = written(out, "classes")
     first = out.groupBy("class").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("class_size"))
     joined = out.join(first, "class")
     keep = F.struct("doc_id", "row").eqNullSafe(F.col("first"))
-    return joined.select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", keep.alias("keep"))
+    return joined.select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", keep.alias("keep"), "node")
 
 
 def drop_near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
-    """docs without the documents that near_duplicates does not keep; rows that share an id are one document, the first by its columns."""
-    kept = near_duplicates(docs, threshold=threshold).filter("keep").select("doc_id").distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    """The rows of docs that near_duplicates keeps.
+
+    A row is known by its id and text, so different texts with a null or shared id are rows of their own. Of rows equal in both, which
+    are of one class, the first by its columns stays; rows without words are each alone in a class, and all stay.
+    """
+    kept = _classes(docs, threshold).filter("keep").select("doc_id", "node").toDF("_kept", "_text").distinct()
+    rows = _keyed(docs)
+    worded = rows.filter("_words")
+    worded = worded.join(kept, (worded["_node"] == kept["_text"]) & worded["_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    one = worded.groupBy("_id", "_node").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return one.unionByName(rows.filter("not _words").select(*docs.columns))

@@ -30,3 +30,21 @@ def test_pairs_just_above_the_threshold_are_linked(spark):
     found = {r.doc_id: r.class_id for r in rows}
     linked = np.array([found[2 * k] == found[2 * k + 1] for k in range(len(like))])
     assert (linked == ((like >= 0.8) & band)).all()
+
+
+def test_each_row_marked_keep_stays(spark):
+    """Null and shared ids do not make different texts one document; rows equal in id and text are one, rows without words are not."""
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(40))
+    near = text(0) + " tail"
+    rows = [
+        (None, text(0), "a"), (None, text(1), "a"), (None, text(2), "a"), (5, text(3), "a"), (5, text(4), "a"), (6, near, "a"), (6, text(5), "a"),
+        (7, text(6), "b"), (7, text(6), "a"), (None, text(1), "a"), (None, None, "a"), (None, "", "a"), (8, " \t", "a"), (8, " \t", "a"), (9, text(4), "a"), (10, "\x1c", "a"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert minhash.near_duplicates(docs).filter("keep").count() == len(rows) - 4
+    got = [(r.doc_id, r.text, r.source) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    want = [r for k, r in enumerate(rows) if k not in (5, 7, 9, 14)]
+    order = lambda r: str(r)
+    assert sorted(got, key=order) == sorted(want, key=order)
