@@ -1,8 +1,10 @@
-"""An interpolated modified Kneser-Ney bigram model, counted in Spark and kept in sorted arrays that workers map.
+"""An interpolated modified Kneser-Ney model of bigrams or trigrams, counted in Spark and kept in sorted arrays that workers map.
 
 The vocabulary is a sorted array of 64-bit word hashes; a word's place in it is its id. A bigram's key is the two ids in
-one 64-bit number, stored sorted beside its count, in one shard by its first word. Blocks are counted with numpy in
-tasks, and only counted blocks are shuffled.
+one 64-bit number, stored sorted beside its count, in one shard by its first word. A trigram lies in a shard by its first two
+words, whose ids in one 64-bit number are its context. Below trigrams, a bigram's count is the number of words seen before it;
+only bigrams at a text's start, which nothing precedes, keep their own. Blocks are counted with numpy in tasks, and only
+counted blocks are shuffled.
 """
 
 from __future__ import annotations
@@ -135,6 +137,30 @@ def _unblock(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(u, size) << 32 | w, n
 
 
+def _fold_trigrams(c: np.ndarray, w: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (context, word), sorted, and the sums of their counts (1 each where n is None)."""
+    order = np.lexsort((w, c))
+    c, w = c[order], w[order]
+    start = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])])) if len(c) else np.zeros(0, np.int64)
+    sums = np.diff(np.append(start, len(c))) if n is None else np.add.reduceat(n[order], start) if len(start) else n
+    return c[start], w[start], sums
+
+
+def _block_trigrams(c: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
+    """A counted block of sorted trigrams for the shuffle: contexts once, each by its two ids, all in the narrowest types, compressed."""
+    own, size = np.unique(c, return_counts=True)
+    kind = lambda x: np.uint8 if x.max(initial=0) < 256 else np.uint32
+    u, v = own >> 32, own & 0xFFFFFFFF
+    raw = pack_raw(np.diff(u, prepend=0).astype(np.uint32), v.astype(np.uint32), size.astype(kind(size)), w.astype(np.uint32), n.astype(kind(n)))
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _unblock_trigrams(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = pa.Codec("zstd").decompress(block[8:], int.from_bytes(block[:8], "little"), asbytes=True)
+    u, v, size, w, n = unpack_raw(raw, 5)
+    return np.repeat(np.cumsum(u) << 32 | v, size), w, n
+
+
 def _shard_of(u: np.ndarray, shards: int) -> np.ndarray:
     return ((u.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % shards
 
@@ -158,13 +184,16 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 class Model:
     """What workers need to score: files and constants. Built by train(), sent in a task's closure (a few kilobytes)."""
 
-    def __init__(self, vocabulary: list[tuple[int, int, str]], shards: list[str], continuations: list[str], words: int, tokens: int, types: int, d2: np.ndarray, d1: np.ndarray, free: float) -> None:
+    def __init__(self, vocabulary: list[tuple[int, int, str]], shards: list[str], continuations: list[str], words: int, tokens: int, types: int, d2: np.ndarray, d1: np.ndarray, free: float, trigrams: list[str], d3: np.ndarray) -> None:
         self.vocabulary, self.shards, self.continuations = vocabulary, shards, continuations
         self.words, self.tokens, self.types, self.d2, self.d1, self.free = words, tokens, types, d2, d1, free
+        self.trigrams, self.d3 = trigrams, d3
 
 
-def train(docs: DataFrame) -> Model:
-    """Count words and bigrams of all texts of docs and write the model into the shared folder."""
+def train(docs: DataFrame, *, order: int = 2) -> Model:
+    """Count words and n-grams up to the order (2 or 3) of all texts of docs and write the model into the shared folder."""
+    if order not in (2, 3):
+        raise ValueError(f"order {order}: models are of bigrams or trigrams")
     spark = docs.sparkSession
     folder = new_folder(spark, "lm")
     counted = written(_count_words(docs), "lm-words")
@@ -178,20 +207,21 @@ def train(docs: DataFrame) -> Model:
         v, held, total = Vocabulary(files), [], 0
 
         def flush() -> pa.RecordBatch:
-            keys = np.concatenate(held)
-            keys.sort()
-            start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            keys, n = keys[start], np.diff(np.append(start, len(keys)))
-            parts = [(k, _block(keys[own], n[own])) for k, own in _by_shard(_shard_of(keys >> 32, shards), shards)]
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["shard", "block"])
+            u, v, w = (np.concatenate(x) for x in zip(*held, strict=True))
+            two = u < 0 if order == 3 else np.ones(len(w), bool)
+            keys, n = _fold_block(v[two] << 32 | w[two], np.ones(two.sum(), np.int64))
+            parts = [(2, k, _block(keys[own], n[own])) for k, own in _by_shard(_shard_of(keys >> 32, shards), shards)]
+            if order == 3:
+                c, w, n = _fold_trigrams(u[~two] << 32 | v[~two], w[~two])
+                parts += [(3, k, _block_trigrams(c[own], w[own], n[own])) for k, own in _by_shard(_shard_of(c, shards), shards)]
+            level, shard, block = zip(*parts, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), pa.array(shard, pa.int32()), pa.array(block, pa.binary())], ["level", "shard", "block"])
 
         for b in slices(batches):
             h, code, sizes = _tokens(b)
             ids, _ = v.find(h)
             w = ids[code]
-            u = np.concatenate([[words], w[:-1]])
-            u[np.cumsum(sizes)[:-1]] = words  # a text begins after the start symbol, whose id follows the last word's
-            held.append(u << 32 | w)
+            held.append((*_before(w, sizes, words), w))
             total += len(w)
             if total > BLOCK:
                 yield flush()
@@ -199,7 +229,30 @@ def train(docs: DataFrame) -> Model:
         if held:
             yield flush()
 
+    kinds = "level int, shard int, block binary"
+
+    def lower(table: pa.Table) -> pa.Table:
+        """Write a shard of trigrams; give its bigrams, counted by the words before them, and its statistics (as level -3)."""
+        level, shard = table.column("level")[0].as_py(), table.column("shard")[0].as_py()
+        if level != 3:
+            return table.select(["level", "shard", "block"])
+        c, w, n = _fold_trigrams(*map(np.concatenate, zip(*(_unblock_trigrams(x) for x in table.column("block").to_pylist()), strict=True)))
+        own, first, size = np.unique(c, return_index=True, return_counts=True)
+        many = np.flatnonzero(size > 1)
+        sums = lambda x: np.add.reduceat(np.append(x, 0), first, dtype=np.int64)[many].astype(np.uint32)
+        put_file(f"{folder}/trigrams-{shard}", pack({
+            "c": own, "first": np.append(first, len(c)).astype(np.uint32), "w": w.astype(np.uint32), "n": np.minimum(n, 2**32 - 1).astype(np.uint8 if n.max() < 256 else np.uint32),
+            "many": many.astype(np.uint32), "total": sums(n), "n1": sums(n == 1), "n2": sums(n == 2), "n3": sums(n >= 3),
+        }))
+        keys, types = np.unique((c & 0xFFFFFFFF) << 32 | w, return_counts=True)
+        stats = np.array([len(c), *((n == k).sum() for k in (1, 2, 3, 4))], np.int64)
+        rows = [(-3, shard, stats.tobytes()), *((2, k, _block(keys[at], types[at])) for k, at in _by_shard(_shard_of(keys >> 32, shards), shards))]
+        level, shard, block = zip(*rows, strict=True)
+        return pa.table({"level": pa.array(level, pa.int32()), "shard": pa.array(shard, pa.int32()), "block": pa.array(block, pa.binary())})
+
     def merge(table: pa.Table) -> pa.Table:
+        if table.column("level")[0].as_py() == -3:
+            return pa.table({"part": pa.array([-3], pa.int32()), "shard": table.column("shard"), "block": table.column("block")})
         keys, n = _fold_block(*map(np.concatenate, zip(*(_unblock(x) for x in table.column("block").to_pylist()), strict=True)))
         shard = table.column("shard")[0].as_py()
         u, first = np.unique(keys >> 32, return_index=True)
@@ -224,18 +277,33 @@ def train(docs: DataFrame) -> Model:
         stats = np.array([(cont == c).sum() for c in (1, 2, 3, 4)] + [(cont >= 3).sum()], np.int64)
         return pa.table({"part": pa.array([part], pa.int32()), "block": pa.array([stats.tobytes()], pa.binary())})
 
-    blocks = docs.select("text").mapInArrow(count, "shard int, block binary")
-    merged = written(blocks.groupBy("shard").applyInArrow(merge, "part int, shard int, block binary"), "lm-continuations")
+    blocks = docs.select("text").mapInArrow(count, kinds)
+    if order == 3:
+        blocks = blocks.groupBy("level", "shard").applyInArrow(lower, kinds)
+    merged = written(blocks.groupBy("level", "shard").applyInArrow(merge, "part int, shard int, block binary"), "lm-continuations")
     seen = merged.filter("part = -1").collect()
+    tri = merged.filter("part = -3").collect()
     own = written(merged.filter("part >= 0").groupBy("part").applyInArrow(finish, "part int, block binary"), "lm-parts").collect()
     big = sum((np.frombuffer(r.block, np.int64) for r in seen), np.zeros(5, np.int64))
     one = sum((np.frombuffer(r.block, np.int64) for r in own), np.zeros(5, np.int64))
     d2, d1 = _discounts(*map(int, big[1:])), _discounts(*map(int, one[:4]))
     types = int(big[0])
     free = float(d1[1] * one[0] + d1[2] * one[1] + d1[3] * one[4]) / types if types else 1.0
+    three = sum((np.frombuffer(r.block, np.int64) for r in tri), np.zeros(5, np.int64))
     name = {r.shard: f"{folder}/bigrams-{r.shard}" for r in seen}
+    threes = {r.shard: f"{folder}/trigrams-{r.shard}" for r in tri}
     parts = {r.part: f"{folder}/continuations-{r.part}" for r in own}
-    return Model(files, [name.get(k, "") for k in range(shards)], [parts.get(k, "") for k in range(ranges)], words, tokens, types, d2, d1, free)
+    return Model(files, [name.get(k, "") for k in range(shards)], [parts.get(k, "") for k in range(ranges)], words, tokens, types, d2, d1, free, [threes.get(k, "") for k in range(shards)] if order == 3 else [], _discounts(*map(int, three[1:])))
+
+
+def _before(w: np.ndarray, sizes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids two places and one place before each token; a text begins after the start symbol, before which there is none (-1)."""
+    at = np.cumsum(sizes) - sizes
+    v = np.concatenate([[start], w[:-1]])
+    v[at] = start
+    u = np.concatenate([[-1], v[:-1]])
+    u[at] = -1
+    return u, v
 
 
 class Scorer:
@@ -245,6 +313,7 @@ class Scorer:
         self.m, self.v = model, Vocabulary(model.vocabulary)
         self.shards: dict[int, dict] = {}
         self.parts: dict[int, dict] = {}
+        self.trigrams: dict[int, dict] = {}
 
     def unigram(self, ids: np.ndarray) -> np.ndarray:
         """The lower order: continuation counts, discounted, over a uniform share for all words and the unknown one."""
@@ -275,6 +344,37 @@ class Scorer:
         return p
 
 
+    def trigram(self, c: np.ndarray, w: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """P(w | c) of words after contexts u << 32 | v, given P(w | v); unknown words stand in no stored trigram."""
+        m, p = self.m, low.copy()
+        for k, own in _by_shard(_shard_of(c, len(m.trigrams)), len(m.trigrams)):
+            if not m.trigrams[k]:
+                continue
+            a = self.trigrams.get(k) or self.trigrams.setdefault(k, map_file(m.trigrams[k]))
+            own = own[np.argsort(c[own])]
+            at = np.minimum(np.searchsorted(a["c"], c[own]), len(a["c"]) - 1)
+            seen = a["c"][at] == c[own]
+            own, at = own[seen], at[seen]
+            if not len(own):
+                continue
+            lo, end = a["first"][at].astype(np.int64), a["first"][at + 1].astype(np.int64)
+            first, hi = lo.copy(), end.copy()
+            while (lo < hi).any():
+                mid = (lo + hi) >> 1
+                less = (lo < hi) & (a["w"][np.minimum(mid, end - 1)] < w[own])
+                lo, hi = np.where(less, mid + 1, lo), np.where(less | (lo >= hi), hi, mid)
+            place = np.minimum(lo, end - 1)
+            n = np.where((lo < end) & (a["w"][place] == w[own]), a["n"][place], 0).astype(np.int64)
+            only = a["n"][first].astype(np.int64)
+            total, free = only.astype(np.float64), m.d3[np.minimum(only, 3)]
+            many = np.flatnonzero(end - first > 1)
+            j = np.searchsorted(a["many"], at[many].astype(np.uint32))
+            total[many] = a["total"][j]
+            free[many] = m.d3[1] * a["n1"][j] + m.d3[2] * a["n2"][j] + m.d3[3] * a["n3"][j]
+            p[own] = np.maximum(n - m.d3[np.minimum(n, 3)], 0) / total + free / total * low[own]
+        return p
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Score all whole texts: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
@@ -289,13 +389,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             ids, n = s.v.find(h)
             text = np.repeat(np.arange(len(sizes)), sizes)
             low, w = s.unigram(ids), ids[code]
-            u = np.concatenate([[model.words], w[:-1]])
-            u[np.cumsum(sizes)[:-1]] = model.words
+            u, v = _before(w, sizes, model.words)
             # unknown second words share the number after the start symbol's, unknown first words too
-            key, at = np.unique(np.where(u < 0, model.words + 1, u) << 32 | np.where(w < 0, model.words + 1, w), return_inverse=True)
+            known = lambda x: np.where(x < 0, model.words + 1, x)
+            key, at = np.unique(known(v) << 32 | known(w), return_inverse=True)
             first = np.zeros(len(key), np.int64)
             first[at] = code
-            p = np.log10(s.bigram(key, low[first]))[at]
+            p = s.bigram(key, low[first])[at]
+            if model.trigrams:
+                own = np.ones(len(w), bool)
+                own[np.cumsum(sizes) - sizes] = False  # a first word has one symbol before it
+                p[own] = s.trigram((known(u) << 32 | known(v))[own], known(w)[own], p[own])
+            p = np.log10(p)
             base = np.log10((n + 1) / (model.tokens + model.words + 1))[code]
             size = len(sizes)
             columns = [
@@ -307,12 +412,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text", "held_out").mapInArrow(run, kinds)
 
 
-def lm_scores(docs: DataFrame, *, folds: int = 7, held_out: int = 2) -> DataFrame:
-    """Train on the texts outside one fold (by crc32 of the id), score all.
+def lm_scores(docs: DataFrame, *, order: int = 2, folds: int = 7, held_out: int = 2) -> DataFrame:
+    """Train a model of the order on the texts outside one fold (by crc32 of the id), score all.
 
     Null and empty texts are one end token; a null id is hashed as an empty text; each row is a text of its own, repeated
     rows count each time; other columns are left out; an empty table gives an empty table, and without training
     rows all words are unknown and the model is uniform.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (fold(F.col("doc_id"), folds) == held_out).alias("held_out"))
-    return score(d, train(d.filter("not held_out")))
+    return score(d, train(d.filter("not held_out"), order=order))

@@ -63,7 +63,7 @@ def op5_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.lm_scores(table(spark, sf_dir, "documents"))
+    return lm.lm_scores(table(spark, sf_dir, "documents"), order=3)
 
 
 def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

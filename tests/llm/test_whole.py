@@ -1,11 +1,16 @@
 """Cases in which an operator of the training data did less than its whole job."""
 
+import math
+import zlib
+from collections import Counter, defaultdict
+
 import numpy as np
 import pytest
 
 pytest.importorskip("chronomart.llm")
 
-from chronomart.llm import minhash
+from chronomart.llm import lm, minhash
+from chronomart.llm import queries as q
 
 
 def test_pairs_just_above_the_threshold_are_linked(spark):
@@ -48,3 +53,47 @@ def test_each_row_marked_keep_stays(spark):
     want = [r for k, r in enumerate(rows) if k not in (5, 7, 9, 14)]
     order = lambda r: str(r)
     assert sorted(got, key=order) == sorted(want, key=order)
+
+
+def brute_trigrams(rows):
+    """Trigram modified Kneser-Ney in dictionaries; bigrams count the words before them, those at a text's start their own."""
+    tok = lambda t: ["<s>", *(w.decode() for w in t.encode().lower().split()), ""]
+    train = [tok(t) for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
+    uni, tri = Counter(w for t in train for w in t[1:]), Counter(x for t in train for x in zip(t, t[1:], t[2:], strict=False))
+    two = Counter(x[1:] for x in tri) + Counter((t[0], t[1]) for t in train)
+    cont = Counter(w for _, w in two)
+    d3, d2, d1 = (lm._discounts(*(sum(x == k for x in c.values()) for k in (1, 2, 3, 4))) for c in (tri, two, cont))
+    after = [defaultdict(list), defaultdict(list)]
+    for c, of in ((two, after[0]), (tri, after[1])):
+        for x, n in c.items():
+            of[x[:-1]].append(n)
+    free = sum(d1[min(c, 3)] for c in cont.values()) / max(len(two), 1) if two else 1.0
+
+    def level(x, counts, of, d, low):
+        n = of.get(x[:-1])
+        return low if not n else max(counts[x] - d[min(counts[x], 3)], 0) / sum(n) + sum(d[min(c, 3)] for c in n) / sum(n) * low
+
+    def p(x):
+        low = max(cont[x[-1]] - d1[min(cont[x[-1]], 3)], 0) / max(len(two), 1) + free / (len(uni) + 1)
+        low = level(x[-2:], two, after[0], d2, low)
+        return level(x, tri, after[1], d3, low) if len(x) == 3 else low
+
+    return {i: sum(math.log10(p(tuple(t[max(k - 2, 0) : k + 1]))) for k in range(1, len(t))) for i, t in ((i, tok(t)) for i, t in rows)}
+
+
+def test_trigrams(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 20_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    more = [(None, None), (-1, ""), (-2, "a b a b a b c"), (-3, "one"), (-4, "a b a b never seen"), (-5, "a b a b d"), (-6, "zz " * 500)]
+    docs = docs.union(spark.createDataFrame(more, "doc_id long, text string"))
+    got = {r.doc_id: r.score for r in lm.lm_scores(docs, order=3).collect()}
+    want = brute_trigrams([(r.doc_id, r.text or "") for r in docs.collect()])
+    assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()), rtol=1e-6)
+    assert lm.lm_scores(docs.limit(0), order=3).count() == 0
+
+
+def test_query_scores_by_trigrams(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r.doc_id: r.score for r in q.op6_lm_scores(spark, sf).collect()}
+    want = brute_trigrams([(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
+    assert np.allclose([got[k] for k in want], list(want.values()), rtol=1e-6)
