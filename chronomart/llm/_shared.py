@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,11 +92,28 @@ def unpack(path: str) -> dict[str, np.ndarray]:
     return out
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of at most so many rows, which bounds the memory that a Python worker takes."""
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of at most so many rows, and of so many bytes of strings unless a single row has more: a Python worker's memory is bounded by both."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        width = np.zeros(batch.num_rows, np.int64)
+        for c in batch.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+                width += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(width), 0
+        while at < batch.num_rows:
+            fits = int(np.searchsorted(ends, size + (ends[at - 1] if at else 0), "right"))
+            n = max(1, min(rows, fits - at))
+            yield batch.slice(at, n)
+            at += n
+
+
+def buffers(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """A string column as all its bytes and the cuts between rows, without copying; null as empty."""
+    column = batch.column(name).cast(pa.large_binary())
+    column = column.fill_null(b"") if column.null_count else column
+    _, cuts, data = column.buffers()
+    cuts = np.frombuffer(cuts, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8)[cuts[0] : cuts[-1]] if data is not None else np.zeros(0, np.uint8), cuts - cuts[0]
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
@@ -108,7 +126,7 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def semi_join(df: DataFrame, keys: DataFrame, name: str, rows: int = 1_000_000) -> DataFrame:
+def semi_join(df: DataFrame, keys: DataFrame, name: str, rows: int = 200_000) -> DataFrame:
     """Rows of df whose key is among keys: broadcast while keys are at most so many rows, else shuffled."""
     keys = keys.select(name)
     return df.join(F.broadcast(keys) if small_enough(keys, rows) else keys, name, "left_semi")

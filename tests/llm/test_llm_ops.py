@@ -72,32 +72,53 @@ def test_lexicon_is_minimal_and_exact():
     assert len(a["final"]) < sum(map(len, words))
 
 
-def plain_classes(texts, threshold=0.8):
-    """Classes by plain Jaccard of five-word shingles, all pairs: what equal weights would give."""
-    sh = {k: Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for k, t in texts.items() if (w := t.split())}
-    parent = {k: k for k in texts}
+def tf_idf(texts):
+    """Weighted shingles of each text by dictionaries: counts times ln(N / df) over ln 1000, 1 from one in 1000 on, 0.05 at least."""
+    sh = {k: Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for k, t in enumerate(texts) if (w := t.encode().split())}
+    df = Counter(x for c in sh.values() for x in c)
+    return {k: {x: n * (0.05 + 0.95 * min(1, math.log(len(sh) / df[x]) / math.log(1000))) for x, n in c.items()} for k, c in sh.items()}
+
+
+def similarity(a, b):
+    common = sum(min(w, b[x]) for x, w in a.items() if x in b)
+    return common / (sum(a.values()) + sum(b.values()) - common)
+
+
+def brute_links(texts):
+    """All pairs of texts with their similarity, where they have a shingle in common."""
+    weights, having = tf_idf(texts), defaultdict(list)
+    for k, c in weights.items():
+        for x in c:
+            having[x].append(k)
+    pairs = {(i, j) for ks in having.values() for n, i in enumerate(ks) for j in ks[n + 1 :]}
+    return {(i, j): similarity(weights[i], weights[j]) for i, j in pairs}
+
+
+def classes_of(n, edges):
+    root = list(range(n))
 
     def find(x):
-        while parent[x] != x:
-            x = parent[x]
+        while root[x] != x:
+            x = root[x]
         return x
 
-    keys = list(sh)
-    for i, a in enumerate(keys):
-        for b in keys[i + 1 :]:
-            common = sum((sh[a] & sh[b]).values())
-            if common and common / sum((sh[a] | sh[b]).values()) >= threshold:
-                parent[max(find(a), find(b))] = min(find(a), find(b))
-    return {k: find(k) for k in texts}
+    for a, b in edges:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(k) for k in range(n)]
 
 
 def test_near_duplicates(spark, docs, edge):
-    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
-    texts = text_of(docs)
-    want = plain_classes(texts)
-    assert len(got) == len(texts)
-    off = [k for k in want if want[k] != got[k]]
-    assert len(off) <= 0.01 * len(want), off  # weights differ from plain counts only near the threshold
+    """Against all pairs at the operator's own weighted Jaccard similarity."""
+    for sf in (SF, "/root/testdata/sf0.01"):
+        d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+        ids, texts = [r.doc_id for r in d], [r.text or "" for r in d]
+        like = {p: s for p, s in brute_links(texts).items() if s >= 0.8}
+        want = classes_of(len(texts), like)
+        got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+        assert len(got) == len(texts) and len(like) > 10
+        found = np.mean([got[ids[i]] == got[ids[j]] for i, j in like])
+        assert found >= 0.99, found
+        assert all(want[i] == want[ids.index(got[ids[i]])] for i in range(len(ids)))  # no class holds what is not linked
     rows = minhash.near_duplicates(edge).collect()
     assert len(rows) == len(EDGE)
     by = defaultdict(set)
@@ -107,16 +128,70 @@ def test_near_duplicates(spark, docs, edge):
     assert minhash.near_duplicates(edge.limit(0)).count() == 0
 
 
+def test_large_buckets_in_blocks(spark, monkeypatch):
+    """A group whose members are near one base but often not near each other, in blocks of 16: as by all pairs within buckets."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "LEADERS", 1)
+    g = np.random.default_rng(3)
+    base = [f"b{i}" for i in range(150)]
+    texts = [" ".join(base)]
+    for k in range(400):
+        w = list(base)
+        for p in g.integers(0, 150, int(g.integers(1, 9))):
+            w[p] = f"c{k}x{p}"
+        texts.append(" ".join(w))
+    texts += [" ".join(f"lone{k}w{i}" for i in range(150)) for k in range(3000)]
+    raw = [t.encode() for t in texts[:401]]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    name = minhash.shingle_weights(d)
+    from pyspark import SparkFiles
+
+    table = minhash.idf_table(minhash.unpack(SparkFiles.get(name)))
+    cuts = np.cumsum([0, *map(len, raw)])
+    text, s, tf, _ = minhash.count_shingles(np.frombuffer(b"".join(raw), np.uint8), cuts)
+    sig = minhash.signatures(text, s, tf * minhash.idf_of(s, table), len(raw))
+    band = (sig[:, None] == sig[None]).reshape(len(raw), len(raw), minhash.BANDS, minhash.ROWS).all(3).any(2)
+    weights = tf_idf(texts)
+    edges = [(i, j) for i in range(401) for j in range(i + 1, 401) if band[i, j] and similarity(weights[i], weights[j]) >= 0.8]
+    want = classes_of(len(texts), edges)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(d).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+    assert 1 < len(set(want[:401])) < 390
+
+
+def test_weights_of_frequent_shingles(spark, monkeypatch):
+    """Every shingle in over one text of 1000 is counted exactly, whichever blocks it stands in."""
+    monkeypatch.setattr(minhash, "COUNTED", 500)
+    texts = [f"a b c d e f w{k} x{k} y{k} z{k} v{k}" if k % 7 == 0 else f"p{k} q{k} r{k} s{k} t{k} " + ("m n o p q" if k % 300 == 0 else "") for k in range(3000)]
+    d = spark.createDataFrame([(t,) for t in texts], "text string").repartition(8)
+    from pyspark import SparkFiles
+
+    idf = minhash.unpack(SparkFiles.get(minhash.shingle_weights(d)))
+    table = minhash.idf_table(idf)
+    _, s, _, _ = minhash.count_shingles(np.frombuffer(b"a b c d e f\nm n o p q", np.uint8), np.array([0, 12, 21]))
+    assert len(idf["h"]) == 3  # a b c d e, b c d e f and m n o p q
+    want = [0.05 + 0.95 * math.log(3000 / n) / math.log(1000) for n in (429, 429, 8)]  # of ten multiples of 300 two are multiples of 7
+    assert np.allclose(sorted(minhash.idf_of(s, table)), sorted(want), atol=1e-6)
+
+
 def test_weighted_jaccard_and_sampling():
+    """The share of equal samples is an unbiased estimate of the weighted Jaccard similarity, also where weights differ."""
     idf = {"h": np.zeros(0, np.uint64), "w": np.zeros(0, np.float32)}
     base = [f"w{i}" for i in range(400)]
     changed = base[:200] + ["x"] + base[201:]
     a, b = " ".join(base).encode(), " ".join(changed).encode()
     want = 391 / 401
     assert abs(minhash.weighted_jaccard([a], [b], idf)[0] - want) < 1e-9
-    text, s, w, _ = minhash.shingles([a, b], idf)
-    sig = minhash.signatures(text, s, w, 2)
-    assert (sig[0] == sig[1]).mean() > 0.8
+    g, same, expected = np.random.default_rng(1), [], []
+    for k in range(400):
+        s = np.sort(g.integers(0, 1 << 63, 60, dtype=np.uint64) * np.uint64(2))
+        x, y = g.choice([0.05, 0.4, 1, 2, 7], 60), g.choice([0.05, 0.4, 1, 2, 7], 60)
+        y = np.where(g.random(60) < 0.6, x, y)
+        sig = minhash.signatures(np.repeat([0, 1], 60), np.append(s, s), np.append(x, y), 2)
+        same.append((sig[0] == sig[1]).mean())
+        expected.append(np.minimum(x, y).sum() / np.maximum(x, y).sum())
+    assert abs(np.mean(same) - np.mean(expected)) < 0.012
+    assert np.std(np.array(same) - np.array(expected)) < 0.085  # the binomial's would be about 0.075
 
 
 def targets(sizes, weights=(5, 2, 1)):

@@ -24,8 +24,9 @@ def test_pairs_just_above_the_threshold_are_linked(spark):
     raw = [t.encode() for t in texts]
     idf = {"h": np.zeros(0, np.uint64), "w": np.zeros(0, np.float32)}  # all words are rare among so many texts
     like = minhash.weighted_jaccard(raw[::2], raw[1::2], idf)
-    text, s, w, _ = minhash.shingles(raw, idf)
-    sig = minhash.signatures(text, s, w, len(raw))
+    cuts = np.cumsum([0, *map(len, raw)])
+    text, s, tf, _ = minhash.count_shingles(np.frombuffer(b"".join(raw), np.uint8), cuts)
+    sig = minhash.signatures(text, s, tf.astype(float), len(raw))
     same = sig[::2] == sig[1::2]
     band = same.reshape(len(same), minhash.BANDS, minhash.ROWS).all(2).any(1)
     near = (like >= 0.8) & (like < 0.85)
