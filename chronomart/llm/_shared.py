@@ -92,7 +92,7 @@ def unpack(path: str) -> dict[str, np.ndarray]:
     return out
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches of at most so many rows, and of so many bytes of strings unless a single row has more: a Python worker's memory is bounded by both."""
     for batch in batches:
         width = np.zeros(batch.num_rows, np.int64)

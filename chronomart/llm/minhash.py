@@ -21,6 +21,8 @@ WORDS, RARE, FLOOR = 5, 1000, 0.05
 BANDS, ROWS = 10, 4
 #: Shingles whose frequencies a task counts at once; members and bytes of text that are compared at once; members that all blocks of a bucket meet.
 COUNTED, BLOCK, BLOCK_BYTES, LEADERS = 6_000_000, 512, 4 << 20, 8
+#: Rows and bytes that numpy works on at a time.
+SLICE = (250, 1 << 20)
 #: Columns of one product of the matrices that give common weights.
 COLUMNS = 2048
 LEVELS = 1 << 16
@@ -180,7 +182,8 @@ def shingle_weights(docs: DataFrame) -> str:
 
     A first pass tells which can be frequent: of the N texts, a block of n passes on the shingles in n / (2 RARE) of its own or more. Those
     that it holds back have less than that in it, so the sums of what came bound each frequency from above; at most
-    2 RARE times the mean number of shingles a text can reach N / RARE. A second pass counts these exactly.
+    2 RARE times the mean number of shingles a text can reach N / RARE. A second pass counts these exactly. Blocks must
+    be of several times 2 RARE texts to hold anything back, so smaller partitions are read together.
     """
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +196,7 @@ def shingle_weights(docs: DataFrame) -> str:
             columns = [pa.concat_arrays([pa.array(h), pa.nulls(1, pa.int64())]), pa.array(np.append(n, docs)), pa.array(np.full(len(h) + 1, docs))]
             return pa.RecordBatch.from_arrays(columns, ["h", "n", "docs"])
 
-        for b in slices(batches):
+        for b in slices(batches, *SLICE):
             _, s, _, size = count_shingles(*buffers(b, "text"))
             held.append(s)
             docs += int((size > 0).sum())
@@ -205,7 +208,8 @@ def shingle_weights(docs: DataFrame) -> str:
             yield flush()
 
     spark = docs.sparkSession
-    proposed = docs.select("text").mapInArrow(propose, "h long, n long, docs long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    together = docs.select("text").coalesce(max(1, docs.count() // (8 * RARE)))
+    proposed = together.mapInArrow(propose, "h long, n long, docs long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     proposed = written(proposed, "shingle-blocks")
     row = proposed.filter("h is null").first()
     total = row.n if row else 0
@@ -218,7 +222,7 @@ def shingle_weights(docs: DataFrame) -> str:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _shipped(asked)
         n = np.zeros(len(table.h), np.int64)
-        for b in slices(batches):
+        for b in slices(batches, *SLICE):
             _, s, _, _ = count_shingles(*buffers(b, "text"))
             n += np.bincount(table.find(s)[1], minlength=len(n))
         at = np.flatnonzero(n)
@@ -312,7 +316,7 @@ def _compare(rows: DataFrame, idf: str, threshold: float) -> DataFrame:
         table, a_out, b_out = _shipped(idf), [], []
         for g in _groups(batches):
             parts, before = [], 0
-            for b in slices([g]):
+            for b in slices([g], *SLICE):
                 text, s, w = _occurrences(*buffers(b, "text"), table)
                 parts.append((text + before, s, w))
                 before += b.num_rows
@@ -398,7 +402,7 @@ def _sign(docs: DataFrame, idf: str) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _shipped(idf)
-        for b in slices(batches, 250):
+        for b in slices(batches, *SLICE):
             data, cuts = buffers(b, "text")
             text, s, tf, words = count_shingles(data, cuts)
             sig = signatures(text, s, tf * idf_of(s, table), b.num_rows)
