@@ -1,10 +1,10 @@
 """An interpolated modified Kneser-Ney model of bigrams or trigrams, counted in Spark and kept in sorted arrays that workers map.
 
-The vocabulary is a sorted array of 64-bit word hashes; a word's place in it is its id. A bigram's key is the two ids in
-one 64-bit number, stored sorted beside its count, in one shard by its first word. A trigram lies in a shard by its first two
-words, whose ids in one 64-bit number are its context. Below trigrams, a bigram's count is the number of words seen before it;
-only bigrams at a text's start, which nothing precedes, keep their own. Blocks are counted with numpy in tasks, and only
-counted blocks are shuffled.
+The vocabulary is a sorted array of 64-bit word hashes. The most frequent words have small ids by rank, others a number after these by their
+place. N-grams lie in shards, sorted: contexts, where each context's words begin, and the words with their counts. A trigram's shard
+goes by its first two words, a bigram's by its first; the bigrams of a first word with very many tokens are dealt over several
+shards, and its sums are added up. Below trigrams, a bigram's count is the number of words seen before it; only bigrams at a text's
+start, which nothing precedes, keep their own. Blocks are counted with numpy in tasks, and only counted, packed blocks are shuffled.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ._shared import map_file, new_folder, pack, put_file, slices, texts, written
 
-#: Tokens that a task counts before it passes a block on, tokens a shard, and vocabulary entries a file.
-BLOCK, SHARD, RANGE = 3_000_000, 4_000_000, 1_000_000
+#: Tokens that a task counts before it passes a block on, tokens a shard, vocabulary entries a file, and words that have ids by rank.
+BLOCK, SHARD, RANGE, RANKED = 3_000_000, 4_000_000, 1_000_000, 1 << 15
 END = xxhash.xxh64_intdigest(b"")
 
 
@@ -66,103 +66,99 @@ def _count_words(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Mapped files of (sorted hashes, counts), in order of their first hash."""
+    """Mapped files of (sorted hashes, counts, ranks), in order of their first hash."""
 
-    def __init__(self, files: list[tuple[int, int, str]]) -> None:
+    def __init__(self, files: list[tuple[int, int, str]], ranked: int) -> None:
         self.first = np.array([f[0] for f in files], np.int64)
-        self.offset = np.cumsum([0, *(f[1] for f in files)])
+        self.offset = np.cumsum([ranked, *(f[1] for f in files)])
         self.uris, self.open = [f[2] for f in files], {}
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of hashes; -1 and 0 where unknown."""
         ids, n = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
         order = np.argsort(hashes)
-        cuts = np.searchsorted(hashes[order], self.first)
-        for k, (lo, hi) in enumerate(zip(cuts, [*cuts[1:], len(hashes)], strict=True)):
+        cuts = [*np.searchsorted(hashes[order], self.first).tolist(), len(hashes)]
+        for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
             if lo < hi:
                 a = self.open.get(k) or self.open.setdefault(k, map_file(self.uris[k]))
                 own = order[lo:hi]
-                at = np.searchsorted(a["h"], hashes[own])
-                at = np.minimum(at, len(a["h"]) - 1)
+                at = np.minimum(np.searchsorted(a["h"], hashes[own]), len(a["h"]) - 1)
                 hit = a["h"][at] == hashes[own]
-                ids[own[hit]] = at[hit] + self.offset[k]
-                n[own[hit]] = a["n"][at[hit]]
+                own, at = own[hit], at[hit]
+                rank = a["rank"][at].astype(np.int64)
+                ids[own] = np.where(rank >= 0, rank, at + self.offset[k])
+                n[own] = a["n"][at]
         return ids, n
 
 
-def _write_vocabulary(counted: DataFrame, folder: str, files: int) -> list[tuple[int, int, str]]:
+def _write_vocabulary(counted: DataFrame, folder: str, files: int, ranked: np.ndarray) -> list[tuple[int, int, str]]:
+    """Write the words in ranges of their hashes; ranked holds the hashes of the words that have ids by rank."""
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [(b.column("h").to_numpy(), b.column("n").to_numpy()) for b in batches if b.num_rows]
         if parts:
             h, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            rank, order = np.full(len(h), -1, np.int32), np.argsort(ranked)
+            at = np.minimum(np.searchsorted(h, ranked[order]), len(h) - 1)
+            hit = h[at] == ranked[order]
+            rank[at[hit]] = order[hit]
             uri = f"{folder}/vocabulary-{int(h[0])}"
-            put_file(uri, pack({"h": h, "n": n}))
+            put_file(uri, pack({"h": h, "n": n, "rank": rank}))
             yield pa.RecordBatch.from_arrays([pa.array([int(h[0])], pa.int64()), pa.array([len(h)], pa.int64()), pa.array([uri])], ["first", "size", "uri"])
 
     rows = counted.repartitionByRange(files, "h").sortWithinPartitions("h").mapInArrow(write, "first long, size long, uri string").collect()
     return sorted((r[0], r[1], r[2]) for r in rows)
 
 
-def _fold_block(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[start], np.add.reduceat(n, start) if len(start) else n
-
-
-def _block(keys: np.ndarray, n: np.ndarray) -> bytes:
-    """A counted block for the shuffle: first ids once, second ids and counts in the narrowest types."""
-    u, size = np.unique(keys >> 32, return_counts=True)
-    kind = np.uint8 if n.max(initial=0) < 256 else np.uint32
-    return pack_raw(u.astype(np.uint32), size.astype(np.uint32), (keys & 0xFFFFFFFF).astype(np.uint32), n.astype(kind))
-
-
-def pack_raw(*arrays: np.ndarray) -> bytes:
-    head = b"".join(len(a).to_bytes(8, "little") + bytes([a.dtype.itemsize]) for a in arrays)
-    return head + b"".join(a.tobytes() for a in arrays)
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Non-negative whole numbers for the shuffle: byte by byte of equal weight, as many as the largest needs, compressed."""
+    head, body = [], []
+    for a in arrays:
+        width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+        head.append(len(a).to_bytes(8, "little") + bytes([width]))
+        body.append(np.ascontiguousarray(np.ascontiguousarray(a, np.int64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    raw = b"".join(head + body)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
 
-def unpack_raw(raw: bytes, count: int) -> list[np.ndarray]:
+def unsqueeze(block: bytes, count: int) -> list[np.ndarray]:
+    raw = pa.Codec("zstd").decompress(block[8:], int.from_bytes(block[:8], "little"), asbytes=True)
     at, out = 9 * count, []
     for k in range(count):
-        n, size = int.from_bytes(raw[9 * k : 9 * k + 8], "little"), raw[9 * k + 8]
-        out.append(np.frombuffer(raw, np.dtype(f"u{size}"), n, at).astype(np.int64))
-        at += n * size
+        n, width = int.from_bytes(raw[9 * k : 9 * k + 8], "little"), raw[9 * k + 8]
+        own = np.zeros((n, 8), np.uint8)
+        own[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
+        out.append(own.view(np.int64).ravel())
+        at += n * width
     return out
 
 
-def _unblock(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    u, size, w, n = unpack_raw(raw, 4)
-    return np.repeat(u, size) << 32 | w, n
-
-
-def _fold_trigrams(c: np.ndarray, w: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _fold(c: np.ndarray, w: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (context, word), sorted, and the sums of their counts (1 each where n is None)."""
     order = np.lexsort((w, c))
     c, w = c[order], w[order]
-    start = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])])) if len(c) else np.zeros(0, np.int64)
+    start = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (w[1:] != w[:-1]))[: len(c)])
     sums = np.diff(np.append(start, len(c))) if n is None else np.add.reduceat(n[order], start) if len(start) else n
     return c[start], w[start], sums
 
 
-def _block_trigrams(c: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
-    """A counted block of sorted trigrams for the shuffle: contexts once, each by its two ids, all in the narrowest types, compressed."""
+def _block(c: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
+    """A counted block of sorted n-grams: contexts once, by steps of their first id."""
     own, size = np.unique(c, return_counts=True)
-    kind = lambda x: np.uint8 if x.max(initial=0) < 256 else np.uint32
-    u, v = own >> 32, own & 0xFFFFFFFF
-    raw = pack_raw(np.diff(u, prepend=0).astype(np.uint32), v.astype(np.uint32), size.astype(kind(size)), w.astype(np.uint32), n.astype(kind(n)))
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+    return squeeze(np.diff(own >> 32, prepend=0), own & 0xFFFFFFFF, size, w, n)
 
 
-def _unblock_trigrams(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = pa.Codec("zstd").decompress(block[8:], int.from_bytes(block[:8], "little"), asbytes=True)
-    u, v, size, w, n = unpack_raw(raw, 5)
+def _unblock(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    u, v, size, w, n = unsqueeze(block, 5)
     return np.repeat(np.cumsum(u) << 32 | v, size), w, n
 
 
-def _shard_of(u: np.ndarray, shards: int) -> np.ndarray:
-    return ((u.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % shards
+def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _fold(*map(np.concatenate, zip(*(_unblock(x) for x in table.column("block").to_pylist()), strict=True)))
+
+
+def _hash(x: np.ndarray) -> np.ndarray:
+    return ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
 
 
 def _by_shard(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -173,6 +169,86 @@ def _by_shard(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]
             yield k, order[cuts[k] : cuts[k + 1]]
 
 
+class Spread:
+    """The shard of each bigram: by its first word, and by its second too where the first is frequent (ids below len(ways), or the start)."""
+
+    def __init__(self, shards: int, ways: np.ndarray, start: int, start_ways: int) -> None:
+        self.shards, self.ways, self.start, self.start_ways = shards, ways, start, start_ways
+
+    def many(self, v: np.ndarray) -> np.ndarray:
+        k = np.ones(len(v), np.int64)
+        few = (v >= 0) & (v < len(self.ways))
+        k[few] = self.ways[v[few]]
+        k[v == self.start] = self.start_ways
+        return k
+
+    def __call__(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return (_hash(v) + _hash(w + 1) % self.many(v)) % self.shards
+
+
+def _narrow(name: str, x: np.ndarray) -> dict[str, np.ndarray]:
+    """Numbers below 2 ** 32 in two or three bytes where that is enough: their low and high parts."""
+    high = x >> 16
+    return {f"{name}.low": (x & 0xFFFF).astype(np.uint16), f"{name}.high": high.astype(np.uint8 if high.max(initial=0) < 256 else np.uint16)}
+
+
+def _wide(a: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
+    return a[f"{name}.high"][at].astype(np.int64) << 16 | a[f"{name}.low"][at]
+
+
+def _level(c: np.ndarray, w: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+    """The arrays of a shard: first ids, their second ids, the words of each context, counts; sums for contexts of several words."""
+    own, first, size = np.unique(c, return_index=True, return_counts=True)
+    u, at = np.unique(own >> 32, return_index=True)
+    many, large = np.flatnonzero(size > 1), np.flatnonzero(n >= 255)
+    sums = lambda x: np.add.reduceat(np.append(x, 0), first, dtype=np.int64)[many] if len(first) else many
+    return {
+        "u": u, "second": np.append(at, len(own)).astype(np.uint32), **_narrow("v", own & 0xFFFFFFFF), "first": np.append(first, len(c)).astype(np.uint32), **_narrow("w", w),
+        "n": np.minimum(n, 255).astype(np.uint8), "large": large.astype(np.uint32), "count": n[large], "many": many.astype(np.uint32), "total": sums(n),
+        **{f"n{k}": sums(n == k if k < 3 else n >= 3).astype(np.uint32) for k in (1, 2, 3)},
+    }
+
+
+def _search(a: dict[str, np.ndarray], name: str, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, whether found) of numbers in sorted stretches of an array."""
+    end = hi
+    while (lo < hi).any():
+        mid = (lo + hi) >> 1
+        less = (lo < hi) & (_wide(a, name, np.minimum(mid, end - 1)) < want)
+        lo, hi = np.where(less, mid + 1, lo), np.where(less | (lo >= hi), hi, mid)
+    place = np.minimum(lo, end - 1)
+    return place, (lo < end) & (_wide(a, name, place) == want)
+
+
+def _counts(a: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
+    n = a["n"][at].astype(np.int64)
+    large = np.flatnonzero(n == 255)
+    n[large] = a["count"][np.searchsorted(a["large"], at[large])]
+    return n
+
+
+def _read_level(a: dict[str, np.ndarray], c: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the count of each n-gram, the sum of counts of its context, the numbers of words with counts of 1, 2 and 3 or more there); 0 where unseen."""
+    out = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64), np.zeros((3, len(c)), np.int64)
+    at = np.minimum(np.searchsorted(a["u"], c >> 32), len(a["u"]) - 1)
+    own = np.flatnonzero(a["u"][at] == c >> 32)
+    context, seen = _search(a, "v", *(a["second"][at[own] + k].astype(np.int64) for k in (0, 1)), c[own] & 0xFFFFFFFF)
+    own, context = own[seen], context[seen]
+    if not len(own):
+        return out
+    lo, hi = (a["first"][context + k].astype(np.int64) for k in (0, 1))
+    place, found = _search(a, "w", lo, hi, w[own])
+    out[0][own[found]] = _counts(a, place[found])
+    one = hi - lo == 1
+    only = _counts(a, lo[one])
+    out[1][own[one]] = only
+    out[2][np.minimum(only, 3) - 1, own[one]] = 1
+    j = np.searchsorted(a["many"], context[~one].astype(np.uint32))
+    out[1][own[~one]] = a["total"][j]
+    out[2][:, own[~one]] = [a[f"n{k}"][j] for k in (1, 2, 3)]
+    return out
+
+
 def _discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     """The discounts for counts of 0, 1, 2 and 3 or more (Chen and Goodman), with fixed ones where counts are too few."""
     if min(n1, n2, n3) == 0:
@@ -182,12 +258,10 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 
 
 class Model:
-    """What workers need to score: files and constants. Built by train(), sent in a task's closure (a few kilobytes)."""
+    """What workers need to score: files and constants. Built by train(), sent in a task's closure (some hundred kilobytes at most)."""
 
-    def __init__(self, vocabulary: list[tuple[int, int, str]], shards: list[str], continuations: list[str], words: int, tokens: int, types: int, d2: np.ndarray, d1: np.ndarray, free: float, trigrams: list[str], d3: np.ndarray) -> None:
-        self.vocabulary, self.shards, self.continuations = vocabulary, shards, continuations
-        self.words, self.tokens, self.types, self.d2, self.d1, self.free = words, tokens, types, d2, d1, free
-        self.trigrams, self.d3 = trigrams, d3
+    def __init__(self, **fields) -> None:
+        self.__dict__ |= fields
 
 
 def train(docs: DataFrame, *, order: int = 2) -> Model:
@@ -197,23 +271,31 @@ def train(docs: DataFrame, *, order: int = 2) -> Model:
     spark = docs.sparkSession
     folder = new_folder(spark, "lm")
     counted = written(_count_words(docs), "lm-words")
-    size = counted.agg(F.count("*"), F.sum("n")).first()
+    size = counted.agg(F.count("*"), F.sum("n"), *[F.count_if(F.col("n") >= (1 << k)) for k in range(48)]).first()
     words, tokens = size[0], size[1] or 0
-    files = _write_vocabulary(counted, folder, max(1, -(-words // RANGE)))
+    least = next((1 << k for k in range(48) if size[2 + k] <= RANKED), 1 << 48)
+    top = counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "h").toArrow()  # at most RANKED rows
+    ranked, often = top.column("h").to_numpy(), top.column("n").to_numpy()
+    files = _write_vocabulary(counted, folder, max(1, -(-words // RANGE)), ranked)
     shards = max(1, -(-tokens // SHARD))
-    ranges = max(1, -(-(words + 1) // RANGE))
+    start = len(ranked) + words
+    ranges = -(-(start + 1) // RANGE)
+    share = max(SHARD // 8, tokens // 4096)  # at most 4096 words have more tokens
+    ends = int(often[ranked == np.array([END], np.uint64).view(np.int64)[0]].sum())
+    spread = Spread(shards, -(-often[often > share] // share), start, max(1, -(-ends // share)))
+    split = lambda v: spread.many(v) > 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, held, total = Vocabulary(files), [], 0
+        v, held, total = Vocabulary(files, len(ranked)), [], 0
 
         def flush() -> pa.RecordBatch:
             u, v, w = (np.concatenate(x) for x in zip(*held, strict=True))
             two = u < 0 if order == 3 else np.ones(len(w), bool)
-            keys, n = _fold_block(v[two] << 32 | w[two], np.ones(two.sum(), np.int64))
-            parts = [(2, k, _block(keys[own], n[own])) for k, own in _by_shard(_shard_of(keys >> 32, shards), shards)]
+            c, x, n = _fold(v[two], w[two])
+            parts = [(2, k, _block(c[own], x[own], n[own])) for k, own in _by_shard(spread(c, x), shards)]
             if order == 3:
-                c, w, n = _fold_trigrams(u[~two] << 32 | v[~two], w[~two])
-                parts += [(3, k, _block_trigrams(c[own], w[own], n[own])) for k, own in _by_shard(_shard_of(c, shards), shards)]
+                c, x, n = _fold(u[~two] << 32 | v[~two], w[~two])
+                parts += [(3, k, _block(c[own], x[own], n[own])) for k, own in _by_shard(_hash(c) % shards, shards)]
             level, shard, block = zip(*parts, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), pa.array(shard, pa.int32()), pa.array(block, pa.binary())], ["level", "shard", "block"])
 
@@ -221,7 +303,7 @@ def train(docs: DataFrame, *, order: int = 2) -> Model:
             h, code, sizes = _tokens(b)
             ids, _ = v.find(h)
             w = ids[code]
-            held.append((*_before(w, sizes, words), w))
+            held.append((*_before(w, sizes, start), w))
             total += len(w)
             if total > BLOCK:
                 yield flush()
@@ -231,47 +313,41 @@ def train(docs: DataFrame, *, order: int = 2) -> Model:
 
     kinds = "level int, shard int, block binary"
 
+    def rows(names: str, parts: list[tuple]) -> pa.Table:
+        columns = zip(*parts, strict=True)
+        return pa.table({name: pa.array(x, pa.binary() if name == "block" else pa.int32()) for name, x in zip(names.split(" "), columns, strict=True)})
+
+    def statistics(n: np.ndarray) -> bytes:
+        return np.array([len(n), *((n == k).sum() for k in (1, 2, 3, 4))], np.int64).tobytes()
+
     def lower(table: pa.Table) -> pa.Table:
         """Write a shard of trigrams; give its bigrams, counted by the words before them, and its statistics (as level -3)."""
         level, shard = table.column("level")[0].as_py(), table.column("shard")[0].as_py()
         if level != 3:
             return table.select(["level", "shard", "block"])
-        c, w, n = _fold_trigrams(*map(np.concatenate, zip(*(_unblock_trigrams(x) for x in table.column("block").to_pylist()), strict=True)))
-        own, first, size = np.unique(c, return_index=True, return_counts=True)
-        many = np.flatnonzero(size > 1)
-        sums = lambda x: np.add.reduceat(np.append(x, 0), first, dtype=np.int64)[many].astype(np.uint32)
-        put_file(f"{folder}/trigrams-{shard}", pack({
-            "c": own, "first": np.append(first, len(c)).astype(np.uint32), "w": w.astype(np.uint32), "n": np.minimum(n, 2**32 - 1).astype(np.uint8 if n.max() < 256 else np.uint32),
-            "many": many.astype(np.uint32), "total": sums(n), "n1": sums(n == 1), "n2": sums(n == 2), "n3": sums(n >= 3),
-        }))
-        keys, types = np.unique((c & 0xFFFFFFFF) << 32 | w, return_counts=True)
-        stats = np.array([len(c), *((n == k).sum() for k in (1, 2, 3, 4))], np.int64)
-        rows = [(-3, shard, stats.tobytes()), *((2, k, _block(keys[at], types[at])) for k, at in _by_shard(_shard_of(keys >> 32, shards), shards))]
-        level, shard, block = zip(*rows, strict=True)
-        return pa.table({"level": pa.array(level, pa.int32()), "shard": pa.array(shard, pa.int32()), "block": pa.array(block, pa.binary())})
+        c, w, n = _gathered(table)
+        put_file(f"{folder}/trigrams-{shard}", pack(_level(c, w, n)))
+        v, x, types = _fold(c & 0xFFFFFFFF, w)
+        return rows("level shard block", [(-3, shard, statistics(n)), *((2, k, _block(v[at], x[at], types[at])) for k, at in _by_shard(spread(v, x), shards))])
 
     def merge(table: pa.Table) -> pa.Table:
+        """Write a shard of bigrams; give its words' continuation counts, its statistics (part -1) and the sums of split first words (-2)."""
         if table.column("level")[0].as_py() == -3:
             return pa.table({"part": pa.array([-3], pa.int32()), "shard": table.column("shard"), "block": table.column("block")})
-        keys, n = _fold_block(*map(np.concatenate, zip(*(_unblock(x) for x in table.column("block").to_pylist()), strict=True)))
+        v, w, n = _gathered(table)
         shard = table.column("shard")[0].as_py()
-        u, first = np.unique(keys >> 32, return_index=True)
-        kinds = [np.add.reduceat((n == c) if c < 3 else (n >= 3), first, dtype=np.int64) for c in (1, 2, 3)]
-        put_file(f"{folder}/bigrams-{shard}", pack({
-            "keys": keys, "n": np.minimum(n, 2**32 - 1).astype(np.uint8 if n.max() < 256 else np.uint32), "u": u,
-            "total": np.add.reduceat(n, first), "n1": kinds[0].astype(np.uint32), "n2": kinds[1].astype(np.uint32), "n3": kinds[2].astype(np.uint32),
-        }))
-        w, types = np.unique(keys & 0xFFFFFFFF, return_counts=True)
-        cont = [(k, pack_raw(w[own].astype(np.uint32), types[own].astype(np.uint32))) for k, own in _by_shard(w // RANGE, ranges)]
-        stats = np.array([len(keys), *((n == c).sum() for c in (1, 2, 3, 4))], np.int64)
-        rows = [(-1, shard, stats.tobytes()), *((k, shard, x) for k, x in cont)]
-        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "shard": pa.array([r[1] for r in rows], pa.int32()), "block": pa.array([r[2] for r in rows], pa.binary())})
+        put_file(f"{folder}/bigrams-{shard}", pack(_level(v, w, n)))
+        own, first = np.unique(v, return_index=True)
+        sums = [np.add.reduceat(x, first, dtype=np.int64)[split(own)] for x in (n, n == 1, n == 2, n >= 3)]
+        x, types = np.unique(w, return_counts=True)
+        parts = [(k, shard, squeeze(x[at], types[at])) for k, at in _by_shard(x // RANGE, ranges)]
+        return rows("part shard block", [(-1, shard, statistics(n)), (-2, shard, squeeze(own[split(own)], *sums)), *parts])
 
     def finish(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        cont = np.zeros(min(RANGE, words + 1 - part * RANGE), np.int64)
+        cont = np.zeros(min(RANGE, start + 1 - part * RANGE), np.int64)
         for x in table.column("block").to_pylist():
-            w, n = unpack_raw(x, 2)
+            w, n = unsqueeze(x, 2)
             cont[w - part * RANGE] += n
         put_file(f"{folder}/continuations-{part}", pack({"n": cont}))
         stats = np.array([(cont == c).sum() for c in (1, 2, 3, 4)] + [(cont >= 3).sum()], np.int64)
@@ -281,19 +357,23 @@ def train(docs: DataFrame, *, order: int = 2) -> Model:
     if order == 3:
         blocks = blocks.groupBy("level", "shard").applyInArrow(lower, kinds)
     merged = written(blocks.groupBy("level", "shard").applyInArrow(merge, "part int, shard int, block binary"), "lm-continuations")
-    seen = merged.filter("part = -1").collect()
-    tri = merged.filter("part = -3").collect()
+    of = lambda part: merged.filter(F.col("part") == part).collect()  # noqa: E731  # one row a shard
+    seen, tri = of(-1), of(-3)
     own = written(merged.filter("part >= 0").groupBy("part").applyInArrow(finish, "part int, block binary"), "lm-parts").collect()
-    big = sum((np.frombuffer(r.block, np.int64) for r in seen), np.zeros(5, np.int64))
-    one = sum((np.frombuffer(r.block, np.int64) for r in own), np.zeros(5, np.int64))
-    d2, d1 = _discounts(*map(int, big[1:])), _discounts(*map(int, one[:4]))
-    types = int(big[0])
-    free = float(d1[1] * one[0] + d1[2] * one[1] + d1[3] * one[4]) / types if types else 1.0
-    three = sum((np.frombuffer(r.block, np.int64) for r in tri), np.zeros(5, np.int64))
-    name = {r.shard: f"{folder}/bigrams-{r.shard}" for r in seen}
-    threes = {r.shard: f"{folder}/trigrams-{r.shard}" for r in tri}
-    parts = {r.part: f"{folder}/continuations-{r.part}" for r in own}
-    return Model(files, [name.get(k, "") for k in range(shards)], [parts.get(k, "") for k in range(ranges)], words, tokens, types, d2, d1, free, [threes.get(k, "") for k in range(shards)] if order == 3 else [], _discounts(*map(int, three[1:])))
+    add = lambda found: sum((np.frombuffer(r.block, np.int64) for r in found), np.zeros(5, np.int64))
+    big, one, three = add(seen), add(own), add(tri)
+    split_sums: dict[int, np.ndarray] = {}
+    for r in of(-2):
+        for v, *x in zip(*unsqueeze(r.block, 5), strict=True):
+            split_sums[int(v)] = split_sums.get(int(v), np.zeros(4, np.int64)) + np.array(x)
+    d1, types = _discounts(*map(int, one[:4])), int(big[0])
+    paths = lambda name, found, key, n: [f"{folder}/{name}-{k}" if k in {r[key] for r in found} else "" for k in range(n)]
+    return Model(
+        vocabulary=files, ranked=len(ranked), words=words, tokens=tokens, start=start, types=types, spread=spread, d1=d1, d2=_discounts(*map(int, big[1:])), d3=_discounts(*map(int, three[1:])),
+        free=float(d1[1] * one[0] + d1[2] * one[1] + d1[3] * one[4]) / types if types else 1.0, bigrams=paths("bigrams", seen, "shard", shards),
+        trigrams=paths("trigrams", tri, "shard", shards) if order == 3 else [], continuations=paths("continuations", own, "part", ranges),
+        split=np.array(sorted(split_sums), np.int64), split_sums=np.array([split_sums[v] for v in sorted(split_sums)], np.int64).reshape(-1, 4),
+    )
 
 
 def _before(w: np.ndarray, sizes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -310,10 +390,11 @@ class Scorer:
     """A model's mapped arrays in one Python worker."""
 
     def __init__(self, model: Model) -> None:
-        self.m, self.v = model, Vocabulary(model.vocabulary)
-        self.shards: dict[int, dict] = {}
-        self.parts: dict[int, dict] = {}
-        self.trigrams: dict[int, dict] = {}
+        self.m, self.v = model, Vocabulary(model.vocabulary, model.ranked)
+        self.open: dict[str, dict] = {}
+
+    def _file(self, uri: str) -> dict[str, np.ndarray]:
+        return self.open.get(uri) or self.open.setdefault(uri, map_file(uri))
 
     def unigram(self, ids: np.ndarray) -> np.ndarray:
         """The lower order: continuation counts, discounted, over a uniform share for all words and the unknown one."""
@@ -321,58 +402,30 @@ class Scorer:
         known = np.flatnonzero(ids >= 0)
         for k, own in _by_shard(ids[known] // RANGE, len(m.continuations)):
             if m.continuations[k]:
-                a = self.parts.get(k) or self.parts.setdefault(k, map_file(m.continuations[k]))
-                cont[known[own]] = a["n"][ids[known[own]] - k * RANGE]
+                cont[known[own]] = self._file(m.continuations[k])["n"][ids[known[own]] - k * RANGE]
         low = np.maximum(cont - m.d1[np.minimum(cont, 3)], 0) / max(m.types, 1)
         return low + m.free / (m.words + 1)
 
-    def bigram(self, keys: np.ndarray, low: np.ndarray) -> np.ndarray:
-        """P(w | u) of sorted distinct keys u << 32 | w, given P(w); unknown words have id -1 and no key of theirs is stored."""
-        m, p = self.m, low.copy()
-        u = keys >> 32
-        for k, own in _by_shard(_shard_of(u, len(m.shards)), len(m.shards)):
-            if m.shards[k]:
-                a = self.shards.get(k) or self.shards.setdefault(k, map_file(m.shards[k]))
-                at = np.minimum(np.searchsorted(a["u"], u[own]), len(a["u"]) - 1)
-                seen = a["u"][at] == u[own]
-                own, at = own[seen], at[seen]
-                place = np.minimum(np.searchsorted(a["keys"], keys[own]), len(a["keys"]) - 1)
-                n = np.where(a["keys"][place] == keys[own], a["n"][place], 0).astype(np.int64)
-                total = a["total"][at].astype(np.float64)
-                free = m.d2[1] * a["n1"][at] + m.d2[2] * a["n2"][at] + m.d2[3] * a["n3"][at]
-                p[own] = np.maximum(n - m.d2[np.minimum(n, 3)], 0) / total + free / total * low[own]
-        return p
-
+    def _interpolated(self, files: list[str], shard: np.ndarray, c: np.ndarray, w: np.ndarray, d: np.ndarray, low: np.ndarray) -> np.ndarray:
+        n, total, kinds = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64), np.zeros((3, len(c)), np.int64)
+        for k, own in _by_shard(shard, len(files)):
+            if files[k]:
+                own = own[np.argsort(c[own])]
+                n[own], total[own], kinds[:, own] = _read_level(self._file(files[k]), c[own], w[own])
+        if len(self.m.split) and files is self.m.bigrams:
+            at = np.minimum(np.searchsorted(self.m.split, c), len(self.m.split) - 1)
+            own = np.flatnonzero(self.m.split[at] == c)
+            total[own], kinds[:, own] = self.m.split_sums[at[own], 0], self.m.split_sums[at[own], 1:].T
+        free = d[1:] @ kinds
+        return np.where(total > 0, (np.maximum(n - d[np.minimum(n, 3)], 0) + free * low) / np.maximum(total, 1), low)
+
+    def bigram(self, v: np.ndarray, w: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """P(w | v), given P(w); unknown words have the id after the start symbol's, and nothing of theirs is stored."""
+        return self._interpolated(self.m.bigrams, self.m.spread(v, w), v, w, self.m.d2, low)
 
     def trigram(self, c: np.ndarray, w: np.ndarray, low: np.ndarray) -> np.ndarray:
-        """P(w | c) of words after contexts u << 32 | v, given P(w | v); unknown words stand in no stored trigram."""
-        m, p = self.m, low.copy()
-        for k, own in _by_shard(_shard_of(c, len(m.trigrams)), len(m.trigrams)):
-            if not m.trigrams[k]:
-                continue
-            a = self.trigrams.get(k) or self.trigrams.setdefault(k, map_file(m.trigrams[k]))
-            own = own[np.argsort(c[own])]
-            at = np.minimum(np.searchsorted(a["c"], c[own]), len(a["c"]) - 1)
-            seen = a["c"][at] == c[own]
-            own, at = own[seen], at[seen]
-            if not len(own):
-                continue
-            lo, end = a["first"][at].astype(np.int64), a["first"][at + 1].astype(np.int64)
-            first, hi = lo.copy(), end.copy()
-            while (lo < hi).any():
-                mid = (lo + hi) >> 1
-                less = (lo < hi) & (a["w"][np.minimum(mid, end - 1)] < w[own])
-                lo, hi = np.where(less, mid + 1, lo), np.where(less | (lo >= hi), hi, mid)
-            place = np.minimum(lo, end - 1)
-            n = np.where((lo < end) & (a["w"][place] == w[own]), a["n"][place], 0).astype(np.int64)
-            only = a["n"][first].astype(np.int64)
-            total, free = only.astype(np.float64), m.d3[np.minimum(only, 3)]
-            many = np.flatnonzero(end - first > 1)
-            j = np.searchsorted(a["many"], at[many].astype(np.uint32))
-            total[many] = a["total"][j]
-            free[many] = m.d3[1] * a["n1"][j] + m.d3[2] * a["n2"][j] + m.d3[3] * a["n3"][j]
-            p[own] = np.maximum(n - m.d3[np.minimum(n, 3)], 0) / total + free / total * low[own]
-        return p
+        """P(w | c) of words after contexts u << 32 | v, given P(w | v)."""
+        return self._interpolated(self.m.trigrams, _hash(c) % max(len(self.m.trigrams), 1), c, w, self.m.d3, low)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -389,17 +442,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             ids, n = s.v.find(h)
             text = np.repeat(np.arange(len(sizes)), sizes)
             low, w = s.unigram(ids), ids[code]
-            u, v = _before(w, sizes, model.words)
-            # unknown second words share the number after the start symbol's, unknown first words too
-            known = lambda x: np.where(x < 0, model.words + 1, x)
-            key, at = np.unique(known(v) << 32 | known(w), return_inverse=True)
-            first = np.zeros(len(key), np.int64)
-            first[at] = code
-            p = s.bigram(key, low[first])[at]
+            u, v = _before(w, sizes, model.start)
+            # unknown words, first ones and second ones, share the number after the start symbol's
+            u, v, w = (np.where(x < 0, model.start + 1, x) for x in (u, v, w))
+            _, first, at = np.unique(v << 32 | w, return_index=True, return_inverse=True)
+            p = s.bigram(v[first], w[first], low[code[first]])[at]
             if model.trigrams:
                 own = np.ones(len(w), bool)
                 own[np.cumsum(sizes) - sizes] = False  # a first word has one symbol before it
-                p[own] = s.trigram((known(u) << 32 | known(v))[own], known(w)[own], p[own])
+                p[own] = s.trigram((u << 32 | v)[own], w[own], p[own])
             p = np.log10(p)
             base = np.log10((n + 1) / (model.tokens + model.words + 1))[code]
             size = len(sizes)

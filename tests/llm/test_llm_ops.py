@@ -296,14 +296,30 @@ def test_lm(spark, docs, edge):
     assert lm.lm_scores(edge.limit(0)).count() == 0
 
 
-def test_lm_probabilities_sum_to_one(spark, docs):
-    m = lm.train(docs.select("text"))
+def test_lm_probabilities_sum_to_one(spark, docs, monkeypatch):
+    import xxhash
+
+    monkeypatch.setattr(lm, "SHARD", 20_000)  # several shards, and first words that are dealt over some of them
+    monkeypatch.setattr(lm, "RANKED", 256)
+    m = lm.train(docs.select("text"), order=3)
     s = lm.Scorer(m)
-    low = s.unigram(np.append(np.arange(m.words), -1))
+    words = {b"", *(w for t in text_of(docs).values() for w in t.encode().lower().split())}
+    ids, n = s.v.find(np.array(sorted(xxhash.xxh64_intdigest(w) for w in words), np.uint64).view(np.int64))
+    assert len(set(ids)) == len(words) == m.words and n.sum() == m.tokens and len(m.split) and len(m.bigrams) > 1
+    every = np.append(ids, m.start + 1)
+    low = s.unigram(np.append(ids, -1))
     assert abs(low.sum() - 1) < 1e-9
-    for u in (0, m.words, 17):
-        keys = np.append(np.arange(m.words), m.words + 1) + (u << 32)
-        assert abs(s.bigram(keys, low).sum() - 1) < 1e-9
+    for v in (0, m.start, int(ids[17]), m.start + 1):
+        two = s.bigram(np.full(len(every), v), every, low)
+        assert abs(two.sum() - 1) < 1e-9
+        assert abs(s.trigram(np.full(len(every), m.start << 32 | v), every, two).sum() - 1) < 1e-9
+
+
+def test_lm_without_training_rows(spark):
+    """All words are unknown, and the model is uniform over the unknown word alone."""
+    rows = [(i, t) for i, t in ((k, f"a b {k}") for k in range(60)) if zlib.crc32(str(i).encode()) % 7 == 2]
+    got = lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), order=3).collect()
+    assert len(got) == len(rows) and all((r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (True, 4, 0, 0, 0.0, 0.0) for r in got)
 
 
 def test_chat(spark):
