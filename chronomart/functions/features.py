@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,17 +139,17 @@ def vol_barriers(vol: str, horizon: int, take: float, stop: float) -> dict[str,
     return {"take_bps": scale * take, "stop_bps": scale * stop}
 
 
-def exponential(series: DataFrame, value: str, alpha: float, out: str, block: int = 4096) -> DataFrame:
+def exponential(series: DataFrame, value: str, alpha: float, out: str, block: int = 4096, step: int = 3600) -> DataFrame:
     """y = alpha * x + (1 - alpha) * y', seeded with the first value, for each symbol in order of t.
 
-    The recurrence is affine, so blocks of rows are folded on their own and only one pair of numbers a block is carried on:
-    no task folds a whole series in one array.
+    The recurrence is affine, so blocks of rows are folded on their own, and one number a block is carried on, over as many blocks as
+    still weigh 2 ** -60 or more. Blocks are stretches of time that hold about `block` rows of the given step (more where
+    rows are denser), so no task sorts or folds a whole series.
     """
-    place = F.row_number().over(by_time()) - 1
-    d = series.withColumn("_n", place).withColumn("_b", F.floor(F.col("_n") / block))
-    w = Window.partitionBy("symbol", "_b").orderBy("t")
-    d = d.withColumn("_k", F.row_number().over(w))
-    x = F.when(F.col("_n") == 0, F.col(value)).otherwise(alpha * F.col(value))
+    d = series.withColumn("_b", F.floor(F.col("t") / (block * step)))
+    first = series.groupBy("symbol").agg(F.min("t").alias("_first"))
+    d = d.join(first, "symbol")
+    x = F.when(F.col("t") == F.col("_first"), F.col(value)).otherwise(alpha * F.col(value))
     # y within a block from zero: the fold of the values so far, in one array a block of bounded length
     packed = d.groupBy("symbol", "_b").agg(F.sort_array(F.collect_list(F.struct("t", x.alias("x")))).alias("_a"), F.count("*").alias("_size"))
     state = F.aggregate(
@@ -155,7 +157,8 @@ def exponential(series: DataFrame, value: str, alpha: float, out: str, block: in
         lambda s, e: F.struct(((1 - alpha) * s["y"] + e["x"]).alias("y"), F.concat(s["ys"], F.array((1 - alpha) * s["y"] + e["x"])).alias("ys")),
     )
     packed = packed.withColumn("_s", state).select("symbol", "_b", "_size", F.col("_s.y").alias("_end"), F.col("_s.ys").alias("_ys"), "_a")
-    carry = Window.partitionBy("symbol").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    # a block has one row at least: beyond so many blocks nothing of a value is left in a double
+    carry = Window.partitionBy("symbol").orderBy("_b").rowsBetween(-max(1, math.ceil(-60 * math.log(2) / math.log(1 - alpha))), -1)
     ends = F.collect_list(F.struct("_size", "_end")).over(carry)
     before = F.aggregate(ends, F.lit(0.0), lambda y, e: y * F.pow(F.lit(1 - alpha), e["_size"]) + e["_end"])
     packed = packed.withColumn("_before", before)
@@ -200,3 +203,13 @@ def drift_bps(current: Column, frozen: Column) -> Column:
 def finite(c: Column) -> Column:
     """Null for NaN and infinities."""
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+
+
+def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, block: int = 4096, step: int = 3600) -> DataFrame:
+    """symbol, t, ema_fast, ema_slow, macd, signal and histogram: averages as they are, the other three in bps of close."""
+    d = bars.select("symbol", "t", "close")
+    for name, span in (("ema_fast", fast), ("ema_slow", slow)):
+        d = exponential(d, "close", 2 / (span + 1), name, block, step)
+    d = exponential(d.withColumn("_m", F.col("ema_fast") - F.col("ema_slow")), "_m", 2 / (signal + 1), "_s", block, step)
+    bps = lambda c: c / F.col("close") * 1e4
+    return d.select("symbol", "t", "ema_fast", "ema_slow", bps(F.col("_m")).alias("macd"), bps(F.col("_s")).alias("signal"), bps(F.col("_m") - F.col("_s")).alias("histogram"))

@@ -27,18 +27,30 @@ def filled_grid(buckets: DataFrame, step: int) -> DataFrame:
     return g.withColumns(zero | {"price": F.last("price", ignorenulls=True).over(w)})
 
 
-def rolling_flow(grid: DataFrame, slots: int) -> DataFrame:
-    """Quantity and count imbalance, log quantity and count, and the gap of buy and sell VWAP in bps over the last `slots` slots."""
-    w = Window.partitionBy("symbol").orderBy("t").rowsBetween(-(slots - 1), 0)
-    s = lambda c: F.sum(c).over(w)
-    d = grid.withColumns({c: s(c) for c in ("buy_qty", "sell_qty", "buys", "sells", "buy_notional", "sell_notional")})
-    imb = lambda a, b: F.when(F.col(a) + F.col(b) > 0, (F.col(a) - F.col(b)) / F.when(F.col(a) + F.col(b) > 0, F.col(a) + F.col(b))).otherwise(0.0)
-    bv, sv = F.col("buy_notional") / F.when(F.col("buy_qty") > 0, F.col("buy_qty")), F.col("sell_notional") / F.when(F.col("sell_qty") > 0, F.col("sell_qty"))
-    return d.select(
-        "symbol", "t", "price", imb("buy_qty", "sell_qty").alias("qty_imbalance"), imb("buys", "sells").alias("count_imbalance"),
-        F.log1p(F.col("buy_qty") + F.col("sell_qty")).alias("log_qty"), F.log1p((F.col("buys") + F.col("sells")).cast("double")).alias("log_count"),
-        F.coalesce((bv / sv - 1) * 1e4, F.lit(0.0)).alias("vwap_gap_bps"),
-    )
+def flow_features(ticks: DataFrame) -> DataFrame:
+    """17 features of each second with a trade, a label, and the seconds' price; emitted from a symbol's fourth second on.
+
+    ret1 and ret3: log returns in bps against the price carried to 1 and 3 s before; quantity and count imbalance over 1, 3, 5 and 10 s; log quantity and count over 1 and 5 s;
+    buy against sell VWAP over 5 s in bps (0 unless both traded); whether buys and sells are there. label: log return to the price carried 10 s
+    ahead, null without a full horizon. Windows range over time, so seconds without a trade need no rows of their own.
+    """
+    d = trade_buckets(ticks, 1)
+    w = lambda lo, hi: Window.partitionBy("symbol").orderBy("t").rangeBetween(lo, hi)
+    s = lambda c, n: F.sum(c).over(w(-(n - 1), 0))
+    over = lambda x, y: F.when(y > 0, x / F.when(y > 0, y))
+    price = lambda k: F.last("price").over(w(Window.unboundedPreceding, k))
+    out = {f"ret{k}": F.log(F.col("price") / price(-k)) * 1e4 for k in (1, 3)}
+    for n in (1, 3, 5, 10):
+        for name, a, b in (("qty", "buy_qty", "sell_qty"), ("count", "buys", "sells")):
+            out[f"{name}_imbalance{n}"] = F.coalesce(over((s(a, n) - s(b, n)).cast("double"), s(a, n) + s(b, n)), F.lit(0.0))
+    for n in (1, 5):
+        out |= {f"log_qty{n}": F.log1p(s("buy_qty", n) + s("sell_qty", n)), f"log_count{n}": F.log1p((s("buys", n) + s("sells", n)).cast("double"))}
+    gap = over(s("buy_notional", 5), s("buy_qty", 5)) / over(s("sell_notional", 5), s("sell_qty", 5))
+    out |= {"vwap_gap_bps": F.coalesce((gap - 1) * 1e4, F.lit(0.0)), "has_buys": F.col("buys") > 0, "has_sells": F.col("sells") > 0}
+    whole = Window.partitionBy("symbol")
+    d = d.withColumns({"_first": F.min("t").over(whole), "_last": F.max("t").over(whole)})
+    label = F.when(F.col("_last") >= F.col("t") + 10, F.log(price(10) / F.col("price")) * 1e4)
+    return d.select("symbol", "t", "price", *[c.alias(k) for k, c in out.items()], label.alias("label"), "_first").filter(F.col("t") >= F.col("_first") + 3).drop("_first")
 
 
 def gap_segments(d: DataFrame, most_us: int) -> DataFrame:
@@ -72,70 +84,6 @@ def trade_bins(ticks: DataFrame, step_us: int) -> DataFrame:
     )
 
 
-def levels_at(updates: DataFrame, step_us: int) -> DataFrame:
-    """Book levels at the end of each slot with an update: the last amount of each (side, level) so far, zero amounts removed.
-
-    updates: symbol, us, seq, side, level, amount. A level's own rows hold until its next row, so the state of a slot is a
-    join of slots with intervals, not a replay.
-    """
-    slot = (F.ceil(F.col("us") / step_us) * step_us).cast("long")
-    u = updates.withColumn("slot", slot)
-    last = u.groupBy("symbol", "side", "level", "slot").agg(F.max_by("amount", F.struct("us", "seq")).alias("amount"))
-    w = Window.partitionBy("symbol", "side", "level").orderBy("slot")
-    held = last.withColumn("until", F.lead("slot").over(w)).filter("amount > 0")
-    slots = u.select("symbol", "slot").distinct().withColumnRenamed("slot", "at")
-    j = slots.join(held, "symbol").filter((F.col("slot") <= F.col("at")) & (F.col("until").isNull() | (F.col("until") > F.col("at"))))
-    return j.select("symbol", F.col("at").alias("slot"), "side", "level", "amount")
-
-
-def book_metrics(levels: DataFrame, depth: int = 5) -> DataFrame:
-    """Best prices, mid, spread in bps, microprice and the imbalance of the first levels, for slots with both sides and no cross."""
-    bid = F.reverse(F.sort_array(F.collect_list(F.when(F.col("side") == "bid", F.struct("level", "amount")))))
-    ask = F.sort_array(F.collect_list(F.when(F.col("side") == "ask", F.struct("level", "amount"))))
-    d = levels.groupBy("symbol", "slot").agg(bid.alias("b"), ask.alias("a")).filter((F.size("b") > 0) & (F.size("a") > 0))
-    total = lambda c: F.aggregate(F.slice(c, 1, depth), F.lit(0.0), lambda s, x: s + x["amount"])
-    b0, a0 = F.get("b", F.lit(0)), F.get("a", F.lit(0))
-    bp, ap, bq, aq = b0["level"], a0["level"], b0["amount"], a0["amount"]
-    mid = (bp + ap) / 2
-    d = d.filter(bp < ap)
-    return d.select(
-        "symbol", "slot", bp.alias("bid"), ap.alias("ask"), mid.alias("mid"), ((ap - bp) / mid * 1e4).alias("spread_bps"),
-        ((bp * aq + ap * bq) / (bq + aq)).alias("microprice"), ((total("b") - total("a")) / (total("b") + total("a"))).alias("imbalance"),
-    )
-
-
-def order_flow(levels: DataFrame, depths: tuple[int, ...] = (1, 5, 10), near: int = 5) -> DataFrame:
-    """Order-flow imbalance between the books of consecutive slots, rank by rank, and quantity replenished and depleted at the nearest prices.
-
-    A better price at a rank adds its quantity, an equal one the change, a worse one takes off the old quantity; a rank on one side
-    only counts in full; asks count negatively. A symbol's first book has nothing before it and gives no row.
-    """
-    key = F.struct(F.when(F.col("side") == "bid", F.col("level")).otherwise(-F.col("level")).alias("k"), F.col("amount").alias("q"))
-    most = max(*depths, near)
-    side = lambda s: F.slice(F.sort_array(F.collect_list(F.when(F.col("side") == s, key)), False), 1, most)
-    w = Window.partitionBy("symbol").orderBy("slot")
-    d = levels.groupBy("symbol", "slot").agg(side("bid").alias("b"), side("ask").alias("a"))
-    d = d.withColumns({"pb": F.lag("b").over(w), "pa": F.lag("a").over(w)}).filter("pb is not null")
-
-    def change(old: Column, new: Column) -> Column:
-        return (
-            F.when(old.isNull(), new["q"]).when(new.isNull(), -old["q"]).when(new["k"] > old["k"], new["q"])
-            .when(new["k"] == old["k"], new["q"] - old["q"]).otherwise(-old["q"])
-        )
-
-    def flow(old: str, new: str, n: int) -> Column:
-        return F.aggregate(F.zip_with(F.slice(old, 1, n), F.slice(new, 1, n), change), F.lit(0.0), lambda s, x: s + x)
-
-    def moved(old: str, new: str, sign: int) -> Column:
-        held = lambda a: F.map_from_entries(F.slice(a, 1, near))
-        prices = F.map_keys(F.map_zip_with(held(old), held(new), lambda k, x, y: x))
-        delta = lambda k: (F.coalesce(F.try_element_at(held(new), k), F.lit(0.0)) - F.coalesce(F.try_element_at(held(old), k), F.lit(0.0))) * sign
-        return F.aggregate(prices, F.lit(0.0), lambda s, k: s + F.greatest(delta(k), F.lit(0.0)))
-
-    out = [(flow("pb", "b", n) - flow("pa", "a", n)).alias(f"ofi{n}") for n in depths]
-    return d.select("symbol", "slot", *out, (moved("pb", "b", 1) + moved("pa", "a", 1)).alias("replenished"), (moved("pb", "b", -1) + moved("pa", "a", -1)).alias("depleted"))
-
-
 def valid_flow(grid: DataFrame, short: int, long: int) -> DataFrame:
     """Quantity imbalance over `short` and `long` slots, null unless that many slots exist and all are valid."""
     w = lambda n: Window.partitionBy("symbol").orderBy("t").rowsBetween(-(n - 1), 0)

@@ -27,22 +27,24 @@ def cost_excess(gross: Column, cost: float) -> Column:
     return F.signum(gross) * F.greatest(F.abs(gross) - cost, F.lit(0.0))
 
 
-def barrier_labels(bars: DataFrame, horizon: int, take_bps: float, stop_bps: float, cost_bps: float) -> DataFrame:
-    """First touch of a long trade's barriers within the next bars: reason, exit_bars, gross and net in bps, won.
+def barrier_labels(bars: DataFrame, horizon: int, take_bps: float, stop_bps: float, cost_bps: float, side: str = "LONG") -> DataFrame:
+    """First touch of a trade's barriers within the next bars: reason, exit_bars, gross and net in bps, won. A short trade's take lies below, its stop above.
 
     A bar that touches both stops first; without a touch the trade ends at the last close. Rows without a full horizon go.
     The path is an array of bounded length from a window frame, searched in place.
     """
     path = F.collect_list(F.struct("high", "low", "close")).over(rows(1, horizon))
     d = bars.withColumn("_p", path).filter(F.size("_p") == horizon)
-    up, down = F.col("close") * (1 + take_bps / 1e4), F.col("close") * (1 - stop_bps / 1e4)
+    sign = 1 if side == "LONG" else -1
+    above, below = (take_bps, stop_bps) if sign > 0 else (stop_bps, take_bps)
+    up, down = F.col("close") * (1 + above / 1e4), F.col("close") * (1 - below / 1e4)
     d = d.withColumns({"_up": up, "_down": down})
     hit = F.transform("_p", lambda b, k: F.when((b["high"] >= F.col("_up")) | (b["low"] <= F.col("_down")), k + 1))
     d = d.withColumn("exit_bars", F.coalesce(F.array_min(hit), F.lit(horizon)))
     bar = F.element_at("_p", F.col("exit_bars"))
     touched_up, touched_down = bar["high"] >= F.col("_up"), bar["low"] <= F.col("_down")
-    d = d.withColumn("reason", F.when(touched_up & touched_down, "AMBIGUOUS_BAR_STOP_FIRST").when(touched_down, "STOP").when(touched_up, "TAKE_PROFIT").otherwise("HORIZON"))
-    gross = F.when(F.col("reason") == "TAKE_PROFIT", take_bps).when(F.col("reason") == "HORIZON", (bar["close"] / F.col("close") - 1) * 1e4).otherwise(-stop_bps)
+    d = d.withColumn("reason", F.when(touched_up & touched_down, "AMBIGUOUS_BAR_STOP_FIRST").when(touched_down if sign > 0 else touched_up, "STOP").when(touched_up if sign > 0 else touched_down, "TAKE_PROFIT").otherwise("HORIZON"))
+    gross = F.when(F.col("reason") == "TAKE_PROFIT", take_bps).when(F.col("reason") == "HORIZON", (bar["close"] / F.col("close") - 1) * 1e4 * sign).otherwise(-stop_bps)
     d = d.withColumn("gross_bps", gross).withColumn("net_bps", F.col("gross_bps") - cost_bps)
     return d.withColumn("won", F.col("gross_bps") > 0).drop("_p", "_up", "_down")
 

@@ -58,6 +58,20 @@ def economics(trades: DataFrame, costs: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def full_economics(trades: DataFrame, costs: DataFrame, by: list[str], order: str = "t") -> DataFrame:
+    """economics with profit factor (null without losses), additive drawdown from the running peak (from 0) and total over drawdown (without one: infinite for a gain, else 0)."""
+    d = trades.crossJoin(F.broadcast(costs)).withColumn("net", F.col("gross") - F.col("cost_bps"))
+    w = Window.partitionBy(*by, "cost_bps").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_eq", F.sum("net").over(w)).withColumn("_dd", F.greatest(F.max("_eq").over(w), F.lit(0.0)) - F.col("_eq"))
+    loss = -F.sum(F.when(F.col("net") < 0, F.col("net")).otherwise(0.0))
+    out = d.groupBy(*by, "cost_bps").agg(
+        F.count("*").alias("trades"), F.sum("net").alias("total"), (F.sum(F.when(F.col("net") > 0, F.col("net")).otherwise(0.0)) / F.when(loss > 0, loss)).alias("profit_factor"), F.max("_dd").alias("drawdown"),
+        F.min("net").alias("worst"), F.count_if(F.col("side") == "LONG").alias("longs"), F.count_if(F.col("side") == "SHORT").alias("shorts"),
+    )
+    ratio = F.when(F.col("drawdown") > 0, F.col("total") / F.when(F.col("drawdown") > 0, F.col("drawdown"))).when(F.col("total") > 0, F.lit(float("inf"))).otherwise(0.0)
+    return out.withColumn("total_over_drawdown", ratio)
+
+
 def daily_statistics(trades: DataFrame, key: str, first_day: int, last_day: int) -> DataFrame:
     """Over every calendar day of the window, idle ones too: trades a day, active days, share of positive active days, median and mean net, worst five days in a row."""
     days = trades.select(key).distinct().withColumn("day", F.explode(F.sequence(F.lit(first_day).cast("long"), F.lit(last_day).cast("long"))))
@@ -159,16 +173,27 @@ def best_with_minimum(d: DataFrame, key: str, least: int, by: list[Column]) -> D
     return leaderboard(d.withColumn("_few", F.col("trades") < least), key, [F.col("_few"), *by], 1).drop("_few", "place")
 
 
-def local_calibration(d: DataFrame, validation: DataFrame, width: float = 0.05, least: int = 15, lo: float = 0.5, hi: float = 0.99) -> DataFrame:
-    """Accuracy of the validation rows whose confidence is within `width`, clipped; the raw value where there are too few.
+def local_calibration(d: DataFrame, validation: DataFrame, width: float = 0.05, least: int = 15, lo: float = 0.5, hi: float = 0.99, cells: int = 4096) -> DataFrame:
+    """Share of hits of the validation rows with confidence in [p - width, p + width], clipped; the raw value where there are too few.
 
-    Validation rows are first summed by distinct confidence, and stand in the cells of one width beside theirs, so the join is on cells.
+    Running sums in two levels, over cells of confidence and within a cell, looked up at both ends of the range: no pair of rows is ever formed.
     """
-    cell = F.floor(F.col("confidence") / width)
-    v = validation.groupBy(F.col("confidence").alias("c")).agg(F.count("*").alias("cn"), F.sum(F.col("hit").cast("long")).alias("ch"))
-    v = v.withColumn("cell", F.explode(F.sequence(F.floor(F.col("c") / width) - 1, F.floor(F.col("c") / width) + 1)))
-    q = d.select("confidence").distinct().withColumn("cell", cell)
-    near = q.join(v, "cell").filter(F.abs(F.col("confidence") - F.col("c")) <= width).groupBy("confidence").agg(F.sum("cn").alias("n"), F.sum("ch").alias("h"))
+    cell = lambda c: F.floor(c * cells)
+    v = validation.groupBy(F.col("confidence").alias("x")).agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("long")).alias("h")).withColumn("cell", cell(F.col("x")))
+    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # at most `cells` rows and those of confidences above 1
+    per = v.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("h").alias("h"))
+    asked = d.select("confidence").distinct()
+    ends = asked.select("confidence", F.lit(0).alias("end"), (F.col("confidence") - width).alias("x")).unionByName(asked.select("confidence", F.lit(1).alias("end"), (F.col("confidence") + width).alias("x")))
+    ends = ends.withColumn("cell", cell(F.col("x")))
+    # rows at the lower end itself count, so it comes before them, and the upper end after
+    both = v.select("cell", "x", F.lit(1).alias("_o"), "n", "h").unionByName(ends.select("cell", "x", (F.col("end") * 2).alias("_o"), "confidence", "end"), allowMissingColumns=True)
+    inside = Window.partitionBy("cell").orderBy("x", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    run = both.withColumns({c: F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in ("n", "h")}).filter("confidence is not null")
+    all_cells = per.unionByName(ends.select("cell").distinct(), allowMissingColumns=True).groupBy("cell").agg(F.sum("n").alias("n"), F.sum("h").alias("h"))
+    base = all_cells.select("cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("h").over(before), F.lit(0)).alias("h0"))
+    at = run.join(base, "cell").withColumns({"n": F.col("n") + F.col("n0"), "h": F.col("h") + F.col("h0")})
+    side = F.when(F.col("end") == 1, 1).otherwise(-1)
+    near = at.groupBy("confidence").agg(F.sum(side * F.col("n")).alias("n"), F.sum(side * F.col("h")).alias("h"))
     local = F.least(F.greatest(F.col("h") / F.when(F.col("n") > 0, F.col("n")), F.lit(lo)), F.lit(hi))
     return d.join(near, "confidence", "left").withColumn("calibrated", F.when(F.col("n") >= least, local).otherwise(F.col("confidence"))).drop("n", "h")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.features import finite
+
 
 def pool_folds(trades: DataFrame, by: list[str], folds: DataFrame) -> DataFrame:
     """Results pooled over all folds of a small list: total, trades, folds without trades, positive folds, largest share of gains in one fold (1 without gains)."""
@@ -65,13 +67,15 @@ def halves(rows: DataFrame, key: list[str], order: str, label_end: str) -> DataF
 
 
 def probabilistic_action(p_long: Column, p_short: Column, u_long: Column, u_short: Column, least: float) -> Column:
-    """A side needs its probability and a utility above zero; of two, the higher utility; equal utilities abstain. 1, -1 or 0."""
+    """A side needs its probability and a utility above zero; of two, the higher utility; equal utilities abstain. 1, -1 or 0. What is null or not finite abstains."""
+    p_long, p_short, u_long, u_short = (finite(c) for c in (p_long, p_short, u_long, u_short))
     l, s = (p_long >= least) & (u_long > 0), (p_short >= least) & (u_short > 0)  # noqa: E741
     return F.when(l & s, F.when(u_long > u_short, 1).when(u_short > u_long, -1).otherwise(0)).when(l, 1).when(s, -1).otherwise(0)
 
 
 def expected_value_side(p_long: Column, p_short: Column, ev_long: Column, ev_short: Column, least: float = 0.55) -> Column:
-    """A side trades at its probability with an expected value above zero; of two, the higher value, SHORT on ties."""
+    """A side trades at its probability with an expected value above zero; of two, the higher value, SHORT on ties. What is null or not finite does not trade."""
+    p_long, p_short, ev_long, ev_short = (finite(c) for c in (p_long, p_short, ev_long, ev_short))
     l, s = (p_long >= least) & (ev_long > 0), (p_short >= least) & (ev_short > 0)  # noqa: E741
     return F.when(l & s, F.when(ev_long > ev_short, "LONG").otherwise("SHORT")).when(l, "LONG").when(s, "SHORT").otherwise("NO_TRADE")
 

@@ -511,7 +511,7 @@ def ag13(spark, sf):
 
 
 @query("ag14_local_calibration", """select q.symbol, q.t, case when n >= 15 then least(greatest(h / n::double, 0.5), 0.99) else q.p end as calibrated from (select * from twoclass where t >= 1705276800) q left join (
-  select c.p, count(*) as n, sum(y) as h from (select distinct p from twoclass where t >= 1705276800) c join (select p as vp, y from twoclass where t < 1705276800) v on abs(c.p - vp) <= 0.05 group by c.p) x on x.p = q.p ## calibrated""", BINARY)
+  select c.p, count(*) as n, sum(y) as h from (select distinct p from twoclass where t >= 1705276800) c join (select p as vp, y from twoclass where t < 1705276800) v on vp between c.p - 0.05::double and c.p + 0.05::double group by c.p) x on x.p = q.p ## calibrated""", BINARY)
 def ag14(spark, sf):
     d = binary(spark, sf).withColumnsRenamed({"p": "confidence", "y": "hit"})
     return metrics.local_calibration(d.filter("t >= 1705276800"), d.filter("t < 1705276800")).select("symbol", "t", "calibrated")
@@ -574,46 +574,13 @@ def u2(spark, sf):
     return joins.missing_and_extra(b.filter("symbol = 'click'"), b.filter("symbol = 'view'"), ["t"])
 
 
-@query("r1_rolling_flow", f"""select symbol, t, price, case when bq + sq > 0 then (bq - sq) / (bq + sq) else 0.0 end as qty_imbalance, case when bn + sn > 0 then (bn - sn) / (bn + sn)::double else 0.0 end as count_imbalance, ln(1 + bq + sq) as log_qty, ln(1 + bn + sn) as log_count,
-  coalesce(case when bq > 0 and sq > 0 then ((bv / bq) / (sv / sq) - 1) * 1e4 end, 0.0) as vwap_gap_bps from (select symbol, t, last(price ignore nulls) {over(ALL, 0)} as price, sum(coalesce(bq, 0)) {over(-2, 0)} as bq, sum(coalesce(sq, 0)) {over(-2, 0)} as sq,
-  sum(coalesce(bn, 0)) {over(-2, 0)} as bn, sum(coalesce(sn, 0)) {over(-2, 0)} as sn, sum(coalesce(bv, 0)) {over(-2, 0)} as bv, sum(coalesce(sv, 0)) {over(-2, 0)} as sv from
-  (select g.symbol, g.t, price, bq, sq, bn, sn, bv, sv from (select symbol, unnest(generate_series(min(us // 900000000 * 900), max(us // 900000000 * 900), 900)) as t from ticks group by symbol) g left join
-  (select symbol, us // 900000000 * 900 as t, last(price order by us, tick_id) as price, sum(case when not buyer_maker then qty else 0.0 end) as bq, sum(case when buyer_maker then qty else 0.0 end) as sq, count(*) filter (where not buyer_maker) as bn, count(*) filter (where buyer_maker) as sn,
-  sum(case when not buyer_maker then qty * price else 0.0 end) as bv, sum(case when buyer_maker then qty * price else 0.0 end) as sv from ticks group by 1, 2) b on b.symbol = g.symbol and b.t = g.t)) ## price, qty_imbalance, count_imbalance, log_qty, log_count, vwap_gap_bps""", TICKS_SQL)
-def r1(spark, sf):
-    return grids.rolling_flow(grids.filled_grid(grids.trade_buckets(ticks(spark, sf), 900), 900), 3)
-
-
 @query("r8_trade_bins", """select symbol, slot_us, sum(case when side = 'buy' then qty else 0.0 end) as buy_qty, sum(case when side = 'buy' then 0.0 else qty end) as sell_qty, count(*) filter (where side = 'buy') as buys, count(*) filter (where side <> 'buy') as sells from (
   select *, cast(ceil(us / 250000.0) as bigint) * 250000 + case when us % 250000 = 0 and row_number() over (partition by symbol, us order by tick_id) > 1 then 250000 else 0 end as slot_us from ticks) group by 1, 2 ## buy_qty, sell_qty""", TICKS_SQL)
 def r8(spark, sf):
     return grids.trade_bins(ticks(spark, sf), 250_000)
 
 
-def updates(spark, sf):
-    side = F.when(F.col("side") == "buy", "bid").otherwise("ask")
-    level = F.when(F.col("side") == "buy", F.floor(F.col("price") / 25)).otherwise(F.floor(F.col("price") / 25) + 30).cast("double")
-    return ticks(spark, sf).select("symbol", "us", F.col("tick_id").alias("seq"), side.alias("side"), level.alias("level"), F.greatest(F.col("qty") - 20, F.lit(0.0)).alias("amount"))
-
-
 DAY_US = 86_400_000_000
-UPDATES_SQL = f"""{TICKS_SQL}, updates as (select symbol, us, tick_id as seq, case when side = 'buy' then 'bid' else 'ask' end as side, case when side = 'buy' then floor(price / 25) else floor(price / 25) + 30 end as level, greatest(qty - 20, 0.0) as amount,
-  cast(ceil(us / {DAY_US}.0) as bigint) * {DAY_US} as slot from ticks),
-levels as (select symbol, asat as slot, side, level, amount from (select s.symbol, s.slot as asat, u.side, u.level, u.amount, row_number() over (partition by s.symbol, s.slot, u.side, u.level order by u.us desc, u.seq desc) as k
-  from (select distinct symbol, slot from updates) s join updates u on u.symbol = s.symbol and u.slot <= s.slot) where k = 1 and amount > 0)"""
-
-
-@query("r5_book_levels", "select symbol, slot, side, level, amount from levels ## level, amount", UPDATES_SQL)
-def r5(spark, sf):
-    return grids.levels_at(updates(spark, sf), DAY_US)
-
-
-@query("r6_book_metrics", """select b.symbol, b.slot, bp as bid, ap as ask, (bp + ap) / 2 as mid, (ap - bp) / ((bp + ap) / 2) * 1e4 as spread_bps, (bp * aq + ap * bq) / (bq + aq) as microprice, (bt - att) / (bt + att) as imbalance from
-  (select symbol, slot, max(level) as bp, arg_max(amount, level) as bq, sum(case when k <= 5 then amount else 0.0 end) as bt from (select *, row_number() over (partition by symbol, slot order by level desc) as k from levels where side = 'bid') group by 1, 2) b join
-  (select symbol, slot, min(level) as ap, arg_min(amount, level) as aq, sum(case when k <= 5 then amount else 0.0 end) as att from (select *, row_number() over (partition by symbol, slot order by level) as k from levels where side = 'ask') group by 1, 2) a
-  on a.symbol = b.symbol and a.slot = b.slot where bp < ap ## bid, ask, mid, spread_bps, microprice, imbalance""", UPDATES_SQL)
-def r6(spark, sf):
-    return grids.book_metrics(grids.levels_at(updates(spark, sf), DAY_US))
 
 
 @query("s6_ledger_summary", "select series, count(*) as n, min(known) as first_known, max(known) as last_known, count(distinct observed) as months from ledger group by series", LEDGER_SQL)
@@ -626,7 +593,9 @@ def s5(spark, sf):
     from ..sources.tables import upsert
 
     b = hourly(spark, sf)
-    return upsert(b.select("symbol", "t", "close"), b.filter("n % 2 = 0").select("symbol", "t", (F.col("close") * 2).alias("close")), ["symbol", "t"])
+    new = b.filter("n % 2 = 0").select("symbol", "t", "close", F.explode(F.array(*map(F.lit, (5, 2, 4)))).alias("k"))
+    new = new.select("symbol", "t", (F.col("close") * F.col("k")).alias("close"), (-F.col("k")).alias("seq"))  # three writes of each key
+    return upsert(b.select("symbol", "t", "close"), new, ["symbol", "t"], "seq")
 
 
 @query("s2_columnar_payload", "select symbol, t, open, high, low, close from bars where n % 3 <> 0 ## open, high, low, close")
@@ -641,8 +610,12 @@ def s2(spark, sf):
     return parse_columnar(day.select("symbol", F.to_json(F.struct(*pack)).alias("payload")), "payload").select("symbol", F.col("t"), "open", "high", "low", "close")
 
 
-@query("s18_fingerprint", None)
+@query("s18_fingerprint", """select count(*) as n, sum(cast(h as decimal(38,0)))::varchar as total, bit_xor(h) as mixed from (select cast('0x' || substr(md5(concat_ws('|', o_orderkey::varchar, o_custkey::varchar, o_orderstatus,
+  cast(round(o_totalprice * 100) as bigint)::varchar, date_diff('day', date '1970-01-01', cast(o_orderdate as date))::varchar, o_orderpriority)), 1, 15) as bigint) as h from orders)""")
 def s18(spark, sf):
     from ..sources.tables import fingerprint
 
-    return fingerprint(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), buckets=64)
+    text = lambda c: F.col(c).cast("string")
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date"))
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    return fingerprint(table(spark, sf, "orders"), [text("o_orderkey"), text("o_custkey"), text("o_orderstatus"), cents.cast("string"), day.cast("string"), text("o_orderpriority")])

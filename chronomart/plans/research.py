@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import features as fx
 from ..operators import audits, grids, joins, labels, metrics, queue, selection, venues
 from ..sources.adapters import HOUR, LEDGER_SQL, TICKS_SQL, bars, hourly, ledger, ticks
-from .market import ALL, BARS, FLAGGED, LAGGED, NUMBERED, PEER, PRED, SIGNALS, UPDATES_SQL, WEEKDAY_SQL, DAY_US, W, binary, flagged, over, preds, query, trades, updates
+from .market import ALL, BARS, FLAGGED, LAGGED, NUMBERED, PEER, PRED, SIGNALS, WEEKDAY_SQL, DAY_US, W, binary, flagged, over, preds, query, trades
 
 BY_TICK = "partition by symbol order by us, tick_id"
 
@@ -301,21 +301,6 @@ def r4(spark, sf):
     return audits.sequence_state(depth_feed(spark, sf)).select("symbol", "pos", "segment", "state")
 
 
-OFI = f"""{UPDATES_SQL}, ranked as (select *, row_number() over (partition by symbol, slot, side order by case when side = 'bid' then -level else level end) as k, dense_rank() over (partition by symbol order by slot) as s from levels),
-pairs as (select symbol, s, slot from (select distinct symbol, s, slot from ranked) where s > 1),
-flows as (select p.symbol, p.slot, coalesce(n.k, o.k) as k, case when coalesce(n.side, o.side) = 'bid' then 1 else -1 end * case when o.k is null then n.amount when n.k is null then -o.amount
-  when n.level = o.level then n.amount - o.amount when (n.level > o.level) = (n.side = 'bid') then n.amount else -o.amount end as f from pairs p join (select symbol, side, k, s + 1 as s, level, amount from ranked where k <= 10 union all select symbol, side, k, s, null, null from ranked where k <= 10) i on i.symbol = p.symbol and i.s = p.s
-  left join ranked n on n.symbol = p.symbol and n.s = p.s and n.side = i.side and n.k = i.k left join ranked o on o.symbol = p.symbol and o.s = p.s - 1 and o.side = i.side and o.k = i.k where i.level is not null or o.k is null),
-moves as (select p.symbol, p.slot, sum(case when d > 0 then d else 0.0 end) as up, sum(case when d < 0 then -d else 0.0 end) as down from pairs p join (select symbol, s, side, level, sum(d) as d from
-  (select symbol, s, side, level, amount as d from ranked where k <= 5 union all select symbol, s + 1, side, level, -amount from ranked where k <= 5) group by 1, 2, 3, 4) m on m.symbol = p.symbol and m.s = p.s group by 1, 2)"""
-
-
-@query("r7_order_flow", """select symbol, slot, f1 as ofi1, f5 as ofi5, f10 as ofi10, up as replenished, down as depleted from (select symbol, slot, sum(case when k <= 1 then f else 0.0 end) as f1, sum(case when k <= 5 then f else 0.0 end) as f5, sum(f) as f10 from flows group by 1, 2) join moves using (symbol, slot)
-  ## ofi1, ofi5, ofi10, replenished, depleted""", OFI)
-def r7(spark, sf):
-    return grids.order_flow(grids.levels_at(updates(spark, sf), DAY_US))
-
-
 @query("r9_valid_flow", f"""select symbol, t, case when count(*) {over(-1, 0)} = 2 and min(v) {over(-1, 0)} = 1 then case when sum(b + s) {over(-1, 0)} > 0 then sum(b - s) {over(-1, 0)} / sum(b + s) {over(-1, 0)} else 0.0 end end as short_imbalance,
   case when count(*) {over(-3, 0)} = 4 and min(v) {over(-3, 0)} = 1 then case when sum(b + s) {over(-3, 0)} > 0 then sum(b - s) {over(-3, 0)} / sum(b + s) {over(-3, 0)} else 0.0 end end as long_imbalance from (
   select g.symbol, g.t, coalesce(b, 0.0) as b, coalesce(s, 0.0) as s, case when b is null then 0 else 1 end as v from (select symbol, unnest(generate_series(min(us // 3600000000 * 3600), max(us // 3600000000 * 3600), 3600)) as t from ticks group by symbol) g left join

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 QUOTE = "struct<timestamp:array<bigint>,open:array<double>,high:array<double>,low:array<double>,close:array<double>>"
@@ -27,10 +27,16 @@ def parse_rows(payloads: DataFrame, column: str) -> DataFrame:
     return rows.select(*keep, F.expr("try_cast(_r.datetime as timestamp_ntz)").alias("datetime"), *number).dropna(subset=["datetime", "open", "high", "low", "close"])
 
 
-def upsert(base: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Last write wins: new rows replace base rows of the same key, and later ones of new the earlier."""
-    both = base.withColumn("_s", F.lit(0)).unionByName(new.withColumn("_s", F.lit(1)))
-    return both.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_s")))).filter("_k = 1").drop("_s", "_k")
+def upsert(base: DataFrame, new: DataFrame, key: list[str], sequence: str) -> DataFrame:
+    """Last write wins: new rows replace base rows of the same key, and of new rows of one key the one with the highest sequence does.
+
+    sequence: a column of new alone that tells in which order its rows were written; ties go to the largest row by its columns. Keys compare null-safe.
+    """
+    row = F.struct(*[c for c in base.columns if c not in key])
+    of = lambda d, side, at: d.select(*key, F.struct(F.lit(side).alias("side"), at.alias("at"), row.alias("row")).alias("_r"))
+    both = of(base, 0, F.lit(None).cast(new.schema[sequence].dataType)).unionByName(of(new, 1, F.col(sequence)))
+    last = both.groupBy(*key).agg(F.max("_r").alias("_r"))
+    return last.select(*key, "_r.row.*").select(*base.columns)
 
 
 def pending_chunks(spark, first_day: int, last_day: int, days: int, done: DataFrame) -> DataFrame:
@@ -39,9 +45,11 @@ def pending_chunks(spark, first_day: int, last_day: int, days: int, done: DataFr
     return chunks.join(done, ["start", "end"], "left_anti")
 
 
-def fingerprint(df: DataFrame, buckets: int = 1024) -> DataFrame:
-    """An order-free digest of rows: sorted row digests are joined within buckets, bucket digests once more (at most `buckets` of them)."""
-    row = F.sha2(F.to_json(F.struct(*sorted(df.columns))).cast("binary"), 256)
-    d = df.select(row.alias("h")).withColumn("b", F.pmod(F.xxhash64("h"), F.lit(buckets)))
-    per = d.groupBy("b").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "").cast("binary"), 256).alias("h"), F.count("*").alias("n"))
-    return per.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "").cast("binary"), 256).alias("digest"), F.sum("n").alias("n"))
+def fingerprint(df: DataFrame, text: list[Column]) -> DataFrame:
+    """An order-free digest of rows by the given texts of their columns: their number, and sum and exclusive or of 60 bits of each row's MD5.
+
+    Both are added up in any order and by any number of tasks; repeated rows count in the number and the sum. A null is an empty text.
+    """
+    part = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in text]).cast("binary")), 1, 15), 16, 10).cast("long")
+    d = df.select(part.alias("h"))
+    return d.agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("total"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("mixed"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from chronomart.functions import features as fx
 from chronomart.operators import joins, labels, metrics
 from chronomart.operators import quality as qa
-from chronomart.plans import feeds, market, registry, research  # noqa: F401
+from chronomart.plans import feeds, market, protocols, registry, research  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
