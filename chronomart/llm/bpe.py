@@ -14,7 +14,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ._shared import as_doc_text, ship, ship_file, slices, unpack, written
 from .lexicon import compile_lexicon, look_up
@@ -376,3 +376,18 @@ def round_trip(docs: DataFrame, tokenizer_path: str, lexicon_words: int = 30_000
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.mapInArrow(both, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def count_tokens(rows: DataFrame, tokenizer_path: str, column: str = "text", out: str = "tokens") -> DataFrame:
+    """rows with the number of ids of a text column; null and empty texts have none. A column that out names already is replaced; an empty table stays empty."""
+    tokenizer = ship_file(rows.sparkSession, tokenizer_path)
+    rows = rows.select(*[c for c in rows.columns if c.lower() != out.lower()])
+    at = rows.columns.index(column)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = _encoder(tokenizer, None)
+        for b in slices(batches):
+            _, n = e.batch([x or "" for x in b.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n)], [*b.schema.names, out])
+
+    return rows.mapInArrow(count, StructType([*rows.schema, StructField(out, LongType())]))

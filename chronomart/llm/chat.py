@@ -8,10 +8,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import slices
+from .mixing import word_count
 
 OPEN, MIDDLE, CLOSE = "<s>[", "]\n", "</s>"
 #: Strings that control a chat model; inside texts each becomes a backslash and its letter.
@@ -20,6 +21,8 @@ CODE = {s: chr(97 + k) for k, s in enumerate(CONTROL)}
 BACK = {v: k for k, v in CODE.items()} | {"\\": "\\", "]": "]\n"}
 FIND = re.compile("|".join(map(re.escape, ["\\", *CONTROL])))
 UNDO = re.compile(r"\\(.)", re.S)
+#: Tokens that a turn's markers cost.
+MARKERS = 4
 WINDOWS = "conv_id long, window int, repeated int, turns int, tokens long, text string, loss array<struct<start:int,end:int>>"
 
 
@@ -35,11 +38,6 @@ def unescape(text: str) -> str:
     return UNDO.sub(lambda m: BACK[m.group(1)], text)
 
 
-def turn_tokens(text: str) -> int:
-    """The budget counts words, and four for a turn's markers."""
-    return len(text.split()) + 4
-
-
 @dataclass
 class _Window:
     """Turns of one window as (role, text, tokens, repeated)."""
@@ -65,12 +63,13 @@ class _Window:
 
 
 def format_chats(rows: DataFrame, *, budget: int = 768, history: int = 192) -> DataFrame:
-    """Format conversations (conv_id, turn, role, text) as windows of whole turns of at most `budget` tokens.
+    """Format conversations (conv_id, turn, role, text and, if given, tokens) as windows of whole turns of at most `budget` tokens.
 
-    Running sums of turn tokens tell where a window is full. The next one begins with the system turn (if the conversation
-    began with one), then repeats as many of the last turns as fit in `history` tokens, then goes on. Repeated turns
-    are in the text but not under the loss mask, so each assistant text is a target once. A turn that alone exceeds the
-    budget gets a window with nothing repeated but the system turn.
+    A turn costs its tokens (its words, where no column says) and four for its markers. Prefix sums of these costs, taken by Spark, tell
+    where a window is full. The next one begins with the system turn (if the conversation began with one), then repeats as many of the
+    last turns as fit in `history` tokens, then goes on. Repeated turns are in the text but not under the loss mask, so each
+    assistant text is a target once. Only a turn that is too long for what the system turn leaves of the budget makes a window that
+    exceeds it: that window holds the system turn and this turn alone, since turns are never cut.
 
     Rows are dealt by conversation and sorted, and then stream through a task that holds one window at a time, so a
     conversation of any length takes bounded memory.
@@ -83,21 +82,23 @@ def format_chats(rows: DataFrame, *, budget: int = 768, history: int = 192) -> D
     d = rows.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role"), F.lit("user")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
+        ((F.coalesce(F.col("tokens"), F.lit(0)) if "tokens" in rows.columns else word_count(F.col("text"))) + MARKERS).cast("long").alias("n"),
     )
-    d = d.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    order = ("turn", "role", "text")
+    run = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.repartition("conv_id").withColumn("end", F.sum("n").over(run)).sortWithinPartitions("conv_id", *order)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = object()
-        conv, number, window, system, tail, out, held = none, 0, _Window(), None, [], [], 0
+        conv, number, window, system, tail, base, out, held = none, 0, _Window(), None, [], 0, [], 0
         schema = pa.schema([("conv_id", pa.int64()), ("window", pa.int32()), ("repeated", pa.int32()), ("turns", pa.int32()), ("tokens", pa.int64()), ("text", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
         for b in slices(batches, 500):
-            for c, role, text in zip(*(b.column(x).to_pylist() for x in ("conv_id", "role", "text")), strict=True):
+            for c, role, text, n, end in zip(*(b.column(x).to_pylist() for x in ("conv_id", "role", "text", "n", "end")), strict=True):
                 if conv is none or c != conv:
                     if window.turns:
                         out.append(window.row(conv, number))
-                    conv, number, window, system, tail = c, 0, _Window(), None, []
-                n = turn_tokens(text)
-                if window.turns and window.tokens + n > budget:
+                    conv, number, window, system, tail, base = c, 0, _Window(), None, [], 0
+                if window.turns and end - base > budget:
                     out.append(window.row(conv, number))
                     number, window = number + 1, _Window()
                     if system:
@@ -111,6 +112,7 @@ def format_chats(rows: DataFrame, *, budget: int = 768, history: int = 192) -> D
                         again.append(t)
                     for t in reversed(again):
                         window.add(*t, True)
+                    base = end - n - window.tokens  # from here on a prefix sum less base is what the window would hold
                 if role == "system" and system is None and not tail and not window.turns:
                     system = (role, text, n)
                 else:

@@ -43,6 +43,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
     return d.withColumn("target", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share)).select("no_source", "source", "source_size", "weight", "target")
 
 
+def _shuffle_key() -> Column:
+    """The MD5 of the id, or of the text's where there is no id, so that documents without ids spread like others."""
+    text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), text)).cast("binary"))
+
+
 def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
     """Take documents, some of them up to `most` times, so that each source's words come near its target.
 
@@ -54,13 +60,13 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), most:
     Prefix sums are taken in two levels (hash buckets, then rows of a bucket), and the cut is found on a grid of
     summed finish times, so no task orders a whole source or the whole queue.
 
-    Null texts have size 0 and are taken zero words; a null source is a source of its own; null ids share one place in
-    the shuffle; repeated rows are separate documents; ties in finish time go by source, shuffle, id and round; other
+    Null texts have size 0 and are taken zero words; a null source is a source of its own; documents
+    without ids are shuffled by their texts; repeated rows are separate documents; ties in finish time go by source, shuffle, id and round; other
     columns are left out; an empty table gives an empty table.
 
-    Returns doc_id, source, size, source_size long, target double, copies int, taken long.
+    Returns doc_id, source, size, source_size long, target double, copies int, taken long, h string (the shuffle's key).
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    key = _shuffle_key()
     d = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").isNull().alias("no_source"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), word_count(F.col("text")).alias("size"), key.alias("h"),
@@ -121,12 +127,18 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), most:
     out = d.withColumn("copies", n.cast("int"))
     return out.select(
         "doc_id", F.when(~F.col("no_source"), F.col("source")).alias("source"), "size", "source_size", "target", "copies",
-        (F.col("copies") * F.col("size")).cast("long").alias("taken"),
+        (F.col("copies") * F.col("size")).cast("long").alias("taken"), "h",
     )
 
 
 def apply_mix(docs: DataFrame, mix: DataFrame) -> DataFrame:
-    """docs, each row as often as the mix takes a row with its id; documents that share an id take turns alike."""
-    copies = mix.groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).drop(copies["doc_id"])
-    return joined.withColumn("_round", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_round")
+    """docs, each row as often as the mix takes it.
+
+    A row finds its document by id (or, without one, by text), source and size; documents alike in all these come as often as the one of
+    them that is taken most. Rows that the mix takes no words of go; an empty table stays empty; columns of any other name pass through.
+    """
+    copies = mix.groupBy("h", "doc_id", "source", "size").agg(F.max("copies").alias("_copies")).filter("_copies > 0").toDF("_h", "_id", "_source", "_size", "_copies")
+    own = docs.withColumns({"_k": _shuffle_key(), "_n": word_count(F.col("text"))})
+    match = (F.col("_k") == F.col("_h")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    joined = own.join(copies, match).withColumn("_round", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return joined.select(*docs.columns)

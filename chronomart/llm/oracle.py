@@ -5,7 +5,7 @@ WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 SQL = {
     "op3_mix_sources": f"""
 with d as (
-  select doc_id, source, {WORDS}::bigint as size, md5(coalesce(cast(doc_id as varchar), '')) as h from documents
+  select doc_id, source, {WORDS}::bigint as size, md5(coalesce(cast(doc_id as varchar), 'null:' || md5(coalesce(text, '')))) as h from documents
 ), s as (
   select source, (source is null) as no_source, sum(size)::bigint as source_size from d group by source
 ), w as (
@@ -38,15 +38,15 @@ from q left join n on q.doc_id = n.doc_id
     "op4_token_rollup": r"""
 with l as (select doc_id, min(quality) as quality, max(toxic) as toxic from labels group by doc_id),
 d as (
-  select source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as words,
+  select documents.doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as words,
     len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')) as pieces,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]{2,}')) as long_words, quality, toxic
   from documents left join l on documents.doc_id = l.doc_id
 )
-select source, lang, tokenizer, count(*)::bigint as docs, sum(tokens)::bigint as tokens from (
-  select source, lang, 'words' as tokenizer, case when quality = 0 then long_words else words end as tokens from d where coalesce(toxic, 0) <> 1
-  union all select source, lang, 'pieces', pieces from d where coalesce(toxic, 0) <> 1
-) group by source, lang, tokenizer
+select source, lang, tokenizer, count(*)::bigint as docs, sum(tokens)::bigint as tokens from (select doc_id, source, lang, tokenizer, sum(tokens) as tokens from (
+  select doc_id, source, lang, 'words' as tokenizer, case when quality = 0 then long_words else words end as tokens from d where coalesce(toxic, 0) <> 1
+  union all select doc_id, source, lang, 'pieces', pieces from d where coalesce(toxic, 0) <> 1
+) group by 1, 2, 3, 4) group by source, lang, tokenizer
 """,
     "op5_pivot_top_k": """
 with v as (

@@ -44,7 +44,7 @@ FOR = {
     "person": ("name", "dear", "by", "author", "contact", "signed"),
 }
 AGAINST = ("version", "isbn", "issue", "chapter", "figure", "section", "release", "page ", "no. ")
-LABELERS = 5
+LABELERS, FEATURES = 5, 5
 
 
 def luhn(digits: str) -> bool:
@@ -137,26 +137,35 @@ def votes(t: str, kind: int, start: int, end: int, base: bool) -> list[int]:
     return [pattern, gazetteer, context, against, shape]
 
 
+def span_features(t: str, start: int, end: int) -> list[int]:
+    """What a span looks like and stands beside, in three classes each: length, share of digits, variety of characters, the characters before and after it."""
+    s = t[start:end]
+    digits, variety = sum(c.isdigit() for c in s) / len(s), len(set(s)) / len(s)
+    side = lambda c: 2 if not c or c.isspace() else 0 if c.isalnum() else 1
+    return [
+        0 if len(s) < 8 else 1 if len(s) < 16 else 2, 0 if digits == 0 else 1 if digits < 0.6 else 2, 0 if variety < 0.3 else 1 if variety < 0.6 else 2,
+        side(t[start - 1 : start]), side(t[end : end + 1]),
+    ]
+
+
 def candidates(t: str) -> list[tuple[int, int, int, bool, int]]:
-    """(kind, start, end, base, code) by kind and start; code packs the kind and all votes. Others never overlap base spans of their kind."""
+    """(kind, start, end, base, code) by kind and start; code packs the kind, all votes and the span's features. Others never overlap base spans of their kind."""
     found = [(k, a, b, True) for k, a, b in base_spans(t)]
     own = {(k, a, b) for k, a, b, _ in found}
     found += [(k, a, b, False) for k, a, b in more_spans(t) if (k, a, b) not in own]
     out = []
     for k, a, b, base in sorted(found):
         code = k
-        for v in votes(t, k, a, b, base):
+        for v in [*votes(t, k, a, b, base), *span_features(t, a, b)]:
             code = code * 3 + v
         out.append((k, a, b, base, code))
     return out
 
 
-def unpack_code(code: int) -> tuple[int, list[int]]:
-    said = []
-    for _ in range(LABELERS):
-        code, v = divmod(code, 3)
-        said.append(v)
-    return code, said[::-1]
+def unpack_codes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(kinds, votes, features) of packed codes."""
+    parts = codes[:, None] // 3 ** np.arange(LABELERS + FEATURES - 1, -1, -1)
+    return codes // 3 ** (LABELERS + FEATURES), parts[:, :LABELERS] % 3, parts[:, LABELERS:] % 3
 
 
 def find_candidates(docs: DataFrame) -> DataFrame:
@@ -176,61 +185,66 @@ def find_candidates(docs: DataFrame) -> DataFrame:
 
 
 def fit_labelers(counts: dict[int, int], rounds: int = 30) -> tuple[np.ndarray, dict[int, float]]:
-    """EM over the counts of vote patterns: (each labeler's reliability, each pattern's probability of personal data).
+    """EM over the counts of codes: (each labeler's reliability by kind, each code's probability of personal data).
 
-    Reliability is the chance that a vote agrees with the truth, one a labeler, smoothed; the share of true spans is
-    one a kind. Labelers that say nothing do not count.
+    Reliability is the chance that a vote on a kind agrees with the truth, smoothed towards the labeler's over all kinds; the share of true
+    spans is one a kind. Labelers that say nothing do not count.
     """
-    codes = sorted(counts)
-    if not codes:
-        return np.full(LABELERS, 0.8), {}
-    kind, said = zip(*map(unpack_code, codes), strict=True)
-    kind, said, n = np.array(kind), np.array(said), np.array([counts[c] for c in codes], float)
+    codes = np.array(sorted(counts), np.int64)
+    if not len(codes):
+        return np.full((len(KINDS), LABELERS), 0.8), {}
+    kind, said, _ = unpack_codes(codes)
+    n, of = np.array([counts[int(c)] for c in codes], float), np.arange(len(KINDS))[:, None] == kind[None]
     up, down = (said == 2).astype(float), (said == 0).astype(float)
     p = np.clip(0.5 + 0.2 * (up - down).sum(1), 0.05, 0.95)
-    trust = np.full(LABELERS, 0.8)
+    trust = np.full((len(KINDS), LABELERS), 0.8)
     for _ in range(rounds):
-        right = (n * p) @ up + (n * (1 - p)) @ down
-        trust = np.clip((right + 8) / (n @ (up + down) + 10), 0.55, 0.98)
-        prior = np.array([((n * p)[kind == k].sum() + 2) / (n[kind == k].sum() + 4) for k in range(len(KINDS))])
-        z = np.log(prior / (1 - prior))[kind] + (up - down) @ np.log(trust / (1 - trust))
+        right, spoke = (n * p)[:, None] * up + (n * (1 - p))[:, None] * down, n[:, None] * (up + down)
+        whole = (right.sum(0) + 8) / (spoke.sum(0) + 10)
+        trust = np.clip((of @ right + 10 * whole) / (of @ spoke + 10), 0.55, 0.98)
+        prior = (of @ (n * p) + 2) / (of @ n + 4)
+        z = np.log(prior / (1 - prior))[kind] + ((up - down) * np.log(trust / (1 - trust))[kind]).sum(1)
         p = 1 / (1 + np.exp(-z))
-    return trust, dict(zip(codes, p.tolist(), strict=True))
-
-
-def _inputs(code: int) -> np.ndarray:
-    kind, said = unpack_code(code)
-    x = np.zeros(1 + len(KINDS) + 2 * LABELERS)
-    x[0], x[1 + kind] = 1, 1
-    for k, v in enumerate(said):
-        if v != 1:
-            x[1 + len(KINDS) + 2 * k + v // 2] = 1
-    return x
-
-
-def fit_classifier(counts: dict[int, int], soft: dict[int, float], steps: int = 60, ridge: float = 1e-2) -> np.ndarray:
-    """Logistic weights over kind and votes, fitted to EM's soft labels by Newton steps, each pattern weighted by its count."""
-    codes = sorted(soft)
-    if not codes:
-        return np.zeros(1 + len(KINDS) + 2 * LABELERS)
-    x, y = np.stack([_inputs(c) for c in codes]), np.array([soft[c] for c in codes])
-    n = np.array([counts[c] for c in codes], float)
-    n /= n.sum()
+    return trust, dict(zip(codes.tolist(), p.tolist(), strict=True))
+
+
+def _inputs(codes: np.ndarray) -> np.ndarray:
+    """What the span classifier sees: the kind; within the kind each feature of the span and what stands near it (the votes of both context labelers)."""
+    kind, said, features = unpack_codes(codes)
+    seen = np.concatenate([features, said[:, 2:4]], axis=1)
+    width = 1 + 3 * seen.shape[1]
+    own = np.zeros((len(codes), width))
+    own[:, 0] = 1
+    for k in range(seen.shape[1]):
+        own[np.arange(len(codes)), 1 + 3 * k + seen[:, k]] = 1
+    x = np.zeros((len(codes), len(KINDS), width))
+    x[np.arange(len(codes)), kind] = own
+    return np.concatenate([own, x.reshape(len(codes), len(KINDS) * width)], axis=1)
+
+
+def fit_classifier(counts: dict[int, int], soft: dict[int, float], steps: int = 60, ridge: float = 1e-3) -> np.ndarray:
+    """Logistic weights over spans and their surroundings, fitted to EM's soft labels by Newton steps, each code weighted by its count."""
+    codes = np.array(sorted(soft), np.int64)
+    x, y = _inputs(codes), np.array([soft[int(c)] for c in codes])
     w = np.zeros(x.shape[1])
+    if not len(codes):
+        return w
+    n = np.array([counts[int(c)] for c in codes], float)
+    n /= n.sum()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(h, x.T @ (n * (p - y)) + ridge * w)
-        w -= step
+        w -= step / max(1.0, np.abs(step).max() / 2)
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
 def fit(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(labeler reliabilities, classifier weights) from the candidates of all documents.
+    """(labeler reliabilities by kind, classifier weights) from the candidates of all documents.
 
-    Only counts by vote pattern come to the driver: at most 3 ** 5 a kind, however many documents there are.
+    Only counts by code come to the driver: at most 3 ** 10 a kind, however many documents there are.
     """
     rows = found.select(F.explode("spans").alias("s")).groupBy("s.code").count().collect()
     counts = {r[0]: r[1] for r in rows}
@@ -238,37 +252,52 @@ def fit(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return trust, fit_classifier(counts, soft)
 
 
-def keeps(weights: np.ndarray, threshold: float = 0.5) -> set[int]:
-    """The vote patterns that the classifier takes for personal data, among all there can be."""
-    every = range(len(KINDS) * 3**LABELERS)
-    x = np.stack([_inputs(c) for c in every])
-    return set(np.flatnonzero(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))) >= threshold).tolist())
+def keeps(weights: np.ndarray, codes: np.ndarray, threshold: float = 0.5) -> np.ndarray:
+    """Whether the classifier takes spans of these codes for personal data."""
+    own, of = np.unique(codes, return_inverse=True)
+    return (1 / (1 + np.exp(-np.clip(_inputs(own) @ weights, -30, 30))) >= threshold)[of]
 
 
 def classify(found: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> DataFrame:
-    """found, with only the spans that are base ones or that the classifier takes for personal data."""
-    good = F.array(*[F.lit(c) for c in sorted(keeps(weights, threshold)) if c]) if len(keeps(weights, threshold)) else F.array().cast("array<int>")
-    return found.withColumn("spans", F.filter("spans", lambda s: s["base"] | F.array_contains(good, s["code"])))
+    """found (doc_id, spans), with only the spans that are base ones or that the classifier takes for personal data."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            lists = b.column("spans")
+            spans = lists.flatten()
+            codes = spans.field("code").to_numpy(zero_copy_only=False).astype(np.int64)
+            ok = spans.field("base").to_numpy(zero_copy_only=False).astype(bool) | keeps(weights, codes, threshold)
+            size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            kept = np.bincount(np.repeat(np.arange(len(size)), size)[ok], minlength=len(size))
+            out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)), spans.filter(pa.array(ok)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), out], ["doc_id", "spans"])
+
+    return found.select("doc_id", "spans").mapInArrow(pick, found.select("doc_id", "spans").schema)
 
 
 def redact(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> DataFrame:
     """docs with every kept span of text replaced by its kind in brackets; overlapping spans are replaced as one, by the first's kind.
 
-    Null texts stay null; other columns pass through.
+    Null texts stay null and empty ones empty; each row stands alone, so repeated rows give equal texts; other columns pass through; an empty
+    table stays empty.
     """
-    good, at = keeps(weights, threshold), [c.lower() for c in docs.columns].index("text")
+    at = [c.lower() for c in docs.columns].index("text")
 
-    def clean(t: str) -> str:
+    def clean(t: str, known: dict[int, bool]) -> str:
+        found = candidates(t)
+        if new := [c[4] for c in found if c[4] not in known]:
+            known.update(zip(new, keeps(weights, np.array(new, np.int64), threshold).tolist(), strict=True))
         out, end = [], 0
-        for a, b, k in sorted((a, b, k) for k, a, b, base, code in candidates(t) if base or code in good):
+        for a, b, k in sorted((a, b, k) for k, a, b, base, code in found if base or known[code]):
             if a >= end:
                 out += [t[end:a], f"[{KINDS[k].upper()}]"]
             end = max(end, b)
         return "".join([*out, t[end:]])
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, bool] = {}
         for b in slices(batches):
-            new = pa.array([clean(t) if t else t for t in b.column(at).to_pylist()], pa.string())
+            new = pa.array([clean(t, known) if t else t for t in b.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([new if k == at else c for k, c in enumerate(b.columns)], names=b.schema.names)
 
     return docs.mapInArrow(rewrite, docs.schema)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ._shared import SPACE_RUN, SPACES
 
-#: What marks a line as boilerplate.
+#: What marks a line as boilerplate, in English, German, French and Spanish.
 BOILERPLATE = (
     "licensed under the",
     "is licensed under",
@@ -22,7 +22,28 @@ BOILERPLATE = (
     "click here",
     "sign up",
     "log in",
+    "lizenziert unter",
+    "alle rechte vorbehalten",
+    "nutzungsbedingungen",
+    "datenschutzerkl",
+    "cookies akzeptieren",
+    "newsletter abonnieren",
+    "hier klicken",
+    "sous licence",
+    "tous droits réservés",
+    "conditions d'utilisation",
+    "politique de confidentialité",
+    "accepter les cookies",
+    "cliquez ici",
+    "bajo licencia",
+    "todos los derechos reservados",
+    "condiciones de uso",
+    "política de privacidad",
+    "aceptar cookies",
+    "haga clic aquí",
 )
+#: What separates the entries of a navigation line.
+BARS = "|>»·•"
 SYMBOLS = "#*$%&|<>"
 
 
@@ -34,7 +55,7 @@ def _line_fails(line: Column, symbol_share: float, nav_bars: int, boilerplate_ch
     chars = F.length(_no_space(line))
     marks = chars - F.length(F.translate(_no_space(line), SYMBOLS + "!", ""))
     punctuation = marks > symbol_share * chars
-    bars = F.length(line) - F.length(F.translate(line, "|>»", ""))
+    bars = F.length(line) - F.length(F.translate(line, BARS, ""))
     navigation = (bars >= nav_bars) & (bars * 20 > chars)
     boilerplate = (F.length(line) <= boilerplate_chars) & F.lower(line).rlike("|".join(BOILERPLATE))
     return punctuation | navigation | boilerplate

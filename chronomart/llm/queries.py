@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, lm, minhash, mixing, pii, quality, rollup, topk, toxicity
@@ -29,32 +29,32 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four batches over all documents: counts of two tokenizers, revisions of low-quality ones, deletion of toxic ones; one is sent twice."""
+    """Counts of two tokenizers over all documents, then a revision of one for low-quality documents and the deletion of toxic ones; some batches are sent twice.
+
+    Old counts come from the state by document that the batch before left, never from the batch itself.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", "source", "lang", F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"),
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    counted = docs.select(
+        "doc_id", "source", "lang", "quality", "toxic", F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"),
         F.regexp_count(text, F.lit(r"[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]")).cast("long").alias("pieces"),
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]{2,}")).cast("long").alias("long_words"),
     )
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    docs = written(docs.join(labels, "doc_id", "left"), "counts")
-    none = F.lit(None).cast("long")
-
-    def change(rows: DataFrame, version: str, old, new) -> DataFrame:
-        return rows.select("source", "lang", F.lit(version).alias("tokenizer"), old.alias("old_tokens"), new.alias("new_tokens"))
-
-    words, pieces, revised = F.col("words"), F.col("pieces"), F.col("long_words")
-    now = F.when(F.col("quality") == 0, revised).otherwise(words)
-    low, toxic = docs.filter("quality = 0"), docs.filter("toxic = 1")
-    batches = {
-        1: change(docs, "words", none, words),
-        2: change(docs, "pieces", none, pieces),
-        3: change(low, "words", words, revised),
-        4: change(toxic, "words", now, none).unionByName(change(toxic, "pieces", pieces, none)),
-    }
-    store = new_folder(spark, "rollup")
+    counted = written(counted, "counts")
+    row = lambda version, tokens: F.struct(F.lit(version).alias("tokenizer"), tokens.alias("tokens"))
+
+    def counts(rows: DataFrame, words: Column) -> DataFrame:
+        return rows.select("doc_id", "source", "lang", F.explode(F.array(row("words", words), row("pieces", F.col("pieces")))).alias("c")).select("doc_id", "source", "lang", "c.*")
+
+    revised = F.when(F.col("quality") == 0, F.col("long_words")).otherwise(F.col("words"))
+    first = counts(counted, F.col("words"))
+    second = counts(counted, revised)
+    third = counts(counted.filter(F.coalesce("toxic", F.lit(0)) != 1), revised)
+    store, none = new_folder(spark, "rollup"), first.limit(0)
+    states = {1: (first.filter("tokenizer = 'words'"), none), 2: (first, first.filter("tokenizer = 'words'")), 3: (second, first), 4: (third, second)}
     for batch in (1, 2, 3, 3, 4, 2):
-        rollup.commit(spark, store, batch, batches[batch])
+        rollup.commit(spark, store, batch, rollup.document_changes(*states[batch]))
     return rollup.totals(spark, store)
 
 
@@ -70,6 +70,7 @@ def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     probe = [(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))]
     rows = rows.unionByName(spark.createDataFrame(probe, "conv_id long, turn long, role string, text string"))
+    rows = bpe.count_tokens(rows, public_tokenizers.path("byte_bpe_50k.json"))
     return chat.read_back(chat.format_chats(rows))
 
 

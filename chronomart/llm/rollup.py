@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,21 +27,39 @@ def _files(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def committed(spark: SparkSession, store: str) -> set[int]:
+    """The numbers of all batches that the store holds, those folded into a compacted one too."""
+    fs, p = _files(spark, f"{store}/batch=*/_SUCCESS")
+    numbers = {int(x.getPath().getParent().getName().split("=")[1]) for x in fs.globStatus(p) or []}
+    fs, p = _files(spark, f"{store}/folded")
+    return numbers | ({r.batch for r in spark.read.schema("batch long").parquet(f"{store}/folded").collect()} if fs.exists(p) else set())
+
+
 def is_committed(spark: SparkSession, store: str, batch: int) -> bool:
-    fs, p = _files(spark, f"{store}/batch={batch}/_SUCCESS")
-    return fs.exists(p)
+    return batch in committed(spark, store)
 
 
 def commit(spark: SparkSession, store: str, batch: int, changes: DataFrame) -> bool:
     """Add a batch's deltas to the store once: a batch that is committed already changes nothing.
 
-    A batch's folder counts from the moment that its success marker stands; what an interrupted commit left is overwritten
-    by the next try, so a commit may be repeated at any time. Returns whether it was new.
+    The deltas are written beside the store and moved into it as a whole, which succeeds for one writer only: of two that commit a
+    batch at once, one wins and the other changes nothing. What an interrupted commit left beside the store never counts, so a
+    commit may be repeated at any time. Returns whether it was new.
     """
     if is_committed(spark, store, batch):
         return False
-    signed(changes).write.mode("overwrite").parquet(f"{store}/batch={batch}")
-    return True
+    aside = f"{store}/.new-{uuid.uuid4().hex}"
+    signed(changes).write.parquet(aside)
+    fs, place = _files(spark, f"{store}/batch={batch}")
+    _, new = _files(spark, aside)
+    if not fs.exists(place) and fs.rename(new, place):
+        _, nested = _files(spark, f"{store}/batch={batch}/{aside.rsplit('/', 1)[1]}")
+        if not fs.exists(nested):
+            return True
+        fs.delete(nested, True)  # another writer was first, and ours was moved into its folder
+    elif fs.exists(new):
+        fs.delete(new, True)
+    return False
 
 
 def totals(spark: SparkSession, store: str) -> DataFrame:
@@ -48,12 +68,34 @@ def totals(spark: SparkSession, store: str) -> DataFrame:
     Null sources, languages and tokenizers are keys of their own; a store without batches gives an empty table.
     """
     fs, p = _files(spark, f"{store}/batch=*/_SUCCESS")
-    done = fs.globStatus(p)
-    paths = sorted(x.getPath().getParent().toString() for x in done or [])
+    paths = sorted(x.getPath().getParent().toString() for x in fs.globStatus(p) or [])
     deltas = spark.read.schema(DELTA).parquet(*paths) if paths else spark.createDataFrame([], DELTA)
     return deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 or tokens <> 0")
 
 
-def compact(spark: SparkSession, store: str, batch: int) -> None:
-    """Fold all committed batches into one of the given number, in another store that takes this one's place: store + '-compact'."""
-    totals(spark, store).write.mode("overwrite").parquet(f"{store}-compact/batch={batch}")
+def compact(spark: SparkSession, store: str, batch: int) -> str:
+    """Fold all committed batches into one of the given number in a new store, which takes this one's place: store + '-compact-' and the number.
+
+    It knows the numbers of the folded batches, so none of them can be committed again. Returns the new store.
+    """
+    new = f"{store}-compact-{batch}"
+    done = sorted(committed(spark, store))
+    if batch in done:
+        raise ValueError(f"batch {batch} is committed already")
+    spark.createDataFrame([(b,) for b in done], "batch long").write.mode("overwrite").parquet(f"{new}/folded")
+    totals(spark, store).write.mode("overwrite").parquet(f"{new}/batch={batch}")
+    return new
+
+
+def document_changes(counts: DataFrame, state: DataFrame) -> DataFrame:
+    """The changes that bring the counts by document of a state to those of the present: what commit() takes.
+
+    Both: doc_id, source, lang, tokenizer, tokens; rows of one document and tokenizer add up. A document and tokenizer that only the present has
+    is an insert, one that only the state has a delete, and other tokens a revision; where source or language changed, the old ones
+    lose and the new ones gain. Null ids, sources and languages are values like others.
+    """
+    keys = ["doc_id", *KEYS]
+    of = lambda d, name: d.groupBy(*keys).agg(F.sum("tokens").cast("long").alias(name))
+    both = of(state, "old_tokens").withColumn("new_tokens", F.lit(None).cast("long")).unionByName(of(counts, "new_tokens").withColumn("old_tokens", F.lit(None).cast("long")))
+    d = both.groupBy(*keys).agg(F.max("old_tokens").alias("old_tokens"), F.max("new_tokens").alias("new_tokens"))
+    return d.filter(~F.col("old_tokens").eqNullSafe(F.col("new_tokens"))).drop("doc_id")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ._shared import as_doc_text, pack, ship, slices, unpack
+from ._shared import as_doc_text, pack, ship, slices, unpack, written
 
 DIMENSIONS = 1 << 20
 REMEMBERED = 400_000
@@ -35,30 +35,27 @@ def words_of(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
-def nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, *, steps: int = 300, rate: float = 0.05, decay: float = 5e-4, ratio: float = 2.5, least: int = 3) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear classifier that minimises the non-negative PU risk with logistic loss (full-batch Adam).
+def nn_risk(z: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative PU risk of logits z with logistic loss, and the direction of the step by z.
 
-    The risk is prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)); where the second part is
-    negative, the step goes against its gradient. Only features enter that at least `least` positives have, and
-    positives at least `ratio` times as often as unlabelled rows; the others keep a weight of zero.
+    The risk is prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)). Where the second part is negative, the direction
+    is against its gradient, which brings it back, and not along the risk's.
     """
     n_p, n_u = max(int(positive.sum()), 1), max(int((~positive).sum()), 1)
-    in_p, in_u = np.zeros(DIMENSIONS, np.int32), np.zeros(DIMENSIONS, np.int32)
-    for r, p in zip(rows, positive, strict=True):
-        (in_p if p else in_u)[np.unique(r)] += 1
-    used = np.flatnonzero((in_p >= least) & ((in_p + 0.5) / (n_p + 1) >= ratio * (in_u + 0.5) / (n_u + 1)))
-    place = np.full(DIMENSIONS, -1, np.int32)
-    place[used] = np.arange(len(used))
-    kept = [x[x >= 0] for x in (place[r] for r in rows)]
-    row, column = np.repeat(np.arange(len(rows)), [len(x) for x in kept]), np.concatenate([*kept, np.zeros(0, np.int32)]).astype(np.int64)
-    w, b = np.zeros(len(used)), float(np.log(prior / (1 - prior)))
+    s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    rest = np.logaddexp(0, z[~positive]).sum() / n_u - prior * np.logaddexp(0, z[positive]).sum() / n_p
+    g_rest = np.where(positive, -prior / n_p * s, s / n_u)
+    g = g_rest + np.where(positive, prior / n_p * (s - 1), 0) if rest >= 0 else -g_rest
+    return prior * np.logaddexp(0, -z[positive]).sum() / n_p + max(0.0, rest), g
+
+
+def nnpu(rows: list[np.ndarray], positive: np.ndarray, size: int, prior: float, *, steps: int = 300, rate: float = 0.05, decay: float = 5e-4) -> tuple[np.ndarray, float]:
+    """Weights of `size` features and bias of a linear classifier of rows (lists of features) that minimises the non-negative PU risk (full-batch Adam)."""
+    row, column = np.repeat(np.arange(len(rows)), [len(x) for x in rows]), np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int64)
+    w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = np.bincount(row, w[column], minlength=len(rows)) + b
-        s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        rest = np.logaddexp(0, z[~positive]).sum() / n_u - prior * np.logaddexp(0, z[positive]).sum() / n_p
-        g_rest = np.where(positive, -prior / n_p * s, s / n_u)
-        g = g_rest + np.where(positive, prior / n_p * (s - 1), 0) if rest >= 0 else -g_rest
+        _, g = nn_risk(np.bincount(row, w[column], minlength=len(rows)) + b, positive, prior)
         gw = np.bincount(column, g[row], minlength=len(w)) + decay * w
         gb = g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2
@@ -66,40 +63,106 @@ def nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, *, steps: i
         k = rate / (1 - 0.9**t)
         w -= k * m / (np.sqrt(v / (1 - 0.999**t)) + 1e-6)
         b -= k * mb / (np.sqrt(vb / (1 - 0.999**t)) + 1e-6)
-    out = np.zeros(DIMENSIONS)
-    out[used] = w
-    return out, float(b)
+    return w, float(b)
 
 
-def _features(docs: DataFrame) -> DataFrame:
-    """(positive boolean, features binary: 32-bit numbers) for the chosen training rows."""
+def _features(docs: DataFrame, candidates: str | None = None) -> DataFrame:
+    """features binary: the distinct 32-bit features of each text, or their places in a shipped sorted array, where those it lacks are left out."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {int(f): i for i, f in enumerate(unpack(SparkFiles.get(candidates))["features"])} if candidates else None
+        known: dict[str, tuple[int, ...]] = {}
         for b in slices(batches):
-            rows = [np.array([i for w in sorted(words_of(t or "")) for i in hashed(w)], np.int32).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("positive"), pa.array(rows, pa.binary())], ["positive", "features"])
-
-    return docs.select("text", "positive").mapInArrow(extract, "positive boolean, features binary")
-
-
-def train_toxicity(docs: DataFrame, labels: DataFrame, *, positives: int = 2000, unlabelled: int = 6000) -> tuple[np.ndarray, float]:
-    """Fit on confirmed toxic documents (at most `positives`) and on unlabelled text (at most `unlabelled` documents).
-
-    Both samples are the first by a hash of the id, so they are bounded and every run takes the same. Only rows
-    with crc32(doc_id) mod 4 other than 2 take part. The prior is the share of toxic rows among those labelled.
+            out = []
+            for t in b.column("text").to_pylist():
+                found: set[int] = set()
+                for w in words_of(t or ""):
+                    own = known.get(w)
+                    if own is None:
+                        if len(known) > REMEMBERED:
+                            known.clear()
+                        own = known[w] = tuple(hashed(w)) if place is None else tuple(place[f] for f in hashed(w) if f in place)
+                    found.update(own)
+                out.append(np.array(sorted(found), np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["features"])
+
+    return docs.select("text").mapInArrow(extract, "features binary")
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[np.ndarray]]:
+    held: list[np.ndarray] = []
+    for b in batches:
+        for raw in b.column("features").to_pylist():
+            held.append(np.frombuffer(raw, np.int32))
+            if len(held) == size:
+                yield held
+                held = []
+    if held:
+        yield held
+
+
+def train_toxicity(docs: DataFrame, labels: DataFrame, *, positives: int = 2000, chunk: int = 6000, ratio: float = 2.5, least: int = 3) -> tuple[np.ndarray, float]:
+    """Fit on confirmed toxic documents (at most `positives`, the first by a hash of the id) and on all unlabelled text.
+
+    Only rows with crc32(doc_id) mod 4 other than 2 take part. The prior is the share of toxic rows among those labelled. Features that at
+    least `least` positives have are counted over all unlabelled texts; those that positives have at least `ratio` times as often, or as seldom, enter,
+    the others weigh zero. Each chunk of at most `chunk` unlabelled texts is set against the positives, and the model is the mean of
+    the chunks' models by their sizes: every text counts, and no task or driver holds more than one chunk and the positives.
     """
     ours = labels.filter((fold(F.col("doc_id"), 4) != 2) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     ours = ours.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     prior = ours.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     prior = min(max(prior or 0.0, 1e-3), 0.9)
-    order = F.xxhash64("doc_id")
     docs = as_doc_text(docs)
-    toxic = ours.filter("toxic = 1").orderBy(order).limit(positives).select("doc_id", F.lit(True).alias("positive"))
-    other = docs.filter((fold(F.col("doc_id"), 4) != 2) & F.col("doc_id").isNotNull()).select("doc_id").orderBy(order).limit(unlabelled)
-    # both sides are bounded by the parameters above, so the broadcast is too
-    rows = docs.join(F.broadcast(toxic.unionByName(other.withColumn("positive", F.lit(False)))), "doc_id")
-    got = _features(rows).collect()
-    return nnpu([np.frombuffer(r.features, np.int32) for r in got], np.array([r.positive for r in got], bool), prior)
+    toxic = ours.filter("toxic = 1").orderBy(F.xxhash64("doc_id")).limit(positives).select("doc_id")  # bounded, so the broadcast is too
+    held = [np.frombuffer(r.features, np.int32) for r in _features(docs.join(F.broadcast(toxic), "doc_id")).collect()]
+    in_p = np.bincount(np.concatenate([*held, np.zeros(0, np.int32)]), minlength=DIMENSIONS)
+    candidates = np.flatnonzero(in_p >= least)
+    spark, none = docs.sparkSession, (np.zeros(DIMENSIONS), float(np.log(prior / (1 - prior))))
+    if not len(candidates):
+        return none
+    name = ship(spark, "candidates", pack({"features": candidates}))
+    training = docs.filter((fold(F.col("doc_id"), 4) != 2) & F.col("doc_id").isNotNull())
+    unlabelled = written(_features(training, name), "unlabelled")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, docs = np.zeros(len(candidates), np.int64), 0
+        for rows in _chunks(batches, 1000):
+            n += np.bincount(np.concatenate(rows), minlength=len(n))
+            docs += len(rows)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], docs))], ["i", "n"])
+
+    counted = {r.i: r.n for r in unlabelled.mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}  # one row a candidate
+    n_u = counted.pop(-1, 0)
+    in_u = np.zeros(len(candidates))
+    in_u[list(counted)] = list(counted.values())
+    share = (in_p[candidates] + 0.5) / (len(held) + 1) / ((in_u + 0.5) / (n_u + 1))
+    used = np.flatnonzero((share >= ratio) | (share <= 1 / ratio))
+    place = np.full(len(candidates), -1, np.int32)
+    place[used] = np.arange(len(used))
+    of = lambda r: (x := place[r])[x >= 0]
+    at_candidates = [of(np.searchsorted(candidates, r[in_p[r] >= least])) for r in held]
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, docs = np.zeros(len(used) + 1), 0
+        for rows in _chunks(batches, chunk):
+            positive = np.arange(len(held) + len(rows)) < len(held)
+            w, b = nnpu([*at_candidates, *map(of, rows)], positive, len(used), prior)
+            total += len(rows) * np.append(w, b)
+            docs += len(rows)
+        if docs:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total), pa.array(np.full(len(total), docs))], ["i", "w", "n"])
+
+    # small partitions are read together, so that chunks are whole ones
+    models = unlabelled.coalesce(max(1, n_u // chunk)).mapInArrow(fit, "i long, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect()
+    if not models:
+        return none
+    found = np.zeros(len(used) + 1)
+    found[[r.i for r in models]] = [r.w for r in models]
+    out = np.zeros(DIMENSIONS)
+    out[candidates[used]] = found[:-1]
+    return out, float(found[-1])
 
 
 def score_toxicity(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
@@ -137,7 +200,11 @@ def score_toxicity(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFra
     return docs.mapInArrow(score, StructType([*docs.schema, StructField("score", DoubleType())]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, positives: int = 2000, unlabelled: int = 6000) -> DataFrame:
-    """Train and score in one call; adds score, held_out and predicted (1 from the threshold on) to docs."""
-    w, b = train_toxicity(docs, labels, positives=positives, unlabelled=unlabelled)
+def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, positives: int = 2000, chunk: int = 6000) -> DataFrame:
+    """Train and score in one call; adds score, held_out and predicted (1 from the threshold on) to docs.
+
+    Columns of docs with these names, in any case, are replaced. A null id is in the fold of an empty text and never trains.
+    """
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in ("held_out", "predicted")])
+    w, b = train_toxicity(docs, labels, positives=positives, chunk=chunk)
     return score_toxicity(docs, w, b).withColumns({"held_out": fold(F.col("doc_id"), 4) == 2, "predicted": (F.col("score") >= threshold).cast("int")})

@@ -239,6 +239,13 @@ def test_rollup_is_idempotent(spark, tmp_path):
     assert rollup.commit(spark, store, 1, one) and not rollup.commit(spark, store, 1, one)
     assert rollup.commit(spark, store, 2, two) and not rollup.commit(spark, store, 2, two)
     assert [tuple(r) for r in rollup.totals(spark, store).collect()] == [("a", "en", "t", 1, 6)]
+    new = rollup.compact(spark, store, 9)
+    assert [tuple(r) for r in rollup.totals(spark, new).collect()] == [("a", "en", "t", 1, 6)] and rollup.committed(spark, new) == {1, 2, 9}
+    assert not rollup.commit(spark, new, 1, one) and rollup.commit(spark, new, 3, one) and rollup.totals(spark, new).agg({"docs": "sum"}).first()[0] == 4
+    state = spark.createDataFrame([(1, "a", "en", "t", 5), (2, "a", "en", "t", 7), (3, None, None, "t", 2), (5, "a", "en", "t", 1)], "doc_id long, source string, lang string, tokenizer string, tokens long")
+    now = spark.createDataFrame([(1, "a", "en", "t", 6), (3, "b", None, "t", 2), (None, "a", "en", "t", 4), (5, "a", "en", "t", 1)], state.schema)
+    got = {tuple(r)[:3]: (r.docs, r.tokens) for r in rollup.signed(rollup.document_changes(now, state)).collect()}
+    assert got == {("a", "en", "t"): (0, -2), (None, None, "t"): (-1, -2), ("b", None, "t"): (1, 2)}
     two.write.mode("overwrite").parquet(f"{store}/batch=3")
     (tmp_path / "store/batch=3/_SUCCESS").unlink()  # a commit that broke off does not count
     assert [tuple(r) for r in rollup.totals(spark, store).collect()] == [("a", "en", "t", 1, 6)]
@@ -259,6 +266,13 @@ def test_top_k(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (None, [1.0, 1.0]), (7, [-1.0, 0.5])]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(0, 1, 1), (0, 2, 2), (0, 3, 7)]
+    rows = [(100, [1.0, 2.0]), (100, [3.0]), (1, [4.0, 1.0]), (1, [0.5]), (1, []), (2, [1.0, 1.0, 9.0])]  # repeated ids, other lengths
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    own = [[int(1024 * x) for x in e] for _, e in rows]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=False))
+    want = [(100, n + 1, -v, s) for q in (0, 1) for n, (s, v) in enumerate(sorted(((dot(own[q], own[j]), -rows[j][0]) for j in range(6) if j != q and own[j]), reverse=True))]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
+    assert topk.top_k(spark.createDataFrame([(0, []), (1, [])], "vec_id long, embedding array<float>")).count() == 0
     assert topk.top_k(e.limit(0)).count() == 0
 
 
@@ -340,6 +354,10 @@ def test_chat(spark):
     w = [r for r in windows.collect() if r.conv_id == -9]
     assert len(w) > 3 and all(r.tokens <= 768 for r in w) and all(r.repeated > 0 for r in w if r.window)
     assert chat.read_back(chat.format_chats(d.limit(0))).count() == 0
+    # counts of a column, a long system turn, null ids, and a turn that fits only without what is repeated
+    rows = [(None, 0, "system", "s " * 9, 300), (None, 1, "user", "u", 300), (None, 2, "assistant", "v", 200), (None, 3, "user", "w", 460), (None, 4, "user", "x", 700), (None, 5, "user", "y", 1)]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, tokens long"), budget=768, history=300).orderBy("window").collect()
+    assert [(r.window, r.repeated, r.turns, r.tokens) for r in got] == [(0, 0, 2, 608), (1, 1, 2, 508), (2, 1, 2, 768), (3, 1, 2, 1008), (4, 1, 2, 309)]
 
 
 def test_toxicity(spark, edge):
@@ -367,6 +385,27 @@ def brute_quality(t):
     return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(hit), n < 50 or 100 * len(hit) > 50 * n
 
 
+def brute_kept(t):
+    """(kept, lines, failed lines, characters lost) by a plain loop over lines."""
+    size = lambda x: len(re.sub(r"[\x20\x09-\x0D]", "", x))
+    lines, lost, failed = [x for x in t.split("\n") if WORD.search(x)], 0, 0
+    for x in lines:
+        marks, bars = sum(c in quality.SYMBOLS + "!" for c in x), sum(c in quality.BARS for c in x)
+        if marks > 0.08 * size(x) or bars >= 3 and bars * 20 > size(x) or len(x) <= 200 and any(p in x.lower() for p in quality.BOILERPLATE):
+            failed += 1
+            lost += size(x)
+    return not brute_quality(t)[-1] and lost <= 0.3 * size(t), len(lines), failed, lost
+
+
+def test_quality_verdicts(spark, docs, edge):
+    prose = " ".join(f"word{i}" for i in range(80)) + ".\n"
+    extra = ["Tous droits réservés.\n" + prose, "Startseite · Über uns · Kontakt · Impressum\n" + prose, "Haga clic aquí para entrar\n" * 40 + prose, "### $$$ !!! ***\n" * 90 + prose, "\n\n", "Alle Rechte vorbehalten " + "lang " * 60 + "\n" + prose]
+    for d in (docs, edge, spark.createDataFrame([(k, t) for k, t in enumerate(extra)], "doc_id long, text string")):
+        got = Counter((r.doc_id, r.kept, r.n_lines, r.n_failed_lines, r.lost_chars) for r in quality.quality_rules(d).collect())
+        assert got == Counter((r.doc_id, *brute_kept(r.text or "")) for r in d.collect())
+    assert {r.n_failed_lines for r in quality.quality_rules(d).collect()} == {1, 40, 90, 0}
+
+
 def test_quality(spark, docs, edge):
     for d in (docs, edge):
         got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.quality_rules(d).collect())
@@ -414,34 +453,138 @@ def test_pii(spark, docs, edge):
     assert any("secret:" in r.spans for r in rows)
     found = pii.find_candidates(edge)
     trust, w = pii.fit(found)
-    assert len(trust) == pii.LABELERS and len(pii.redact(edge, w).collect()) == len(EDGE)
+    assert trust.shape == (len(pii.KINDS), pii.LABELERS) and len(pii.redact(edge, w).collect()) == len(EDGE)
     mail = [r.text for r in pii.redact(edge, w).collect() if r.doc_id == 6][0]
     assert mail == "Mail [EMAIL] or [PHONE], ip [IP] and 999.1.1.1"
     assert pii.find_candidates(edge.limit(0)).count() == 0
 
 
+def packed(kind, said, features=(1, 1, 1, 2, 2)):
+    code = pii.KINDS.index(kind)
+    for v in (*said, *features):
+        code = code * 3 + v
+    return code
+
+
 def test_em_trusts_the_labeler_that_agrees():
-    good, bad = pii.KINDS.index("ssn"), pii.KINDS.index("iban")
-    code = lambda k, said: int("".join(map(str, [k // 3, k % 3, *said])), 3)
-    trust, soft = pii.fit_labelers({code(good, [2, 2, 2, 1, 0]): 100, code(bad, [0, 0, 0, 1, 2]): 100})
-    assert trust[0] > 0.9 and trust[4] < 0.6
-    assert soft[code(good, [2, 2, 2, 1, 0])] > 0.9 and soft[code(bad, [0, 0, 0, 1, 2])] < 0.1
+    counts = {packed("ssn", [2, 2, 2, 1, 0]): 100, packed("ssn", [0, 0, 0, 1, 2]): 100, packed("iban", [2, 0, 1, 1, 2]): 50, packed("iban", [2, 2, 1, 1, 2]): 50}
+    trust, soft = pii.fit_labelers(counts)
+    ssn, iban = pii.KINDS.index("ssn"), pii.KINDS.index("iban")
+    assert trust[ssn, 0] > 0.9 and trust[ssn, 4] < 0.6 and trust[iban, 4] > 0.9  # reliable for one kind, not for the other
+    assert soft[packed("ssn", [2, 2, 2, 1, 0])] > 0.9 and soft[packed("ssn", [0, 0, 0, 1, 2])] < 0.1
+
+
+def test_span_classifier_generalises_by_looks():
+    """It learns from spans whose labelers agree what personal data looks like, and judges spans whose labelers say nothing by their looks."""
+    long_, short = (2, 2, 1, 2, 2), (0, 0, 2, 0, 0)
+    counts = {packed("secret", [2, 2, 1, 1, 2], long_): 300, packed("secret", [0, 0, 1, 1, 0], short): 300}
+    _, soft = pii.fit_labelers(counts)
+    w = pii.fit_classifier(counts, soft)
+    asked = np.array([packed("secret", [1, 1, 1, 1, 1], long_), packed("secret", [1, 1, 1, 1, 1], short)])
+    assert pii.keeps(w, asked).tolist() == [True, False]
+    t = "My token: abcd1234EFGH5678 and 4111 1111 1111 1112."
+    assert [pii.KINDS[k] for k, *_ in pii.candidates(t)] == ["card", "secret"]
+    kind, said, features = pii.unpack_codes(np.array([c[4] for c in pii.candidates(t)]))
+    for k, (c, a, b, base, _) in enumerate(pii.candidates(t)):
+        assert kind[k] == c and said[k].tolist() == pii.votes(t, c, a, b, base) and features[k].tolist() == pii.span_features(t, a, b)
+
+
+def test_voted_spans_are_what_the_classifier_keeps(spark):
+    """The query's spans are those of a plain loop: base spans, and others that the fitted classifier takes."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = {i: pii.candidates(t) for i, t in texts.items()}
+    counts = Counter(c[4] for cs in found.values() for c in cs)
+    _, soft = pii.fit_labelers(counts)
+    w = pii.fit_classifier(counts, soft)
+    for r in q.op10_pii_spans(spark, sf).collect():
+        want = [f"{pii.KINDS[k]}:{a}:{b}" for k, a, b, base, code in found[r.doc_id] if base or pii.keeps(w, np.array([code]))[0]]
+        assert r.spans == ",".join(want)
+
+
+def test_non_negative_risk():
+    """The risk by its definition, and its direction by differences: along the gradient, or against that of a negative part."""
+    g = np.random.default_rng(0)
+    for shift in (4.0, -6.0):
+        z, positive, prior = g.normal(size=40) + np.where(np.arange(40) < 15, 4, shift), np.arange(40) < 15, 0.4
+        loss = lambda x: math.log(1 + math.exp(-x))
+        rest = lambda z: np.mean([loss(-x) for x in z[~positive]]) - prior * np.mean([loss(-x) for x in z[positive]])
+        whole = lambda z: prior * np.mean([loss(x) for x in z[positive]]) + rest(z)
+        value, step = toxicity.nn_risk(z, positive, prior)
+        assert abs(value - prior * np.mean([loss(x) for x in z[positive]]) - max(0, rest(z))) < 1e-9
+        of, sign = (whole, 1) if rest(z) >= 0 else (rest, -1)
+        assert (rest(z) < 0) == (shift < 0)
+        for k in range(0, 40, 7):
+            e = np.zeros(40)
+            e[k] = 1e-6
+            assert abs((of(z + e) - of(z - e)) / 2e-6 * sign - step[k]) < 1e-6
 
 
 def test_pipeline(spark):
+    """Each stage on what the one before kept, row by row against a plain version."""
     import corpus_pipeline as c
 
-    sf = SF
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    before = {r.doc_id for r in docs.collect()}
-    for k, (_, stage) in enumerate(c.STAGES):
-        after = stage(spark, docs, sf)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(10_000_000 + k, None if k == 1 else t, "en", "x", 1) for k, t in enumerate(["", "", "the same " * 60, "the same " * 60, "Mail a.b@c.example.org now"])] + [(None, "without an id " * 30, None, None, 1), (None, "another one " * 30, None, None, 1)]
+    docs = c.written(docs.select(*c.DOCUMENTS).union(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")), "stage")
+    order = lambda rows: sorted(rows, key=repr)
+    for k, (name, stage) in enumerate(c.STAGES):
+        before = [tuple(r) for r in docs.select(*c.DOCUMENTS).collect()]
+        after = c.written(stage(spark, docs, SF), "stage")
+        got = order(tuple(r) for r in after.collect())
         if k + 1 < len(c.STAGES):
-            assert tuple(after.columns) == c.DOCUMENTS
-            ids = {r.doc_id for r in after.select("doc_id").collect()}
-            assert ids <= before and ids
-            if c.STAGES[k][0] == "pii":
-                assert ids == before
-            before = ids
-            docs = c.written(after, "stage")
-    assert {r.doc_id for r in after.collect()} == before
+            assert tuple(after.columns) == c.DOCUMENTS and all(r[4] == (None if r[1] is None else len(r[1])) for r in got)
+        sized = [(*r[:4], None if r[1] is None else len(r[1])) for r in before]
+        if name == "toxicity":
+            w, b = toxicity.train_toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+            p = lambda t: 1 / (1 + math.exp(-(b + sum(w[f] for x in toxicity.words_of(t) for f in toxicity.hashed(x)))))
+            want = [r for r in sized if p(r[1] or "") < 0.3]
+        elif name == "near_duplicates":
+            rows = sorted(sized, key=lambda r: (r[0] is not None, r[0] or 0))
+            of = classes_of(len(rows), [p for p, s in brute_links([r[1] or "" for r in rows]).items() if s >= 0.8])
+            want = [r for i, r in enumerate(rows) if of[i] == i]
+        elif name == "pii":
+            found = [pii.candidates(r[1] or "") for r in sized]
+            counts = Counter(x[4] for f in found for x in f)
+            w = pii.fit_classifier(counts, pii.fit_labelers(counts)[1])
+            want = []
+            for r, f in zip(sized, found, strict=True):
+                out, end = "", 0
+                for x, y, kind in sorted((x, y, kind) for kind, x, y, base, code in f if base or pii.keeps(w, np.array([code]))[0]):
+                    if x >= end:
+                        out += (r[1] or "")[end:x] + f"[{pii.KINDS[kind].upper()}]"
+                    end = max(end, y)
+                text = None if r[1] is None else out + r[1][end:]
+                want.append((r[0], text, *r[2:4], None if text is None else len(text)))
+        elif name == "mix":
+            size, key = lambda r: len(WORD.findall(r[1] or "")), lambda r: hashlib.md5((str(r[0]) if r[0] is not None else "null:" + hashlib.md5((r[1] or "").encode()).hexdigest()).encode()).hexdigest()
+            total = defaultdict(int)
+            for r in sized:
+                total[r[3]] += size(r)
+            goal, queue = targets(total), []
+            for s in total:
+                end = 0
+                for r in sorted((r for r in sized if r[3] == s), key=lambda r: (key(r), r[0] or 0, size(r))):
+                    end += size(r)
+                    queue += [((end + n * total[s]) / goal[s], s is None, s or "", key(r), r[0] or 0, size(r), n, r) for n in range(3) if size(r) and goal[s] > 0]
+            want, used = [], 0
+            for x in sorted(queue, key=lambda x: x[:7]):
+                used += x[5]
+                if used > sum(total.values()):
+                    break
+                want.append(x[-1])
+        else:
+            t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+            ids = [t.encode(r[1] or "", add_special_tokens=False).ids for r in before]
+            want = [(r[0], len(i), sha(",".join(map(str, i))), sha(t.decode(i, skip_special_tokens=False))) for r, i in zip(before, ids, strict=True)]
+        assert got == order(want), name
+        docs = after
+
+
+def test_pipeline_on_an_empty_table(spark):
+    import corpus_pipeline as c
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in c.STAGES:
+        docs = c.written(stage(spark, docs, SF), "stage")
+        assert docs.count() == 0
