@@ -18,31 +18,43 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents predicted toxic go."""
+    """Operator 8: documents predicted toxic go.
+
+    Each row is judged by its text, null ones as empty, so repeated rows go or stay together. Columns that are no column of documents go, here
+    and in every stage; an empty table stays empty; without labelled toxic documents nothing is predicted toxic.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return _documents(toxicity.toxicity(docs.select(*DOCUMENTS), labels).filter("predicted = 0"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: one document of each class stays."""
+    """Operator 2: one document of each class stays, the one with the smallest id (a null one first).
+
+    Documents without words are no duplicates of each other and all stay; different texts that share an id, or have none, are different
+    documents; an empty table stays empty.
+    """
     return _documents(minhash.drop_near_duplicates(docs.select(*DOCUMENTS)))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: kept spans are replaced by their kind."""
+    """Operator 10: kept spans are replaced by their kind. Every row stays; null texts stay null; repeated rows give equal texts; an empty table stays empty."""
     docs = docs.select(*DOCUMENTS)
     _, weights = pii.fit(written(pii.find_candidates(docs), "spans"))
     return _documents(pii.redact(docs, weights))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: each document comes as often as the mix takes it."""
+    """Operator 3: each document comes as often as the mix takes it, never or up to three times.
+
+    Documents without words go, as the mix takes nothing of them; a null source is a source of its own; repeated rows are documents of
+    their own and come as often as the one of them that is taken most; an empty table stays empty.
+    """
     docs = docs.select(*DOCUMENTS)
     return _documents(mixing.apply_mix(docs, mixing.mix_sources(docs)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: token ids of each text and the digest of what they decode to."""
+    """Operator 1: token ids of each text and the digest of what they decode to. A row for each row; null texts are empty; an empty table stays empty."""
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -54,7 +66,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: SQL can express neither the classifier nor the sampled signatures; tests hold the stages against brute force.
+#: SQL can express neither the classifiers nor the sampled signatures; a test holds every stage, row by row, against a plain version.
 ORACLE_SQL = None
 
 
