@@ -24,6 +24,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: A worker forgets its remembered pieces beyond this many, which bounds its memory.
 REMEMBERED = 300_000
 NEVER = 1 << 40
+#: Rows and bytes of text that a task works on at a time: numpy needs some 50 times as many bytes.
+SLICE = (250, 1 << 20)
 #: Strings that make a text's pieces depend on each other, or may: all white space but space and newline, and what some count as such.
 ODD = ("  ", "\n ", " \n", *map(chr, [9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]))
 ENCODED = "doc_id long, ids array<int>"
@@ -262,7 +264,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             total.clear()
             return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
 
-        for b in slices(batches, 2000):
+        for b in slices(batches, *SLICE):
             # a space is put in front of each piece: right for all but the first of a text, and only frequencies are wanted
             parts = pc.split_pattern(b.column("text").cast(pa.large_string()).drop_null(), " ")
             seen = pc.value_counts(parts.flatten())
@@ -306,7 +308,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, lexicon: str | None = None,
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(tokenizer, lexicon)
-        for b in slices(batches):
+        for b in slices(batches, *SLICE):
             ids, n = e.batch([x or "" for x in b.column("text").to_pylist()])
             ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
@@ -333,7 +335,7 @@ def bpe_decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _encoder(tokenizer, None).v if (tokenizer, None) in _ENCODERS else next((e.v for k, e in _ENCODERS.items() if k[0] == tokenizer), None) or _encoder(tokenizer, None).v
-        for b in slices(batches):
+        for b in slices(batches, *SLICE):
             ids, n = _lists(b)
             raw, ends = gather(v.bytes, ids)
             cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
@@ -361,7 +363,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str, lexicon_words: int = 30_000
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(tokenizer, lexicon)
-        for b in slices(batches):
+        for b in slices(batches, *SLICE):
             ids, n = e.batch([x or "" for x in b.column("text").to_pylist()])
             at = np.concatenate([[0], np.cumsum(n)])
             out = [b.column("doc_id"), pa.array(n)]
@@ -386,7 +388,7 @@ def count_tokens(rows: DataFrame, tokenizer_path: str, column: str = "text", out
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(tokenizer, None)
-        for b in slices(batches):
+        for b in slices(batches, *SLICE):
             _, n = e.batch([x or "" for x in b.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n)], [*b.schema.names, out])
 

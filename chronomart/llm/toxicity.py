@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from ._shared import as_doc_text, pack, ship, slices, unpack, written
 
 DIMENSIONS = 1 << 20
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -72,7 +72,7 @@ def _features(docs: DataFrame, candidates: str | None = None) -> DataFrame:
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {int(f): i for i, f in enumerate(unpack(SparkFiles.get(candidates))["features"])} if candidates else None
         known: dict[str, tuple[int, ...]] = {}
-        for b in slices(batches):
+        for b in slices(batches, 500, 2 << 20):
             out = []
             for t in b.column("text").to_pylist():
                 found: set[int] = set()
@@ -180,7 +180,7 @@ def score_toxicity(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFra
         model = unpack(SparkFiles.get(name))
         w, b0 = model["w"], float(model["b"][0])
         known: dict[str, float] = {}
-        for b in slices(batches):
+        for b in slices(batches, 500, 2 << 20):
             out = []
             for t in b.column(at).to_pylist():
                 words = words_of(t or "")
