@@ -35,24 +35,23 @@ def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
-    counted = docs.select(
-        "doc_id", "source", "lang", "quality", "toxic", F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"),
+    counted = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"),
         F.regexp_count(text, F.lit(r"[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]")).cast("long").alias("pieces"),
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]{2,}")).cast("long").alias("long_words"),
     )
-    counted = written(counted, "counts")
+    counted = written(counted.join(labels, "doc_id", "left"), "counts")  # texts are counted before the join, so they are not shuffled
     row = lambda version, tokens: F.struct(F.lit(version).alias("tokenizer"), tokens.alias("tokens"))
 
     def counts(rows: DataFrame, words: Column) -> DataFrame:
         return rows.select("doc_id", "source", "lang", F.explode(F.array(row("words", words), row("pieces", F.col("pieces")))).alias("c")).select("doc_id", "source", "lang", "c.*")
 
     revised = F.when(F.col("quality") == 0, F.col("long_words")).otherwise(F.col("words"))
-    first = counts(counted, F.col("words"))
-    second = counts(counted, revised)
-    third = counts(counted.filter(F.coalesce("toxic", F.lit(0)) != 1), revised)
+    low, gone = F.col("quality") == 0, F.col("toxic") == 1
+    first, second = counts(counted, F.col("words")), counts(counted.filter(low), revised)
+    third = counts(counted.filter(gone), revised)  # the toxic documents as batch 3 left them
     store, none = new_folder(spark, "rollup"), first.limit(0)
-    states = {1: (first.filter("tokenizer = 'words'"), none), 2: (first, first.filter("tokenizer = 'words'")), 3: (second, first), 4: (third, second)}
+    states = {1: (first.filter("tokenizer = 'words'"), none), 2: (first.filter("tokenizer = 'pieces'"), none), 3: (second, counts(counted.filter(low), F.col("words"))), 4: (none, third)}
     for batch in (1, 2, 3, 3, 4, 2):
         rollup.commit(spark, store, batch, rollup.document_changes(*states[batch]))
     return rollup.totals(spark, store)

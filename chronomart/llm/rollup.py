@@ -90,12 +90,10 @@ def compact(spark: SparkSession, store: str, batch: int) -> str:
 def document_changes(counts: DataFrame, state: DataFrame) -> DataFrame:
     """The changes that bring the counts by document of a state to those of the present: what commit() takes.
 
-    Both: doc_id, source, lang, tokenizer, tokens; rows of one document and tokenizer add up. A document and tokenizer that only the present has
-    is an insert, one that only the state has a delete, and other tokens a revision; where source or language changed, the old ones
-    lose and the new ones gain. Null ids, sources and languages are values like others.
+    Both: source, lang, tokenizer, tokens, one row a document and tokenizer (and any other columns). Every row of the state leaves with the count
+    it came with, and every row of the present comes with its own: what is in both cancels in the sums, so nothing has to be matched by
+    document, and only what a batch touches need be passed. Repeated rows are documents of their own; nulls are values like others.
     """
-    keys = ["doc_id", *KEYS]
-    of = lambda d, name: d.groupBy(*keys).agg(F.sum("tokens").cast("long").alias(name))
-    both = of(state, "old_tokens").withColumn("new_tokens", F.lit(None).cast("long")).unionByName(of(counts, "new_tokens").withColumn("old_tokens", F.lit(None).cast("long")))
-    d = both.groupBy(*keys).agg(F.max("old_tokens").alias("old_tokens"), F.max("new_tokens").alias("new_tokens"))
-    return d.filter(~F.col("old_tokens").eqNullSafe(F.col("new_tokens"))).drop("doc_id")
+    none = F.lit(None).cast("long")
+    of = lambda d, old, new: d.select(*KEYS, old.alias("old_tokens"), new.alias("new_tokens"))
+    return of(state, F.col("tokens"), none).unionByName(of(counts, none, F.col("tokens")))
