@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running
+
 
 def event_audit(events: DataFrame, keys: list[str], order: list[str], *, time: str, checks: dict[str, Column], snapshot: Column) -> DataFrame:
     """By file (keys): rows, those whose time regresses, those that fail each check (null fails), snapshots, rows before the first one."""
@@ -31,9 +33,16 @@ def age_histogram(joined: DataFrame, by: list[str], *, on: str, unit: int) -> Da
 
 
 def known_state(questions: DataFrame, ledger: DataFrame) -> DataFrame:
-    """By day asked and series: how many observations are known, the latest one and the latest time of knowing. Questions are few."""
-    j = ledger.join(F.broadcast(questions), F.col("known") <= F.col("day"))
-    return j.groupBy("day", "series").agg(F.countDistinct("observed").alias("observations"), F.max("observed").alias("latest_observed"), F.max("known").alias("latest_known"))
+    """By day asked (a small list) and series: how many observations are known, the latest one and the latest time of knowing; series of which none is known are absent.
+
+    An observation counts from its first known day on, so running sums over the ledger's days answer all questions without a range join.
+    """
+    first = ledger.groupBy("series", "observed").agg(F.min("known").alias("at")).groupBy("series", "at").agg(F.count("observed").alias("_n"), F.max("observed").alias("_obs"))
+    facts = first.unionByName(ledger.groupBy("series", F.col("known").alias("at")).agg(F.max("known").alias("_known")), allowMissingColumns=True).withColumn("_q", F.lit(0))
+    asked = ledger.select("series").distinct().crossJoin(questions.distinct()).select("series", F.col("day").alias("at"), F.lit(1).alias("_q"))
+    both = facts.filter("at is not null").unionByName(asked, allowMissingColumns=True)
+    d = running(both, ["series"], ["at", "_q"], None, {"observations": ("sum", F.col("_n")), "latest_observed": ("max", F.col("_obs")), "latest_known": ("max", F.col("_known"))})
+    return d.filter("_q = 1 and latest_known is not null").select(F.col("at").alias("day"), "series", F.coalesce("observations", F.lit(0)).alias("observations"), "latest_observed", "latest_known")
 
 
 def age_profile(joined: DataFrame, by: list[str], *, on: str, unit: int, quantiles: tuple[float, ...] = (0.01, 0.05, 0.5, 0.95, 0.99)) -> DataFrame:
@@ -66,15 +75,14 @@ def verify_manifest(expected: DataFrame, actual: DataFrame, key: list[str]) -> D
     return e.join(a, key, "full").select(*key, status.alias("status"))
 
 
-def sequence_state(events: DataFrame) -> DataFrame:
+def sequence_state(events: DataFrame, block: int | None = 65_536) -> DataFrame:
     """Continuity of a depth feed. events: symbol, pos, first, last, previous (ids), snapshot_id (of snapshots, else null).
 
     After a snapshot, updates that end before its id are stale. The first other one must span the id (it bridges); each later one's
     previous id must equal the id that the one before ended with. From the first failure on all is invalid until the next
     snapshot; so is all before the first snapshot. Adds segment (number of the snapshot) and state: snapshot, stale, bridge, valid, gap or invalid.
     """
-    w = Window.partitionBy("symbol").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    d = events.withColumns({"segment": F.count("snapshot_id").over(w), "_id": F.last("snapshot_id", ignorenulls=True).over(w)})
+    d = running(events, ["symbol"], ["pos"], block, {"segment": ("sum", F.col("snapshot_id").isNotNull().cast("long")), "_id": ("last", F.col("snapshot_id"))})
     live = F.col("snapshot_id").isNull() & (F.col("last") >= F.col("_id"))
     d = d.withColumn("_live", F.coalesce(live, F.lit(False)))
     own = Window.partitionBy("symbol", "segment", "_live").orderBy("pos")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running
+
 
 def trade_buckets(ticks: DataFrame, seconds: int) -> DataFrame:
     """By symbol and slot: quantity, count and notional of buys and sells (a buyer that made the market sells), last price by time."""
@@ -53,11 +55,12 @@ def flow_features(ticks: DataFrame) -> DataFrame:
     return d.select("symbol", "t", "price", *[c.alias(k) for k, c in out.items()], label.alias("label"), "_first").filter(F.col("t") >= F.col("_first") + 3).drop("_first")
 
 
-def gap_segments(d: DataFrame, most_us: int) -> DataFrame:
-    """Adds segment: a new one begins where the gap exceeds `most_us`, or this or the last row is invalid."""
-    w = Window.partitionBy("symbol").orderBy("us", "tick_id")
-    cut = (F.col("us") - F.lag("us").over(w) > most_us) | ~F.col("valid") | ~F.lag("valid").over(w)
-    return d.withColumn("segment", F.sum(F.coalesce(cut, F.lit(False)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def gap_segments(d: DataFrame, most_us: int, block: int | None = 86_400_000_000) -> DataFrame:
+    """Adds segment: a new one begins where the gap exceeds `most_us`, or this or the last row is invalid. Symbols are dealt over tasks by blocks of us."""
+    order = ["us", "tick_id"]
+    d = running(d, ["symbol"], order, block, {"_us": ("previous", F.col("us")), "_ok": ("previous", F.col("valid"))})
+    cut = (F.col("us") - F.col("_us") > most_us) | ~F.col("valid") | ~F.col("_ok")
+    return running(d, ["symbol"], order, block, {"segment": ("sum", F.coalesce(cut, F.lit(False)).cast("int"))}).drop("_us", "_ok")
 
 
 def window_imbalance(ticks: DataFrame, seconds: int) -> DataFrame:

@@ -5,28 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running
+
 
 def asof(left: DataFrame, right: DataFrame, values: list[str], *, on: str = "t", by: list[str] | None = None, max_age: int | None = None, block: int | None = None) -> DataFrame:
     """left, with the latest right row at or before it: values, and asof_t, its time. No row older than max_age counts.
 
     Both sides are united and sorted once by (keys, time, right first); the last right row is carried forward. With `block`
-    (needs max_age <= block), rows are also dealt by blocks of time, each right row standing in its own and the next block, so a
-    hot key spreads over many tasks.
+    rows are also dealt by blocks of time, so a hot key spreads over many tasks: where max_age <= block, each right row stands in its own
+    and the next block; else the last right row before each block is carried into it.
     """
     by = by or []
     r = right.select(*by, F.col(on).alias("_t"), F.struct(F.col(on).alias("asof_t"), *values).alias("_r"))
     l = left.withColumn("_t", F.col(on)).withColumn("_l", F.struct(*left.columns))  # noqa: E741
     keys = [F.col(c) for c in by]
-    if block:
-        if max_age is None or max_age > block:
-            raise ValueError("blocks need max_age <= block")
+    carry = block and (max_age is None or max_age > block)
+    if block and not carry:
         own = F.floor(F.col("_t") / block)
         r, l = r.withColumn("_b", F.explode(F.array(own, own + 1))), l.withColumn("_b", own)  # noqa: E741
         keys.append(F.col("_b"))
-    both = r.withColumn("_side", F.lit(0)).unionByName(l.select(*by, "_t", "_l", *(["_b"] if block else [])).withColumn("_side", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    order = w.orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    d = both.withColumn("_last", F.last("_r", ignorenulls=True).over(order)).filter("_side = 1")
+    both = r.withColumn("_side", F.lit(0)).unionByName(l.select(*by, "_t", "_l", *([] if carry or not block else ["_b"])).withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    if carry:
+        d = running(both, by, ["_t", "_side"], block, {"_last": ("last", F.col("_r"))}) if by else running(both.withColumn("_one", F.lit(0)), ["_one"], ["_t", "_side"], block, {"_last": ("last", F.col("_r"))})
+    else:
+        order = Window.partitionBy(*keys or [F.lit(0)]).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+        d = both.withColumn("_last", F.last("_r", ignorenulls=True).over(order))
+    d = d.filter("_side = 1")
     if max_age is not None:
         d = d.withColumn("_last", F.when(F.col("_t") - F.col("_last.asof_t") <= max_age, F.col("_last")))
     return d.select("_l.*", "_last.asof_t", *[F.col(f"_last.{v}").alias(v) for v in values])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import cells, running
+
 
 def trade_metrics(trades: DataFrame, by: list[str]) -> DataFrame:
     """trades, win_rate, profit_factor (inf without losses, 0 without both), expectancy and compounded return of net (bps)."""
@@ -29,24 +31,22 @@ def rich_metrics(trades: DataFrame, by: list[str]) -> DataFrame:
     return d.withColumns({"sharpe": ratio("_sd"), "sortino": ratio("_dd")}).drop("_sd", "_dd")
 
 
-def drawdowns(trades: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Three drawdowns of net (bps): compounded percent from the running peak; additive against the peak of earlier equity only (from 0); additive with the current point."""
-    run = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    d = trades.withColumns({"_eq": F.sum("net").over(run), "_lg": F.sum(F.log1p(F.col("net") / 1e4)).over(run)})
-    peak_lg = F.greatest(F.lit(0.0), F.max("_lg").over(run))
-    earlier = F.greatest(F.coalesce(F.max("_eq").over(before), F.lit(0.0)), F.lit(0.0))
-    current = F.greatest(F.max("_eq").over(run), F.lit(0.0))
+def drawdowns(trades: DataFrame, key: str, order: list[str], block: int | None = None) -> DataFrame:
+    """Three drawdowns of net (bps): compounded percent from the running peak; additive against the peak of earlier equity only (from 0); additive with the current point.
+
+    `block`, here and below, deals a hot key over tasks by stretches of the order."""
+    d = running(trades, [key], order, block, {"_eq": ("sum", F.col("net")), "_lg": ("sum", F.log1p(F.col("net") / 1e4))})
+    d = running(d, [key], order, block, {"_plg": ("max", F.col("_lg")), "_before": ("max_before", F.col("_eq")), "_peak": ("max", F.col("_eq"))})
+    peak_lg, earlier, current = (F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0)) for c in ("_plg", "_before", "_peak"))
     d = d.withColumns({"_c": (1 - F.exp(F.col("_lg") - peak_lg)) * 100, "_a": earlier - F.col("_eq"), "_i": current - F.col("_eq")})
     return d.groupBy(key).agg(F.max("_c").alias("compounded_dd"), F.max("_a").alias("earlier_peak_dd"), F.max("_i").alias("additive_dd"))
 
 
-def equity_series(trades: DataFrame, key: str, order: list[str]) -> DataFrame:
+def equity_series(trades: DataFrame, key: str, order: list[str], block: int | None = None) -> DataFrame:
     """Running hit rate and compounded return."""
-    run = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return trades.withColumns(
-        {"hit_rate": F.avg((F.col("net") > 0).cast("double")).over(run), "equity_pct": (F.exp(F.sum(F.log1p(F.col("net") / 1e4)).over(run)) - 1) * 100}
-    )
+    net = F.col("net")
+    d = running(trades, [key], order, block, {"_n": ("sum", net.isNotNull().cast("long")), "_hits": ("sum", (net > 0).cast("long")), "_lg": ("sum", F.log1p(net / 1e4))})
+    return d.withColumns({"hit_rate": F.col("_hits") / F.when(F.col("_n") > 0, F.col("_n")), "equity_pct": (F.exp("_lg") - 1) * 100}).drop("_n", "_hits", "_lg")
 
 
 def economics(trades: DataFrame, costs: DataFrame, by: list[str]) -> DataFrame:
@@ -58,11 +58,11 @@ def economics(trades: DataFrame, costs: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def full_economics(trades: DataFrame, costs: DataFrame, by: list[str], order: str = "t") -> DataFrame:
+def full_economics(trades: DataFrame, costs: DataFrame, by: list[str], order: str = "t", block: int | None = None) -> DataFrame:
     """economics with profit factor (null without losses), additive drawdown from the running peak (from 0) and total over drawdown (without one: infinite for a gain, else 0)."""
     d = trades.crossJoin(F.broadcast(costs)).withColumn("net", F.col("gross") - F.col("cost_bps"))
-    w = Window.partitionBy(*by, "cost_bps").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_eq", F.sum("net").over(w)).withColumn("_dd", F.greatest(F.max("_eq").over(w), F.lit(0.0)) - F.col("_eq"))
+    d = running(d, [*by, "cost_bps"], [order], block, {"_eq": ("sum", F.col("net"))})
+    d = running(d, [*by, "cost_bps"], [order], block, {"_peak": ("max", F.col("_eq"))}).withColumn("_dd", F.greatest("_peak", F.lit(0.0)) - F.col("_eq"))
     loss = -F.sum(F.when(F.col("net") < 0, F.col("net")).otherwise(0.0))
     out = d.groupBy(*by, "cost_bps").agg(
         F.count("*").alias("trades"), F.sum("net").alias("total"), (F.sum(F.when(F.col("net") > 0, F.col("net")).otherwise(0.0)) / F.when(loss > 0, loss)).alias("profit_factor"), F.max("_dd").alias("drawdown"),
@@ -97,14 +97,33 @@ def regression_quality(d: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumns({"rmse": F.sqrt("mse"), "r2": F.when(F.col("_v") > 0, 1 - F.col("mse") / F.when(F.col("_v") > 0, F.col("_v")))}).drop("_v")
 
 
-def mid_rank(by: list[str], value: str) -> Column:
-    """Rank with ties sharing their mean, within a key."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
+def counted_below(counts: DataFrame, by: list[str], value: str, below: dict[str, str]) -> DataFrame:
+    """counts has one row for each value of a key: adds below[c], the sum of column c over the key's values up to and with this one."""
+    return running(counts, by, [value], cells(F.col(value)), {out: ("sum", F.col(c)) for c, out in below.items()})
+
+
+def mid_ranks(d: DataFrame, by: list[str], values: dict[str, str]) -> DataFrame:
+    """Adds values[c], the rank of c within a key, ties sharing their mean. Counts of distinct values are summed up in blocks of values, so no task ranks a whole key.
+
+    Column _weight, where there is one, counts a row as so many. Rows with a null value get a null rank."""
+    weight = F.col("_weight") if "_weight" in d.columns else F.lit(1)
+    for c, out in values.items():
+        n = d.filter(F.col(c).isNotNull()).groupBy(*by, c).agg(F.sum(weight).alias("_n"))
+        r = counted_below(n, by, c, {"_n": "_upto"}).select(*by, c, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
+        d = d.join(r, [*by, c], "left")
+    return d
 
 
 def spearman(d: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    r = d.withColumns({"_x": mid_rank(by, x), "_y": mid_rank(by, y)}).groupBy(*by).agg(F.corr("_x", "_y").alias("_c"), F.count("*").alias("n"), F.var_pop("_x").alias("_vx"), F.var_pop("_y").alias("_vy"))
+    """Rank correlation with mean ranks for ties; null below 3 rows or where a side is constant. Equal pairs are counted first, so no frequent value is one task's."""
+    pairs = d.groupBy(*by, x, y).agg(F.count("*").alias("_weight"))
+    r = mid_ranks(pairs, by, {x: "_x", y: "_y"})
+    both, n = F.when(F.col("_x").isNotNull() & F.col("_y").isNotNull(), F.col("_weight")), F.sum("_weight")
+    mean = r.groupBy(*by).agg((F.sum(both * F.col("_x")) / F.sum(both)).alias("_ax"), (F.sum(both * F.col("_y")) / F.sum(both)).alias("_ay"))
+    # centred before squaring: ranks are large numbers
+    dx, dy = F.col("_x") - F.col("_ax"), F.col("_y") - F.col("_ay")
+    r = r.join(mean.select(*by, "_ax", "_ay"), by).groupBy(*by).agg(n.alias("n"), F.sum(both * dx * dx).alias("_vx"), F.sum(both * dy * dy).alias("_vy"), F.sum(both * dx * dy).alias("_c"))
+    r = r.withColumn("_c", F.col("_c") / F.when((F.col("_vx") > 0) & (F.col("_vy") > 0), F.sqrt(F.col("_vx")) * F.sqrt(F.col("_vy"))))
     return r.withColumn("spearman", F.when((F.col("n") >= 3) & (F.col("_vx") > 0) & (F.col("_vy") > 0), F.col("_c"))).drop("_c", "_vx", "_vy")
 
 
@@ -122,10 +141,14 @@ def brier_log_loss(d: DataFrame, by: list[str]) -> DataFrame:
 
 
 def roc_auc(d: DataFrame, by: list[str]) -> DataFrame:
-    """Rank-sum AUC of p for y in {0, 1} with mid-ranks; null where a class is missing."""
-    r = d.withColumn("_r", mid_rank(by, "p")).groupBy(*by).agg(F.sum(F.when(F.col("y") == 1, F.col("_r"))).alias("_s"), F.count_if(F.col("y") == 1).alias("positives"), F.count_if(F.col("y") == 0).alias("negatives"))
-    pairs = F.col("positives") * F.col("negatives")
-    return r.withColumn("auc", F.when(pairs > 0, (F.col("_s") - F.col("positives") * (F.col("positives") + 1) / 2) / F.when(pairs > 0, pairs))).drop("_s")
+    """AUC of p for y in {0, 1}: the share of pairs of both classes in order, ties by half; null where a class is missing.
+
+    Rows are counted by p first; the negatives below each p are running sums in blocks of p."""
+    n = d.groupBy(*by, "p").agg(F.count_if(F.col("y") == 1).alias("_pos"), F.count_if(F.col("y") == 0).alias("_neg"))
+    won = F.col("_pos").cast("double") * (F.col("_upto") - F.col("_neg") / 2)
+    r = counted_below(n, by, "p", {"_neg": "_upto"}).groupBy(*by).agg(F.sum(won).alias("_s"), F.sum("_pos").alias("positives"), F.sum("_neg").alias("negatives"))
+    pairs = F.col("positives").cast("double") * F.col("negatives")
+    return r.withColumn("auc", F.col("_s") / F.when(pairs > 0, pairs)).drop("_s")
 
 
 def confidence_buckets(d: DataFrame, edges: list[float]) -> DataFrame:
@@ -138,7 +161,13 @@ def confidence_buckets(d: DataFrame, edges: list[float]) -> DataFrame:
 
 
 def threshold_quantile(d: DataFrame, by: list[str], value: str, q: float) -> DataFrame:
-    return d.groupBy(*by).agg(F.percentile(F.abs(value), F.lit(q)).alias("threshold"))
+    """The exact quantile q of |value|, interpolated, from counts of distinct values that are summed up in blocks of values; null without values."""
+    n = d.withColumn("_a", F.abs(value)).groupBy(*by, "_a").agg(F.count("_a").alias("_n"))
+    r = running(n, by, ["_a"], cells(F.col("_a")), {"_upto": ("sum", F.col("_n")), "_all": ("total", F.col("_n"))})
+    place = (F.col("_all") - 1) * F.lit(q)
+    at = lambda k: F.max(F.when((k >= F.col("_upto") - F.col("_n")) & (k < F.col("_upto")), F.col("_a")))
+    r = r.groupBy(*by).agg(at(F.floor(place)).alias("_lo"), at(F.ceil(place)).alias("_hi"), F.max(place - F.floor(place)).alias("_part"))
+    return r.select(*by, (F.col("_lo") + F.col("_part") * (F.col("_hi") - F.col("_lo"))).alias("threshold"))
 
 
 def top_fraction_mean(d: DataFrame, by: list[str], fraction: float) -> DataFrame:
@@ -148,10 +177,9 @@ def top_fraction_mean(d: DataFrame, by: list[str], fraction: float) -> DataFrame
     return d.filter("_k <= _n").groupBy(*by).agg(F.count("*").alias("chosen"), F.avg("outcome").alias("mean_outcome"))
 
 
-def evenly_spaced(d: DataFrame, key: str, order: str, samples: int) -> DataFrame:
+def evenly_spaced(d: DataFrame, key: str, order: str, samples: int, block: int | None = None) -> DataFrame:
     """Row number floor(j * (n - 1) / (k - 1)) for j < k of each key, all rows where k >= n, the middle one for k = 1; adds place."""
-    w = Window.partitionBy(key)
-    d = d.withColumns({"_n": F.count("*").over(w), "place": F.row_number().over(w.orderBy(order)) - 1})
+    d = running(d, [key], [order], block, {"_n": ("total", F.lit(1)), "place": ("sum", F.lit(1))}).withColumn("place", F.col("place") - 1)
     if samples == 1:
         return d.filter(F.col("place") == F.floor((F.col("_n") - 1) / 2)).drop("_n")
     # the row at p is chosen if some j has floor(j (n-1) / (k-1)) = p, that is if the first j at or above p's bound gives p
@@ -160,8 +188,8 @@ def evenly_spaced(d: DataFrame, key: str, order: str, samples: int) -> DataFrame
     return d.filter((F.col("_n") <= samples) | hit).drop("_n")
 
 
-def stride(d: DataFrame, key: str, order: str, every: int) -> DataFrame:
-    return d.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).filter(F.col("_k") % every == 0).drop("_k")
+def stride(d: DataFrame, key: str, order: str, every: int, block: int | None = None) -> DataFrame:
+    return running(d, [key], [order], block, {"_k": ("sum", F.lit(1))}).filter((F.col("_k") - 1) % every == 0).drop("_k")
 
 
 def leaderboard(d: DataFrame, key: str, by: list[Column], n: int = 10) -> DataFrame:

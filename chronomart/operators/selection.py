@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import finite
+from .running import running
 
 
 def pool_folds(trades: DataFrame, by: list[str], folds: DataFrame) -> DataFrame:
@@ -42,28 +43,30 @@ def first_of_near_best(configs: DataFrame, key: list[str], order: list[str], sco
     return packed.withColumn("_b", best).select(*key, *[F.col(f"_b.{c}").alias(c) for c in order], F.col("_b._s").alias(score), F.col("_b._t").alias(tie))
 
 
-def expanding_folds(rows: DataFrame, key: str, order: str, label_end: str, folds: int) -> DataFrame:
-    """Contiguous folds by row count (bounds rounded half to even): rows, first and last time, and earlier rows whose label ends before the fold begins."""
-    w = Window.partitionBy(key)
-    n, place = F.count("*").over(w), F.row_number().over(w.orderBy(order)) - 1
-    d = rows.withColumns({"_n": n, "_p": place})
+def expanding_folds(rows: DataFrame, key: str, order: str, label_end: str, folds: int, block: int | None = None) -> DataFrame:
+    """Contiguous folds by row count (bounds rounded half to even): rows, first and last time, and earlier rows whose label ends before the fold begins.
+
+    A row counts for each fold that begins after the later of its time and its label's end, so it is put once, under the first such fold, and folds are summed up."""
+    d = running(rows, [key], [order], block, {"_n": ("total", F.lit(1)), "_p": ("sum", F.lit(1))}).withColumn("_p", F.col("_p") - 1)
     fold = F.lit(0)
     for k in range(1, folds):
         fold = fold + (F.col("_p") >= F.bround(F.col("_n") * k / folds)).cast("int")
     d = d.withColumn("fold", fold)
     f = d.groupBy(key, "fold").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
-    past = d.select(key, F.col(order).alias("_o"), F.col(label_end).alias("_e")).join(F.broadcast(f.select(key, "fold", "first")), key)
-    train = past.filter((F.col("_o") < F.col("first")) & (F.col("_e") < F.col("first"))).groupBy(key, "fold").agg(F.count("*").alias("train"))
-    return f.join(train, [key, "fold"], "left").withColumn("train", F.coalesce("train", F.lit(0)).cast("long"))
+    free = d.filter(F.col(order).isNotNull() & F.col(label_end).isNotNull()).groupBy(key, F.greatest(order, label_end).alias("_free")).agg(F.count("*").alias("_c"))
+    # a fold's start comes before what becomes free at that very time
+    both = free.select(key, F.col("_free").alias("_at"), F.lit(1).alias("_s"), "_c").unionByName(f.select(key, "fold", "last", "n", F.col("first").alias("_at"), F.lit(0).alias("_s")), allowMissingColumns=True)
+    done = running(both, [key], ["_at", "_s", "fold"], block, {"train": ("sum", F.col("_c"))}).filter("_s = 0")
+    return done.select(key, "fold", F.col("_at").alias("first"), "last", "n", F.coalesce("train", F.lit(0)).cast("long").alias("train"))
 
 
-def halves(rows: DataFrame, key: list[str], order: str, label_end: str) -> DataFrame:
+def halves(rows: DataFrame, key: list[str], order: str, label_end: str, block: int | None = None) -> DataFrame:
     """Adds part: first half of a key's rows 'calibration' (its rows whose label crosses the second half's start: null), second half 'selection'."""
-    w = Window.partitionBy(*key)
-    d = rows.withColumns({"_n": F.count("*").over(w), "_p": F.row_number().over(w.orderBy(order)) - 1})
-    late = F.col("_p") >= F.floor(F.col("_n") / 2)
-    start = F.min(F.when(late, F.col(order))).over(w)
-    return d.withColumn("part", F.when(late, "selection").when(F.col(label_end) < start, "calibration")).drop("_n", "_p")
+    d = running(rows, key, [order], block, {"_n": ("total", F.lit(1)), "_p": ("sum", F.lit(1))})
+    late = F.col("_p") - 1 >= F.floor(F.col("_n") / 2)
+    # just one row of a key starts its second half
+    d = running(d, key, [order], block, {"_start": ("total", F.when(F.col("_p") - 1 == F.floor(F.col("_n") / 2), F.col(order)))})
+    return d.withColumn("part", F.when(late, "selection").when(F.col(label_end) < F.col("_start"), "calibration")).drop("_n", "_p", "_start")
 
 
 def probabilistic_action(p_long: Column, p_short: Column, u_long: Column, u_short: Column, least: float) -> Column:

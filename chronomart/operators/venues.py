@@ -34,7 +34,7 @@ def delayed_packet(decisions: DataFrame, quotes: DataFrame, *, delay_us: int, an
     for k, back in enumerate((0, *anchors_us)):
         d = d.withColumn("_cut", F.col("us") - delay_us - back)
         q = quotes.select("symbol", F.col("us").alias("_cut"), F.col("price").alias(f"_p{k}"), F.col("segment").alias(f"_s{k}"))
-        j = asof(d, q, [f"_p{k}", f"_s{k}"], on="_cut", by=["symbol"], max_age=max_age_us)
+        j = asof(d, q, [f"_p{k}", f"_s{k}"], on="_cut", by=["symbol"], max_age=max_age_us, block=max(max_age_us, 86_400_000_000))
         d = j.withColumn(f"_a{k}", F.col("_cut") - F.col("asof_t")).drop("asof_t", "_cut")
     ok = F.col("_p0").isNotNull()
     for k in range(1, len(anchors_us) + 1):

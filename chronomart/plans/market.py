@@ -16,6 +16,8 @@ from . import registry
 BARS = bars_sql()
 CLASSES = {"click": qa.ALWAYS_OPEN, "view": qa.WEEKDAYS, "purchase": qa.WEEKDAYS, "signup": qa.ALWAYS_OPEN}
 W = "partition by symbol order by t"
+#: Blocks of time by which hot symbols are dealt over tasks.
+WEEK, DAY_US = 7 * 86400, 86_400_000_000
 
 
 def query(name: str, sql: str | None = None, ctes: str = BARS) -> Callable:
@@ -288,7 +290,7 @@ def w8(spark, sf):
   select symbol, t, sum(net) over (partition by symbol order by t rows unbounded preceding) as eq, sum(ln(1 + net / 1e4)) over (partition by symbol order by t rows unbounded preceding) as lg from trades where net > -9999)) group by symbol
   ## compounded_dd, earlier_peak_dd, additive_dd""", SIGNALS)
 def w9(spark, sf):
-    return metrics.drawdowns(trades(spark, sf).filter("net > -9999"), "symbol", ["t"])
+    return metrics.drawdowns(trades(spark, sf).filter("net > -9999"), "symbol", ["t"], WEEK)
 
 
 @query("w10_trend_consistency", f"""select symbol, t, case when w > 0 then up / 12.0::double when w < 0 then dn / 12.0::double when w = 0 then 0.5 end as trend from (select *, close - lag(close, 12) over ({W}) as w,
@@ -363,7 +365,7 @@ def ag15(spark, sf):
 @query("w20_equity_series", """select symbol, t, avg(case when net > 0 then 1.0 else 0.0 end) over (partition by symbol order by t rows unbounded preceding) as hit_rate,
   (exp(sum(ln(1 + net / 1e4)) over (partition by symbol order by t rows unbounded preceding)) - 1) * 100 as equity_pct from trades where net > -9999 ## hit_rate, equity_pct""", SIGNALS)
 def w20(spark, sf):
-    return metrics.equity_series(trades(spark, sf).filter("net > -9999"), "symbol", ["t"]).select("symbol", "t", "hit_rate", "equity_pct")
+    return metrics.equity_series(trades(spark, sf).filter("net > -9999"), "symbol", ["t"], WEEK).select("symbol", "t", "hit_rate", "equity_pct")
 
 
 PEER = f"""{BARS}, peer as (select symbol, us, tick_id, price, row_number() over (partition by symbol, us order by tick_id desc) as u from ticks where venue = 0)"""
@@ -381,7 +383,7 @@ def j1(spark, sf):
   select l.symbol, l.us, l.tick_id, p.us as pus, p.price as pprice, coalesce(l.us - p.us <= 7200000000, false) as ok from ticks l asof left join (select * from peer where u = 1) p on l.symbol = p.symbol and l.us >= p.us where l.venue = 1) ## available, relative_age, peer_price""", PEER)
 def j2(spark, sf):
     t = ticks(spark, sf)
-    j = joins.asof(t.filter("venue = 1").select("symbol", "us", "tick_id"), t.filter("venue = 0").select("symbol", "us", F.col("price").alias("peer_price")), ["peer_price"], on="us", by=["symbol"], max_age=7_200_000_000)
+    j = joins.asof(t.filter("venue = 1").select("symbol", "us", "tick_id"), t.filter("venue = 0").select("symbol", "us", F.col("price").alias("peer_price")), ["peer_price"], on="us", by=["symbol"], max_age=7_200_000_000, block=DAY_US)
     return joins.masked_packet(j, ["peer_price"], F.col("us") - F.col("asof_t"), 7_200_000_000.0).drop("asof_t")
 
 
@@ -390,7 +392,7 @@ def j2(spark, sf):
 def j5(spark, sf):
     t = ticks(spark, sf)
     peer = t.filter("venue = 0 and qty >= 50").select("symbol", "us", F.col("price").alias("peer_price"))
-    j = joins.asof(t.filter("venue = 1").select("symbol", "us", "tick_id"), peer, ["peer_price"], on="us", by=["symbol"])
+    j = joins.asof(t.filter("venue = 1").select("symbol", "us", "tick_id"), peer, ["peer_price"], on="us", by=["symbol"], block=DAY_US)
     age = F.col("us") - F.col("asof_t")
     return j.select("symbol", "us", "tick_id", "peer_price", F.log1p(age / 3.6e9).alias("log_age"), F.coalesce(age <= 300_000_000, F.lit(False)).alias("fresh"))
 
@@ -543,7 +545,7 @@ def ag20(spark, sf):
 @query("k1_evenly_spaced", """select symbol, t, p as place from (select symbol, t, row_number() over (partition by symbol order by t) - 1 as p, count(*) over (partition by symbol) as n from bars)
   where n <= 50 or p in (select j * (n - 1) // 49 from (select unnest(generate_series(0, 49)) as j))""")
 def k1(spark, sf):
-    return metrics.evenly_spaced(hourly(spark, sf), "symbol", "t", 50).select("symbol", "t", F.col("place").cast("long"))
+    return metrics.evenly_spaced(hourly(spark, sf), "symbol", "t", 50, WEEK).select("symbol", "t", F.col("place").cast("long"))
 
 
 @query("k2_top_fraction", """select symbol, count(*) as chosen, avg(y) as mean_outcome from (select *, row_number() over (partition by symbol order by pred desc, t) as k, count(*) over (partition by symbol) as n from preds) where k <= greatest(1, round_even(n * 0.1, 0)) group by symbol ## mean_outcome""", PRED)
@@ -559,7 +561,7 @@ def k4(spark, sf):
 
 @query("k8_stride", "select symbol, t from (select *, row_number() over (partition by symbol order by t) - 1 as k from bars) where k % 4 = 0")
 def k8(spark, sf):
-    return metrics.stride(hourly(spark, sf), "symbol", "t", 4).select("symbol", "t")
+    return metrics.stride(hourly(spark, sf), "symbol", "t", 4, WEEK).select("symbol", "t")
 
 
 @query("u1_shared_keys", "select t from bars where symbol = 'click' intersect select t from bars where symbol = 'view'")
@@ -580,9 +582,6 @@ def r8(spark, sf):
     return grids.trade_bins(ticks(spark, sf), 250_000)
 
 
-DAY_US = 86_400_000_000
-
-
 @query("s6_ledger_summary", "select series, count(*) as n, min(known) as first_known, max(known) as last_known, count(distinct observed) as months from ledger group by series", LEDGER_SQL)
 def s6(spark, sf):
     return ledger(spark, sf).groupBy("series").agg(F.count("*").alias("n"), F.min("known").alias("first_known"), F.max("known").alias("last_known"), F.countDistinct("observed").alias("months"))

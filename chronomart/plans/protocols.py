@@ -10,7 +10,7 @@ from ..operators import quality as qa
 from ..sources import scans
 from ..sources.adapters import HOUR, LEDGER_SQL, TICKS_SQL, hourly, ledger, table, ticks
 from ..sources.shared import new_folder
-from .market import ALL, BARS, BINARY, FLAGGED, LAGGED, NUMBERED, SIGNALS, W, binary, flagged, lagged, over, outcomes, query, trades
+from .market import ALL, BARS, BINARY, FLAGGED, LAGGED, NUMBERED, SIGNALS, W, WEEK, binary, flagged, lagged, over, outcomes, query, trades
 
 CUT = 1705795200  # 2024-01-21
 FEATURES = ["r", "r3", "v6"]
@@ -189,7 +189,7 @@ def economics_sql(by: str, costs: str) -> str:
 
 @query("ag4_full_economics", economics_sql("symbol", "(4.0::double), (8.0), (12.0)") + " ## cost_bps, total, profit_factor, drawdown, worst, total_over_drawdown", SIGNALS)
 def ag4_full(spark, sf):
-    return metrics.full_economics(trades(spark, sf), spark.createDataFrame(COSTS, "cost_bps double"), ["symbol"])
+    return metrics.full_economics(trades(spark, sf), spark.createDataFrame(COSTS, "cost_bps double"), ["symbol"], block=WEEK)
 
 
 @query("ag14_local_rate", """select q.symbol, q.t, case when n >= 30 then least(greatest(h / n::double, 0.01), 0.99) else q.p end as calibrated from (select * from twoclass where t >= 1705276800) q left join (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import features as fx
 from ..operators import audits, grids, joins, labels, metrics, queue, selection, venues
 from ..sources.adapters import HOUR, LEDGER_SQL, TICKS_SQL, bars, hourly, ledger, ticks
-from .market import ALL, BARS, FLAGGED, LAGGED, NUMBERED, PEER, PRED, SIGNALS, WEEKDAY_SQL, DAY_US, W, binary, flagged, over, preds, query, trades
+from .market import ALL, BARS, FLAGGED, LAGGED, NUMBERED, PEER, PRED, SIGNALS, WEEKDAY_SQL, DAY_US, W, WEEK, binary, flagged, over, preds, query, trades
 
 BY_TICK = "partition by symbol order by us, tick_id"
 
@@ -24,7 +24,7 @@ def q12(spark, sf):
 
 def aged(spark, sf):
     t = ticks(spark, sf)
-    return joins.asof(t.filter("venue = 1").select("symbol", "us", "tick_id"), t.filter("venue = 0").select("symbol", "us", "price"), ["price"], on="us", by=["symbol"])
+    return joins.asof(t.filter("venue = 1").select("symbol", "us", "tick_id"), t.filter("venue = 0").select("symbol", "us", "price"), ["price"], on="us", by=["symbol"], block=DAY_US)
 
 
 AGED = f"{PEER}, aged as (select l.symbol, l.us, l.tick_id, p.us as asof_t, l.us - p.us as age from ticks l asof left join (select * from peer where u = 1) p on l.symbol = p.symbol and l.us >= p.us where l.venue = 1)"
@@ -151,7 +151,7 @@ def j3(spark, sf):
     names = [f"{p}{k}" for k in (1, 2, 3, 6) for p in ("z", "ok")]
     packet = venues.lag_packet(hourly(spark, sf), (1, 2, 3, 6), 12, HOUR).filter("symbol = 'view'").withColumn("at", F.col("t") + HOUR)
     left = ticks(spark, sf).filter("venue = 1 and symbol = 'click'").select("symbol", "us", "tick_id", F.lit("view").alias("peer"), F.floor(F.col("us") / 1_000_000).cast("long").alias("at"))
-    j = joins.asof(left, packet.withColumnRenamed("symbol", "peer"), names, on="at", by=["peer"])
+    j = joins.asof(left, packet.withColumnRenamed("symbol", "peer"), names, on="at", by=["peer"], block=WEEK)
     return j.select("symbol", "us", "tick_id", (F.col("asof_t") - HOUR).alias("asof_t"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
 
 
@@ -366,14 +366,14 @@ def k6(spark, sf):
   select symbol, t, row_number() over (partition by symbol order by t) - 1 as p, count(*) over (partition by symbol) as n from bars)) group by 1, 2) f""")
 def m4(spark, sf):
     d = hourly(spark, sf).select("symbol", "t", (F.col("t") + 6 * HOUR).alias("t_end"))
-    return selection.expanding_folds(d, "symbol", "t", "t_end", 5)
+    return selection.expanding_folds(d, "symbol", "t", "t_end", 5, WEEK)
 
 
 @query("m9_halves", """select symbol, t, case when p >= n // 2 then 'selection' when t + 21600 < start then 'calibration' end as part from (select *, min(case when p >= n // 2 then t end) over (partition by symbol) as start from (
   select symbol, t, row_number() over (partition by symbol order by t) - 1 as p, count(*) over (partition by symbol) as n from bars))""")
 def m9(spark, sf):
     d = hourly(spark, sf).select("symbol", "t", (F.col("t") + 6 * HOUR).alias("t_end"))
-    return selection.halves(d, ["symbol"], "t", "t_end").select("symbol", "t", "part")
+    return selection.halves(d, ["symbol"], "t", "t_end", WEEK).select("symbol", "t", "part")
 
 
 @query("m10_probabilistic_actions", """select symbol, t, case when l and s then case when ul > us then 1 when us > ul then -1 else 0 end when l then 1 when s then -1 else 0 end as action from (select *, p >= 0.55 and ul > 0 as l, q >= 0.55 and us > 0 as s from (
