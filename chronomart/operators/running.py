@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def cells(c: Column, per_unit: int = 64) -> Column:
-    """A cell for each value that grows with it, of even width in the logarithm of its size: blocks for an order by value."""
-    return F.floor(F.signum(c) * F.log1p(F.abs(c)) * per_unit)
+    """A cell for each value that grows with it, of even width in the logarithm of its size: blocks for an order by value. NaN comes last, as in Spark's order."""
+    c = c.cast("double")
+    return F.floor(F.when(F.isnan(c), float("inf")).otherwise(F.signum(c) * F.log1p(F.abs(c)) * per_unit))
 
 
 def running(d: DataFrame, key: list[str], order: list[str], block: int | Column | None, columns: dict[str, tuple[str, Column]]) -> DataFrame:

@@ -6,10 +6,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import threshold_quantile
+from .running import running
 
-def placed(rows: DataFrame) -> DataFrame:
-    """Adds k: the place of a row in its symbol's order of t, from 0."""
-    return rows.withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy("t")) - 1)
+
+def placed(rows: DataFrame, block: int = 7 * 86400) -> DataFrame:
+    """Adds k: the place of a row in its symbol's order of t, from 0. Symbols are dealt over tasks by blocks of t."""
+    return running(rows, ["symbol"], ["t"], block, {"k": ("sum", F.lit(1))}).withColumn("k", (F.col("k") - 1).cast("int"))
 
 
 def refits(rows: DataFrame, *, gap: int, every: int, least: int) -> DataFrame:
@@ -224,7 +227,7 @@ def economic_gate(train: DataFrame, rows: DataFrame, cost: float | None, *, shar
 
     if cost is None:
         return rows.limit(0)
-    least = train.groupBy("symbol").agg(F.percentile(F.abs("pred"), F.lit(share)).alias("_least"))
+    least = threshold_quantile(train, ["symbol"], "pred", share).withColumnRenamed("threshold", "_least")
     size = F.abs(finite(F.col("pred")))
     return rows.join(least, "symbol").filter((size >= F.col("_least")) & (finite(F.col("vol_rank")) >= volatility) & (size > times * cost)).drop("_least")
 

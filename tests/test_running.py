@@ -78,9 +78,11 @@ def test_ranks_and_quantiles_with_ties_and_extremes(spark):
 
 
 def test_cells_grow_with_the_value(spark):
-    v = sorted([0.0, *[s * 10.0**e for e in range(-300, 301, 7) for s in (-1, 1)]])
+    v = sorted([0.0, float("inf"), float("-inf"), *[s * 10.0**e for e in range(-300, 301, 7) for s in (-1, 1)]])
     got = [r.c for r in spark.createDataFrame([(x,) for x in v], "x double").select("x", cells(F.col("x")).alias("c")).orderBy("x").collect()]
     assert got == sorted(got)
+    nan = spark.createDataFrame([(float("nan"),)], "x double").select(cells(F.col("x"))).first()[0]
+    assert nan == got[-1]
 
 
 @pytest.mark.parametrize("block", [None, 5])
