@@ -95,6 +95,7 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(
         "doc_id", n(0).alias("n_email"), n(1).alias("n_ip"), n(2).alias("n_card"), n(3).alias("n_phone"),
         F.sha2(F.array_join(F.transform(base, one), ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.transform("spans", one), ",").alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 

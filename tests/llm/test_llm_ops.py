@@ -448,6 +448,7 @@ def test_pii(spark, docs, edge):
     names = pii.KINDS
     for r in rows:
         assert r.n_email + r.n_ip + r.n_card + r.n_phone <= (r.spans.count(",") + 1 if r.spans else 0)
+        assert r.n_spans == (r.spans.count(",") + 1 if r.spans else 0)
     text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert all(r.base_sha256 == sha(",".join(f"{names[k]}:{a}:{b}" for k, a, b in brute_spans(text[r.doc_id]))) for r in rows)
     assert any("secret:" in r.spans for r in rows)
