@@ -161,12 +161,11 @@ def _hash(x: np.ndarray) -> np.ndarray:
     return ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
 
 
-def _by_shard(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, places of its rows) of the shards that have rows, whatever their number."""
     order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-    for k in range(shards):
-        if cuts[k] < cuts[k + 1]:
-            yield k, order[cuts[k] : cuts[k + 1]]
+    own, first = np.unique(shard[order], return_index=True)
+    yield from zip(own.tolist(), np.split(order, first[1:]), strict=True) if len(own) else ()
 
 
 class Spread:
@@ -292,10 +291,10 @@ def train(docs: DataFrame, *, order: int = 2) -> Model:
             u, v, w = (np.concatenate(x) for x in zip(*held, strict=True))
             two = u < 0 if order == 3 else np.ones(len(w), bool)
             c, x, n = _fold(v[two], w[two])
-            parts = [(2, k, _block(c[own], x[own], n[own])) for k, own in _by_shard(spread(c, x), shards)]
+            parts = [(2, k, _block(c[own], x[own], n[own])) for k, own in _by_shard(spread(c, x))]
             if order == 3:
                 c, x, n = _fold(u[~two] << 32 | v[~two], w[~two])
-                parts += [(3, k, _block(c[own], x[own], n[own])) for k, own in _by_shard(_hash(c) % shards, shards)]
+                parts += [(3, k, _block(c[own], x[own], n[own])) for k, own in _by_shard(_hash(c) % shards)]
             level, shard, block = zip(*parts, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), pa.array(shard, pa.int32()), pa.array(block, pa.binary())], ["level", "shard", "block"])
 
@@ -328,7 +327,7 @@ def train(docs: DataFrame, *, order: int = 2) -> Model:
         c, w, n = _gathered(table)
         put_file(f"{folder}/trigrams-{shard}", pack(_level(c, w, n)))
         v, x, types = _fold(c & 0xFFFFFFFF, w)
-        return rows("level shard block", [(-3, shard, statistics(n)), *((2, k, _block(v[at], x[at], types[at])) for k, at in _by_shard(spread(v, x), shards))])
+        return rows("level shard block", [(-3, shard, statistics(n)), *((2, k, _block(v[at], x[at], types[at])) for k, at in _by_shard(spread(v, x)))])
 
     def merge(table: pa.Table) -> pa.Table:
         """Write a shard of bigrams; give its words' continuation counts, its statistics (part -1) and the sums of split first words (-2)."""
@@ -340,7 +339,7 @@ def train(docs: DataFrame, *, order: int = 2) -> Model:
         own, first = np.unique(v, return_index=True)
         sums = [np.add.reduceat(x, first, dtype=np.int64)[split(own)] for x in (n, n == 1, n == 2, n >= 3)]
         x, types = np.unique(w, return_counts=True)
-        parts = [(k, shard, squeeze(x[at], types[at])) for k, at in _by_shard(x // RANGE, ranges)]
+        parts = [(k, shard, squeeze(x[at], types[at])) for k, at in _by_shard(x // RANGE)]
         return rows("part shard block", [(-1, shard, statistics(n)), (-2, shard, squeeze(own[split(own)], *sums)), *parts])
 
     def finish(table: pa.Table) -> pa.Table:
@@ -353,10 +352,12 @@ def train(docs: DataFrame, *, order: int = 2) -> Model:
         stats = np.array([(cont == c).sum() for c in (1, 2, 3, 4)] + [(cont >= 3).sum()], np.int64)
         return pa.table({"part": pa.array([part], pa.int32()), "block": pa.array([stats.tobytes()], pa.binary())})
 
+    # shards are of constant size, so the partitions they are dealt over grow with their number: a task reads a few, at any size of input
+    grouped = lambda d: d.repartition(4 * shards, "level", "shard").groupBy("level", "shard")
     blocks = docs.select("text").mapInArrow(count, kinds)
     if order == 3:
-        blocks = blocks.groupBy("level", "shard").applyInArrow(lower, kinds)
-    merged = written(blocks.groupBy("level", "shard").applyInArrow(merge, "part int, shard int, block binary"), "lm-continuations")
+        blocks = grouped(blocks).applyInArrow(lower, kinds)
+    merged = written(grouped(blocks).applyInArrow(merge, "part int, shard int, block binary"), "lm-continuations")
     of = lambda part: merged.filter(F.col("part") == part).collect()  # noqa: E731  # one row a shard
     seen, tri = of(-1), of(-3)
     own = written(merged.filter("part >= 0").groupBy("part").applyInArrow(finish, "part int, block binary"), "lm-parts").collect()
@@ -400,7 +401,7 @@ class Scorer:
         """The lower order: continuation counts, discounted, over a uniform share for all words and the unknown one."""
         m, cont = self.m, np.zeros(len(ids), np.int64)
         known = np.flatnonzero(ids >= 0)
-        for k, own in _by_shard(ids[known] // RANGE, len(m.continuations)):
+        for k, own in _by_shard(ids[known] // RANGE):
             if m.continuations[k]:
                 cont[known[own]] = self._file(m.continuations[k])["n"][ids[known[own]] - k * RANGE]
         low = np.maximum(cont - m.d1[np.minimum(cont, 3)], 0) / max(m.types, 1)
@@ -408,7 +409,7 @@ class Scorer:
 
     def _interpolated(self, files: list[str], shard: np.ndarray, c: np.ndarray, w: np.ndarray, d: np.ndarray, low: np.ndarray) -> np.ndarray:
         n, total, kinds = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64), np.zeros((3, len(c)), np.int64)
-        for k, own in _by_shard(shard, len(files)):
+        for k, own in _by_shard(shard):
             if files[k]:
                 own = own[np.argsort(c[own])]
                 n[own], total[own], kinds[:, own] = _read_level(self._file(files[k]), c[own], w[own])
