@@ -164,8 +164,9 @@ def _hash(x: np.ndarray) -> np.ndarray:
 def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(shard, places of its rows) of the shards that have rows, whatever their number."""
     order = np.argsort(shard, kind="stable")
-    own, first = np.unique(shard[order], return_index=True)
-    yield from zip(own.tolist(), np.split(order, first[1:]), strict=True) if len(own) else ()
+    own = shard[order]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)])
+    yield from zip(own[first].tolist(), np.split(order, first[1:]), strict=True) if len(own) else ()
 
 
 class Spread:
