@@ -160,14 +160,20 @@ def confidence_buckets(d: DataFrame, edges: list[float]) -> DataFrame:
     return dim.join(got, "lo", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def threshold_quantile(d: DataFrame, by: list[str], value: str, q: float) -> DataFrame:
-    """The exact quantile q of |value|, interpolated, from counts of distinct values that are summed up in blocks of values; null without values."""
-    n = d.withColumn("_a", F.abs(value)).groupBy(*by, "_a").agg(F.count("_a").alias("_n"))
+def quantiles(d: DataFrame, by: list[str], value: Column, at: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles (name -> q) of a value by key, from counts of distinct values that are summed up in blocks of values; null without values."""
+    n = d.withColumn("_a", value).groupBy(*by, "_a").agg(F.count("_a").alias("_n"))
     r = running(n, by, ["_a"], cells(F.col("_a")), {"_upto": ("sum", F.col("_n")), "_all": ("total", F.col("_n"))})
-    place = (F.col("_all") - 1) * F.lit(q)
-    at = lambda k: F.max(F.when((k >= F.col("_upto") - F.col("_n")) & (k < F.col("_upto")), F.col("_a")))
-    r = r.groupBy(*by).agg(at(F.floor(place)).alias("_lo"), at(F.ceil(place)).alias("_hi"), F.max(place - F.floor(place)).alias("_part"))
-    return r.select(*by, (F.col("_lo") + F.col("_part") * (F.col("_hi") - F.col("_lo"))).alias("threshold"))
+    place = {k: (F.col("_all") - 1) * F.lit(q) for k, q in at.items()}
+    here = lambda k: F.max(F.when((k >= F.col("_upto") - F.col("_n")) & (k < F.col("_upto")), F.col("_a")))
+    parts = [x for k, c in place.items() for x in (here(F.floor(c)).alias(f"_lo_{k}"), here(F.ceil(c)).alias(f"_hi_{k}"), F.max(c - F.floor(c)).alias(f"_part_{k}"))]
+    r = r.groupBy(*by).agg(*parts)
+    return r.select(*by, *[(F.col(f"_lo_{k}") + F.col(f"_part_{k}") * (F.col(f"_hi_{k}") - F.col(f"_lo_{k}"))).alias(k) for k in at])
+
+
+def threshold_quantile(d: DataFrame, by: list[str], value: str, q: float) -> DataFrame:
+    """The exact quantile q of |value|, interpolated; null without values."""
+    return quantiles(d, by, F.abs(value), {"threshold": q})
 
 
 def top_fraction_mean(d: DataFrame, by: list[str], fraction: float) -> DataFrame:

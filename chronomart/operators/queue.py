@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import quantiles
+from .running import running
+
 
 def candidates(quotes: DataFrame, spacing_us: int, limit: Column, queue: Column, signed: dict[str, Column]) -> DataFrame:
     """One order a symbol and slot of time, at the slot's first microsecond, from the latest quote before it.
@@ -50,19 +53,59 @@ def replay(orders: DataFrame, events: DataFrame, *, size: float, latency_us: int
     return d.withColumn("status", F.when(F.col("filled") >= size, "filled").when(F.col("filled") > 0, "partial").otherwise("miss"))
 
 
-def policy_metrics(orders: DataFrame, policies: dict[str, Column]) -> DataFrame:
-    """Of each policy's orders, whole and by side: counts, fill rates, waits, queues and net results of fills.
+def policy_metrics(orders: DataFrame, policies: dict[str, Column], *, cost: float, stress: float, block: int = 86_400_000_000) -> DataFrame:
+    """What each policy's orders come to, whole (null sign) and by side: rates, waits, queues, net results of fills, their tails and how they spread over days and hours.
 
-    orders: sign, status, queue, wait_us, net (bps, null without fill), adverse. Whole-policy rows have a null sign. Each row is copied once for
-    each policy that takes it.
+    orders: symbol, decision_us, sign, status, queue, first_fill_us, gross (bps, null without fill), adverse. cost and stress (bps) give net
+    and stressed results. Days are those of decisions, idle ones too, hours those of first fills; a concentration is the best one's share of all
+    gains, 1 without gains. The drawdown is additive from the running peak (from 0), in order of decisions; ratios without a divisor are infinite for a
+    gain, else 0. A row is copied twice for each policy that takes it. Empty tables give none.
     """
+    hit, by = F.col("status") != "miss", ["policy", "side"]
     chosen = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in policies.items()]))
-    d = orders.withColumn("policy", F.explode(chosen))
+    d = orders.withColumn("policy", F.explode(chosen)).withColumn("side", F.explode(F.array(F.lit(0), F.col("sign").cast("int"))))
+    d = d.select(
+        *by, "symbol", "decision_us", "status", "queue", "gross", "adverse", (F.col("gross") - cost).alias("net"), (F.col("gross") - stress).alias("stress"),
+        F.when(hit, F.col("first_fill_us") - F.col("decision_us")).alias("wait_us"), F.floor(F.col("decision_us") / 86_400_000_000).alias("day"), F.floor(F.col("first_fill_us") / 3_600_000_000).alias("hour"),
+    )
     rate = lambda c: F.avg(c.cast("double"))
-    hit = F.col("status") != "miss"
-    agg = [
-        F.count("*").alias("n"), rate(hit).alias("fill_rate"), rate(F.col("status") == "partial").alias("partial_rate"), F.avg("wait_us").alias("mean_wait_us"),
-        F.max("wait_us").alias("longest_wait_us"), F.avg("queue").alias("mean_queue"), F.sum("net").alias("total_net"), F.avg("net").alias("mean_net"),
-        F.min("net").alias("worst_net"), F.avg(F.when(hit, F.col("adverse").cast("double"))).alias("adverse_rate"),
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    net = F.col("net")
+    out = d.groupBy(*by).agg(
+        F.count("*").alias("n"), F.count_if(hit).alias("filled_orders"), F.count_if(F.col("status") == "filled").alias("full_fills"), F.count_if(F.col("status") == "partial").alias("partial_fills"),
+        rate(hit).alias("fill_rate"), rate(F.col("status") == "partial").alias("partial_rate"), rate(~hit).alias("timeout_rate"), rate(F.col("status") != "filled").alias("cancel_rate"),
+        F.avg("wait_us").alias("mean_wait_us"), F.max("wait_us").alias("longest_wait_us"), F.avg("queue").alias("mean_queue"),
+        F.avg("gross").alias("mean_gross"), F.avg("net").alias("mean_net"), F.avg("stress").alias("mean_stress"),
+        total("gross").alias("total_gross"), total("net").alias("total_net"), total("stress").alias("total_stress"), total(F.col("gross") - net).alias("total_fees"),
+        total(F.when(net > 0, net)).alias("_gain"), total(F.when(net < 0, -net)).alias("_loss"), F.min("net").alias("worst_net"), F.avg(F.when(hit, F.col("adverse").cast("double"))).alias("adverse_rate"),
+    )
+
+    def spread(rows: DataFrame, unit: str) -> DataFrame:
+        gain = F.greatest("_x", F.lit(0.0))
+        each = rows.groupBy(*by, unit).agg(total("net").alias("_x"))
+        share = F.max(gain) / F.when(F.sum(gain) > 0, F.sum(gain))
+        return each.groupBy(*by).agg(F.count("*").alias(f"{unit}s"), rate(F.col("_x") > 0).alias(f"positive_{unit}s"), F.coalesce(share, F.lit(1.0)).alias(f"{unit}_concentration"))
+
+    fills, order = d.filter(hit), ["decision_us", "symbol"]
+    curve = running(fills, by, order, block, {"_eq": ("sum", net)})
+    curve = running(curve, by, order, block, {"_peak": ("max", F.col("_eq"))}).groupBy(*by).agg(F.max(F.greatest("_peak", F.lit(0.0)) - F.col("_eq")).alias("drawdown"))
+    levels = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+    parts = [
+        spread(d, "day"), spread(fills, "hour"), curve, quantiles(d, by, F.col("wait_us"), {f"wait_{k}": q for k, q in levels.items()}),
+        quantiles(d, by, F.col("queue"), {f"queue_{k}": q for k, q in levels.items()}), quantiles(d, by, net, {"net_p01": 0.01, "net_p05": 0.05}),
     ]
-    return d.groupingSets([["policy"], ["policy", "sign"]], "policy", "sign").agg(*agg)
+    for p in parts:
+        out = out.join(p, by, "left")
+    out = out.fillna({"drawdown": 0.0, "hours": 0, "positive_hours": 0.0, "hour_concentration": 1.0})
+    ratio = lambda a, b, gain: F.when(F.col(b) > 0, F.col(a) / F.when(F.col(b) > 0, F.col(b))).when(F.col(gain) > 0, F.lit(float("inf"))).otherwise(0.0)
+    out = out.withColumns({"profit_factor": ratio("_gain", "_loss", "_gain"), "total_over_drawdown": ratio("total_net", "drawdown", "total_net"), "fills_a_day": F.col("filled_orders") / F.col("days")})
+    return out.withColumn("sign", F.when(F.col("side") != 0, F.col("side"))).drop("side", "_gain", "_loss")
+
+
+def policy_deltas(metrics: DataFrame, base: str) -> DataFrame:
+    """What each other policy changes against the base policy, whole and by side; null where either has no value. A side that the base lacks is left out."""
+    names = ("mean_net", "total_net", "filled_orders", "fill_rate", "adverse_rate")
+    own = metrics.select("policy", "sign", *names, "total_fees")
+    b = own.filter(F.col("policy") == base).select(F.col("sign").alias("_sign"), *[F.col(c).alias(f"_{c}") for c in (*names, "total_fees")])
+    j = own.filter(F.col("policy") != base).join(b, F.col("sign").eqNullSafe(F.col("_sign")))
+    return j.select("policy", "sign", *[(F.col(c) - F.col(f"_{c}")).alias(f"{c}_delta") for c in names], (F.col("_total_fees") - F.col("total_fees")).alias("fees_saved"))

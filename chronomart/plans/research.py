@@ -265,17 +265,48 @@ def r11(spark, sf):
     return replayed(spark, sf).select("symbol", "slot", "filled", "first_fill_us", "status")
 
 
-@query("ag17_policy_metrics", """select policy, sign, count(*) as n, avg(case when status <> 'miss' then 1.0 else 0.0 end) as fill_rate, avg(case when status = 'partial' then 1.0 else 0.0 end) as partial_rate, avg(wait_us) as mean_wait_us, max(wait_us) as longest_wait_us, avg(queue) as mean_queue,
-  sum(net) as total_net, avg(net) as mean_net, min(net) as worst_net, avg(case when status <> 'miss' then case when sign * (exit - 100) < drift then 1.0 else 0.0 end end) as adverse_rate from (
-  select *, first_fill_us - decision_us as wait_us, case when status <> 'miss' then sign * (exit / (sign * drift + 100) - 1) * 1e4 - 6 end as net from replayed where exit is not null) join (values ('all'), ('rising')) p(policy) on policy = 'all' or drift > 100
-  group by grouping sets ((policy), (policy, sign)) ## fill_rate, partial_rate, mean_wait_us, mean_queue, total_net, mean_net, worst_net, adverse_rate""", ORDERS)
-def ag17(spark, sf):
-    hit = F.col("status") != "miss"
+POLICIES = f"""{ORDERS}, taken as (select *, gross - 6 as net, gross - 10 as stress from (
+  select symbol, decision_us, sign, status, queue, policy, side, status <> 'miss' as hit, case when status <> 'miss' then first_fill_us - decision_us end as wait_us, decision_us // 86400000000 as day, first_fill_us // 3600000000 as hour,
+  case when status <> 'miss' then sign * (exit / (sign * drift + 100) - 1) * 1e4 end as gross, case when status <> 'miss' then case when sign * (exit - 100) < drift then 1.0 else 0.0 end end as adverse
+  from replayed join (values ('all'), ('rising')) p(policy) on policy = 'all' or drift > 100 join (values (0), (1), (-1)) s(side) on side = 0 or side = sign where exit is not null)),
+by_day as (select policy, side, count(*) as days, avg(case when x > 0 then 1.0 else 0.0 end) as positive_days, coalesce(max(greatest(x, 0)) / nullif(sum(greatest(x, 0)), 0), 1.0) as day_concentration
+  from (select policy, side, day, coalesce(sum(net), 0.0) as x from taken group by 1, 2, 3) group by 1, 2),
+by_hour as (select policy, side, count(*) as hours, avg(case when x > 0 then 1.0 else 0.0 end) as positive_hours, coalesce(max(greatest(x, 0)) / nullif(sum(greatest(x, 0)), 0), 1.0) as hour_concentration
+  from (select policy, side, hour, coalesce(sum(net), 0.0) as x from taken where hit group by 1, 2, 3) group by 1, 2),
+curve as (select policy, side, max(greatest(peak, 0) - eq) as drawdown from (select *, max(eq) over (partition by policy, side order by decision_us, symbol rows unbounded preceding) as peak from (
+  select policy, side, symbol, decision_us, sum(net) over (partition by policy, side order by decision_us, symbol rows unbounded preceding) as eq from taken where hit)) group by 1, 2),
+sums as (select policy, side, count(*) as n, count(*) filter (where hit) as filled_orders, count(*) filter (where status = 'filled') as full_fills, count(*) filter (where status = 'partial') as partial_fills,
+  avg(case when hit then 1.0 else 0.0 end) as fill_rate, avg(case when status = 'partial' then 1.0 else 0.0 end) as partial_rate, avg(case when hit then 0.0 else 1.0 end) as timeout_rate, avg(case when status = 'filled' then 0.0 else 1.0 end) as cancel_rate,
+  avg(wait_us) as mean_wait_us, max(wait_us) as longest_wait_us, avg(queue) as mean_queue, avg(gross) as mean_gross, avg(net) as mean_net, avg(stress) as mean_stress,
+  coalesce(sum(gross), 0.0) as total_gross, coalesce(sum(net), 0.0) as total_net, coalesce(sum(stress), 0.0) as total_stress, coalesce(sum(gross - net), 0.0) as total_fees,
+  coalesce(sum(net) filter (where net > 0), 0.0) as gain, coalesce(-sum(net) filter (where net < 0), 0.0) as loss, min(net) as worst_net, avg(adverse) as adverse_rate,
+  quantile_cont(wait_us::double, 0.5) as wait_p50, quantile_cont(wait_us::double, 0.9) as wait_p90, quantile_cont(wait_us::double, 0.99) as wait_p99,
+  quantile_cont(queue, 0.5) as queue_p50, quantile_cont(queue, 0.9) as queue_p90, quantile_cont(queue, 0.99) as queue_p99, quantile_cont(net, 0.01) as net_p01, quantile_cont(net, 0.05) as net_p05 from taken group by 1, 2),
+judged as (select s.* exclude (side, gain, loss), nullif(side, 0) as sign, days, positive_days, day_concentration, coalesce(hours, 0) as hours, coalesce(positive_hours, 0.0) as positive_hours, coalesce(hour_concentration, 1.0) as hour_concentration,
+  coalesce(drawdown, 0.0) as drawdown, case when loss > 0 then gain / loss when gain > 0 then 'inf'::double else 0.0 end as profit_factor,
+  case when drawdown > 0 then total_net / drawdown when total_net > 0 then 'inf'::double else 0.0 end as total_over_drawdown, filled_orders / days as fills_a_day
+  from sums s join by_day using (policy, side) left join by_hour using (policy, side) left join curve using (policy, side))"""
+
+
+def policies(spark, sf):
     d = replayed(spark, sf).filter("exit is not null").withColumns({
-        "wait_us": F.col("first_fill_us") - F.col("decision_us"), "adverse": F.col("sign") * (F.col("exit") - 100) < F.col("drift"),
-        "net": F.when(hit, F.col("sign") * (F.col("exit") / (F.col("sign") * F.col("drift") + 100) - 1) * 1e4 - 6),
+        "adverse": F.col("sign") * (F.col("exit") - 100) < F.col("drift"),
+        "gross": F.when(F.col("status") != "miss", F.col("sign") * (F.col("exit") / (F.col("sign") * F.col("drift") + 100) - 1) * 1e4),
     })
-    return queue.policy_metrics(d, {"all": F.lit(True), "rising": F.col("drift") > 100})
+    return queue.policy_metrics(d, {"all": F.lit(True), "rising": F.col("drift") > 100}, cost=6.0, stress=10.0)
+
+
+@query("ag17_policy_metrics", """select * from judged ## fill_rate, partial_rate, timeout_rate, cancel_rate, mean_wait_us, mean_queue, mean_gross, mean_net, mean_stress, total_gross, total_net, total_stress, total_fees, worst_net, adverse_rate,
+  positive_days, day_concentration, positive_hours, hour_concentration, drawdown, profit_factor, total_over_drawdown, fills_a_day, wait_p50, wait_p90, wait_p99, queue_p50, queue_p90, queue_p99, net_p01, net_p05""", POLICIES)
+def ag17(spark, sf):
+    return policies(spark, sf)
+
+
+@query("ag17_policy_deltas", """select a.policy, a.sign, a.mean_net - b.mean_net as mean_net_delta, a.total_net - b.total_net as total_net_delta, a.filled_orders - b.filled_orders as filled_orders_delta, a.fill_rate - b.fill_rate as fill_rate_delta,
+  a.adverse_rate - b.adverse_rate as adverse_rate_delta, b.total_fees - a.total_fees as fees_saved from judged a join judged b on b.policy = 'all' and a.policy <> 'all' and a.sign is not distinct from b.sign
+  ## mean_net_delta, total_net_delta, fill_rate_delta, adverse_rate_delta, fees_saved""", POLICIES)
+def ag17_deltas(spark, sf):
+    return queue.policy_deltas(policies(spark, sf), "all")
 
 
 SEQUENCE = f"""{TICKS_SQL}, feed as (select symbol, pos, u as last, case when tick_id % 37 = 0 then u - 5 else u - 9 end as first, case when tick_id % 37 = 0 then u - 7 else u - 10 end as previous, case when tick_id % 29 = 0 then u + case when tick_id % 2 = 0 then 5 else 25 end end as snapshot_id

@@ -86,3 +86,28 @@ def test_csv_sink_flattens_structs(spark, tmp_path):
     feeds.write_results(d, f"file://{tmp_path}/out", ["k"], kind="csv")
     r = spark.read.option("header", True).csv(f"file://{tmp_path}/out").first()
     assert (r.v_x, r.v_y, r.factor, r.k) == ("1", "2", "inf", "a")
+
+
+def test_policy_metrics_figures(spark):
+    """Ties, a miss, an order without side features and policies that take nothing or fill nothing."""
+    day, hour = 86_400_000_000, 3_600_000_000
+    rows = [
+        ("a", 0, 1, "filled", 2.0, hour, 10.0, False), ("a", hour, -1, "partial", 4.0, 2 * hour, -4.0, True), ("a", day, 1, "miss", 6.0, None, None, None),
+        ("b", 0, 1, "filled", None, hour, 10.0, False),
+    ]
+    d = spark.createDataFrame(rows, "symbol string, decision_us long, sign int, status string, queue double, first_fill_us long, gross double, adverse boolean")
+    p = {"all": F.lit(True), "none": F.lit(False), "unfilled": F.col("status") == "miss"}
+    m = {(r.policy, r.sign): r for r in queue.policy_metrics(d, p, cost=2.0, stress=12.0).collect()}
+    assert set(m) == {("all", None), ("all", 1), ("all", -1), ("unfilled", None), ("unfilled", 1)}
+    r = m["all", None]
+    assert (r.n, r.filled_orders, r.full_fills, r.partial_fills, r.fill_rate, r.timeout_rate, r.cancel_rate) == (4, 3, 2, 1, 0.75, 0.25, 0.5)
+    assert (r.total_gross, r.total_net, r.total_stress, r.total_fees, r.worst_net) == (16.0, 10.0, -20.0, 6.0, -6.0)
+    assert (r.days, r.positive_days, r.day_concentration, r.hours, r.positive_hours, r.hour_concentration) == (2, 0.5, 1.0, 2, 0.5, 1.0)
+    assert (r.drawdown, r.total_over_drawdown, r.fills_a_day, r.queue_p50, r.wait_p99) == (6.0, 10 / 6, 1.5, 4.0, float(hour))
+    assert r.profit_factor == 16 / 6 and abs(r.net_p05 - (-6 + 0.1 * 14)) < 1e-9 and r.adverse_rate == 1 / 3
+    assert (m["all", 1].profit_factor, m["all", 1].total_over_drawdown, m["all", -1].profit_factor) == (float("inf"), float("inf"), 0.0)
+    none = m["unfilled", None]
+    assert (none.filled_orders, none.total_net, none.drawdown, none.hours, none.hour_concentration, none.wait_p50, none.net_p01) == (0, 0.0, 0.0, 0, 1.0, None, None)
+    deltas = {(r.policy, r.sign): r for r in queue.policy_deltas(queue.policy_metrics(d, p, cost=2.0, stress=12.0), "all").collect()}
+    assert deltas["unfilled", None].fees_saved == 6.0 and deltas["unfilled", 1].filled_orders_delta == -2 and deltas["unfilled", 1].mean_net_delta is None
+    assert queue.policy_metrics(d.limit(0), p, cost=2.0, stress=12.0).count() == 0
