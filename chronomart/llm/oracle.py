@@ -58,5 +58,24 @@ with v as (
   select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
 )
 select query_id, rank, vec_id, score from r where rank <= 10
+""",
+    "op11_hard_negatives": """
+with e as (
+  select row_number() over () as k, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, embedding from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), v as (
+  select k, generate_subscripts(embedding, 1) as i, floor(256 * unnest(embedding)::double)::bigint as x from e
+), p as (
+  select a.k as a, b.k as b, sum(a.x * b.x)::bigint as score from v a join v b on a.i = b.i where a.k in (select k from e where vec_id % 100 = 0) group by 1, 2
+), s as (
+  select a.k as a, b.k as b, a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, coalesce(p.score, 0) as score
+  from e a join e b on a.vec_id % 100 = 0 and a.k <> b.k left join p on p.a = a.k and p.b = b.k
+), g as (
+  select * from (select *, row_number() over (partition by a order by score desc, id) as r from s where same) where r <= 5
+), n as (
+  select g.anchor_id, g.id as positive_id, cast(row_number() over (partition by g.a, g.b order by s.score desc, s.id) as integer) as rank, s.id as negative_id, g.score as positive_score, s.score as negative_score
+  from g join s on s.a = g.a and not s.same and 80 * g.score <= 100 * s.score and 100 * s.score <= 100 * g.score
+)
+select * from n where rank <= 5
 """,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lm, minhash, mixing, pii, quality, rollup, topk, toxicity
+from . import bpe, chat, lm, minhash, mixing, negatives, pii, quality, rollup, topk, toxicity
 from ._shared import new_folder, written
 
 
@@ -99,6 +99,11 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -108,7 +113,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_bpe_round_trip, op2_near_duplicates, op3_mix_sources, op4_token_rollup, op5_pivot_top_k,
-        op6_lm_scores, op7_chat_windows, op8_toxicity, op9_quality_rules, op10_pii_spans, pipeline,
+        op6_lm_scores, op7_chat_windows, op8_toxicity, op9_quality_rules, op10_pii_spans, op11_hard_negatives, pipeline,
     )
     return {f.__name__: f for f in own}
 
