@@ -1,7 +1,7 @@
 """Hard negatives by a multiway hyperplane tree whose split points know the distance ranges of their sibling subtrees.
 
-All vectors are lifted onto a sphere (one more component makes their norms equal), so that an anchor's inner product falls as the distance
-grows, and a window of scores is an annulus around the anchor. A node of the tree deals its vectors to the nearest of a few split points; each
+All vectors are lifted onto a sphere (one more component makes their norms equal) and anchors are stretched to it, so that an anchor's inner
+product falls as the distance grows, and a window of scores is an annulus around the anchor. A node of the tree deals its vectors to the nearest of a few split points; each
 split point keeps the least and the largest distance to every sibling subtree. A subtree is left out where one of these ranges does not meet
 the annulus; what is left is compared exactly.
 """
@@ -138,15 +138,17 @@ class Windows:
         self.row, self.label, self.v, self.a = f["row"], f["label"], f["v"].reshape(-1, width), f["a"]
         self.same, self.k, self.radius2 = same, k, radius2
         self.least, self.most = f["least"].astype(np.float64), f["most"].astype(np.float64)
-        self.z = np.hstack([self.v.astype(np.float64), np.zeros((len(self.v), 1))])
-        self.norm = (self.z**2).sum(1)
+        norm = np.sqrt((self.v.astype(np.float64) ** 2).sum(1))
+        self.stretch = np.where(norm > 0, radius2**0.5 / np.maximum(norm, 1e-300), 1.0)
+        self.z = np.hstack([self.v * self.stretch[:, None], np.zeros((len(self.v), 1))])
+        self.norm = np.where(norm > 0, radius2, 0.0)
         n = len(self.a)
         self.score, self.id, self.of = np.full((n, k), NONE), np.full((n, k), LAST), np.full((n, k), -1)
-        self.inner = self.radius(self.most)
-        self.outer = self.radius(self.least)
+        self.inner, self.outer = (self.radius(np.arange(n), x) for x in (self.most, self.least))
 
-    def radius(self, score: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(self.norm[self.a] + self.radius2 - 2 * score, 0))
+    def radius(self, w: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """The distance at which rows have a score with the anchors of windows w."""
+        return np.sqrt(np.maximum(self.norm[self.a[w]] + self.radius2 - 2 * self.stretch[self.a[w]] * score, 0))
 
     def bound(self, gap: np.ndarray, low: np.ndarray, high: np.ndarray, active: np.ndarray, slack: float) -> np.ndarray:
         """For windows `active`, gap their anchors' distances to split points (n, m), and ranges (m) of a subtree: the least distance to its rows, infinite where its largest lies within the inner radius."""
@@ -172,14 +174,14 @@ class Windows:
         self.score[w], self.id[w], self.of[w] = (np.take_along_axis(x, best, 1) for x in (score, ident, of))
         full = self.score[w, -1] > NONE
         self.least[w[full]] = np.maximum(self.least[w[full]], self.score[w[full], -1])
-        self.outer[w] = np.sqrt(np.maximum(self.norm[self.a[w]] + self.radius2 - 2 * self.least[w], 0))
+        self.outer[w] = self.radius(w, self.least[w])
 
 
 def search(block: dict[str, np.ndarray], windows: Windows, active: np.ndarray, fan: int, slack: float) -> None:
     """Take windows down the tree of a block."""
     v = block["v"].reshape(len(block["row"]), -1)
     exact = max(float(np.abs(v).max(initial=0)) * float(np.abs(windows.v).max(initial=0)), 1.0) * max(v.shape[1], 1) < 2**52
-    x, q = (v.astype(np.float64), windows.z[:, :-1]) if exact else (v, windows.v)
+    x, q = (v.astype(np.float64), windows.v.astype(np.float64)) if exact else (v, windows.v)
     z = lifted(v, windows.radius2)
     ends, split = block["ends"].reshape(-1, 2), block["split"].reshape(-1, fan)
     low, high = block["low"].reshape(-1, fan, fan), block["high"].reshape(-1, fan, fan)
