@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lm, minhash, mixing, negatives, pii, quality, rollup, topk, toxicity
+from . import bpe, chat, lm, minhash, mixing, negatives, pii, quality, rollup, runs, topk, toxicity
 from ._shared import new_folder, written
 
 
@@ -104,6 +104,18 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = runs.periodic_runs(runs.repeated_tail(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    d = d.withColumn("best", best).withColumns({"start": -F.col("best.start"), "length": F.col("best.length"), "period": -F.col("best.period")})
+    return d.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period", F.floor(1000 * F.col("length") / F.col("period")).alias("exponent_milli"),
+        digest(F.array_join(F.transform("runs", line), "")).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"), "n_words",
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -113,7 +125,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_bpe_round_trip, op2_near_duplicates, op3_mix_sources, op4_token_rollup, op5_pivot_top_k,
-        op6_lm_scores, op7_chat_windows, op8_toxicity, op9_quality_rules, op10_pii_spans, op11_hard_negatives, pipeline,
+        op6_lm_scores, op7_chat_windows, op8_toxicity, op9_quality_rules, op10_pii_spans, op11_hard_negatives, op12_periodic_runs, pipeline,
     )
     return {f.__name__: f for f in own}
 
