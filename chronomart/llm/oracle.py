@@ -77,5 +77,13 @@ with e as (
   from g join s on s.a = g.a and not s.same and 80 * g.score <= 100 * s.score and 100 * s.score <= 100 * g.score
 )
 select * from n where rank <= 5
+""",
+    "op13_warc": """
+with p as (
+  select page_id, url, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(coalesce(html, '')) as h, max(page_id) over (partition by coalesce(html, '')) as leader from pages
+), t as (select *, list_transform(range(0, 8), lambda k: ('0x' || h[5 * k + 1 : 5 * k + 5])::integer) as twenty from p)
+select page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (twenty[1 + i // 4] >> (15 - 5 * (i % 4))) % 32, 1)), '') as payload_digest,
+  case when page_id = leader then 'response' else 'revisit' end as record_type, case when page_id <> leader then leader end as refers_to, url
+from t
 """,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lm, minhash, mixing, negatives, pii, quality, rollup, runs, topk, toxicity
+from . import bpe, chat, lm, minhash, mixing, negatives, pii, quality, rollup, runs, topk, toxicity, warc
 from ._shared import new_folder, written
 
 
@@ -116,6 +116,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")), payloads=False)
+    return read.filter("record_type in ('response', 'revisit')").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -125,7 +130,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_bpe_round_trip, op2_near_duplicates, op3_mix_sources, op4_token_rollup, op5_pivot_top_k,
-        op6_lm_scores, op7_chat_windows, op8_toxicity, op9_quality_rules, op10_pii_spans, op11_hard_negatives, op12_periodic_runs, pipeline,
+        op6_lm_scores, op7_chat_windows, op8_toxicity, op9_quality_rules, op10_pii_spans, op11_hard_negatives, op12_periodic_runs, op13_warc, pipeline,
     )
     return {f.__name__: f for f in own}
 
