@@ -1,57 +1,182 @@
-"""Order books by update group: snapshots, levels, metrics, order flow, and their slots of a fixed step."""
+"""Order books by update group: the open book carried from block to block, states, latch, metrics and order flow on every slot of a grid.
+
+A block is a stretch of time of one symbol and the unit of work. A first pass sums each block up to the last amount of each level; from these
+rows comes the book that stands open at each block's start. A second pass folds a block's updates onto that book. Windows range over
+a block, or over one row a block; no step orders or holds a whole symbol.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GROUP = ["symbol", "segment", "us"]
-
+LEVELS = "array<struct<level:double,amount:double>>"
+STATE = f"symbol string, block long, us long, segment long, carried boolean, bids {LEVELS}, asks {LEVELS}"
+CELLS = 1 << 20  # groups times levels that are held at once
 
-def segmented(updates: DataFrame) -> DataFrame:
-    """updates (symbol, us, seq, snapshot, side, level, amount) with segment: the time of the last group with a snapshot row.
 
-    All rows of one time are a group. A group with any snapshot row clears the book, so its segment knows nothing earlier; rows before a
-    symbol's first snapshot belong to no book and go. Segments are the unit of work: no later step orders a whole symbol.
-    """
-    g = updates.groupBy("symbol", "us").agg(F.max(F.col("snapshot").cast("int")).alias("_s"))
-    last = Window.partitionBy("symbol").orderBy("us").rowsBetween(Window.unboundedPreceding, 0)
-    g = g.withColumn("segment", F.max(F.when(F.col("_s") == 1, F.col("us"))).over(last)).filter("segment is not null").drop("_s")
-    return updates.join(g, ["symbol", "us"])
+def _block(c: str, block_us: int) -> Column:
+    """Blocks are right-closed, as slots are: (k - 1) * block_us < us <= k * block_us has number k."""
+    return F.ceil(F.col(c) / block_us).cast("long")
 
 
-def books(updates: DataFrame, block_us: int, depth: int = 10) -> DataFrame:
-    """(symbol, segment, us, bids, asks) after each group: the best `depth` levels of each side as arrays of (level, amount), best first.
+def blocks_of(updates: DataFrame, block_us: int, whole_days: bool = False) -> DataFrame:
+    """Every block from a symbol's first to its last, quiet ones too: symbol, block, open (a snapshot came before it), next_snapshot (block of the next one after it), last (block), first_us, last_us of the symbol.
 
-    A level's amount holds until its next row; an amount of 0 removes it. Holding times are cut at blocks of time and meet the groups
-    of their own segment and block only.
+    whole_days: from the start of the first day to the end of the last.
+    """
+    day = 86_400_000_000
+    met = updates.groupBy("symbol", _block("us", block_us).alias("block")).agg(F.max(F.col("snapshot").cast("int")).alias("_s"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+    ends = met.groupBy("symbol").agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+    if whole_days:
+        ends = ends.withColumns({"first_us": (F.floor((F.col("first_us") - 1) / day) * day + 1).cast("long"), "last_us": (F.ceil(F.col("last_us") / day) * day).cast("long")})
+    last = _block("last_us", block_us)
+    every = ends.select("symbol", F.explode(F.sequence(_block("first_us", block_us), last)).alias("block"), last.alias("last"), "first_us", "last_us")
+    w = Window.partitionBy("symbol").orderBy("block")  # one row a block
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    snap = F.when(F.col("_s") == 1, F.col("block"))
+    d = every.join(met.select("symbol", "block", "_s"), ["symbol", "block"], "left")
+    return d.withColumns({"open": F.coalesce(F.max("_s").over(before), F.lit(0)) == 1, "next_snapshot": F.min(snap).over(after)}).drop("_s")
+
+
+def open_books(updates: DataFrame, blocks: DataFrame, block_us: int) -> DataFrame:
+    """(symbol, block, side, level, amount): the levels that stand at each block's start.
+
+    A block leaves of each level its last amount, unless a snapshot came after it. That amount holds up to the level's next row or the next
+    snapshot, and is open in all blocks that begin on the way: the carried value is the book as a map of rows.
+    """
+    at = _block("us", block_us).alias("block")
+    last = updates.groupBy("symbol", at, "side", "level").agg(F.max(F.struct("us", "seq", "amount")).alias("_l"))
+    cleared = updates.filter("snapshot").groupBy("symbol", at).agg(F.max("us").alias("_clear"))
+    last = last.join(cleared, ["symbol", "block"], "left").filter("_clear is null or _l.us >= _clear")
+    again = F.lead("block").over(Window.partitionBy("symbol", "side", "level").orderBy("block"))
+    held = last.select("symbol", "block", "side", "level", F.col("_l.amount").alias("amount"), again.alias("_again")).filter("amount > 0")
+    held = held.join(blocks.select("symbol", "block", "next_snapshot", "last"), ["symbol", "block"])
+    until = F.least(F.coalesce("_again", "last"), F.coalesce("next_snapshot", "last"), F.col("last"))
+    return held.filter(until > F.col("block")).select("symbol", F.explode(F.sequence(F.col("block") + 1, until)).alias("block"), "side", "level", "amount")
+
+
+def _fold(depth: int, block_us: int, cells: int):
+    """The states of one block: its open book, then the book after each of its groups."""
+
+    def fold(t: pa.Table) -> pa.Table:
+        symbol, block = t.column("symbol")[0], t.column("block")[0].as_py()
+        kind, us, seq, snap = (t.column(c).to_numpy() for c in ("kind", "us", "seq", "snapshot"))
+        bid, level, amount = t.column("bid").to_numpy(zero_copy_only=False), t.column("level").to_numpy(), t.column("amount").to_numpy()
+        is_open = bool((kind == 2).any() and snap[kind == 2].any())
+        rows = kind < 2
+        pair, of = np.unique(np.stack([np.where(bid, 0.0, 1.0), np.where(bid, -level, level)])[:, rows], axis=1, return_inverse=True)
+        column = np.zeros(len(kind), np.int64)
+        column[rows] = of.ravel()
+        bids = int((pair[0] == 0).sum())  # best first, bids before asks
+        price = np.abs(pair[1]) * np.sign(np.where(pair[0] == 0, -pair[1], pair[1]))
+        state = np.zeros(pair.shape[1])
+        state[column[kind == 0]] = amount[kind == 0]
+        own = np.flatnonzero(kind == 1)
+        times, group = np.unique(us[own], return_inverse=True)
+        clears = np.zeros(len(times), bool)
+        clears[group[snap[own].astype(bool)]] = True
+        by = np.lexsort((amount[own], seq[own], column[own], group))
+        group, own = group[by], own[by]
+        final = np.ones(len(own), bool)  # of a level's rows in a group the last
+        final[:-1] = (group[1:] != group[:-1]) | (column[own][1:] != column[own][:-1])
+        group, own = group[final], own[final]
+        first = 0 if is_open else int(np.argmax(clears)) if clears.any() else len(times)
+        segment = np.maximum.accumulate(np.where(clears, times, -1)) if len(times) else times
+        sides: list[list[np.ndarray]] = [[], [], [], [], [], []]  # of bids and asks: levels, amounts, levels a row
+
+        def put(m: np.ndarray) -> None:
+            for k, part in enumerate((slice(0, bids), slice(bids, None))):
+                stands = m[:, part] > 0
+                r, c = np.nonzero(stands & (np.cumsum(stands, 1) <= depth))
+                for place, x in zip(sides[3 * k : 3 * k + 3], (price[part][c], m[:, part][r, c], np.bincount(r, minlength=len(m))), strict=True):
+                    place.append(x)
+
+        if is_open:
+            put(state[None])
+        step = max(1, cells // max(len(state), 1))
+        for a in range(first, len(times), step):
+            b = min(a + step, len(times))
+            m = np.full((b - a + 1, len(state)), np.nan)
+            m[0] = state
+            m[1:][clears[a:b]] = 0.0
+            some = slice(*np.searchsorted(group, [a, b]))
+            m[group[some] - a + 1, column[own[some]]] = amount[own[some]]
+            since = np.maximum.accumulate(np.where(np.isnan(m), 0, np.arange(len(m))[:, None]), 0)
+            m = np.take_along_axis(m, since, 0)
+            state = m[-1]
+            put(m[1:])
+        n = len(times) - first
+        us = np.concatenate([[(block - 1) * block_us] if is_open else [], times[first:]]).astype(np.int64)
+        segment = np.concatenate([[-1] if is_open else [], segment[first:]]).astype(np.int64)
+        cat = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
+        lists = []
+        for k in (0, 3):
+            cuts = np.concatenate([[0], np.cumsum(cat(sides[k + 2], np.int64))]).astype(np.int32)
+            lists.append(pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([pa.array(cat(sides[k], float)), pa.array(cat(sides[k + 1], float))], ["level", "amount"])))
+        carried = np.arange(len(us)) < len(us) - n
+        return pa.Table.from_arrays([pa.array([symbol.as_py()] * len(us), pa.string()), pa.array(np.full(len(us), block)), pa.array(us), pa.array(segment), pa.array(carried), *lists], ["symbol", "block", "us", "segment", "carried", "bids", "asks"])
+
+    return fold
+
+
+def books(updates: DataFrame, block_us: int, depth: int = 10, whole_days: bool = False) -> tuple[DataFrame, DataFrame]:
+    """States and blocks of updates (symbol, us, seq, snapshot, side, level, amount).
+
+    All rows of one time are a group. A group with any snapshot row clears the book first; an amount of 0 removes a level; of a level's rows
+    in a group the one with the last seq counts (ties: the largest amount). Rows before a symbol's first snapshot belong to no book and go.
+    Rows with a null among these columns go too; a level below 0 is a price like others.
+
+    States: symbol, block, us, segment (time of the snapshot that the book goes back to; -1 if that lies before the block), carried (the open
+    book at the block's left edge, no group of its own), bids and asks: the best `depth` levels as arrays of (level, amount), best first.
+    Blocks: see blocks_of. block_us must be a multiple of every step that is asked of the states.
     """
-    u = updates.groupBy(*GROUP, "side", "level").agg(F.max_by("amount", "seq").alias("amount"))
-    until = F.lead("us").over(Window.partitionBy("symbol", "segment", "side", "level").orderBy("us"))
-    ends = u.groupBy("symbol", "segment").agg(F.max("us").alias("end"))
-    held = u.withColumn("until", until).filter("amount > 0").join(ends, ["symbol", "segment"]).withColumn("until", F.coalesce(F.col("until") - 1, F.col("end")))
-    of = lambda c: F.floor(F.col(c) / block_us)
-    held = held.withColumn("block", F.explode(F.sequence(of("us"), of("until")))).withColumnRenamed("us", "from").drop("end")
-    at = u.select(*GROUP).distinct().withColumn("block", of("us"))
-    level = F.when((F.col("from") <= F.col("us")) & (F.col("us") <= F.col("until")), F.struct("level", "amount"))
-    j = at.join(held, ["symbol", "segment", "block"], "left")
-    side = lambda s, down: F.slice(F.sort_array(F.collect_list(F.when(F.col("side") == s, level)), not down), 1, depth)
-    return j.groupBy(*GROUP).agg(side("bid", True).alias("bids"), side("ask", False).alias("asks"))
+    u = updates.select("symbol", F.col("us").cast("long"), F.col("seq").cast("long"), "snapshot", "side", F.col("level").cast("double"), F.col("amount").cast("double")).dropna()
+    blocks = blocks_of(u, block_us, whole_days)
+    none = {c: F.lit(0).cast(k) for c, k in (("us", "long"), ("seq", "long"), ("snapshot", "boolean"), ("level", "double"), ("amount", "double"), ("bid", "boolean"))}
+    order = ["symbol", "block", "kind", "us", "seq", "snapshot", "bid", "level", "amount"]
+    bid = (F.col("side") == "bid").alias("bid")
+    carried = open_books(u, blocks, block_us).select("symbol", "block", "level", "amount", bid).withColumns({c: none[c] for c in ("us", "seq", "snapshot")} | {"kind": F.lit(0)})
+    rows = u.select("symbol", _block("us", block_us).alias("block"), "us", "seq", "snapshot", bid, "level", "amount", F.lit(1).alias("kind"))
+    edge = blocks.select("symbol", "block", F.col("open").alias("snapshot")).withColumns({c: none[c] for c in ("us", "seq", "bid", "level", "amount")} | {"kind": F.lit(2)})
+    whole = rows.select(order).unionByName(carried.select(order)).unionByName(edge.select(order))
+    return whole.groupBy("symbol", "block").applyInArrow(_fold(depth, block_us, CELLS), STATE), blocks
 
 
 def latched(state: DataFrame) -> DataFrame:
-    """Adds valid: both sides stand and do not cross, now and after every earlier group of the segment."""
-    bid, ask = F.get("bids", F.lit(0))["level"], F.get("asks", F.lit(0))["level"]
-    w = Window.partitionBy("symbol", "segment").orderBy("us").rowsBetween(Window.unboundedPreceding, 0)
-    return state.withColumn("valid", F.min(F.coalesce(bid < ask, F.lit(False)).cast("int")).over(w) == 1)
-
+    """Adds valid: both sides stand and do not cross, now and after every earlier group since the snapshot.
 
-def at_slots(state: DataFrame, step_us: int) -> DataFrame:
-    """The last state of each slot with a group (right-closed: groups up to the slot's time)."""
-    slot = (F.ceil(F.col("us") / step_us) * step_us).cast("long")
-    d = state.withColumn("slot", slot)
-    rest = [c for c in d.columns if c not in ("symbol", "slot", "us")]
-    return d.groupBy("symbol", "slot").agg(F.max_by(F.struct(*rest), "us").alias("_r")).select("symbol", "slot", "_r.*")
+    Within a block that is a running minimum; over blocks the last verdict of a block with a snapshot or a fault is carried, one row a block.
+    """
+    bid, ask = F.get("bids", F.lit(0))["level"], F.get("asks", F.lit(0))["level"]
+    own = Window.partitionBy("symbol", "block", "segment").orderBy("us").rowsBetween(Window.unboundedPreceding, 0)
+    d = state.withColumn("_bad", F.when(F.col("carried"), 0).otherwise((~F.coalesce(bid < ask, F.lit(False))).cast("int")))
+    tail = d.groupBy("symbol", "block", "segment").agg(F.max("_bad").alias("_bad")).groupBy("symbol", "block").agg(F.max(F.struct("segment", "_bad")).alias("_t"))
+    verdict = F.when((F.col("_t.segment") >= 0) | (F.col("_t._bad") == 1), F.col("_t._bad"))
+    before = F.last(verdict, ignorenulls=True).over(Window.partitionBy("symbol").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    d = d.join(tail.select("symbol", "block", before.alias("_before")), ["symbol", "block"])
+    fault = F.max("_bad").over(own) + F.when(F.col("segment") >= 0, 0).otherwise(F.coalesce("_before", F.lit(0)))
+    return d.withColumn("valid", fault == 0).drop("_bad", "_before")
+
+
+def slots_of(blocks: DataFrame, step_us: int, block_us: int) -> DataFrame:
+    """(symbol, block, slot): every slot of the grid from the one of a symbol's first time to that of its last."""
+    up = lambda c: (F.ceil(F.col(c) / step_us) * step_us).cast("long")
+    left, right = (F.col("block") - 1) * block_us + step_us, F.col("block") * block_us
+    d = blocks.withColumns({"_from": F.greatest(left, up("first_us")), "_to": F.least(right, up("last_us"))}).filter("_from <= _to")
+    return d.select("symbol", "block", F.explode(F.sequence("_from", "_to", F.lit(step_us).cast("long"))).alias("slot"))
+
+
+def at_slots(state: DataFrame, slots: DataFrame) -> DataFrame:
+    """The state at every slot, of all groups up to it. Slots without a book have valid = false and null levels."""
+    rest = ["bids", "asks", "valid"]
+    w = Window.partitionBy("symbol", "block").orderBy("_at", "_slot").rowsBetween(Window.unboundedPreceding, 0)
+    one = state.select("symbol", "block", F.col("us").alias("_at"), F.lit(0).alias("_slot"), F.struct(*rest).alias("_r"))
+    two = slots.select("symbol", "block", F.col("slot").alias("_at"), F.lit(1).alias("_slot"), F.lit(None).cast(one.schema["_r"].dataType).alias("_r"))
+    d = one.unionByName(two).withColumn("_r", F.last("_r", ignorenulls=True).over(w)).filter("_slot = 1")
+    return d.select("symbol", F.col("_at").alias("slot"), "_r.bids", "_r.asks", F.coalesce("_r.valid", F.lit(False)).alias("valid"))
 
 
 def book_metrics(slots: DataFrame, depths: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
@@ -77,13 +202,13 @@ def _change(sign: int):
     return change
 
 
-def order_flow(state: DataFrame, step_us: int, depths: tuple[int, ...] = (1, 5, 10), near: int = 5) -> DataFrame:
-    """By slot: order-flow imbalance of the first ranks, and quantity replenished and depleted at the nearest prices, summed over update groups.
+def order_flow(state: DataFrame, slots: DataFrame, step_us: int, depths: tuple[int, ...] = (1, 5, 10), near: int = 5) -> DataFrame:
+    """By slot: order-flow imbalance of the first ranks, and quantity replenished and depleted at the nearest prices, summed over update groups; 0 where nothing happened.
 
-    Each group is taken against the one before it in its segment; a snapshot adds nothing and clears what its slot has summed so far.
+    Each group is taken against the state before it in its block, the first against the open book; a snapshot adds nothing and clears what its slot has summed so far.
     """
-    w = Window.partitionBy("symbol", "segment").orderBy("us")
-    d = state.withColumns({"_b": F.lag("bids").over(w), "_a": F.lag("asks").over(w)})
+    w = Window.partitionBy("symbol", "block").orderBy("us")
+    d = state.withColumns({"_b": F.lag("bids").over(w), "_a": F.lag("asks").over(w)}).filter("not carried")
 
     def flow(old: str, new: str, n: int, sign: int) -> Column:
         return F.aggregate(F.zip_with(F.slice(old, 1, n), F.slice(new, 1, n), _change(sign)), F.lit(0.0), lambda s, x: s + x)
@@ -95,7 +220,9 @@ def order_flow(state: DataFrame, step_us: int, depths: tuple[int, ...] = (1, 5,
 
     parts = {f"ofi{n}": flow("_b", "bids", n, 1) - flow("_a", "asks", n, -1) for n in depths}
     parts |= {"replenished": moved("_b", "bids", 1) + moved("_a", "asks", 1), "depleted": moved("_b", "bids", -1) + moved("_a", "asks", -1)}
-    d = d.withColumn("slot", (F.ceil(F.col("us") / step_us) * step_us).cast("long")).filter("_b is not null").select("symbol", "slot", "segment", *[c.alias(k) for k, c in parts.items()])
-    per = d.groupBy("symbol", "slot", "segment").agg(*[F.sum(c).alias(c) for c in parts])
-    last = state.withColumn("slot", (F.ceil(F.col("us") / step_us) * step_us).cast("long")).groupBy("symbol", "slot").agg(F.max("segment").alias("segment"))
-    return last.join(per, ["symbol", "slot", "segment"], "left").select("symbol", "slot", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in parts])
+    slot = (F.ceil(F.col("us") / step_us) * step_us).cast("long").alias("slot")
+    snapshot = F.col("us") == F.col("segment")
+    d = d.select("symbol", slot, "segment", *[F.when(snapshot, 0.0).otherwise(c).alias(k) for k, c in parts.items()])
+    quiet = slots.select("symbol", "slot", F.lit(-2).cast("long").alias("segment"), *[F.lit(0.0).alias(k) for k in parts])
+    per = d.unionByName(quiet).groupBy("symbol", "slot", "segment").agg(*[F.sum(c).alias(c) for c in parts])
+    return per.groupBy("symbol", "slot").agg(F.max_by(F.struct(*parts), "segment").alias("_p")).select("symbol", "slot", "_p.*")

@@ -309,7 +309,7 @@ def w11(spark, sf):
   select n.symbol, n.t, n.t_end, n.k, n.t >= c.last, case when n.t >= c.last then n.t_end else c.last end from c join n on n.symbol = c.symbol and n.k = c.k + 1) select * from c where keep)""")
 def w12(spark, sf):
     d = hourly(spark, sf).select("symbol", "t", (F.col("t") + 3 * HOUR).alias("t_end"))
-    return labels.non_overlapping(d, "symbol", "t", "t_end")
+    return labels.non_overlapping(d, "symbol", "t", "t_end", block=WEEK)
 
 
 @query("w13_realized_vol", f"""select symbol, t, case when count(r) {over(-23, 0)} = 24 then sqrt(sum(r * r) {over(-23, 0)}) end as rv24,

@@ -9,8 +9,8 @@ from ..operators import books, grids, labels, metrics, walk
 from ..operators import quality as qa
 from ..sources import scans
 from ..sources.adapters import HOUR, LEDGER_SQL, TICKS_SQL, hourly, ledger, table, ticks
-from ..sources.shared import new_folder
-from .market import ALL, BARS, BINARY, FLAGGED, LAGGED, NUMBERED, SIGNALS, W, WEEK, binary, flagged, lagged, over, outcomes, query, trades
+from ..sources.shared import new_folder, written
+from .market import ALL, BARS, BINARY, DAY_US, FLAGGED, LAGGED, NUMBERED, SIGNALS, W, WEEK, binary, flagged, lagged, over, outcomes, query, trades
 
 CUT = 1705795200  # 2024-01-21
 FEATURES = ["r", "r3", "v6"]
@@ -120,14 +120,23 @@ def greedy_sql(source: str, test: str) -> str:
 @query("w12_strict", f"select symbol, t, stop as t_end from {greedy_sql('spans', '>')}", f"{NUMBERED}, spans as (select symbol, t, t as start, t + 10800 as stop, k from numbered)")
 def w12_strict(spark, sf):
     d = hourly(spark, sf).select("symbol", "t", (F.col("t") + 3 * HOUR).alias("t_end"))
-    return labels.non_overlapping(d, "symbol", "t", "t_end", strict=True)
+    return labels.non_overlapping(d, "symbol", "t", "t_end", strict=True, block=WEEK)
 
 
 @query("w12_grid", f"select symbol, t, start as place from {greedy_sql('spans', '>=')}", f"{NUMBERED}, spans as (select symbol, t, k - 1 as start, k - 1 + 4 as stop, k from numbered)")
 def w12_grid(spark, sf):
     """On a grid the next place is horizon + 1 after the chosen one, whatever gaps in time lie between."""
     d = walk.placed(hourly(spark, sf)).select("symbol", "t", F.col("k").cast("long").alias("place"), (F.col("k") + 4).cast("long").alias("next"))
-    return labels.non_overlapping(d, "symbol", "place", "next").drop("next")
+    return labels.non_overlapping(d, "symbol", "place", "next", block=50).drop("next")
+
+
+@query("w12_carried", f"select symbol, t, stop as t_end, t >= {CUT} as second from {greedy_sql('spans', '>')}", f"{NUMBERED}, spans as (select symbol, t, t as start, t + 3600 * (1 + n % 7) as stop, k from numbered)")
+def w12_carried(spark, sf):
+    """Two folds, of which the second goes on from the last ends that the first kept; trades last as long as their bar had ticks."""
+    d = hourly(spark, sf).select("symbol", "t", (F.col("t") + HOUR * (1 + F.col("n") % 7)).alias("t_end"))
+    first = written(labels.non_overlapping(d.filter(F.col("t") < CUT), "symbol", "t", "t_end", strict=True, block=WEEK), "fold")
+    second = labels.non_overlapping(d.filter(F.col("t") >= CUT), "symbol", "t", "t_end", strict=True, block=WEEK / 3, carried=labels.last_exits(first, "symbol", "t_end"))
+    return first.withColumn("second", F.lit(False)).unionByName(second.withColumn("second", F.lit(True)))
 
 
 def barrier_sql(side: str) -> str:
@@ -224,15 +233,15 @@ STEP = 250_000
 
 
 def updates(spark, sf):
-    """Ticks as book updates: eight ticks of an eight-second stretch share a time and so are a group; about one in 40 groups is a snapshot."""
+    """Ticks as book updates on a fast clock, an hour a second: ticks of an hour that share tick_id % 4 are a group; about one in 40 ticks is of a snapshot."""
     t = ticks(spark, sf)
     bid = F.col("side") == "buy"
     level = F.when(bid, F.floor(F.col("price") / 25)).otherwise(F.floor(F.col("price") / 25) + 16).cast("double")
-    us = F.floor(F.col("us") / 3_600_000_000) * 3_600_000_000 + F.col("tick_id") % 4 * 200_000
+    us = F.floor(F.col("us") / 3_600_000_000) * 1_000_000 + F.col("tick_id") % 4 * 200_000
     return t.select("symbol", us.alias("us"), F.col("tick_id").alias("seq"), (F.col("tick_id") % 41 == 0).alias("snapshot"), F.when(bid, "bid").otherwise("ask").alias("side"), level.alias("level"), F.greatest(F.col("qty") - 20, F.lit(0.0)).alias("amount"))
 
 
-UPDATES_SQL = f"""{TICKS_SQL}, updates as (select symbol, us // 3600000000 * 3600000000 + tick_id % 4 * 200000 as us, tick_id as seq, tick_id % 41 = 0 as snapshot, case when side = 'buy' then 'bid' else 'ask' end as side,
+UPDATES_SQL = f"""{TICKS_SQL}, updates as (select symbol, us // 3600000000 * 1000000 + tick_id % 4 * 200000 as us, tick_id as seq, tick_id % 41 = 0 as snapshot, case when side = 'buy' then 'bid' else 'ask' end as side,
   case when side = 'buy' then floor(price / 25) else floor(price / 25) + 16 end as level, greatest(qty - 20, 0.0) as amount from ticks),
 groups as (select *, coalesce(lag(us) over (partition by symbol, segment order by us), -1) as prev, cast(ceil(us / 250000.0) as bigint) * 250000 as slot from (select symbol, us, max(case when snap then us end) over (partition by symbol order by us rows unbounded preceding) as segment
   from (select symbol, us, bool_or(snapshot) as snap from updates group by 1, 2)) where segment is not null),
@@ -240,16 +249,23 @@ states as (select symbol, us, segment, slot, prev, side, level, amount, row_numb
   select g.*, u.side, u.level, u.amount, row_number() over (partition by g.symbol, g.us, u.side, u.level order by u.us desc, u.seq desc) as last from groups g join updates u on u.symbol = g.symbol and u.us between g.segment and g.us) where last = 1 and amount > 0),
 tops as (select g.symbol, g.segment, g.us, g.slot, g.prev, max(level) filter (where side = 'bid' and k = 1) as bid, max(level) filter (where side = 'ask' and k = 1) as ask, max(amount) filter (where side = 'bid' and k = 1) as bid_qty, max(amount) filter (where side = 'ask' and k = 1) as ask_qty,
   {', '.join(f"coalesce(sum(amount) filter (where side = '{s}' and k <= {n}), 0.0) as {s}_depth{n}" for n in (1, 5, 10) for s in ('bid', 'ask'))} from groups g left join states s on s.symbol = g.symbol and s.us = g.us group by 1, 2, 3, 4, 5),
-valid as (select *, min(case when coalesce(bid < ask, false) then 1 else 0 end) over (partition by symbol, segment order by us rows unbounded preceding) = 1 as valid, row_number() over (partition by symbol, slot order by us desc) as late from tops)"""
+valid as (select *, min(case when coalesce(bid < ask, false) then 1 else 0 end) over (partition by symbol, segment order by us rows unbounded preceding) = 1 as valid, row_number() over (partition by symbol, slot order by us desc) as late from tops),
+slots as (select symbol, unnest(generate_series(cast(ceil(min(us) / 250000.0) as bigint) * 250000, cast(ceil(max(us) / 250000.0) as bigint) * 250000, 250000)) as slot from updates group by symbol),
+grid as (select s.symbol, s.slot as due, coalesce(v.valid, false) as valid, v.* exclude (symbol, slot, valid) from slots s asof left join valid v on v.symbol = s.symbol and v.us <= s.slot)"""
+
 
+BLOCK = 60_000_000
 
-def states(spark, sf):
-    return books.books(books.segmented(updates(spark, sf)), 3_600_000_000)
 
+def states(spark, sf, block: int = BLOCK, whole_days: bool = False):
+    """States with their latch, and every slot of the grid."""
+    state, blocks = books.books(updates(spark, sf), block, whole_days=whole_days)
+    return books.latched(state), books.slots_of(blocks, STEP, block)
 
-@query("r5_book_levels", """select v.symbol, v.slot, v.valid, s.side, s.k as place, s.level, s.amount from valid v join states s on s.symbol = v.symbol and s.us = v.us where v.late = 1 and s.k <= 10 ## level, amount""", UPDATES_SQL)
+
+@query("r5_book_levels", """select g.symbol, g.due as slot, g.valid, s.side, s.k as place, s.level, s.amount from grid g join states s on s.symbol = g.symbol and s.us = g.us where s.k <= 10 ## level, amount""", UPDATES_SQL)
 def r5(spark, sf):
-    d = books.at_slots(books.latched(states(spark, sf)), STEP)
+    d = books.at_slots(*states(spark, sf))
     one = lambda s: d.select("symbol", "slot", "valid", F.lit(s).alias("side"), F.posexplode(f"{s}s").alias("place", "x"))
     return one("bid").unionByName(one("ask")).select("symbol", "slot", "valid", "side", (F.col("place") + 1).cast("long").alias("place"), "x.level", "x.amount")
 
@@ -264,9 +280,18 @@ for _n in (1, 5, 10):
     R6 |= {f"bid_depth{_n}": f"bid_depth{_n}", f"ask_depth{_n}": f"ask_depth{_n}", f"imbalance{_n}": f"(bid_depth{_n} - ask_depth{_n}) / (bid_depth{_n} + ask_depth{_n})"}
 
 
-@query("r6_book_metrics", f"select symbol, slot, valid, {only_valid(R6)} from valid where late = 1 ## {', '.join(R6)}", UPDATES_SQL)
+@query("r6_book_metrics", f"select symbol, due as slot, valid, {only_valid(R6)} from grid ## {', '.join(R6)}", UPDATES_SQL)
 def r6(spark, sf):
-    return books.book_metrics(books.at_slots(books.latched(states(spark, sf)), STEP))
+    return books.book_metrics(books.at_slots(*states(spark, sf)))
+
+
+@query("r6_day_grid", f"""select s.symbol, s.day, 345600 as slots, coalesce(n, 0) as valid, mid from (select symbol, unnest(generate_series(min((us - 1) // {DAY_US}), max((us - 1) // {DAY_US}))) as day from updates group by symbol) s left join (
+  select symbol, day, cast(sum(n) as bigint) as n, sum(n * (bid + ask) / 2) / sum(n) as mid from (select symbol, bid, ask, day, (least((day + 1) * {DAY_US}, coalesce(until, (day + 1) * {DAY_US})) - greatest(slot, day * {DAY_US} + 250000)) // 250000 + 1 as n from (
+    select *, unnest(generate_series((slot - 1) // {DAY_US}, coalesce(until - 1, edge) // {DAY_US})) as day from (select symbol, valid, bid, ask, slot, lead(slot) over (partition by symbol order by slot) - 250000 as until, max(us - 1) over (partition by symbol) as edge from valid where late = 1)) where valid) group by 1, 2) v on v.symbol = s.symbol and v.day = s.day ## mid""", UPDATES_SQL)
+def r6_days(spark, sf):
+    """All 345,600 slots of each day that a symbol has updates in: how many are valid, and the mean of their mids."""
+    d = books.book_metrics(books.at_slots(*states(spark, sf, 15 * BLOCK, whole_days=True))).withColumn("day", F.floor((F.col("slot") - 1) / DAY_US))
+    return d.groupBy("symbol", "day").agg(F.count("*").cast("int").alias("slots"), F.count_if("valid").alias("valid"), F.avg("mid").alias("mid"))
 
 
 R7_SQL = f"""{UPDATES_SQL}, ranks as (select unnest(generate_series(1, 10)) as k), sides as (select unnest(['bid', 'ask']) as side),
@@ -279,10 +304,11 @@ per as (select f.symbol, f.segment, f.slot, f.us, {', '.join(f'sum(case when k <
 moved as (select symbol, us, sum(greatest(d, 0.0)) as replenished, sum(greatest(-d, 0.0)) as depleted from near group by 1, 2)"""
 
 
-@query("r7_order_flow", """select s.symbol, s.slot, coalesce(sum(ofi1), 0.0) as ofi1, coalesce(sum(ofi5), 0.0) as ofi5, coalesce(sum(ofi10), 0.0) as ofi10, coalesce(sum(replenished), 0.0) as replenished, coalesce(sum(depleted), 0.0) as depleted from
-  (select symbol, slot, max(segment) as segment from groups group by 1, 2) s left join per p on p.symbol = s.symbol and p.slot = s.slot and p.segment = s.segment left join moved m on m.symbol = p.symbol and m.us = p.us group by 1, 2 ## ofi1, ofi5, ofi10, replenished, depleted""", R7_SQL)
+@query("r7_order_flow", """select g.symbol, g.slot, coalesce(sum(ofi1), 0.0) as ofi1, coalesce(sum(ofi5), 0.0) as ofi5, coalesce(sum(ofi10), 0.0) as ofi10, coalesce(sum(replenished), 0.0) as replenished, coalesce(sum(depleted), 0.0) as depleted from slots g left join
+  (select symbol, slot, max(segment) as segment from groups group by 1, 2) s on s.symbol = g.symbol and s.slot = g.slot left join per p on p.symbol = s.symbol and p.slot = s.slot and p.segment = s.segment left join moved m on m.symbol = p.symbol and m.us = p.us group by 1, 2 ## ofi1, ofi5, ofi10, replenished, depleted""", R7_SQL)
 def r7(spark, sf):
-    return books.order_flow(states(spark, sf), STEP)
+    state, slots = states(spark, sf)
+    return books.order_flow(state, slots, STEP)
 
 
 FEAT = f"""{LAGGED}, feat as (select symbol, t, close, t // 86400 as day, r, (close / lag(close, 3) over ({W}) - 1) * 1e4 as r3, case when count(r) {over(-5, 0)} = 6 then stddev_pop(r) {over(-5, 0)} end as v6, ln(lead(close, 3) over ({W}) / close) * 1e4 as y,
@@ -413,7 +439,7 @@ def m12(spark, sf):
     momentum = hourly(spark, sf).select("symbol", "t", fx.simple_return(5).alias("pred"))
     d = feat(spark, sf).select("symbol", "t", "y", fx.percentile_rank("v6", 48).alias("vol_rank")).join(momentum, ["symbol", "t"])
     passed = walk.economic_gate(d.filter(F.col("t") < CUT).dropna(subset=["pred"]), d.filter((F.col("t") >= CUT) & F.col("y").isNotNull()), 12.0)
-    kept = labels.non_overlapping(passed.select("symbol", "t", (F.col("t") + 3 * HOUR).alias("t_end"), (F.signum("pred") * F.col("y")).alias("gross")), "symbol", "t", "t_end", strict=True)
+    kept = labels.non_overlapping(passed.select("symbol", "t", (F.col("t") + 3 * HOUR).alias("t_end"), (F.signum("pred") * F.col("y")).alias("gross")), "symbol", "t", "t_end", strict=True, block=WEEK)
     many = kept.select("symbol", "gross", F.explode(F.array(*map(F.lit, (1.0, 1.5, 2.0)))).alias("cost_multiple"))
     return many.groupBy("symbol", "cost_multiple").agg(F.count("*").alias("trades"), F.sum(F.col("gross") - 12 * F.col("cost_multiple")).alias("total"))
 

@@ -349,7 +349,7 @@ SPACED = SIGNALS + f""", spaced as (with recursive n as (select symbol, t, net,
 @query("ag2_portfolio_metrics", """select symbol, count(*) as trades, avg(case when net > 0 then 1.0 else 0.0 end) as win_rate, avg(net) as expectancy, sum(net) as sum_net from spaced group by symbol ## win_rate, expectancy, sum_net""", SPACED)
 def ag2(spark, sf):
     d = trades(spark, sf).filter("net > -9999").withColumn("t_end", F.col("t") + 3 * HOUR)
-    kept = labels.non_overlapping(d.select("symbol", "t", "t_end"), "symbol", "t", "t_end").select("symbol", "t")
+    kept = labels.non_overlapping(d.select("symbol", "t", "t_end"), "symbol", "t", "t_end", block=WEEK).select("symbol", "t")
     return metrics.trade_metrics(d.join(kept, ["symbol", "t"]), ["symbol"]).select("symbol", "trades", "win_rate", "expectancy", "sum_net")
 
 
