@@ -12,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import overlapped, own
+
 LEVELS = "array<struct<level:double,amount:double>>"
-STATE = f"symbol string, block long, us long, segment long, carried boolean, bids {LEVELS}, asks {LEVELS}"
+STATE = f"symbol string, block long, us long, segment long, carried boolean, seq long, bids {LEVELS}, asks {LEVELS}"
 CELLS = 1 << 20  # groups times levels that are held at once
 
 
@@ -76,6 +78,8 @@ def _fold(depth: int, block_us: int, cells: int):
         state[column[kind == 0]] = amount[kind == 0]
         own = np.flatnonzero(kind == 1)
         times, group = np.unique(us[own], return_inverse=True)
+        ids = np.full(len(times), np.iinfo(np.int64).min)
+        np.maximum.at(ids, group, seq[own])
         clears = np.zeros(len(times), bool)
         clears[group[snap[own].astype(bool)]] = True
         by = np.lexsort((amount[own], seq[own], column[own], group))
@@ -117,7 +121,8 @@ def _fold(depth: int, block_us: int, cells: int):
             cuts = np.concatenate([[0], np.cumsum(cat(sides[k + 2], np.int64))]).astype(np.int32)
             lists.append(pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([pa.array(cat(sides[k], float)), pa.array(cat(sides[k + 1], float))], ["level", "amount"])))
         carried = np.arange(len(us)) < len(us) - n
-        return pa.Table.from_arrays([pa.array([symbol.as_py()] * len(us), pa.string()), pa.array(np.full(len(us), block)), pa.array(us), pa.array(segment), pa.array(carried), *lists], ["symbol", "block", "us", "segment", "carried", "bids", "asks"])
+        ids = np.concatenate([[0] if is_open else [], ids[first:]]).astype(np.int64)
+        return pa.Table.from_arrays([pa.array([symbol.as_py()] * len(us), pa.string()), pa.array(np.full(len(us), block)), pa.array(us), pa.array(segment), pa.array(carried), pa.array(ids, mask=carried), *lists], ["symbol", "block", "us", "segment", "carried", "seq", "bids", "asks"])
 
     return fold
 
@@ -130,7 +135,7 @@ def books(updates: DataFrame, block_us: int, depth: int = 10, whole_days: bool =
     Rows with a null among these columns go too; a level below 0 is a price like others.
 
     States: symbol, block, us, segment (time of the snapshot that the book goes back to; -1 if that lies before the block), carried (the open
-    book at the block's left edge, no group of its own), bids and asks: the best `depth` levels as arrays of (level, amount), best first.
+    book at the block's left edge, no group of its own), seq (the last of the group; see latched), bids and asks: the best `depth` levels as arrays of (level, amount), best first.
     Blocks: see blocks_of. block_us must be a multiple of every step that is asked of the states.
     """
     u = updates.select("symbol", F.col("us").cast("long"), F.col("seq").cast("long"), "snapshot", "side", F.col("level").cast("double"), F.col("amount").cast("double")).dropna()
@@ -146,19 +151,20 @@ def books(updates: DataFrame, block_us: int, depth: int = 10, whole_days: bool =
 
 
 def latched(state: DataFrame) -> DataFrame:
-    """Adds valid: both sides stand and do not cross, now and after every earlier group since the snapshot.
+    """Adds valid: both sides stand and do not cross, now and after every earlier group since the snapshot; an open book has the seq of the last group before it.
 
     Within a block that is a running minimum; over blocks the last verdict of a block with a snapshot or a fault is carried, one row a block.
     """
     bid, ask = F.get("bids", F.lit(0))["level"], F.get("asks", F.lit(0))["level"]
     own = Window.partitionBy("symbol", "block", "segment").orderBy("us").rowsBetween(Window.unboundedPreceding, 0)
     d = state.withColumn("_bad", F.when(F.col("carried"), 0).otherwise((~F.coalesce(bid < ask, F.lit(False))).cast("int")))
-    tail = d.groupBy("symbol", "block", "segment").agg(F.max("_bad").alias("_bad")).groupBy("symbol", "block").agg(F.max(F.struct("segment", "_bad")).alias("_t"))
+    tail = d.groupBy("symbol", "block", "segment").agg(F.max("_bad").alias("_bad"), F.max_by("seq", "us").alias("_seq")).groupBy("symbol", "block").agg(F.max(F.struct("segment", "_bad", "_seq")).alias("_t"))
     verdict = F.when((F.col("_t.segment") >= 0) | (F.col("_t._bad") == 1), F.col("_t._bad"))
-    before = F.last(verdict, ignorenulls=True).over(Window.partitionBy("symbol").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    d = d.join(tail.select("symbol", "block", before.alias("_before")), ["symbol", "block"])
+    earlier = Window.partitionBy("symbol").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = [F.last(verdict, ignorenulls=True).over(earlier).alias("_before"), F.last("_t._seq", ignorenulls=True).over(earlier).alias("_id")]
+    d = d.join(tail.select("symbol", "block", *before), ["symbol", "block"])
     fault = F.max("_bad").over(own) + F.when(F.col("segment") >= 0, 0).otherwise(F.coalesce("_before", F.lit(0)))
-    return d.withColumn("valid", fault == 0).drop("_bad", "_before")
+    return d.withColumns({"valid": fault == 0, "seq": F.coalesce("seq", "_id")}).drop("_bad", "_before", "_id")
 
 
 def slots_of(blocks: DataFrame, step_us: int, block_us: int) -> DataFrame:
@@ -171,12 +177,12 @@ def slots_of(blocks: DataFrame, step_us: int, block_us: int) -> DataFrame:
 
 def at_slots(state: DataFrame, slots: DataFrame) -> DataFrame:
     """The state at every slot, of all groups up to it. Slots without a book have valid = false and null levels."""
-    rest = ["bids", "asks", "valid"]
+    rest = ["bids", "asks", "valid", "seq"]
     w = Window.partitionBy("symbol", "block").orderBy("_at", "_slot").rowsBetween(Window.unboundedPreceding, 0)
     one = state.select("symbol", "block", F.col("us").alias("_at"), F.lit(0).alias("_slot"), F.struct(*rest).alias("_r"))
     two = slots.select("symbol", "block", F.col("slot").alias("_at"), F.lit(1).alias("_slot"), F.lit(None).cast(one.schema["_r"].dataType).alias("_r"))
     d = one.unionByName(two).withColumn("_r", F.last("_r", ignorenulls=True).over(w)).filter("_slot = 1")
-    return d.select("symbol", F.col("_at").alias("slot"), "_r.bids", "_r.asks", F.coalesce("_r.valid", F.lit(False)).alias("valid"))
+    return d.select("symbol", F.col("_at").alias("slot"), "_r.bids", "_r.asks", F.coalesce("_r.valid", F.lit(False)).alias("valid"), "_r.seq")
 
 
 def book_metrics(slots: DataFrame, depths: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
@@ -203,7 +209,7 @@ def _change(sign: int):
 
 
 def order_flow(state: DataFrame, slots: DataFrame, step_us: int, depths: tuple[int, ...] = (1, 5, 10), near: int = 5) -> DataFrame:
-    """By slot: order-flow imbalance of the first ranks, and quantity replenished and depleted at the nearest prices, summed over update groups; 0 where nothing happened.
+    """By slot: order-flow imbalance of the first ranks, and quantity replenished and depleted at the nearest prices of a side, summed over update groups, 0 where nothing happened; snapshots: groups with one.
 
     Each group is taken against the state before it in its block, the first against the open book; a snapshot adds nothing and clears what its slot has summed so far.
     """
@@ -219,10 +225,76 @@ def order_flow(state: DataFrame, slots: DataFrame, step_us: int, depths: tuple[i
         return F.aggregate(F.map_values(both), F.lit(0.0), lambda s, x: s + x)
 
     parts = {f"ofi{n}": flow("_b", "bids", n, 1) - flow("_a", "asks", n, -1) for n in depths}
-    parts |= {"replenished": moved("_b", "bids", 1) + moved("_a", "asks", 1), "depleted": moved("_b", "bids", -1) + moved("_a", "asks", -1)}
+    for name, sign in (("replenished", 1), ("depleted", -1)):
+        parts |= {f"bid_{name}": moved("_b", "bids", sign), f"ask_{name}": moved("_a", "asks", sign)}
     slot = (F.ceil(F.col("us") / step_us) * step_us).cast("long").alias("slot")
     snapshot = F.col("us") == F.col("segment")
-    d = d.select("symbol", slot, "segment", *[F.when(snapshot, 0.0).otherwise(c).alias(k) for k, c in parts.items()])
-    quiet = slots.select("symbol", "slot", F.lit(-2).cast("long").alias("segment"), *[F.lit(0.0).alias(k) for k in parts])
-    per = d.unionByName(quiet).groupBy("symbol", "slot", "segment").agg(*[F.sum(c).alias(c) for c in parts])
-    return per.groupBy("symbol", "slot").agg(F.max_by(F.struct(*parts), "segment").alias("_p")).select("symbol", "slot", "_p.*")
+    d = d.select("symbol", slot, "segment", snapshot.cast("long").alias("snapshots"), *[F.when(snapshot, 0.0).otherwise(c).alias(k) for k, c in parts.items()])
+    quiet = slots.select("symbol", "slot", F.lit(-2).cast("long").alias("segment"), F.lit(0).cast("long").alias("snapshots"), *[F.lit(0.0).alias(k) for k in parts])
+    per = d.unionByName(quiet).groupBy("symbol", "slot", "segment").agg(*[F.sum(c).alias(c) for c in ("snapshots", *parts)])
+    return per.groupBy("symbol", "slot").agg(F.max_by(F.struct(*parts), "segment").alias("_p"), F.sum("snapshots").alias("snapshots")).select("symbol", "slot", "_p.*", "snapshots")
+
+
+def _ratio(a: Column, b: Column) -> Column:
+    return F.when(a + b > 0, (a - b) / F.when(a + b > 0, a + b)).otherwise(0.0)
+
+
+def slot_trades(trades: DataFrame, step_us: int, after: DataFrame | None = None) -> DataFrame:
+    """(symbol, slot, buy_qty, sell_qty, buys, sells) of right-closed slots. after (symbol, slot, us): of these slots only trades later than us count."""
+    d = trades.select("symbol", (F.ceil(F.col("us") / step_us) * step_us).cast("long").alias("slot"), F.col("us").alias("_us"), "qty", "buyer_maker")
+    if after is not None:
+        d = d.join(after.select("symbol", "slot", F.col("us").alias("_cut")), ["symbol", "slot"], "left").filter("_cut is null or _us > _cut")
+    sell = F.col("buyer_maker")
+    part = lambda f: F.sum(F.when(f, F.col("qty")).otherwise(0.0))
+    return d.groupBy("symbol", "slot").agg(part(~sell).alias("buy_qty"), part(sell).alias("sell_qty"), F.count_if(~sell).alias("buys"), F.count_if(sell).alias("sells"))
+
+
+def flow_block(metrics: DataFrame, flow: DataFrame, trades: DataFrame, step_us: int, block: int = 4096, short: int = 4, long: int = 12) -> DataFrame:
+    """43 columns of every slot, in three layers that are null where they do not hold.
+
+    Layer 0 (11, where the book is valid): spread, microprice offset, imbalance of the first 1, 5 and 10 levels, log quantities and depths.
+    Layer 1 (15): order flow of 1, 5 and 10 ranks and imbalance of traded quantity and count over one slot, `short` and `long` slots. It holds
+    from slot number `long` on, where layer 0 does and the flow of the last `long` slots is whole: the book valid at their ends, and no snapshot in them.
+    Layer 2 (17): changes of imbalances, spread and microprice offset over 1 and `short` slots, quantity replenished and depleted over `short`
+    slots, and three products. It holds where layer 1 does and the books 1 and `short` slots before are valid.
+
+    metrics, flow and trades: see book_metrics, order_flow and slot_trades, on one grid. `block` slots, with those they reach back to, are one task's.
+    """
+    zero = ("buy_qty", "sell_qty", "buys", "sells")
+    d = metrics.join(flow, ["symbol", "slot"]).join(trades, ["symbol", "slot"], "left").fillna(0, subset=list(zero))
+    first = metrics.groupBy("symbol").agg(F.min("slot").alias("_first"))
+    d = d.join(first, "symbol").withColumn("_k", ((F.col("slot") - F.col("_first")) / step_us).cast("long")).drop("_first")
+    d = d.withColumn("_whole", (F.col("valid") & (F.col("snapshots") == 0)).cast("int"))
+    d, order = overlapped(d, ["symbol"], "_k", block, long)
+    total = lambda c, n: F.sum(c).over(order.rowsBetween(-(n - 1), 0)).cast("double")
+    back = lambda c, n: F.lag(c, n).over(order)
+    spans = {"slot": 1, "short": short, "long": long}
+    log = lambda c: F.log1p(F.greatest(F.col(c), F.lit(0.0)))
+    zeroth = {"spread_bps": F.col("spread_bps"), "microprice_bps": F.col("microprice_bps"), **{f"imbalance{n}": F.col(f"imbalance{n}") for n in (1, 5, 10)}}
+    zeroth |= {f"log_{c}": log(c) for c in ("bid_qty", "ask_qty", "bid_depth5", "ask_depth5", "bid_depth10", "ask_depth10")}
+    one = {f"ofi{n}_{k}": total(f"ofi{n}", m) for n in (1, 5, 10) for k, m in spans.items()}
+    one |= {f"trade_qty_{k}": _ratio(total("buy_qty", m), total("sell_qty", m)) for k, m in spans.items()}
+    one |= {f"trade_count_{k}": _ratio(total("buys", m), total("sells", m)) for k, m in spans.items()}
+    two = {f"d_{c}_{k}": F.col(c) - back(c, m) for c in ("imbalance1", "imbalance5", "imbalance10", "spread_bps", "microprice_bps") for k, m in (("slot", 1), ("short", short))}
+    two |= {f"{c}_short": total(c, short) for c in ("bid_replenished", "ask_replenished", "bid_depleted", "ask_depleted")}
+    two |= {"trade_qty_x_imbalance5": one["trade_qty_short"] * F.col("imbalance5"), "trade_qty_x_microprice": one["trade_qty_short"] * F.col("microprice_bps"), "ofi5_x_spread": one["ofi5_short"] * F.col("spread_bps")}
+    valid0 = F.col("valid")
+    valid1 = valid0 & (F.col("_k") >= long) & (F.min("_whole").over(order.rowsBetween(-(long - 1), 0)) == 1)
+    valid2 = valid1 & F.coalesce(back("valid", 1) & back("valid", short), F.lit(False))
+    out = [F.when(ok, c).alias(k) for ok, layer in ((valid0, zeroth), (valid1, one), (valid2, two)) for k, c in layer.items()]
+    d = d.select("symbol", "slot", "_own", "_b", valid0.alias("valid0"), valid1.alias("valid1"), valid2.alias("valid2"), *out)
+    return own(d)
+
+
+def sampled_rows(state: DataFrame, slots: DataFrame, trades: DataFrame, step_us: int) -> DataFrame:
+    """The book and its slot's trades, one row for each slot at which the book is valid: 25 columns.
+
+    Trades up to the last time within the slot at which the book was not valid do not count, as their bucket is cleared then. Columns: symbol, slot,
+    the book's metrics of 1, 5 and 10 levels (spread and microprice offset in bps), quantities and counts of buys and sells, both imbalances, valid and last_id.
+    """
+    cut = state.filter("not valid and not carried").groupBy("symbol", (F.ceil(F.col("us") / step_us) * step_us).cast("long").alias("slot")).agg(F.max("us").alias("us"))
+    at = at_slots(state, slots)
+    d = book_metrics(at).filter("valid").join(at.select("symbol", "slot", F.col("seq").alias("last_id")), ["symbol", "slot"])
+    d = d.join(slot_trades(trades, step_us, cut), ["symbol", "slot"], "left").fillna(0, subset=["buy_qty", "sell_qty", "buys", "sells"])
+    more = {"qty_imbalance": _ratio(F.col("buy_qty"), F.col("sell_qty")), "count_imbalance": _ratio(F.col("buys"), F.col("sells"))}
+    return d.withColumns(more).drop("bid_depth1", "ask_depth1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .running import running
+from .running import overlapped, own, running
 
 
 def trade_buckets(ticks: DataFrame, seconds: int) -> DataFrame:
@@ -20,28 +20,30 @@ def trade_buckets(ticks: DataFrame, seconds: int) -> DataFrame:
     )
 
 
-def filled_grid(buckets: DataFrame, step: int) -> DataFrame:
-    """Every slot between a symbol's first and last one: sums are 0 and the price is carried where nothing traded."""
+def filled_grid(buckets: DataFrame, step: int, block: int = 4096) -> DataFrame:
+    """Every slot between a symbol's first and last one: sums are 0 and the price is carried where nothing traded. `block` slots are one task's."""
+    wide = block * step
     ends = buckets.groupBy("symbol").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    g = ends.select("symbol", F.explode(F.sequence("lo", "hi", F.lit(step).cast("long"))).alias("t")).join(buckets, ["symbol", "t"], "left")
-    w = Window.partitionBy("symbol").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = ends.withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / wide), F.floor(F.col("hi") / wide))))
+    # slots are counted from the first one, so that a block starts with the first of them in it
+    first = F.col("lo") + F.greatest(F.ceil((F.col("_b") * wide - F.col("lo")) / step), F.lit(0)) * step
+    inside = blocks.withColumns({"_from": first.cast("long"), "_to": F.least("hi", (F.col("_b") + 1) * wide - 1).cast("long")}).filter("_from <= _to")
+    g = inside.select("symbol", F.explode(F.sequence("_from", "_to", F.lit(step).cast("long"))).alias("t")).join(buckets, ["symbol", "t"], "left")
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("buy_qty", "sell_qty", "buys", "sells", "buy_notional", "sell_notional")}
-    return g.withColumns(zero | {"price": F.last("price", ignorenulls=True).over(w)})
+    return running(g.withColumns(zero), ["symbol"], ["t"], wide, {"price": ("last", F.col("price"))}).select(*buckets.columns)
 
 
-def flow_features(ticks: DataFrame) -> DataFrame:
-    """17 features of each second with a trade, a label, and the seconds' price; emitted from a symbol's fourth second on.
+def flow_features(ticks: DataFrame, block: int = 4096) -> DataFrame:
+    """17 features of every second from a symbol's fourth on, seconds without a trade too, a label, and the carried price.
 
-    ret1 and ret3: log returns in bps against the price carried to 1 and 3 s before; quantity and count imbalance over 1, 3, 5 and 10 s; log quantity and count over 1 and 5 s;
-    buy against sell VWAP over 5 s in bps (0 unless both traded); whether buys and sells are there. label: log return to the price carried 10 s
-    ahead, null without a full horizon. Windows range over time, so seconds without a trade need no rows of their own.
+    ret1 and ret3: log returns in bps over 1 and 3 s; quantity and count imbalance over 1, 3, 5 and 10 s; log quantity and count over 1 and 5 s; buy
+    against sell VWAP over 5 s in bps (0 unless both traded); whether buys and sells are there. label: log return over the next 10 s, null
+    without a full horizon. Windows are shorter at a symbol's start. `block` seconds, with those its windows reach, are one task's.
     """
-    d = trade_buckets(ticks, 1)
-    w = lambda lo, hi: Window.partitionBy("symbol").orderBy("t").rangeBetween(lo, hi)
-    s = lambda c, n: F.sum(c).over(w(-(n - 1), 0))
+    d, order = overlapped(filled_grid(trade_buckets(ticks, 1), 1, block), ["symbol"], "t", block, 9, 10)
+    s = lambda c, n: F.sum(c).over(order.rowsBetween(-(n - 1), 0))
     over = lambda x, y: F.when(y > 0, x / F.when(y > 0, y))
-    price = lambda k: F.last("price").over(w(Window.unboundedPreceding, k))
-    out = {f"ret{k}": F.log(F.col("price") / price(-k)) * 1e4 for k in (1, 3)}
+    out = {f"ret{k}": F.log(F.col("price") / F.lag("price", k).over(order)) * 1e4 for k in (1, 3)}
     for n in (1, 3, 5, 10):
         for name, a, b in (("qty", "buy_qty", "sell_qty"), ("count", "buys", "sells")):
             out[f"{name}_imbalance{n}"] = F.coalesce(over((s(a, n) - s(b, n)).cast("double"), s(a, n) + s(b, n)), F.lit(0.0))
@@ -49,10 +51,10 @@ def flow_features(ticks: DataFrame) -> DataFrame:
         out |= {f"log_qty{n}": F.log1p(s("buy_qty", n) + s("sell_qty", n)), f"log_count{n}": F.log1p((s("buys", n) + s("sells", n)).cast("double"))}
     gap = over(s("buy_notional", 5), s("buy_qty", 5)) / over(s("sell_notional", 5), s("sell_qty", 5))
     out |= {"vwap_gap_bps": F.coalesce((gap - 1) * 1e4, F.lit(0.0)), "has_buys": F.col("buys") > 0, "has_sells": F.col("sells") > 0}
-    whole = Window.partitionBy("symbol")
-    d = d.withColumns({"_first": F.min("t").over(whole), "_last": F.max("t").over(whole)})
-    label = F.when(F.col("_last") >= F.col("t") + 10, F.log(price(10) / F.col("price")) * 1e4)
-    return d.select("symbol", "t", "price", *[c.alias(k) for k, c in out.items()], label.alias("label"), "_first").filter(F.col("t") >= F.col("_first") + 3).drop("_first")
+    label = F.log(F.lead("price", 10).over(order) / F.col("price")) * 1e4
+    d = own(d.select("symbol", "t", "price", "_own", "_b", *[c.alias(k) for k, c in out.items()], label.alias("label")))
+    first = ticks.groupBy("symbol").agg(F.floor(F.min("us") / 1_000_000).alias("_first"))
+    return d.join(first, "symbol").filter(F.col("t") >= F.col("_first") + 3).drop("_first")
 
 
 def gap_segments(d: DataFrame, most_us: int, block: int | None = 86_400_000_000) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -51,3 +51,27 @@ def running(d: DataFrame, key: list[str], order: list[str], block: int | Column
     }
     out = rows.select("_f", "_row", *[inside[kinds[n]](x[n]).alias(n) for n in columns])
     return out.filter("_f = 1").select("_row.*", *columns)
+
+
+def overlapped(d: DataFrame, key: list[str], at: str, block: int, before: int, after: int = 0) -> tuple[DataFrame, WindowSpec]:
+    """d dealt into blocks of `block` positions of `at`, each with the rows up to `before` positions ahead of it and `after` behind it, and a window over a block.
+
+    Frames of at most `before` preceding and `after` following rows see all their rows there, if no two rows of a key share a position; take
+    own(d) after them. A hot key is many tasks' work. For rows without even steps number them first (numbered).
+    """
+    if not (block >= before and block >= after):
+        raise ValueError("a block must hold the overlap")
+    of = lambda x: F.floor(x / block)
+    b = of(F.col(at))
+    d = d.withColumn("_own", b).withColumn("_b", F.explode(F.array_distinct(F.array(b, of(F.col(at) + before), of(F.col(at) - after)))))
+    return d, Window.partitionBy(*key, "_b").orderBy(at)
+
+
+def own(d: DataFrame) -> DataFrame:
+    """The rows of each block itself."""
+    return d.filter("_own = _b").drop("_own", "_b")
+
+
+def numbered(d: DataFrame, key: list[str], order: list[str], block: int | Column | None, name: str = "k") -> DataFrame:
+    """d with the number of each row within its key, from 0, taken in blocks."""
+    return running(d, key, order, block, {name: ("sum", F.lit(1))}).withColumn(name, F.col(name) - 1)

@@ -9,7 +9,9 @@ from ..sources.adapters import LEDGER_SQL, TICKS_SQL, hourly, ledger, ticks
 from ..sources.shared import new_folder
 from ..sources.tables import parse_rows
 from ..streaming import feeds as streams
+from ..streaming import stateful
 from .market import SIGNALS, query, trades
+from .protocols import FLOW_DOUBLES, FLOW_SQL, fast_ticks, flow_sql
 from .research import SEQUENCE
 
 
@@ -129,4 +131,19 @@ def r10(spark, sf):
 def stream_sequence(spark, sf):
     from .research import depth_feed
 
-    return streams.drain(streams.sequence_state(streams.replay(depth_feed(spark, sf), "feed")), "sequence")
+    feed = depth_feed(spark, sf).repartitionByRange(8, "us").sortWithinPartitions("us", "pos")  # as it arrived
+    return streams.drain(stateful.continuity(streams.replay(feed, "feed", files=4), "30 days"), "sequence").select("symbol", "pos", "segment", "state")
+
+
+@query("stream_second_flow", f"select f.* exclude (label) from ({flow_sql()}) f join (select symbol, max(t) as closed from seconds where (t + 1) * 1000 <= (select max(us) // 1000 from fast) - 5000 group by symbol) c on c.symbol = f.symbol and f.t <= c.closed ## {', '.join(FLOW_DOUBLES)}", FLOW_SQL)
+def stream_flow(spark, sf):
+    return streams.drain(stateful.second_flow(streams.replay(fast_ticks(spark, sf), "ticks"), "5 seconds"), "flow")
+
+
+@query("r10_late_rows", "select symbol, count(*) as n, count(*) filter (where (tick_id % 5) * 1000000 > 2000000) as late from ticks group by symbol", TICKS_SQL)
+def r10_late(spark, sf):
+    """Rows over two seconds old at their arrival go to a side table, batch by batch."""
+    t = ticks(spark, sf).withColumn("local_us", F.col("us") + F.col("tick_id") % 5 * 1_000_000).select("symbol", "us", "local_us", "tick_id")
+    main, late = stateful.fan_out(streams.replay(t, "arrivals"), "arrivals", late_us=2_000_000)
+    one = main.select("symbol", F.lit(0).alias("late")).unionByName(late.select("symbol", F.lit(1).alias("late")))
+    return one.groupBy("symbol").agg(F.count("*").alias("n"), F.sum("late").alias("late"))

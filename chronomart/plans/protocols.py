@@ -208,25 +208,41 @@ def ag14_rate(spark, sf):
     return metrics.local_calibration(d.filter("t >= 1705276800"), d.filter("t < 1705276800"), least=30, lo=0.01, hi=0.99).select("symbol", "t", "calibrated")
 
 
-def flow_sql() -> str:
-    w = lambda n: f"over (partition by symbol order by t range between {n - 1} preceding and current row)"
-    carried = lambda k: f"last(price) over (partition by symbol order by t range between unbounded preceding and {f'{k} following' if k > 0 else f'{-k} preceding'})"
-    out = [f"ln(price / {carried(-k)}) * 1e4 as ret{k}" for k in (1, 3)]
+def fast_ticks(spark, sf):
+    """Ticks on a fast clock: an hour in ten seconds."""
+    return ticks(spark, sf).withColumn("us", F.floor(F.col("us") / 360))
+
+
+FLOW_SQL = f"""{TICKS_SQL}, fast as (select * replace (us // 360 as us) from ticks), seconds as (select symbol, us // 1000000 as t, last(price order by us, tick_id) as price, sum(case when not buyer_maker then qty else 0.0 end) as bq, sum(case when buyer_maker then qty else 0.0 end) as sq,
+  count(*) filter (where not buyer_maker) as bn, count(*) filter (where buyer_maker) as sn, sum(case when not buyer_maker then qty * price else 0.0 end) as bv, sum(case when buyer_maker then qty * price else 0.0 end) as sv from fast group by 1, 2),
+every as (select g.symbol, g.t, last(price ignore nulls) over (partition by g.symbol order by g.t) as price, {', '.join(f'coalesce({c}, 0) as {c}' for c in ('bq', 'sq', 'bn', 'sn', 'bv', 'sv'))}
+  from (select symbol, unnest(generate_series(min(t), max(t))) as t from seconds group by symbol) g left join seconds s on s.symbol = g.symbol and s.t = g.t)"""
+
+
+def _flow_columns() -> dict[str, str]:
+    w = lambda n: f"over (partition by symbol order by t rows between {n - 1} preceding and current row)"
+    out = {f"ret{k}": f"ln(price / lag(price, {k}) over (partition by symbol order by t)) * 1e4" for k in (1, 3)}
     for n in (1, 3, 5, 10):
         for name, a, b in (("qty", "bq", "sq"), ("count", "bn", "sn")):
-            out.append(f"coalesce((sum({a}) {w(n)} - sum({b}) {w(n)})::double / nullif(sum({a}) {w(n)} + sum({b}) {w(n)}, 0), 0.0) as {name}_imbalance{n}")
+            out[f"{name}_imbalance{n}"] = f"coalesce((sum({a}) {w(n)} - sum({b}) {w(n)})::double / nullif(sum({a}) {w(n)} + sum({b}) {w(n)}, 0), 0.0)"
     for n in (1, 5):
-        out += [f"ln(1 + sum(bq + sq) {w(n)}) as log_qty{n}", f"ln(1 + sum(bn + sn) {w(n)}) as log_count{n}"]
-    out.append(f"coalesce(((sum(bv) {w(5)} / nullif(sum(bq) {w(5)}, 0)) / (sum(sv) {w(5)} / nullif(sum(sq) {w(5)}, 0)) - 1) * 1e4, 0.0) as vwap_gap_bps")
-    names = [x.rsplit(" as ", 1)[1] for x in out]
-    out += ["bn > 0 as has_buys", "sn > 0 as has_sells", f"case when max(t) over (partition by symbol) >= t + 10 then ln({carried(10)} / price) * 1e4 end as label", "min(t) over (partition by symbol) as first"]
-    return f"select * exclude (first, bq, sq, bn, sn, bv, sv) from (select *, {', '.join(out)} from seconds) where t >= first + 3 ## {', '.join(['price', *names, 'label'])}"
+        out |= {f"log_qty{n}": f"ln(1 + sum(bq + sq) {w(n)})", f"log_count{n}": f"ln(1 + sum(bn + sn) {w(n)})"}
+    out["vwap_gap_bps"] = f"coalesce(((sum(bv) {w(5)} / nullif(sum(bq) {w(5)}, 0)) / (sum(sv) {w(5)} / nullif(sum(sq) {w(5)}, 0)) - 1) * 1e4, 0.0)"
+    return out
+
+
+FLOW_DOUBLES = ["price", *_flow_columns()]
 
 
-@query("r1_rolling_flow", flow_sql(), f"""{TICKS_SQL}, seconds as (select symbol, us // 1000000 as t, last(price order by us, tick_id) as price, sum(case when not buyer_maker then qty else 0.0 end) as bq, sum(case when buyer_maker then qty else 0.0 end) as sq,
-  count(*) filter (where not buyer_maker) as bn, count(*) filter (where buyer_maker) as sn, sum(case when not buyer_maker then qty * price else 0.0 end) as bv, sum(case when buyer_maker then qty * price else 0.0 end) as sv from ticks group by 1, 2)""")
+def flow_sql() -> str:
+    out = [f"{x} as {k}" for k, x in _flow_columns().items()]
+    out += ["bn > 0 as has_buys", "sn > 0 as has_sells", "ln(lead(price, 10) over (partition by symbol order by t) / price) * 1e4 as label", "min(t) over (partition by symbol) as first"]
+    return f"select * exclude (first, bq, sq, bn, sn, bv, sv) from (select *, {', '.join(out)} from every) where t >= first + 3"
+
+
+@query("r1_rolling_flow", f"{flow_sql()} ## {', '.join([*FLOW_DOUBLES, 'label'])}", FLOW_SQL)
 def r1(spark, sf):
-    return grids.flow_features(ticks(spark, sf))
+    return grids.flow_features(fast_ticks(spark, sf), 1024)
 
 
 STEP = 250_000
@@ -294,6 +310,7 @@ def r6_days(spark, sf):
     return d.groupBy("symbol", "day").agg(F.count("*").cast("int").alias("slots"), F.count_if("valid").alias("valid"), F.avg("mid").alias("mid"))
 
 
+R7 = ("ofi1", "ofi5", "ofi10", "bid_replenished", "ask_replenished", "bid_depleted", "ask_depleted")
 R7_SQL = f"""{UPDATES_SQL}, ranks as (select unnest(generate_series(1, 10)) as k), sides as (select unnest(['bid', 'ask']) as side),
 flows as (select g.symbol, g.segment, g.us, g.slot, r.k, case when s.side = 'bid' then 1 else -1 end * case when o.level is null and n.level is null then 0.0 when o.level is null then n.amount when n.level is null then -o.amount
     when (n.level - o.level) * case when s.side = 'bid' then 1 else -1 end > 0 then n.amount when n.level = o.level then n.amount - o.amount else -o.amount end as f
@@ -301,16 +318,70 @@ flows as (select g.symbol, g.segment, g.us, g.slot, r.k, case when s.side = 'bid
 near as (select symbol, us, side, level, sum(d) as d from (select symbol, us, side, level, amount as d from states where k <= 5 and prev >= 0 union all
   select g.symbol, g.us, o.side, o.level, -o.amount from groups g join states o on o.symbol = g.symbol and o.us = g.prev and o.k <= 5 where g.prev >= 0) group by 1, 2, 3, 4),
 per as (select f.symbol, f.segment, f.slot, f.us, {', '.join(f'sum(case when k <= {n} then f else 0.0 end) as ofi{n}' for n in (1, 5, 10))} from flows f group by 1, 2, 3, 4),
-moved as (select symbol, us, sum(greatest(d, 0.0)) as replenished, sum(greatest(-d, 0.0)) as depleted from near group by 1, 2)"""
+moved as (select symbol, us, {', '.join(f"sum(case when side = '{s}' then greatest({g}d, 0.0) else 0.0 end) as {s}_{n}" for n, g in (('replenished', ''), ('depleted', '-')) for s in ('bid', 'ask'))} from near group by 1, 2),
+sums as (select g.symbol, g.slot, {', '.join(f'coalesce(sum({c}), 0.0) as {c}' for c in R7)} from slots g left join
+  (select symbol, slot, max(segment) as segment from groups group by 1, 2) s on s.symbol = g.symbol and s.slot = g.slot left join per p on p.symbol = s.symbol and p.slot = s.slot and p.segment = s.segment left join moved m on m.symbol = p.symbol and m.us = p.us group by 1, 2),
+flow as (select s.*, coalesce(n, 0) as snapshots from sums s left join (select symbol, slot, count(*) as n from groups where us = segment group by 1, 2) x on x.symbol = s.symbol and x.slot = s.slot)"""
 
 
-@query("r7_order_flow", """select g.symbol, g.slot, coalesce(sum(ofi1), 0.0) as ofi1, coalesce(sum(ofi5), 0.0) as ofi5, coalesce(sum(ofi10), 0.0) as ofi10, coalesce(sum(replenished), 0.0) as replenished, coalesce(sum(depleted), 0.0) as depleted from slots g left join
-  (select symbol, slot, max(segment) as segment from groups group by 1, 2) s on s.symbol = g.symbol and s.slot = g.slot left join per p on p.symbol = s.symbol and p.slot = s.slot and p.segment = s.segment left join moved m on m.symbol = p.symbol and m.us = p.us group by 1, 2 ## ofi1, ofi5, ofi10, replenished, depleted""", R7_SQL)
+@query("r7_order_flow", f"select * from flow ## {', '.join(R7)}", R7_SQL)
 def r7(spark, sf):
     state, slots = states(spark, sf)
     return books.order_flow(state, slots, STEP)
 
 
+def deals(spark, sf):
+    """Ticks as trades on the clock of the updates."""
+    return ticks(spark, sf).withColumn("us", F.floor(F.col("us") / 3_600_000_000) * 1_000_000 + F.col("tick_id") % 4 * 200_000)
+
+
+DEALS = """deals as (select symbol, us // 3600000000 * 1000000 + tick_id % 4 * 200000 as us, qty, buyer_maker from ticks)"""
+
+
+def block_sql() -> tuple[str, str]:
+    """The three layers on the grid by plain windows over a symbol: the query's text and its doubles."""
+    w = lambda n: f"over (partition by symbol order by slot rows between {n - 1} preceding and current row)"
+    lag = lambda c, n: f"lag({c}, {n}) over (partition by symbol order by slot)"
+    ratio = lambda a, b, n: f"case when sum({a} + {b}) {w(n)} > 0 then (sum({a}) {w(n)} - sum({b}) {w(n)})::double / sum({a} + {b}) {w(n)} else 0.0 end"
+    spans = {"slot": 1, "short": 4, "long": 12}
+    zeroth = {c: c for c in ("spread_bps", "microprice_bps", "imbalance1", "imbalance5", "imbalance10")} | {f"log_{c}": f"ln(1 + {c})" for c in ("bid_qty", "ask_qty", "bid_depth5", "ask_depth5", "bid_depth10", "ask_depth10")}
+    one = {f"ofi{n}_{k}": f"sum(ofi{n}) {w(m)}" for n in (1, 5, 10) for k, m in spans.items()}
+    one |= {f"trade_qty_{k}": ratio("bq", "sq", m) for k, m in spans.items()} | {f"trade_count_{k}": ratio("bn", "sn", m) for k, m in spans.items()}
+    two = {f"d_{c}_{k}": f"{c} - {lag(c, m)}" for c in ("imbalance1", "imbalance5", "imbalance10", "spread_bps", "microprice_bps") for k, m in (("slot", 1), ("short", 4))}
+    two |= {f"{c}_short": f"sum({c}) {w(4)}" for c in R7[3:]} | {"trade_qty_x_imbalance5": f"({ratio('bq', 'sq', 4)}) * imbalance5", "trade_qty_x_microprice": f"({ratio('bq', 'sq', 4)}) * microprice_bps", "ofi5_x_spread": f"sum(ofi5) {w(4)} * spread_bps"}
+    one_ok = f"valid and row_number() over (partition by symbol order by slot) > 12 and min(case when valid and snapshots = 0 then 1 else 0 end) {w(12)} = 1"
+    two_ok = f"{one_ok} and coalesce({lag('valid', 1)} and {lag('valid', 4)}, false)"
+    out = [f"case when {ok} then {x} end as {k}" for ok, layer in (("valid", zeroth), (one_ok, one), (two_ok, two)) for k, x in layer.items()]
+    text = f"""select symbol, slot, valid as valid0, {one_ok} as valid1, {two_ok} as valid2, {', '.join(out)} from (select b.*, f.* exclude (symbol, slot), coalesce(bq, 0.0) as bq, coalesce(sq, 0.0) as sq, coalesce(bn, 0) as bn, coalesce(sn, 0) as sn
+  from (select symbol, due as slot, valid, {only_valid(R6)} from grid) b join flow f on f.symbol = b.symbol and f.slot = b.slot left join ({DEALS_AT.format(step=250000)}) t on t.symbol = b.symbol and t.slot = b.slot)"""
+    return text, ", ".join([*zeroth, *one, *two])
+
+
+DEALS_AT = """select symbol, cast(ceil(us / {step}.0) as bigint) * {step} as slot, sum(case when not buyer_maker then qty else 0.0 end) as bq, sum(case when buyer_maker then qty else 0.0 end) as sq, count(*) filter (where not buyer_maker) as bn, count(*) filter (where buyer_maker) as sn from deals group by 1, 2"""
+
+
+@query("r9_flow_block", " ## ".join(block_sql()), f"{R7_SQL}, {DEALS}")
+def r9_block(spark, sf):
+    """43 columns on every slot of 250 ms."""
+    state, slots = states(spark, sf)
+    return books.flow_block(books.book_metrics(books.at_slots(state, slots)), books.order_flow(state, slots, STEP), books.slot_trades(deals(spark, sf), STEP), STEP, block=1024)
+
+
+R2 = ", ".join(k for k in R6 if k not in ("bid_depth1", "ask_depth1"))
+
+
+@query("r2_sampled_rows", f"""select symbol, slot, valid, {R2}, last_id, coalesce(bq, 0.0) as buy_qty, coalesce(sq, 0.0) as sell_qty, coalesce(bn, 0) as buys, coalesce(sn, 0) as sells, case when bq + sq > 0 then (bq - sq) / (bq + sq) else 0.0 end as qty_imbalance,
+  case when bn + sn > 0 then (bn - sn)::double / (bn + sn) else 0.0 end as count_imbalance from (select g.symbol, g.slot, v.valid, {only_valid(R6)}, i.last_id, t.bq, t.sq, t.bn, t.sn
+  from (select symbol, unnest(generate_series(cast(ceil(min(us) / 1000000.0) as bigint) * 1000000, cast(ceil(max(us) / 1000000.0) as bigint) * 1000000, 1000000)) as slot from updates group by symbol) g asof join valid v on v.symbol = g.symbol and v.us <= g.slot
+  join (select symbol, us, max(seq) as last_id from updates group by 1, 2) i on i.symbol = v.symbol and i.us = v.us left join (select d.symbol, cast(ceil(d.us / 1000000.0) as bigint) * 1000000 as slot, sum(case when not buyer_maker then qty else 0.0 end) as bq, sum(case when buyer_maker then qty else 0.0 end) as sq,
+    count(*) filter (where not buyer_maker) as bn, count(*) filter (where buyer_maker) as sn from deals d left join (select symbol, cast(ceil(us / 1000000.0) as bigint) * 1000000 as slot, max(us) as cut from valid where not valid group by 1, 2) c on c.symbol = d.symbol and c.slot = cast(ceil(d.us / 1000000.0) as bigint) * 1000000
+    where cut is null or d.us > cut group by 1, 2) t on t.symbol = g.symbol and t.slot = g.slot where v.valid) ## {R2}, buy_qty, sell_qty, qty_imbalance, count_imbalance""", f"{UPDATES_SQL}, {DEALS}")
+def r2_rows(spark, sf):
+    """25 columns a second, while the book is valid."""
+    state, blocks = books.books(updates(spark, sf), BLOCK)
+    return books.sampled_rows(books.latched(state), books.slots_of(blocks, 1_000_000, BLOCK), deals(spark, sf), 1_000_000)
+
+
 FEAT = f"""{LAGGED}, feat as (select symbol, t, close, t // 86400 as day, r, (close / lag(close, 3) over ({W}) - 1) * 1e4 as r3, case when count(r) {over(-5, 0)} = 6 then stddev_pop(r) {over(-5, 0)} end as v6, ln(lead(close, 3) over ({W}) / close) * 1e4 as y,
   lead(t, 3) over ({W}) // 86400 as label_end_day, row_number() over ({W}) - 1 as k from lagged)"""
 

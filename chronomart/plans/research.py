@@ -321,7 +321,7 @@ def depth_feed(spark, sf):
     t = ticks(spark, sf).withColumn("pos", F.row_number().over(Window.partitionBy("symbol").orderBy("us", "tick_id")).cast("long"))
     u, cut = F.col("pos") * 10, F.col("tick_id") % 37 == 0
     return t.select(
-        "symbol", "pos", u.alias("last"), F.when(cut, u - 5).otherwise(u - 9).alias("first"), F.when(cut, u - 7).otherwise(u - 10).alias("previous"),
+        "symbol", "us", "pos", u.alias("last"), F.when(cut, u - 5).otherwise(u - 9).alias("first"), F.when(cut, u - 7).otherwise(u - 10).alias("previous"),
         F.when(F.col("tick_id") % 29 == 0, u + F.when(F.col("tick_id") % 2 == 0, 5).otherwise(25)).alias("snapshot_id"),
     )
 

@@ -1,14 +1,12 @@
-"""Structured Streaming twins: bars, routing, trades once, joined samples, continuity of a sequence, stale rows."""
+"""Structured Streaming twins: bars, routing, trades once, joined samples, stale rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import new_folder
+from .stateful import rocks
 
 
 def bars(ticks: DataFrame, seconds: int, lateness: str) -> DataFrame:
@@ -47,42 +45,18 @@ def with_staleness(d: DataFrame, most_us: int) -> DataFrame:
     return d.withColumn("age_us", F.col("local_us") - F.col("us")).withColumn("valid", F.col("age_us") <= most_us)
 
 
-def sequence_state(events: DataFrame) -> DataFrame:
-    """The streaming twin of operators.audits.sequence_state: a few numbers of state a symbol; rows of a micro-batch are taken by pos."""
-
-    def follow(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        segment, sid, last, fine = state.get if state.exists else (0, -1, -1, True)
-        out = []
-        for r in pd.concat(list(frames)).sort_values("pos").itertuples(index=False):
-            if not pd.isna(r.snapshot_id):
-                segment, sid, last, fine, what = segment + 1, int(r.snapshot_id), -1, True, "snapshot"
-            elif segment == 0 or not fine:
-                what = "invalid"
-            elif r.last < sid:
-                what = "stale"
-            else:
-                fine = bool(r.first <= sid if last < 0 else r.previous == last)
-                what = ("bridge" if last < 0 else "valid") if fine else "gap"
-                last = int(r.last)
-            out.append((key[0], int(r.pos), segment, what))
-        state.update((segment, sid, last, fine))
-        yield pd.DataFrame(out, columns=["symbol", "pos", "segment", "state"])
-
-    return events.groupBy("symbol").applyInPandasWithState(
-        follow, "symbol string, pos long, segment long, state string", "segment long, sid long, last long, fine boolean", "append", "NoTimeout"
-    )
-
-
 def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over all that is there now into a table of the shared folder, and read that."""
+    """Run a stream over all that is there now into a table of the shared folder, and read that. State lies in RocksDB."""
     spark = stream.sparkSession
     path = new_folder(spark, name)
-    stream.writeStream.format("parquet").option("checkpointLocation", new_folder(spark, f"{name}-state")).trigger(availableNow=True).start(path).awaitTermination()
+    with rocks(spark):
+        stream.writeStream.format("parquet").option("checkpointLocation", new_folder(spark, f"{name}-state")).trigger(availableNow=True).start(path).awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def replay(table: DataFrame, name: str) -> DataFrame:
-    """A table as a stream of files: it is written to the shared folder once and read as it arrived."""
+def replay(table: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """A table as a stream of files: it is written to the shared folder once and read as it arrived, at most so many files a micro-batch."""
     path = new_folder(table.sparkSession, name)
     table.write.parquet(path)
-    return table.sparkSession.readStream.schema(table.schema).parquet(path)
+    reader = table.sparkSession.readStream.schema(table.schema)
+    return (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(path)

@@ -69,7 +69,7 @@ def test_states_and_slots_equal_a_loop(spark, block):
     got = {(r.symbol, r.us): ([tuple(x) for x in r.bids], [tuple(x) for x in r.asks], r.valid) for r in state.filter("not carried").collect()}
     assert got == {(s, us): (b, a, v) for s, states in want.items() for us, _, b, a, v, _ in states}
     grid = {(r.symbol, r.slot): (r.bids and [tuple(x) for x in r.bids], r.valid) for r in books.at_slots(state, slots).collect()}
-    flows = {(r.symbol, r.slot): tuple(r[2:]) for r in books.order_flow(state, slots, STEP, (1, 3), 2).collect()}
+    flows = {(r.symbol, r.slot): (r.ofi1, r.ofi3, r.bid_replenished + r.ask_replenished, r.bid_depleted + r.ask_depleted) for r in books.order_flow(state, slots, STEP, (1, 3), 2).collect()}
     expected, sums = {}, {}
     for s, states in want.items():
         times = [r[1] for r in rows if r[0] == s]
