@@ -207,29 +207,30 @@ def best_with_minimum(d: DataFrame, key: str, least: int, by: list[Column]) -> D
     return leaderboard(d.withColumn("_few", F.col("trades") < least), key, [F.col("_few"), *by], 1).drop("_few", "place")
 
 
-def local_calibration(d: DataFrame, validation: DataFrame, width: float = 0.05, least: int = 15, lo: float = 0.5, hi: float = 0.99, cells: int = 4096) -> DataFrame:
-    """Share of hits of the validation rows with confidence in [p - width, p + width], clipped; the raw value where there are too few.
+def local_calibration(d: DataFrame, validation: DataFrame, width: float = 0.05, least: int = 15, lo: float = 0.5, hi: float = 0.99, cells: int = 4096, key: list[str] | None = None) -> DataFrame:
+    """Share of hits of the validation rows (of the same key) with confidence in [p - width, p + width], clipped; the raw value where there are too few.
 
     Running sums in two levels, over cells of confidence and within a cell, looked up at both ends of the range: no pair of rows is ever formed.
     """
+    key = key or []
     cell = lambda c: F.floor(c * cells)
-    v = validation.groupBy(F.col("confidence").alias("x")).agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("long")).alias("h")).withColumn("cell", cell(F.col("x")))
-    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # at most `cells` rows and those of confidences above 1
-    per = v.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("h").alias("h"))
-    asked = d.select("confidence").distinct()
-    ends = asked.select("confidence", F.lit(0).alias("end"), (F.col("confidence") - width).alias("x")).unionByName(asked.select("confidence", F.lit(1).alias("end"), (F.col("confidence") + width).alias("x")))
+    v = validation.groupBy(*key, F.col("confidence").alias("x")).agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("long")).alias("h")).withColumn("cell", cell(F.col("x")))
+    before = Window.partitionBy(*key).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # at most `cells` rows a key and those of confidences above 1
+    per = v.groupBy(*key, "cell").agg(F.sum("n").alias("n"), F.sum("h").alias("h"))
+    asked = d.select(*key, "confidence").distinct()
+    ends = asked.select(*key, "confidence", F.lit(0).alias("end"), (F.col("confidence") - width).alias("x")).unionByName(asked.select(*key, "confidence", F.lit(1).alias("end"), (F.col("confidence") + width).alias("x")))
     ends = ends.withColumn("cell", cell(F.col("x")))
     # rows at the lower end itself count, so it comes before them, and the upper end after
-    both = v.select("cell", "x", F.lit(1).alias("_o"), "n", "h").unionByName(ends.select("cell", "x", (F.col("end") * 2).alias("_o"), "confidence", "end"), allowMissingColumns=True)
-    inside = Window.partitionBy("cell").orderBy("x", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    both = v.select(*key, "cell", "x", F.lit(1).alias("_o"), "n", "h").unionByName(ends.select(*key, "cell", "x", (F.col("end") * 2).alias("_o"), "confidence", "end"), allowMissingColumns=True)
+    inside = Window.partitionBy(*key, "cell").orderBy("x", "_o").rowsBetween(Window.unboundedPreceding, 0)
     run = both.withColumns({c: F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in ("n", "h")}).filter("confidence is not null")
-    all_cells = per.unionByName(ends.select("cell").distinct(), allowMissingColumns=True).groupBy("cell").agg(F.sum("n").alias("n"), F.sum("h").alias("h"))
-    base = all_cells.select("cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("h").over(before), F.lit(0)).alias("h0"))
-    at = run.join(base, "cell").withColumns({"n": F.col("n") + F.col("n0"), "h": F.col("h") + F.col("h0")})
+    all_cells = per.unionByName(ends.select(*key, "cell").distinct(), allowMissingColumns=True).groupBy(*key, "cell").agg(F.sum("n").alias("n"), F.sum("h").alias("h"))
+    base = all_cells.select(*key, "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("h").over(before), F.lit(0)).alias("h0"))
+    at = run.join(base, [*key, "cell"]).withColumns({"n": F.col("n") + F.col("n0"), "h": F.col("h") + F.col("h0")})
     side = F.when(F.col("end") == 1, 1).otherwise(-1)
-    near = at.groupBy("confidence").agg(F.sum(side * F.col("n")).alias("n"), F.sum(side * F.col("h")).alias("h"))
+    near = at.groupBy(*key, "confidence").agg(F.sum(side * F.col("n")).alias("n"), F.sum(side * F.col("h")).alias("h"))
     local = F.least(F.greatest(F.col("h") / F.when(F.col("n") > 0, F.col("n")), F.lit(lo)), F.lit(hi))
-    return d.join(near, "confidence", "left").withColumn("calibrated", F.when(F.col("n") >= least, local).otherwise(F.col("confidence"))).drop("n", "h")
+    return d.join(near, [*key, "confidence"], "left").withColumn("calibrated", F.when(F.col("n") >= least, local).otherwise(F.col("confidence"))).drop("n", "h")
 
 
 def gram(d: DataFrame, features: list[str], y: str) -> DataFrame:

@@ -172,15 +172,54 @@ def inner_alpha(rows: DataFrame, features: list[str], target: str, alphas: list[
     return g.groupBy("symbol").applyInArrow(choose, "symbol string, alpha double, r2 double, chosen boolean")
 
 
-def boosted_trees(train: DataFrame, rows: DataFrame, features: list[str], target: str, *, trees: int = 20, depth: int = 3, rate: float = 0.1):
-    """(rows with prediction, importances: feature and importance) of boosted regression trees fitted on train. Rows with a missing feature go."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
+def shrink(sums: np.ndarray, d: int, alpha: float, l1: float, steps: int = 10_000, least: float = 1e-12) -> np.ndarray:
+    """Weights (intercept first) that minimise |y - Xw|^2 / 2n + alpha * (l1 |w|_1 + (1 - l1) |w|^2 / 2), on features scaled by their deviation: coordinate descent on the sums of _sums with one target."""
+    g, b, at = np.zeros((d + 1, d + 1)), np.zeros(d + 1), 0
+    for i in range(d + 1):
+        g[i, i:] = g[i:, i] = sums[at : at + d + 1 - i]
+        b[i] = sums[at + d + 1 - i]
+        at += d + 2 - i
+    n = max(g[0, 0], 1.0)
+    mean = g[0, 1:] / n
+    cov = g[1:, 1:] / n - np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(cov), 0))
+    live = sd > 1e-12
+    scale = np.where(live, sd, 1.0)
+    cov, c, w = cov / np.outer(scale, scale), (b[1:] - mean * b[0]) / n / scale, np.zeros(d)
+    for _ in range(steps):
+        before = w.copy()
+        for j in np.flatnonzero(live):
+            r = c[j] - cov[j] @ w + cov[j, j] * w[j]
+            w[j] = np.sign(r) * max(abs(r) - alpha * l1, 0.0) / (cov[j, j] + alpha * (1 - l1))
+        if np.abs(w - before).max(initial=0) <= least:
+            break
+    w = w / scale
+    return np.concatenate([[b[0] / n - mean @ w], w])
+
+
+def elastic_net(train: DataFrame, rows: DataFrame, features: list[str], target: str, key: list[str], alpha: float = 5e-4, l1: float = 0.25) -> tuple[DataFrame, DataFrame]:
+    """(rows with prediction, weights: key, feature, weight) of an elastic net by key, from one matrix of sums a key.
+
+    Rows of train without target or a feature do not count; keys without any have no weights, and null predictions. A feature that does not vary has weight 0.
+    """
+    d = len(features)
+    g = train.dropna(subset=[*features, target]).groupBy(*key).agg(F.array(*_sums(features, [target])).alias("_sums"))
+    kinds = dict(g.dtypes)
+
+    def fit(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            w = [shrink(np.array(s), d, alpha, l1).tolist() for s in b.column("_sums").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in key], pa.array(w, pa.list_(pa.float64()))], [*key, "_w"])
 
-    put = VectorAssembler(inputCols=features, outputCol="_x")
-    model = GBTRegressor(featuresCol="_x", labelCol=target, maxIter=trees, maxDepth=depth, stepSize=rate, seed=7).fit(put.transform(train.dropna(subset=[*features, target])))
-    names = train.sparkSession.createDataFrame([(f, float(v)) for f, v in zip(features, model.featureImportances.toArray(), strict=True)], "feature string, importance double")
-    return model.transform(put.transform(rows.dropna(subset=features))).drop("_x"), names
+    models = g.mapInArrow(fit, ", ".join([*[f"{k} {kinds[k]}" for k in key], "_w array<double>"]))
+    names = F.array(*map(F.lit, ["intercept", *features]))
+    weights = models.select(*key, F.posexplode("_w").alias("_i", "weight")).select(*key, F.get(names, F.col("_i")).alias("feature"), "weight")
+    value = F.get("_w", F.lit(0))
+    for i, c in enumerate(features):
+        value = value + F.get("_w", F.lit(i + 1)) * F.col(c)
+    return rows.join(models, key, "left").withColumn("prediction", value).drop("_w"), weights
 
 
 def calibrated_side(train: DataFrame, calibration: DataFrame, rows: DataFrame, features: list[str], label: str, net: str, c: float = 1.0) -> DataFrame:
@@ -212,9 +251,11 @@ def fill_times_markout(history: DataFrame, rows: DataFrame, key: list[str], cost
     h = history.groupBy(*key).agg(F.avg(F.col("filled").cast("double")).alias("p_fill"), F.avg(F.when(F.col("filled"), F.col("gross"))).alias("markout"))
     d = rows.join(h, key, "left").withColumn("ev", F.col("p_fill") * (F.col("markout") - cost))
     t = rows.sparkSession.createDataFrame([(x,) for x in thresholds], "threshold double")
-    s = t.join(d, F.col("ev") > F.col("threshold"), "left").groupBy("threshold").agg(
+    above = d.withColumn("threshold", F.explode(F.filter(F.array(*map(F.lit, thresholds)), lambda x: F.col("ev") > x)))
+    s = above.groupBy("threshold").agg(
         F.count("ev").alias("submitted"), F.count_if(F.col("filled")).alias("fills"), F.coalesce(F.sum(F.when(F.col("filled"), F.col("gross") - cost)), F.lit(0.0)).alias("total")
     )
+    s = t.join(s, "threshold", "left").fillna({"submitted": 0, "fills": 0, "total": 0.0})  # as many rows as thresholds
     enough = (F.col("submitted") >= submitted) & (F.col("fills") >= filled)
     best = F.row_number().over(Window.orderBy(F.desc(enough.cast("int")), F.desc("total"), "threshold"))  # as many rows as thresholds
     return d.drop("p_fill", "markout"), s.withColumn("chosen", (best == 1) & enough)

@@ -409,6 +409,20 @@ def j6(spark, sf):
     return joins.point_in_time(days, ledger(spark, sf))
 
 
+@query("j6_every_day", """select d.day, s.series, case when v3 is not null then 1.0 else 0.0 end as available, case when v3 is not null then (d.day - k1)::double else 999.0 end as age,
+  case when v3 is not null then (v1 / v2 - 1) * 100 else 0.0 end as change, case when v3 is not null then (v2 / v3 - 1) * 100 else 0.0 end as earlier_change
+  from (select unnest(generate_series((select min(known) - 5 from ledger), (select max(known) + 90 from ledger), 7)) as day) d cross join (select distinct series from ledger) s left join (
+  select day, series, max(case when k = 1 then value end) as v1, max(case when k = 2 then value end) as v2, max(case when k = 3 then value end) as v3, max(case when k = 1 then known end) as k1 from (
+    select *, row_number() over (partition by day, series order by observed desc) as k from (
+      select d.day, l.*, row_number() over (partition by d.day, l.series, observed order by known desc, seq desc) as r from (select unnest(generate_series((select min(known) - 5 from ledger), (select max(known) + 90 from ledger), 7)) as day) d join ledger l on l.known <= d.day and l.known > d.day - 200) where r = 1) group by day, series) p
+  on p.day = d.day and p.series = s.series ## available, age, change, earlier_change""", LEDGER_SQL)
+def j6_days(spark, sf):
+    """A question each week."""
+    d = ledger(spark, sf)
+    lo, hi = d.agg(F.min("known") - 5, F.max("known") + 90).first()
+    return joins.point_in_time(spark.range(lo, hi + 1, 7).toDF("day"), d, cell=32)
+
+
 @query("j8_snapshot_slots", "select distinct symbol, cast(ceil(us / 250000.0) as bigint) * 250000 as slot_us from ticks where qty > 90", TICKS_SQL)
 def j8(spark, sf):
     return grids.ceil_slots(ticks(spark, sf).filter("qty > 90"), 250_000)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import features as fx
-from ..operators import books, grids, labels, metrics, walk
+from ..operators import books, grids, labels, metrics, replay, trees, walk
 from ..operators import quality as qa
-from ..sources import scans
+from ..sources import scans, tables
 from ..sources.adapters import HOUR, LEDGER_SQL, TICKS_SQL, hourly, ledger, table, ticks
 from ..sources.shared import new_folder, written
 from .market import ALL, BARS, BINARY, DAY_US, FLAGGED, LAGGED, NUMBERED, SIGNALS, W, WEEK, binary, flagged, lagged, over, outcomes, query, trades
@@ -187,6 +187,46 @@ def ag15_sides(spark, sf):
     )
 
 
+REPLAYED = f"""{NUMBERED}, said as (select symbol, t, close, k, least(0.5 + abs(move), 0.99) as confidence, case when move > 0 then 'LONG' else 'SHORT' end as direction, lead(close, 6) over ({W}) as future
+  from (select *, close / lag(close, 3) over ({W}) - 1 as move from numbered)),
+gated as (select symbol, t, confidence, case when confidence >= 0.6 then direction else 'NO_TRADE' end as direction, case when future > close then 'LONG' else 'SHORT' end as outcome from said where k >= 24 and future is not null and confidence is not null)"""
+
+
+@query("replay_predictor", f"""select g.symbol, g.t, g.direction, confidence, g.direction = outcome as hit, reason, net from gated g left join (select symbol, t, 'LONG' as direction, reason, net from ({barrier_sql('LONG')}) union all select symbol, t, 'SHORT', reason, net from ({barrier_sql('SHORT')})) b
+  on b.symbol = g.symbol and b.t = g.t and b.direction = g.direction ## confidence, net""", REPLAYED)
+def replay_predictor(spark, sf):
+    """A momentum rule as a predictor, held to the contract and replayed bar by bar."""
+    return replay.replay(momentum, hourly(spark, sf), history=24, horizon=6, threshold=0.6, take_bps=3000.0, stop_bps=2000.0, cost_bps=2.0)
+
+
+def momentum(bars):
+    move = F.col("close") / F.lag("close", 3).over(qa.by_time()) - 1
+    d = bars.withColumn("_m", move).filter("_m is not null")
+    return d.select("symbol", "t", F.col("close").alias("reference_price"), F.when(F.col("_m") > 0, "LONG").otherwise("SHORT").alias("direction"), F.least(0.5 + F.abs("_m"), F.lit(0.99)).alias("confidence"))
+
+
+@query("s5_ledger", f"select symbol, t, close from bars where t // 86400 between 19723 and 19750 ## close")
+def s5_ledger(spark, sf):
+    """Hourly bars fetched a week at a time: a run that dies between data and ledger, and one that goes on after it."""
+    folder, b = new_folder(spark, "backfill"), hourly(spark, sf)
+
+    def fetch(chunks):
+        day = F.floor(F.col("t") / 86400)
+        return b.select("symbol", "t", "close").join(F.broadcast(chunks), (day >= F.col("start")) & (day <= F.col("end")))
+
+    def dies(chunks):
+        fetch(chunks).withColumn("close", F.lit(-1.0)).select("symbol", "t", "close", "start", "end").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("start", "end").parquet(f"{folder}/data")
+        raise ConnectionError
+
+    schema = "symbol string, t long, close double"
+    tables.backfill(spark, folder, 19723, 19729, 7, fetch, schema)
+    try:
+        tables.backfill(spark, folder, 19723, 19750, 7, dies, schema)
+    except ConnectionError:
+        tables.backfill(spark, folder, 19723, 19750, 7, fetch, schema, at_once=2)
+    return tables.stored(spark, folder, schema, ["symbol", "t"])
+
+
 COSTS = [(4.0,), (8.0,), (12.0,)]
 
 
@@ -417,6 +457,7 @@ def m2_refits(spark, sf):
 
 @query("m1_walk_forward")
 def m1(spark, sf):
+    """Linear heads: a fast stand-in for the trees of m1_boosted."""
     d = feat(spark, sf).withColumn("up", (F.col("y") > 0).cast("double"))
     d = walk.walk_forward(d, FEATURES, ["up"], gap=3, every=50, least=30)
     p = F.least(F.greatest("p_up", F.lit(0.01)), F.lit(0.99))
@@ -424,29 +465,77 @@ def m1(spark, sf):
     return d.select("symbol", "t", "train", p.alias("p"), F.when(confidence < 0.55, "NO_TRADE").when(p >= 0.5, "LONG").when(p < 0.5, "SHORT").alias("action"))
 
 
-def four_heads(spark, sf, d, names):
-    from ..operators.selection import expected_value_side
+@query("m1_boosted")
+def m1_boosted(spark, sf):
+    """Boosted trees, refitted every 100 bars; the gate stands on confidence as the last fifth of each model's rows bears it out."""
+    d = feat(spark, sf).withColumn("up", (F.col("y") > 0).cast("double"))
+    state = trees.with_heads(trees.expanding(d, FEATURES, ["up"], gap=3, every=100, least=60), {"up": UP})
+    scored = trees.calibrated(trees.boost(written(state, "state"), {"up": UP}, trees=6, depth=3)[0])
+    action = F.when(F.col("calibrated") < 0.55, "NO_TRADE").when(F.col("p") >= 0.5, "LONG").otherwise("SHORT")
+    return scored.select("symbol", "t", "refit", "train", "p", "calibrated", action.alias("action"))
+
+
+UP = trees.Head("up", "logistic", 0.2, 1.5)
+FOUR = {"win_long": "logistic", "win_short": "logistic", "ev_long": "squared", "ev_short": "squared"}
 
+
+def sides(d):
     y = F.col("y")
-    d = d.withColumns({"win_long": (y > 2).cast("double"), "win_short": (y < -2).cast("double"), "ev_long": y - 2, "ev_short": -y - 2})
-    d = walk.walk_forward(d, names, ["win_long", "win_short", "ev_long", "ev_short"], gap=9, every=50, least=30)
-    return d.select("symbol", "t", "train", "p_win_long", "p_win_short", "p_ev_long", "p_ev_short", expected_value_side(*[F.col(f"p_{c}") for c in ("win_long", "win_short", "ev_long", "ev_short")]).alias("action"))
+    return d.withColumns({"win_long": (y > 2).cast("double"), "win_short": (y < -2).cast("double"), "ev_long": y - 2, "ev_short": -y - 2})
+
+
+def four_heads(d, names):
+    from ..operators.selection import expected_value_side
+
+    d = walk.walk_forward(sides(d), names, list(FOUR), gap=9, every=50, least=30)
+    return d.select("symbol", "t", "train", "p_win_long", "p_win_short", "p_ev_long", "p_ev_short", expected_value_side(*[F.col(f"p_{c}") for c in FOUR]).alias("action"))
+
+
+def four_trees(d, names, every):
+    """Two probabilities and two expected values by boosted trees, and the side they choose."""
+    from ..operators.selection import expected_value_side
+
+    heads = {n: trees.Head(n, loss, 0.2, 1.5) for n, loss in FOUR.items()}
+    state = trees.with_heads(trees.expanding(sides(d), names, list(FOUR), gap=9, every=every, least=60), heads)
+    scored = trees.boost(written(state, "state"), heads, trees=4, depth=3)[0].filter("part = 2")
+    value = lambda n: F.max(F.when(F.col("head") == n, 1 / (1 + F.exp(-F.col("f"))) if FOUR[n] == "logistic" else F.col("f"))).alias(n)
+    d = scored.groupBy("symbol", "t", "refit", "train").agg(*map(value, FOUR))
+    return d.select("symbol", "t", "refit", "train", *FOUR, expected_value_side(*map(F.col, FOUR)).alias("action"))
 
 
 @query("m2_four_heads")
 def m2_heads(spark, sf):
-    return four_heads(spark, sf, feat(spark, sf), FEATURES)
+    return four_heads(feat(spark, sf), FEATURES)
 
 
-@query("m3_wider_features")
-def m3(spark, sf):
-    """The same policy on more columns: averages, range, RSI, clock, drift and the last valid state of a peer symbol."""
+@query("m2_boosted")
+def m2_boosted(spark, sf):
+    return four_trees(feat(spark, sf), FEATURES, 200)
+
+
+WIDE = ["rsi", "atr", "sma12", "range12", "trend12", "r6", "v12"]
+
+
+def wider(spark, sf):
+    """More columns: averages, range, RSI, clock, and the last valid return of every other symbol, 0 where it has none."""
     d = lagged(spark, sf)
-    wide = {"rsi": fx.rsi(14), "atr": fx.atr(14), "sma12": fx.sma_distance(12), "range12": fx.range_position(12), "trend12": fx.trend_consistency(12), "r6": fx.simple_return(6), "v12": fx.rolling_vol(12)}
+    wide = dict(zip(WIDE, (fx.rsi(14), fx.atr(14), fx.sma_distance(12), fx.range_position(12), fx.trend_consistency(12), fx.simple_return(6), fx.rolling_vol(12)), strict=True))
     more = d.select("symbol", "t", *[c.alias(k) for k, c in wide.items()], F.sin(F.col("t") % 86400 / 86400 * 6.283185307179586).alias("clock"))
-    peer = d.filter("symbol = 'click'").select("t", F.col("r").alias("peer_r"))
-    rows = feat(spark, sf).join(more, ["symbol", "t"]).join(peer, "t", "left").withColumn("peer_r", F.coalesce("peer_r", F.lit(0.0)))
-    return four_heads(spark, sf, rows, [*FEATURES, *wide, "clock", "peer_r"])
+    peers = ("click", "error", "purchase", "signup", "view")
+    packet = d.groupBy("t").agg(*[F.max(F.when(F.col("symbol") == s, F.col("r"))).alias(f"r_{s}") for s in peers])  # a row a bar
+    rows = feat(spark, sf).join(more, ["symbol", "t"]).join(packet, "t", "left")
+    return rows.withColumns({f"r_{s}": F.when(F.col("symbol") == s, 0.0).otherwise(F.coalesce(f"r_{s}", F.lit(0.0))) for s in peers}), [*FEATURES, *WIDE, "clock", *[f"r_{s}" for s in peers]]
+
+
+@query("m3_wider_features")
+def m3(spark, sf):
+    """The same policy on more columns."""
+    return four_heads(*wider(spark, sf))
+
+
+@query("m3_boosted")
+def m3_boosted(spark, sf):
+    return four_trees(*wider(spark, sf), 300)
 
 
 @query("m5_inner_alpha")
@@ -454,16 +543,41 @@ def m5_alpha(spark, sf):
     return walk.inner_alpha(feat(spark, sf).filter(LABELLED), FEATURES, "y", [0.1, 1.0, 10.0, 100.0])
 
 
+GRID = {"slow": trees.Head("y", rate=0.1), "fast": trees.Head("y", rate=0.3), "stiff": trees.Head("y", rate=0.3, ridge=100.0)}
+
+
+def pooled(spark, sf):
+    """One model over all symbols, in three settings: rows before the cut fit, the last of them validate, later ones are scored."""
+    d = feat(spark, sf).filter(LABELLED)
+    inner = CUT - 5 * 86400
+    part = F.when(F.col("t") < inner - 3 * HOUR, 0).when((F.col("t") >= inner) & (F.col("t") < CUT - 3 * HOUR), 1).when(F.col("t") >= CUT, 2)
+    d = d.withColumns({"part": part, "_all": F.lit("all"), "refit": F.lit(0)}).filter("part is not null")
+    cuts = trees.edges(d.filter("part = 0"), FEATURES, 16, ["_all"])
+    d = d.join(F.broadcast(cuts), "_all").select(F.col("_all").alias("symbol"), "refit", "part", "t", F.col("symbol").alias("of"), trees.binned(FEATURES).alias("bins"), "y")
+    return trees.boost(written(trees.with_heads(d, GRID), "state"), GRID, trees=6, depth=3)
+
+
+@query("m5_elastic_net")
+def m5_elastic(spark, sf):
+    """Weights by symbol of an elastic net on the rows before the cut, and how it does after it."""
+    d = feat(spark, sf).filter(LABELLED)
+    scored, weights = walk.elastic_net(d.filter(F.col("t") < CUT - 3 * HOUR), d.filter(F.col("t") >= CUT), FEATURES, "y", ["symbol"])
+    error = scored.groupBy("symbol").agg(F.count("*").alias("scored"), F.avg((F.col("y") - F.col("prediction")) ** 2).alias("mse"))
+    return weights.join(error, "symbol", "left")
+
+
 @query("m6_boosted_trees")
 def m6(spark, sf):
-    d = feat(spark, sf).filter(LABELLED)
-    return walk.boosted_trees(d.filter(F.col("t") < CUT - 3 * HOUR), d.filter(F.col("t") >= CUT), FEATURES, "y")[0].select("symbol", "t", "y", "prediction")
+    """Predictions of the setting that did best on the validation rows."""
+    state = pooled(spark, sf)[0]
+    errors = state.filter("part = 1").groupBy("head").agg(F.avg((F.col("y") - F.col("f")) ** 2).alias("mse"))
+    best = errors.agg(F.min_by("head", F.struct(F.round("mse", 9), "head")).alias("head"), F.min("mse").alias("mse"))
+    return state.filter("part = 2").join(F.broadcast(best), "head").select(F.col("of").alias("symbol"), "t", "y", F.col("f").alias("prediction"), "head")
 
 
 @query("k7_importances")
 def k7(spark, sf):
-    d = feat(spark, sf).filter(LABELLED)
-    return walk.boosted_trees(d.filter(F.col("t") < CUT - 3 * HOUR), d.limit(0), FEATURES, "y")[1].orderBy(F.desc("importance"), "feature").limit(20)
+    return trees.importances(pooled(spark, sf)[1].filter("head = 'slow'"), FEATURES).orderBy(F.desc("importance"), "feature").limit(20)
 
 
 @query("m7_nested_rows", """select e.symbol, e.day, (select count(*) from feat f where f.symbol = e.symbol and f.label_end_day < e.day and y is not null and r3 is not null and v6 is not null) as train_rows, e.n as eval_rows from

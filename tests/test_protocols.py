@@ -137,10 +137,6 @@ def test_fitted_models_learn(spark):
     g = np.random.default_rng(5)
     rows = [("a", k, float(x), float(z), float(3 * x + 0.1 * g.normal()), int(x + 0.3 * g.normal() > 0), float(x)) for k, (x, z) in enumerate(g.normal(size=(600, 2)))]
     d = spark.createDataFrame(rows, "symbol string, t long, x double, z double, y double, win int, net double")
-    scored, names = walk.boosted_trees(d.filter("t < 400"), d.filter("t >= 400"), ["x", "z"], "y")
-    r = scored.agg(F.corr("y", "prediction")).first()[0]
-    weight = {n.feature: n.importance for n in names.collect()}
-    assert r > 0.95 and weight["x"] > weight["z"] and abs(sum(weight.values()) - 1) < 1e-9
     out = walk.calibrated_side(d.filter("t < 300"), d.filter("t >= 300 and t < 450"), d.filter("t >= 450"), ["x", "z"], "win", "net").collect()
     p, y = np.array([q.p for q in out]), np.array([q.win for q in out])
     assert ((p - y) ** 2).mean() < 0.1 and p[y == 1].mean() > p[y == 0].mean() + 0.5
@@ -157,13 +153,14 @@ def test_books_follow_snapshots_and_latch(spark):
         ("a", 50, 6, True, "bid", 8.0, 1.0), ("a", 50, 7, True, "ask", 9.0, 1.0), ("a", 60, 8, False, "ask", 9.0, 4.0),
     ]
     u = spark.createDataFrame(rows, "symbol string, us long, seq long, snapshot boolean, side string, level double, amount double")
-    state = books.latched(books.books(books.segmented(u), 7))
-    got = {r.us: (r.valid, [tuple(x) for x in r.bids], [tuple(x) for x in r.asks]) for r in state.collect()}
+    state, blocks = books.books(u, 25)
+    state = books.latched(state)
+    got = {r.us: (r.valid, [tuple(x) for x in r.bids], [tuple(x) for x in r.asks]) for r in state.filter("not carried").collect()}
     assert got[10] == (True, [(10.0, 2.0)], [(12.0, 3.0)]) and got[20][1] == [(11.0, 1.0), (10.0, 2.0)]
     assert not got[30][0] and got[40] == (False, [(11.0, 1.0), (10.0, 2.0)], [(12.0, 3.0)])  # crossed once: not valid until a snapshot
     assert got[50] == (True, [(8.0, 1.0)], [(9.0, 1.0)]) and 5 not in got
-    flow = {r.slot: r for r in books.order_flow(state, 25).collect()}
-    assert flow[25].ofi1 == 1.0 and flow[75].ofi1 == -3.0 and flow[75].replenished == 3.0
+    flow = {r.slot: r for r in books.order_flow(state, books.slots_of(blocks, 25, 25), 25).collect()}
+    assert flow[25].ofi1 == 1.0 and flow[75].ofi1 == -3.0 and flow[75].ask_replenished == 3.0
     assert flow[50].ofi1 == 0.0  # the snapshot clears what its slot summed before
 
 
