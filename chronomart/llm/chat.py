@@ -10,8 +10,10 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ._shared import slices
+from . import bpe
+from ._shared import ship_file, slices
 from .mixing import word_count
 
 OPEN, MIDDLE, CLOSE = "<s>[", "]\n", "</s>"
@@ -21,7 +23,7 @@ CODE = {s: chr(97 + k) for k, s in enumerate(CONTROL)}
 BACK = {v: k for k, v in CODE.items()} | {"\\": "\\", "]": "]\n"}
 FIND = re.compile("|".join(map(re.escape, ["\\", *CONTROL])))
 UNDO = re.compile(r"\\(.)", re.S)
-#: Tokens that a turn's markers cost.
+#: What a turn's markers are taken to cost where no column has the turn's own cost.
 MARKERS = 4
 WINDOWS = "conv_id long, window int, repeated int, turns int, tokens long, text string, loss array<struct<start:int,end:int>>"
 
@@ -38,6 +40,26 @@ def unescape(text: str) -> str:
     return UNDO.sub(lambda m: BACK[m.group(1)], text)
 
 
+def turn_costs(rows: DataFrame, tokenizer_path: str) -> DataFrame:
+    """rows (role, text, other columns) with cost: the ids of each turn as a window shows it, escaped and with its markers.
+
+    A turn ends and begins with a mark of punctuation that the byte-level tokenizers cut off from all but the neighbouring mark, so a window has no more ids than its turns have
+    together. A column named cost is replaced; null roles are users, null texts empty; an empty table stays empty.
+    """
+    tokenizer = ship_file(rows.sparkSession, tokenizer_path)
+    rows = rows.select(*[c for c in rows.columns if c.lower() != "cost"])
+    role_at, text_at = rows.columns.index("role"), rows.columns.index("text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = bpe._encoder(tokenizer, None)
+        for b in slices(batches, *bpe.SLICE):
+            pairs = zip(b.column(role_at).to_pylist(), b.column(text_at).to_pylist(), strict=True)
+            _, n = e.batch([OPEN + escape_role("user" if r is None else r) + MIDDLE + escape(t or "") + CLOSE for r, t in pairs])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n)], [*b.schema.names, "cost"])
+
+    return rows.mapInArrow(count, StructType([*rows.schema, StructField("cost", LongType())]))
+
+
 @dataclass
 class _Window:
     """Turns of one window as (role, text, tokens, repeated)."""
@@ -63,9 +85,10 @@ class _Window:
 
 
 def format_chats(rows: DataFrame, *, budget: int = 768, history: int = 192) -> DataFrame:
-    """Format conversations (conv_id, turn, role, text and, if given, tokens) as windows of whole turns of at most `budget` tokens.
+    """Format conversations (conv_id, turn, role, text and, if given, cost or tokens) as windows of whole turns of at most `budget` tokens.
 
-    A turn costs its tokens (its words, where no column says) and four for its markers. Prefix sums of these costs, taken by Spark, tell
+    A turn costs what the column cost says (see turn_costs: then windows hold at most `budget` ids of the tokenizer); without it its tokens (its words, where no
+    column says) and an estimate of four for its markers, and the budget is one of these figures. Prefix sums of these costs, taken by Spark, tell
     where a window is full. The next one begins with the system turn (if the conversation began with one), then repeats as many of the
     last turns as fit in `history` tokens, then goes on. Repeated turns are in the text but not under the loss mask, so each
     assistant text is a target once. Only a turn that is too long for what the system turn leaves of the budget makes a window that
@@ -79,10 +102,14 @@ def format_chats(rows: DataFrame, *, budget: int = 768, history: int = 192) -> D
 
     Returns conv_id, window, repeated (turns shown before), turns, tokens, text and loss (code point spans of text).
     """
+    if "cost" in rows.columns:
+        cost = F.coalesce(F.col("cost"), F.lit(0))
+    else:
+        cost = (F.coalesce(F.col("tokens"), F.lit(0)) if "tokens" in rows.columns else word_count(F.col("text"))) + MARKERS
     d = rows.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role"), F.lit("user")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
-        ((F.coalesce(F.col("tokens"), F.lit(0)) if "tokens" in rows.columns else word_count(F.col("text"))) + MARKERS).cast("long").alias("n"),
+        cost.cast("long").alias("n"),
     )
     order = ("turn", "role", "text")
     run = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -120,7 +147,7 @@ def format_chats(rows: DataFrame, *, budget: int = 768, history: int = 192) -> D
                     while len(tail) > 1 and sum(t[2] for t in tail) > history:
                         tail.pop(0)
                 window.add(role, text, n, False)
-                held += len(text)
+                held += len(text) + 64
             if held > 1 << 22:
                 yield pa.RecordBatch.from_pylist(out, schema)
                 out, held = [], 0

@@ -49,13 +49,15 @@ select source, lang, tokenizer, count(*)::bigint as docs, sum(tokens)::bigint as
 ) group by source, lang, tokenizer
 """,
     "op5_pivot_top_k": """
-with v as (
-  select vec_id, generate_subscripts(embedding, 1) as i, floor(1024 * unnest(embedding)::double)::bigint as x from embeddings
-), s as (
-  select q.vec_id as query_id, v.vec_id, sum(q.x * v.x)::bigint as score
-  from v q join v on q.i = v.i and q.vec_id <> v.vec_id where q.vec_id % 100 = 0 group by 1, 2
+with e as (
+  select row_number() over () as k, vec_id, embedding from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), v as (
+  select k, generate_subscripts(embedding, 1) as i, floor(1024 * unnest(embedding)::double)::bigint as x from e
+), p as (
+  select q.k as q, v.k as k, sum(q.x * v.x)::bigint as score from v q join v on q.i = v.i where q.k in (select k from e where vec_id % 100 = 0) group by 1, 2
 ), r as (
-  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
+  select q.vec_id as query_id, cast(row_number() over (partition by q.k order by coalesce(p.score, 0) desc, e.vec_id) as integer) as rank, e.vec_id, coalesce(p.score, 0) as score
+  from e q join e on q.vec_id % 100 = 0 and q.k <> e.k left join p on p.q = q.k and p.k = e.k
 )
 select query_id, rank, vec_id, score from r where rank <= 10
 """,

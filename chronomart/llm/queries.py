@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, lm, minhash, mixing, negatives, pii, quality, rollup, runs, topk, toxicity, warc
@@ -31,7 +31,7 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of two tokenizers over all documents, then a revision of one for low-quality documents and the deletion of toxic ones; some batches are sent twice.
 
-    Old counts come from the state by document that the batch before left, never from the batch itself.
+    A batch says what its documents have from now on; what they had comes from the state by document that is stored with the totals.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
@@ -43,17 +43,17 @@ def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = written(counted.join(labels, "doc_id", "left"), "counts")  # texts are counted before the join, so they are not shuffled
     row = lambda version, tokens: F.struct(F.lit(version).alias("tokenizer"), tokens.alias("tokens"))
 
-    def counts(rows: DataFrame, words: Column) -> DataFrame:
-        return rows.select("doc_id", "source", "lang", F.explode(F.array(row("words", words), row("pieces", F.col("pieces")))).alias("c")).select("doc_id", "source", "lang", "c.*")
+    def counts(rows: DataFrame) -> DataFrame:
+        return rows.select("doc_id", "source", "lang", F.explode(F.array(row("words", F.col("words")), row("pieces", F.col("pieces")))).alias("c")).select("doc_id", "source", "lang", "c.*")
 
-    revised = F.when(F.col("quality") == 0, F.col("long_words")).otherwise(F.col("words"))
-    low, gone = F.col("quality") == 0, F.col("toxic") == 1
-    first, second = counts(counted, F.col("words")), counts(counted.filter(low), revised)
-    third = counts(counted.filter(gone), revised)  # the toxic documents as batch 3 left them
-    store, none = new_folder(spark, "rollup"), first.limit(0)
-    states = {1: (first.filter("tokenizer = 'words'"), none), 2: (first.filter("tokenizer = 'pieces'"), none), 3: (second, counts(counted.filter(low), F.col("words"))), 4: (none, third)}
+    low, gone, store = counted.filter("quality = 0"), counted.filter("toxic = 1"), new_folder(spark, "rollup")
+    both = F.explode(F.array(F.lit("words"), F.lit("pieces"))).alias("tokenizer")
+    batches = {
+        1: (counts(counted).filter("tokenizer = 'words'"), None), 2: (counts(counted).filter("tokenizer = 'pieces'"), None),
+        3: (counts(low.withColumn("words", F.col("long_words"))).filter("tokenizer = 'words'"), None), 4: (counts(gone).limit(0), gone.select("doc_id", both)),
+    }
     for batch in (1, 2, 3, 3, 4, 2):
-        rollup.commit(spark, store, batch, rollup.document_changes(*states[batch]))
+        rollup.apply(spark, store, batch, *batches[batch])
     return rollup.totals(spark, store)
 
 
@@ -69,8 +69,7 @@ def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     probe = [(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))]
     rows = rows.unionByName(spark.createDataFrame(probe, "conv_id long, turn long, role string, text string"))
-    rows = bpe.count_tokens(rows, public_tokenizers.path("byte_bpe_50k.json"))
-    return chat.read_back(chat.format_chats(rows))
+    return chat.read_back(chat.format_chats(chat.turn_costs(rows, public_tokenizers.path("byte_bpe_50k.json"))))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,18 +12,21 @@ from pyspark.sql import functions as F
 
 from ._shared import map_file, new_folder, pack, put_file, ship, unpack, written
 
+LAST = (1 << 63) - 1  # where a missing id sorts
 FOUND = "query_row long, query_id long, vec_id long, score long"
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     """(row long, vec_id long, v array<long>): floor(scale * x) of each component x, taken as double; row tells rows of equal ids apart.
 
-    Rows without an id or components, and those that hold null or non-finite components, are left out. All others stay, repeated ids too.
+    Null vectors and those that hold null or non-finite components are left out. All others stay, repeated ids too; one without components scores 0; a
+    null id sorts after all others (row is odd then).
     """
     x = F.col("embedding")
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    d = vectors.filter(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~F.coalesce(bad, F.lit(True)))
-    return d.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("long")).alias("v"))
+    d = vectors.filter(x.isNotNull() & ~F.coalesce(bad, F.lit(True)))
+    row = F.monotonically_increasing_id() * 2 + F.col("vec_id").isNull().cast("long")
+    return d.select(row.alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("long")).alias("v"))
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -63,13 +66,13 @@ class Best:
     """The k best of each query so far."""
 
     def __init__(self, n: int, k: int) -> None:
-        self.k, self.id, self.score = k, [np.zeros(0, np.int64)] * n, [np.zeros(0, np.int64)] * n
+        self.k, self.id, self.score, self.row = k, [np.zeros(0, np.int64)] * n, [np.zeros(0, np.int64)] * n, [np.zeros(0, np.int64)] * n
         self.least = np.full(n, -np.inf)
 
-    def add(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        ids, scores = np.concatenate([self.id[q], ids]), np.concatenate([self.score[q], scores])
+    def add(self, q: int, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        rows, ids, scores = np.concatenate([self.row[q], rows]), np.concatenate([self.id[q], ids]), np.concatenate([self.score[q], scores])
         keep = np.lexsort((ids, -scores))[: self.k]
-        self.id[q], self.score[q] = ids[keep], scores[keep]
+        self.row[q], self.id[q], self.score[q] = rows[keep], ids[keep], scores[keep]
         if len(keep) == self.k:
             self.least[q] = self.score[q][-1]
 
@@ -97,7 +100,7 @@ def search(block: Block, queries: Block, best: Best) -> None:
             one, i, step = queries.v[q].astype(v.dtype), 0, 64
             while i < len(order) and b[order[i]] >= best.least[q]:
                 own = order[i : i + step]
-                best.add(q, block.id[own], (v[own] @ one).astype(np.int64))
+                best.add(q, block.row[own], block.id[own], (v[own] @ one).astype(np.int64))
                 i, step = i + step, step * 2
 
 
@@ -119,6 +122,7 @@ def top_k(vectors: DataFrame, *, every: int = 100, k: int = 10, scale: int = 102
     d = written(integer_vectors(vectors, scale), "vectors")
     is_query = F.col("vec_id") % every == 0
     width, n, asked = d.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.count("*"), F.count_if(is_query)).first()
+    width = max(width, 1)
     table = choose_pivots(d, pivots, sample, width)
     blocks, q_blocks = -(-n // block), -(-asked // query_block)
     folder = new_folder(spark, "pivot-index")
@@ -130,7 +134,7 @@ def top_k(vectors: DataFrame, *, every: int = 100, k: int = 10, scale: int = 102
             gaps = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (table**2).sum(1)[None] - 2 * x @ table.T, 0))
             number = t.column("block")[0].as_py()
             uri = f"{folder}/{kind}-{number}"
-            put_file(uri, pack({"row": t.column("row").to_numpy(), "id": t.column("vec_id").to_numpy(), "v": v.ravel(), "gaps": gaps.ravel()}))
+            put_file(uri, pack({"row": t.column("row").to_numpy(), "id": t.column("vec_id").fill_null(LAST).to_numpy(), "v": v.ravel(), "gaps": gaps.ravel()}))
             bounds = [*gaps.min(0), *gaps.max(0), (x**2).sum(1).max()]
             return pa.table({"block": pa.array([number], pa.int32()), "uri": [uri], "bounds": pa.array([bounds], pa.list_(pa.float64()))})
 
@@ -162,9 +166,10 @@ def top_k(vectors: DataFrame, *, every: int = 100, k: int = 10, scale: int = 102
                         search(Block(map_file(uris[own[at]]), width), queries, best)
                 size = [len(x) for x in best.id]
                 columns = [np.repeat(queries.row, size), np.repeat(queries.id, size), np.concatenate(best.id), np.concatenate(best.score)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_row", "query_id", "vec_id", "score"])
+                missing = np.concatenate(best.row) & 1 == 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, mask=missing if at == 2 else None) for at, c in enumerate(columns)], ["query_row", "query_id", "vec_id", "score"])
 
     n_tasks = len(asking) * shares if len(index) else 0
     found = spark.range(0, n_tasks, 1, max(n_tasks, 1)).mapInArrow(run, FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), F.col("vec_id").isNull(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -265,14 +265,15 @@ def test_top_k(spark):
     assert sorted(map(tuple, got.collect())) == sorted(brute_top_k([(r.vec_id, r.embedding) for r in e.collect()], 100, 10))
     rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (None, [1.0, 1.0]), (7, [-1.0, 0.5])]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
-    assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(0, 1, 1), (0, 2, 2), (0, 3, 7)]
+    assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(0, 1, 1), (0, 2, 2), (0, 3, None), (0, 4, 7)]
     rows = [(100, [1.0, 2.0]), (100, [3.0]), (1, [4.0, 1.0]), (1, [0.5]), (1, []), (2, [1.0, 1.0, 9.0])]  # repeated ids, other lengths
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     own = [[int(1024 * x) for x in e] for _, e in rows]
     dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=False))
-    want = [(100, n + 1, -v, s) for q in (0, 1) for n, (s, v) in enumerate(sorted(((dot(own[q], own[j]), -rows[j][0]) for j in range(6) if j != q and own[j]), reverse=True))]
+    want = [(100, n + 1, -v, s) for q in (0, 1) for n, (s, v) in enumerate(sorted(((dot(own[q], own[j]), -rows[j][0]) for j in range(6) if j != q), reverse=True))]
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
-    assert topk.top_k(spark.createDataFrame([(0, []), (1, [])], "vec_id long, embedding array<float>")).count() == 0
+    got = topk.top_k(spark.createDataFrame([(0, []), (1, []), (None, [1.0]), (2, [2.0])], "vec_id long, embedding array<float>")).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1, 0), (0, 2, 2, 0), (0, 3, None, 0)]  # no components: a score of 0; a null id comes last
     assert topk.top_k(e.limit(0)).count() == 0
 
 
