@@ -83,16 +83,6 @@ def expected_value_side(p_long: Column, p_short: Column, ev_long: Column, ev_sho
     return F.when(l & s, F.when(ev_long > ev_short, "LONG").otherwise("SHORT")).when(l, "LONG").when(s, "SHORT").otherwise("NO_TRADE")
 
 
-def controls(d: DataFrame, key: list[str], order: str, column: str, back: int, ahead: int, seed: int) -> DataFrame:
-    """Placebos and a leak of a column: permuted within key (by a hash of seed and order), flipped, lagged, and taken from the future."""
-    w = Window.partitionBy(*key)
-    a = d.withColumn("_k", F.row_number().over(w.orderBy(order)))
-    b = d.select(*key, F.col(column).alias("permuted"), F.row_number().over(w.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(order).cast("string")).cast("binary")))).alias("_k"))
-    out = a.join(b, [*key, "_k"]).drop("_k")
-    by = w.orderBy(order)
-    return out.withColumns({"flipped": -F.col(column), "lagged": F.lag(column, back).over(by), "leaked": F.lead(column, ahead).over(by)})
-
-
 def promotion(summary: DataFrame, key: list[str], gates: dict[str, Column], least_n: int) -> DataFrame:
     """Gates in long form (gate, passed) with the verdict of their key: UNAVAILABLE below least_n rows, PROMOTE if all pass, INCONCLUSIVE if more
     than half do, else REJECT. A gate without value fails."""

@@ -243,6 +243,28 @@ def calibrated_side(train: DataFrame, calibration: DataFrame, rows: DataFrame, f
     return out.select(*rows.columns, "p", (F.col("p") * gain + (1 - F.col("p")) * loss).alias("utility"))
 
 
+def calibrated_pair(train: DataFrame, calibration: DataFrame, selection: DataFrame, rows: DataFrame, features: list[str], sides: dict[str, tuple[str, str]], cs: list[float], *, least: float = 0.55) -> DataFrame:
+    """rows with p and utility of both sides, action (1, -1, 0) and the c that was chosen: the setting whose actions bring the highest total on the selection slice, ties to the smaller c.
+
+    sides: long and short -> (label, net) columns. See calibrated_side for a side's model, and probabilistic_action for the choice of a side. A slice without
+    rows brings 0.
+    """
+    from .selection import probabilistic_action
+
+    def scored(d: DataFrame, c: float) -> DataFrame:
+        for side, (label, net) in sides.items():
+            d = calibrated_side(train, calibration, d, features, label, net, c).withColumnsRenamed({"p": f"p_{side}", "utility": f"utility_{side}"})
+        return d.withColumn("action", probabilistic_action(*[F.col(f"{x}_{side}") for x in ("p", "utility") for side in ("long", "short")], least))
+
+    best = None
+    for c in sorted(cs):
+        act = F.when(F.col("action") == 1, F.col(sides["long"][1])).when(F.col("action") == -1, F.col(sides["short"][1])).otherwise(0.0)
+        total = scored(selection, c).agg(F.coalesce(F.sum(act), F.lit(0.0))).first()[0]
+        if best is None or total > best[1] + 1e-9:
+            best = (c, total)
+    return scored(rows, best[0]).withColumn("c", F.lit(best[0]))
+
+
 def fill_times_markout(history: DataFrame, rows: DataFrame, key: list[str], cost: float, thresholds: list[float], *, submitted: int, filled: int) -> tuple[DataFrame, DataFrame]:
     """Expected value of a passive order, P(fill) * (E[gross given fill] - cost), from the history of its key; and by threshold what the orders above it bring.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import features as fx
-from ..operators import books, grids, labels, metrics, replay, trees, walk
+from ..operators import books, grids, labels, metrics, replay, trees, verdicts, walk
 from ..operators import quality as qa
 from ..sources import scans, tables
 from ..sources.adapters import HOUR, LEDGER_SQL, TICKS_SQL, hourly, ledger, table, ticks
@@ -634,3 +634,88 @@ def m12(spark, sf):
 def m14(spark, sf):
     e = metrics.full_economics(trades(spark, sf), spark.createDataFrame(COSTS[1:], "cost_bps double"), ["symbol", "side"])
     return walk.survivors(e, ["symbol", "side"], 8.0, 12.0, trades=5, factor=1.05)
+
+
+def pooled_sql(name: str, source: str) -> str:
+    """What the structural gates judge, by symbol: a CTE over trades (symbol, t, fold, gross)."""
+    at = lambda c: f"""select symbol, count(*) as trades, sum(net) as total, avg(net) as mean_net, sum(greatest(net, 0.0)) / nullif(-sum(least(net, 0.0)), 0) as profit_factor, case when max(dd) > 0 then sum(net) / max(dd) when sum(net) > 0 then 'inf'::double else 0.0 end as total_over_drawdown
+    from (select *, greatest(max(eq) over w, 0.0) - eq as dd from (select *, sum(net) over w as eq from (select symbol, t, gross - {c} as net from {source}) window w as (partition by symbol order by t rows unbounded preceding)) window w as (partition by symbol order by t rows unbounded preceding)) group by symbol"""
+    return f"""{name} as (select a.*, b.total as stress_total, b.mean_net as stress_mean, folds, positive_folds, worst_fold, positive_hours, coalesce(day_share, 1.0) as day_share from ({at('8.0')}) a join ({at('12.0')}) b on b.symbol = a.symbol
+  join (select symbol, count(*) as folds, count(*) filter (where m > 0) as positive_folds, min(m) as worst_fold from (select symbol, fold, avg(gross - 8.0) as m from {source} group by 1, 2) group by 1) f on f.symbol = a.symbol
+  join (select symbol, avg(case when s > 0 then 1.0 else 0.0 end) as positive_hours from (select symbol, t // 3600 as h, sum(gross - 8.0) as s from {source} group by 1, 2) group by 1) h on h.symbol = a.symbol
+  join (select symbol, max(greatest(s, 0.0)) / nullif(sum(greatest(s, 0.0)), 0) as day_share from (select symbol, t // 86400 as d, sum(gross - 8.0) as s from {source} group by 1, 2) group by 1) d on d.symbol = a.symbol)"""
+
+
+GATES = {
+    "all_folds": "folds = 5", "positive_folds": "positive_folds >= 4", "mean_net": "mean_net >= 1.0", "total": "total > 0", "profit_factor": "coalesce(profit_factor, 1e300) >= 1.25", "total_over_drawdown": "total_over_drawdown >= 2.0",
+    "trades": "trades >= 100", "positive_hours": "positive_hours >= 0.55", "stress_mean": "stress_mean > 0", "stress_total": "stress_total > 0", "fold_floor": "worst_fold >= -2.0", "day_share": "day_share <= 0.5",
+}
+JUDGED = f"""{SIGNALS}, folded as (select symbol, t, gross, day % 5 as fold from trades), {pooled_sql('pooled', 'folded')},
+judged as (select symbol, gate, passed, min(cast(passed as integer)) over (partition by symbol) = 1 as all_passed from ({' union all '.join(f"select symbol, '{k}' as gate, coalesce({x}, false) as passed from pooled" for k, x in GATES.items())}))"""
+
+
+def folded(spark, sf):
+    return trades(spark, sf).withColumn("fold", F.col("day") % 5)
+
+
+@query("m15_structural", "select * from judged", JUDGED)
+def m15_structural(spark, sf):
+    """Twelve gates of trades pooled over five folds, at 8 bps and under stress at 12."""
+    return verdicts.judged(verdicts.pooled(folded(spark, sf), ["symbol"], block=WEEK), ["symbol"], verdicts.structural())
+
+
+STATUSES = f"""{JUDGED}, weeks as (select symbol, count(distinct t // 604800) as folds, count(distinct t // 604800) filter (where gross > 0) as up from trades group by 1),
+targets as (select w.symbol, cast(case when w.symbol = 'error' then 2 when w.symbol = 'signup' then 0 else w.folds end as bigint) as folds, mean_net > 0 as signal, all_passed as economic, case when w.symbol <> 'view' then 8.0::double end as cost from weeks w join pooled p on p.symbol = w.symbol join (select distinct symbol, all_passed from judged) j on j.symbol = w.symbol),
+statuses as (select *, case when folds = 0 then 'UNAVAILABLE' when folds < 4 then 'INCONCLUSIVE' when signal and cost is null then 'PENDING_COST' when signal and economic then 'PROMOTED' else 'REJECTED' end as status from targets)"""
+
+
+def ladder_rows(spark, sf):
+    """Targets as runs left them: one has too few folds, one none, one no cost."""
+    p = verdicts.pooled(folded(spark, sf), ["symbol"], block=WEEK)
+    economic = verdicts.judged(p, ["symbol"], verdicts.structural()).select("symbol", F.col("all_passed").alias("economic")).distinct()
+    weeks = trades(spark, sf).groupBy("symbol").agg(F.countDistinct(F.floor(F.col("t") / WEEK)).alias("_w"))
+    folds = F.when(F.col("symbol") == "error", 2).when(F.col("symbol") == "signup", 0).otherwise(F.col("_w")).cast("long")
+    d = p.select("symbol", (F.col("mean_net") > 0).alias("signal")).join(economic, "symbol").join(weeks, "symbol")
+    return verdicts.ladder(d.select("symbol", folds.alias("folds"), "signal", "economic", F.when(F.col("symbol") != "view", 8.0).alias("cost")), 4)
+
+
+@query("m15_ladder", "select * from statuses ## cost", STATUSES)
+def m15_ladder(spark, sf):
+    return ladder_rows(spark, sf)
+
+
+@query("m15_decision", """select *, case when promoted > 0 and promoted = scored then 'PASS' when promoted > 0 then 'PARTIAL_PASS' when pending_cost > 0 then 'PENDING_COST_MODEL' when scored > 0 and inconclusive > 0 then 'PARTIAL_INCONCLUSIVE' when scored > 0 then 'FAIL' else 'INCONCLUSIVE' end as promotion,
+  case when promoted > 0 then 'PROMOTE_TARGETS' when pending_cost > 0 then 'SIGNALS_NEED_COSTS' when scored > 0 and inconclusive > 0 then 'NO_DECISION' when scored > 0 then 'REJECT' else 'REPAIR_FEASIBILITY' end as decision from (
+  select count(*) filter (where status = 'UNAVAILABLE') as unavailable, count(*) filter (where status = 'INCONCLUSIVE') as inconclusive, count(*) filter (where status = 'PENDING_COST') as pending_cost, count(*) filter (where status = 'PROMOTED') as promoted,
+    count(*) filter (where status = 'REJECTED') as rejected, count(*) filter (where status in ('PENDING_COST', 'PROMOTED', 'REJECTED')) as scored from statuses)""", STATUSES)
+def m15_decision(spark, sf):
+    d = verdicts.decision(ladder_rows(spark, sf))
+    return d.withColumn("scored", F.col("pending_cost") + F.col("promoted") + F.col("rejected"))
+
+
+def diagnosed(spark, sf):
+    """Kinds of the last return as external column, beside two slower ones; y is the return over the next three bars, and the leak a return that lies in it."""
+    d = feat(spark, sf).select("symbol", "t", "r", "r3", "v6", "y")
+    return verdicts.diagnostics(verdicts.controls(d, ["symbol"], "t", "r", 1, 3, 7, WEEK).withColumn("up", (F.col("y") > 0).cast("int")), ["r3", "v6"], "r", "y", "up", CUT)
+
+
+@query("m13_diagnostics")
+def m13_diagnostics(spark, sf):
+    return diagnosed(spark, sf)
+
+
+@query("m13_verdict")
+def m13_verdict(spark, sf):
+    """Whether the leak is seen (AUC up by 0.02) and the placebos fail what the primary must pass: an AUC of 0.52 and a mean above 2 bps."""
+    return verdicts.suite(diagnosed(spark, sf), (F.col("auc") >= 0.52) & (F.col("mean_net") > 2.0))
+
+
+@query("m8_both_sides")
+def m8_pair(spark, sf):
+    """Both sides calibrated on the first half of an inner stretch, c chosen by what the actions bring on the second half."""
+    d = feat(spark, sf).filter(LABELLED).withColumns({"win_long": (F.col("y") > 2).cast("int"), "win_short": (F.col("y") < -2).cast("int"), "net_long": F.col("y") - 2, "net_short": -F.col("y") - 2})
+    a, b, gap = CUT - 8 * 86400, CUT - 4 * 86400, 3 * HOUR
+    part = lambda lo, hi: d.filter((F.col("t") >= lo) & (F.col("t") < hi))
+    sides = {"long": ("win_long", "net_long"), "short": ("win_short", "net_short")}
+    out = walk.calibrated_pair(part(0, a - gap), part(a, b - gap), part(b, CUT - gap), d.filter(F.col("t") >= CUT), FEATURES, sides, [0.1, 1.0])
+    return out.select("symbol", "t", "p_long", "p_short", "utility_long", "utility_short", "action", "c")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import features as fx
-from ..operators import audits, grids, joins, labels, metrics, queue, selection, venues
+from ..operators import audits, grids, joins, labels, metrics, queue, selection, venues, verdicts
 from ..sources.adapters import HOUR, LEDGER_SQL, TICKS_SQL, bars, hourly, ledger, ticks
 from .market import ALL, BARS, FLAGGED, LAGGED, NUMBERED, PEER, PRED, SIGNALS, WEEKDAY_SQL, DAY_US, W, WEEK, binary, flagged, over, preds, query, trades
 
@@ -425,7 +425,7 @@ def m2(spark, sf):
   join (select *, row_number() over (partition by symbol order by md5('7:' || t)) as k from lagged) b on a.symbol = b.symbol and a.k = b.k ## r, permuted, flipped, lagged, leaked""", LAGGED)
 def m13(spark, sf):
     d = fx.with_log_return(hourly(spark, sf)).select("symbol", "t", "r")
-    return selection.controls(d, ["symbol"], "t", "r", 2, 1, 7)
+    return verdicts.controls(d, ["symbol"], "t", "r", 2, 1, 7, WEEK)
 
 
 @query("m15_promotion", """select symbol, gate, passed, case when n < 30 then 'UNAVAILABLE' when min(cast(passed as integer)) over (partition by symbol) = 1 then 'PROMOTE' when avg(cast(passed as integer)) over (partition by symbol) > 0.5 then 'INCONCLUSIVE' else 'REJECT' end as verdict from (
