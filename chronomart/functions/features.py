@@ -167,20 +167,23 @@ def exponential(series: DataFrame, value: str, alpha: float, out: str, block: in
     return series.join(value_of, ["symbol", "t"])
 
 
-def ewma_volatility(bars: DataFrame, *, span: int, least: int, step: int) -> DataFrame:
+def ewma_volatility(bars: DataFrame, *, span: int, least: int, step: int, block: int | None = 7 * 86400) -> DataFrame:
     """symbol, t, vol: root of exponential second moment less squared mean of one-step log returns (bps) of pairs of eligible bars.
 
-    Gaps and bars that are not eligible do not update it; its last value is carried over them. Null until `least` updates.
+    Gaps and bars that are not eligible do not update it; its last value is carried over them. Null until `least` updates. The bar before, the count
+    of updates and the last value are carried from block to block of t.
     """
-    w = by_time()
-    pair = (F.col("t") - F.lag("t").over(w) == step) & F.col("eligible") & F.lag("eligible").over(w)
-    d = bars.select("symbol", "t", F.when(pair, log_return(1)).alias("x"))
+    from ..operators.running import running
+
+    d = running(bars.select("symbol", "t", "close", "eligible"), ["symbol"], ["t"], block, {"_t": ("previous", F.col("t")), "_c": ("previous", F.col("close")), "_e": ("previous", F.col("eligible"))})
+    pair = (F.col("t") - F.col("_t") == step) & F.col("eligible") & F.col("_e")
+    d = d.select("symbol", "t", F.when(pair, F.log(F.col("close") / F.col("_c")) * 1e4).alias("x"))
     used = d.filter("x is not null").withColumn("xx", F.col("x") * F.col("x"))
     alpha = 2.0 / (span + 1)
-    m = exponential(exponential(used, "x", alpha, "m1"), "xx", alpha, "m2").withColumn("_seen", F.row_number().over(w))
+    m = running(exponential(exponential(used, "x", alpha, "m1"), "xx", alpha, "m2"), ["symbol"], ["t"], block, {"_seen": ("sum", F.lit(1))})
     vol = F.when(F.col("_seen") >= least, F.sqrt(F.greatest(F.col("m2") - F.col("m1") * F.col("m1"), F.lit(0.0))))
     back = d.select("symbol", "t").join(m.select("symbol", "t", vol.alias("vol")), ["symbol", "t"], "left")
-    return back.withColumn("vol", F.last("vol", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return running(back.withColumnRenamed("vol", "_v"), ["symbol"], ["t"], block, {"vol": ("last", F.col("_v"))}).drop("_v")
 
 
 def executable_outcomes(h: int) -> dict[str, Column]:

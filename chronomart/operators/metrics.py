@@ -177,10 +177,14 @@ def threshold_quantile(d: DataFrame, by: list[str], value: str, q: float) -> Dat
 
 
 def top_fraction_mean(d: DataFrame, by: list[str], fraction: float) -> DataFrame:
-    """Mean outcome of the highest scores: max(1, half-even round of n * fraction) of them, ties by seq."""
-    w = Window.partitionBy(*by)
-    d = d.withColumns({"_n": F.greatest(F.lit(1), F.bround(F.count("*").over(w) * F.lit(fraction))), "_k": F.row_number().over(w.orderBy(F.desc("score"), "seq"))})
-    return d.filter("_k <= _n").groupBy(*by).agg(F.count("*").alias("chosen"), F.avg("outcome").alias("mean_outcome"))
+    """Mean outcome of the highest scores: max(1, half-even round of n * fraction) of them, ties by seq; NaN counts as the highest score, null as the lowest. Places are counted in cells of scores."""
+    score = F.col("score").cast("double")
+    down = F.when(F.isnan(score), float("-inf")).otherwise(-score)
+    d = d.withColumns({"_last": score.isNull(), "_down": down})
+    cell = F.when(F.col("_last"), F.lit(1 << 62)).otherwise(cells(F.col("_down")))
+    d = running(d, by, ["_last", "_down", "seq"], cell, {"_k": ("sum", F.lit(1)), "_n": ("total", F.lit(1))})
+    most = F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(fraction)))
+    return d.filter(F.col("_k") <= most).groupBy(*by).agg(F.count("*").alias("chosen"), F.avg("outcome").alias("mean_outcome"))
 
 
 def evenly_spaced(d: DataFrame, key: str, order: str, samples: int, block: int | None = None) -> DataFrame:

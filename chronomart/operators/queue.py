@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import asof
 from .metrics import quantiles
 from .running import running
 
@@ -102,6 +103,35 @@ def policy_metrics(orders: DataFrame, policies: dict[str, Column], *, cost: floa
     return out.withColumn("sign", F.when(F.col("side") != 0, F.col("side"))).drop("side", "_gain", "_loss")
 
 
+def markouts(orders: DataFrame, prices: DataFrame, horizons: dict[str, int], block: int = 86_400_000_000) -> DataFrame:
+    """What the price did after each first fill: symbol, slot, horizon, markout (bps, in the order's favour), from the last price (symbol, us, price) at or before first_fill_us + horizon.
+
+    orders: symbol, slot, sign, first_fill_us (null without a fill: no row), fill_price. All horizons are one as-of join, dealt by blocks of time; without any price before, the markout is null.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("horizon"), F.lit(h).cast("long").alias("_h")) for k, h in horizons.items()])).alias("_e")
+    d = orders.filter("first_fill_us is not null").select("symbol", "slot", "sign", "first_fill_us", "fill_price", each)
+    d = d.select("symbol", "slot", "sign", "fill_price", "_e.horizon", (F.col("first_fill_us") + F.col("_e._h")).alias("us"))
+    j = asof(d, prices.select("symbol", "us", "price"), ["price"], on="us", by=["symbol"], block=block)
+    return j.select("symbol", "slot", "horizon", (F.col("sign") * (F.col("price") / F.col("fill_price") - 1) * 1e4).alias("markout"))
+
+
+def policy_markouts(orders: DataFrame, policies: dict[str, Column], marks: DataFrame, horizons: list[str]) -> DataFrame:
+    """By policy, and by policy and side (null sign: both), in one pass of grouping sets: orders, those that met no queue at arrival, quantiles of order size over the depth ahead, and for each horizon the
+    mean markout of fills and the share of them that it went against.
+
+    orders: symbol, slot, sign, size, queue; a row for each policy that takes it. marks: see markouts; fills without a markout do not count. A depth of 0 has no ratio.
+    """
+    wide = marks.groupBy("symbol", "slot").agg(*[F.max(F.when(F.col("horizon") == h, F.col("markout"))).alias(f"_{h}") for h in horizons])
+    chosen = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in policies.items()]))
+    d = orders.withColumn("policy", F.explode(chosen)).join(wide, ["symbol", "slot"], "left")
+    ratio = F.col("size") / F.when(F.col("queue") > 0, F.col("queue"))
+    out = [F.count("*").alias("orders"), F.count_if(F.col("queue") <= 0).alias("first_in_queue"), *[F.percentile(ratio, F.lit(q)).alias(f"depth_ratio_{k}") for k, q in (("p50", 0.5), ("p90", 0.9))]]
+    for h in horizons:
+        out += [F.avg(f"_{h}").alias(f"markout_{h}"), F.avg((F.col(f"_{h}") < 0).cast("double")).alias(f"adverse_{h}")]
+    d = d.withColumn("side", F.col("sign").cast("int"))
+    return d.groupingSets([[F.col("policy")], [F.col("policy"), F.col("side")]], "policy", "side").agg(*out).withColumnRenamed("side", "sign")
+
+
 def policy_deltas(metrics: DataFrame, base: str) -> DataFrame:
     """What each other policy changes against the base policy, whole and by side; null where either has no value. A side that the base lacks is left out."""
     names = ("mean_net", "total_net", "filled_orders", "fill_rate", "adverse_rate")

@@ -140,7 +140,8 @@ def inner_alpha(rows: DataFrame, features: list[str], target: str, alphas: list[
     A symbol with fewer than `least` rows takes the fallback, without R2. rows: symbol, t, features, target.
     """
     d = len(features)
-    p = placed(rows).withColumn("_late", F.col("k") >= F.floor(F.count("*").over(Window.partitionBy("symbol")) * 0.8))
+    p = running(rows, ["symbol"], ["t"], 7 * 86400, {"k": ("sum", F.lit(1)), "_n": ("total", F.lit(1))})
+    p = p.withColumn("_late", F.col("k") - 1 >= F.floor(F.col("_n") * 0.8))
     g = p.groupBy("symbol", "_late").agg(F.array(*_sums(features, [target])).alias("sums"), F.count("*").alias("n"), F.sum(F.col(target) ** 2).alias("yy"))
 
     def choose(key, table):

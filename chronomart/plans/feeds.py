@@ -11,6 +11,7 @@ from ..sources.tables import parse_rows
 from ..streaming import feeds as streams
 from ..streaming import stateful
 from .market import SIGNALS, query, trades
+from . import protocols
 from .protocols import FLOW_DOUBLES, FLOW_SQL, fast_ticks, flow_sql
 from .research import SEQUENCE
 
@@ -140,6 +141,12 @@ def stream_flow(spark, sf):
     return streams.drain(stateful.second_flow(streams.replay(fast_ticks(spark, sf), "ticks"), "5 seconds"), "flow")
 
 
+@query("stream_sampled_rows", f"select * from ({protocols.SAMPLED_SQL}) g" + " where slot <= (select max(s.us) from (select symbol, (us + 999999) // 1000000 * 1000000 as us from updates union all select symbol, (us + 999999) // 1000000 * 1000000 from deals) s where s.symbol = g.symbol and s.us // 1000 + 1 <= (select max(us) // 1000 from (select us from updates union all select us from deals)) - 5000) ##" + protocols.SAMPLED_DOUBLES, f"{protocols.UPDATES_SQL}, {protocols.DEALS}")
+def stream_sampled(spark, sf):
+    one = protocols.updates(spark, sf).select("symbol", "us", "seq", "snapshot", "side", "level", "amount").unionByName(protocols.deals(spark, sf).select("symbol", "us", "qty", "buyer_maker"), allowMissingColumns=True)
+    return streams.drain(stateful.sampled_rows(streams.replay(one, "events")), "sampled")
+
+
 @query("r10_late_rows", "select symbol, count(*) as n, count(*) filter (where (tick_id % 5) * 1000000 > 2000000) as late from ticks group by symbol", TICKS_SQL)
 def r10_late(spark, sf):
     """Rows over two seconds old at their arrival go to a side table, batch by batch."""

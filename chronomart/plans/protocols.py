@@ -410,12 +410,16 @@ def r9_block(spark, sf):
 R2 = ", ".join(k for k in R6 if k not in ("bid_depth1", "ask_depth1"))
 
 
-@query("r2_sampled_rows", f"""select symbol, slot, valid, {R2}, last_id, coalesce(bq, 0.0) as buy_qty, coalesce(sq, 0.0) as sell_qty, coalesce(bn, 0) as buys, coalesce(sn, 0) as sells, case when bq + sq > 0 then (bq - sq) / (bq + sq) else 0.0 end as qty_imbalance,
+SAMPLED_SQL = f"""select symbol, slot, valid, {R2}, last_id, coalesce(bq, 0.0) as buy_qty, coalesce(sq, 0.0) as sell_qty, coalesce(bn, 0) as buys, coalesce(sn, 0) as sells, case when bq + sq > 0 then (bq - sq) / (bq + sq) else 0.0 end as qty_imbalance,
   case when bn + sn > 0 then (bn - sn)::double / (bn + sn) else 0.0 end as count_imbalance from (select g.symbol, g.slot, v.valid, {only_valid(R6)}, i.last_id, t.bq, t.sq, t.bn, t.sn
   from (select symbol, unnest(generate_series(cast(ceil(min(us) / 1000000.0) as bigint) * 1000000, cast(ceil(max(us) / 1000000.0) as bigint) * 1000000, 1000000)) as slot from updates group by symbol) g asof join valid v on v.symbol = g.symbol and v.us <= g.slot
   join (select symbol, us, max(seq) as last_id from updates group by 1, 2) i on i.symbol = v.symbol and i.us = v.us left join (select d.symbol, cast(ceil(d.us / 1000000.0) as bigint) * 1000000 as slot, sum(case when not buyer_maker then qty else 0.0 end) as bq, sum(case when buyer_maker then qty else 0.0 end) as sq,
     count(*) filter (where not buyer_maker) as bn, count(*) filter (where buyer_maker) as sn from deals d left join (select symbol, cast(ceil(us / 1000000.0) as bigint) * 1000000 as slot, max(us) as cut from valid where not valid group by 1, 2) c on c.symbol = d.symbol and c.slot = cast(ceil(d.us / 1000000.0) as bigint) * 1000000
-    where cut is null or d.us > cut group by 1, 2) t on t.symbol = g.symbol and t.slot = g.slot where v.valid) ## {R2}, buy_qty, sell_qty, qty_imbalance, count_imbalance""", f"{UPDATES_SQL}, {DEALS}")
+    where cut is null or d.us > cut group by 1, 2) t on t.symbol = g.symbol and t.slot = g.slot where v.valid)"""
+SAMPLED_DOUBLES = f" {R2}, buy_qty, sell_qty, qty_imbalance, count_imbalance"
+
+
+@query("r2_sampled_rows", f"{SAMPLED_SQL} ##{SAMPLED_DOUBLES}", f"{UPDATES_SQL}, {DEALS}")
 def r2_rows(spark, sf):
     """25 columns a second, while the book is valid."""
     state, blocks = books.books(updates(spark, sf), BLOCK)

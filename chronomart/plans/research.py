@@ -309,6 +309,22 @@ def ag17_deltas(spark, sf):
     return queue.policy_deltas(policies(spark, sf), "all")
 
 
+MARKS = {"1h": 3_600_000_000, "3h": 10_800_000_000, "10h": 36_000_000_000}
+MARKED = f"""{ORDERS}, marks as (select r.symbol, r.slot, h.name, r.sign * (t.price / (lim * 25 + 12.5::double) - 1) * 1e4 as m from (select * from replayed where first_fill_us is not null) r cross join (values {', '.join(f"('{k}', {v})" for k, v in MARKS.items())}) h(name, us)
+  asof left join ticks_by_time t on t.symbol = r.symbol and t.us <= r.first_fill_us + h.us),
+marked as (select r.*, policy, {', '.join(f'"m{k}"' for k in MARKS)} from replayed r join (values ('all'), ('rising')) p(policy) on policy = 'all' or drift > 100 left join (select symbol, slot, {', '.join(f"max(m) filter (where name = '{k}') as m{k}" for k in MARKS)} from marks group by 1, 2) m on m.symbol = r.symbol and m.slot = r.slot)"""
+
+
+@query("ag17_markouts", f"""select policy, sign, count(*) as orders, count(*) filter (where queue <= 0) as first_in_queue, quantile_cont(case when queue > 0 then 30.0::double / queue end, 0.5) as depth_ratio_p50, quantile_cont(case when queue > 0 then 30.0::double / queue end, 0.9) as depth_ratio_p90,
+  {', '.join(f"avg(m{k}) as markout_{k}, avg(case when m{k} < 0 then 1.0 when m{k} is not null then 0.0 end) as adverse_{k}" for k in MARKS)} from marked group by grouping sets ((policy), (policy, sign)) ## depth_ratio_p50, depth_ratio_p90, {', '.join(f'markout_{k}, adverse_{k}' for k in MARKS)}""",
+  MARKED.replace("ticks_by_time", "(select symbol, us, last(price order by tick_id) as price from ticks group by 1, 2)"))
+def ag17_markouts(spark, sf):
+    """Orders of 30 by policy and side: place in the queue, size over depth, and markouts one, three and ten hours after the first fill."""
+    d = replayed(spark, sf).withColumns({"fill_price": F.col("limit") * 25 + 12.5, "size": F.lit(30.0)})
+    one = ticks(spark, sf).groupBy("symbol", "us").agg(F.max_by("price", "tick_id").alias("price"))
+    return queue.policy_markouts(d, {"all": F.lit(True), "rising": F.col("drift") > 100}, queue.markouts(d, one, MARKS), list(MARKS))
+
+
 SEQUENCE = f"""{TICKS_SQL}, feed as (select symbol, pos, u as last, case when tick_id % 37 = 0 then u - 5 else u - 9 end as first, case when tick_id % 37 = 0 then u - 7 else u - 10 end as previous, case when tick_id % 29 = 0 then u + case when tick_id % 2 = 0 then 5 else 25 end end as snapshot_id
   from (select *, pos * 10 as u from (select symbol, tick_id, row_number() over ({BY_TICK}) as pos from ticks))),
 parts as (select *, count(snapshot_id) over (partition by symbol order by pos rows unbounded preceding) as segment from feed),

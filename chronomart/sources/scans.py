@@ -80,12 +80,11 @@ def scan_manifest(spark: SparkSession, path: str, key: str = "decision_timestamp
     return d.select("t")
 
 
-def manifest_bars(manifest: DataFrame, bars: DataFrame, history: int, future: int) -> DataFrame:
-    """Bars at the manifest's times exactly, with their place; only those with enough bars before and after them."""
-    from pyspark.sql import Window
+def manifest_bars(manifest: DataFrame, bars: DataFrame, history: int, future: int, block: int | None = 7 * 86400) -> DataFrame:
+    """Bars at the manifest's times exactly, with their place; only those with enough bars before and after them. Places are counted in blocks of t."""
+    from ..operators.running import running
 
-    w = Window.partitionBy("symbol")
-    d = bars.withColumns({"place": F.row_number().over(w.orderBy("t")) - 1, "_n": F.count("*").over(w)})
+    d = running(bars, ["symbol"], ["t"], block, {"place": ("sum", F.lit(1)), "_n": ("total", F.lit(1))}).withColumn("place", F.col("place") - 1)
     return d.filter((F.col("place") >= history) & (F.col("_n") - 1 - F.col("place") >= future)).drop("_n").join(manifest.distinct(), "t")
 
 

@@ -203,6 +203,101 @@ def second_flow(ticks: DataFrame, lateness: str = "5 seconds") -> DataFrame:
     return d.withWatermark("ts", lateness).filter("us >= 0").groupBy("symbol").transformWithState(SecondFlow(), FLOW, "append", "eventTime")
 
 
+METRICS = (
+    "bid", "ask", "bid_qty", "ask_qty", "mid", "spread_bps", "microprice", "microprice_bps", "imbalance1", "bid_depth5", "ask_depth5", "imbalance5", "bid_depth10", "ask_depth10", "imbalance10",
+)
+SAMPLE = "symbol string, slot long, valid boolean, " + ", ".join(f"{c} double" for c in METRICS) + ", last_id long, buy_qty double, sell_qty double, buys long, sells long, qty_imbalance double, count_imbalance double"
+EVENT = "us long, seq long, snapshot boolean, side string, level double, amount double, qty double, buyer_maker boolean"
+
+
+def book_figures(bids: dict[float, float], asks: dict[float, float]) -> dict[str, float]:
+    """The metrics of a valid book; see books.book_metrics."""
+    b, a = sorted(bids.items(), reverse=True)[:10], sorted(asks.items())[:10]
+    (bp, bq), (ap, aq) = b[0], a[0]
+    mid, micro = (bp + ap) / 2, (bp * aq + ap * bq) / (bq + aq)
+    out = {"bid": bp, "ask": ap, "bid_qty": bq, "ask_qty": aq, "mid": mid, "spread_bps": (ap - bp) / mid * 1e4, "microprice": micro, "microprice_bps": (micro / mid - 1) * 1e4}
+    for n in (1, 5, 10):
+        x, y = sum(q for _, q in b[:n]), sum(q for _, q in a[:n])
+        out |= ({} if n == 1 else {f"bid_depth{n}": x, f"ask_depth{n}": y}) | {f"imbalance{n}": (x - y) / (x + y)}
+    return out
+
+
+class ValidBook(StatefulProcessor):
+    """State of a symbol: the events of slots that are still open, and the book as the closed ones left it."""
+
+    def __init__(self, step_us: int) -> None:
+        self.step = step_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "slot long", f"events array<struct<{', '.join(x.replace(' ', ':') for x in EVENT.split(', '))}>>")
+        self.book = handle.getValueState("book", "bids array<struct<level:double,amount:double>>, asks array<struct<level:double,amount:double>>, there boolean, valid boolean, seq long, slot long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        rows = iter(rows)
+        while piece := list(islice(rows, PIECE)):
+            slots: dict[int, list] = {}
+            for r in piece:
+                slots.setdefault(-(-r.us // self.step), []).append((r.us, r.seq, r.snapshot, r.side, r.level, r.amount, r.qty, r.buyer_maker))
+            for slot, events in slots.items():
+                held = [tuple(e) for e in self.open.getValue((slot,))[0]] if self.open.containsKey((slot,)) else []
+                self.open.updateValue((slot,), (held + events,))
+                self.handle.registerTimer(slot * self.step // 1000 + 1)
+        yield from ()
+
+    def row(self, symbol: str, slot: int, state: tuple, trades: list) -> Iterator[Row]:
+        bids, asks, _, valid, seq = state
+        if valid:
+            sums = [0.0, 0.0, 0, 0]
+            for qty, maker in trades:
+                sums[int(maker)] += qty
+                sums[2 + int(maker)] += 1
+            ratio = lambda x, y: (x - y) / (x + y) if x + y > 0 else 0.0
+            figures = book_figures(bids, asks)
+            yield Row(symbol=symbol, slot=slot, valid=True, **{c: figures[c] for c in METRICS}, last_id=seq, buy_qty=sums[0], sell_qty=sums[1], buys=sums[2], sells=sums[3], qty_imbalance=ratio(*sums[:2]), count_imbalance=ratio(*sums[2:]))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """A slot with events is over: the quiet ones before it show the book as it stood, then its groups change the book, and it is shown if it is valid."""
+        slot = (expiredTimerInfo.getExpiryTimeInMs() - 1) * 1000 // self.step
+        events = [tuple(e) for e in self.open.getValue((slot,))[0]]
+        self.open.removeKey((slot,))
+        bids, asks, there, valid, seq, last = self.book.get() if self.book.exists() else ([], [], False, False, None, None)
+        bids, asks = ({x[0]: x[1] for x in side} for side in (bids, asks))
+        for quiet in range(last + 1, slot) if last is not None else ():
+            yield from self.row(key[0], quiet * self.step, (bids, asks, there, valid, seq), [])
+        cut, trades = None, [(e[0], e[6], e[7]) for e in events if e[3] is None]
+        updates = [e for e in events if e[3] is not None]
+        for us in sorted({e[0] for e in updates}):
+            group = [e for e in updates if e[0] == us]
+            if any(e[2] for e in group):
+                bids, asks, there, valid = {}, {}, True, True
+            if not there:
+                continue
+            for _, _, _, side, level, amount, _, _ in sorted(group, key=lambda e: (e[1], e[5])):
+                (bids if side == "bid" else asks)[level] = amount
+            bids, asks = ({p: q for p, q in x.items() if q > 0} for x in (bids, asks))
+            valid = valid and bool(bids and asks) and max(bids) < min(asks)
+            seq = max(e[1] for e in group)
+            cut = cut if valid else us
+        yield from self.row(key[0], slot * self.step, (bids, asks, there, valid, seq), [t[1:] for t in trades if cut is None or t[0] > cut])
+        self.book.update((list(bids.items()), list(asks.items()), there, valid, seq, slot))
+
+
+def sampled_rows(events: DataFrame, step_us: int = 1_000_000, lateness: str = "5 seconds") -> DataFrame:
+    """The streaming twin of books.sampled_rows: one operator over two kinds of events; start it within rocks().
+
+    events: book updates (symbol, us, seq, snapshot, side, level, amount) and trades (symbol, us, qty, buyer_maker; no side) in one stream. A slot is folded when the watermark
+    has passed its end; the trades of a slot up to the last time at which the book was not valid are cleared. Only events of open slots and the book itself are
+    kept. Rows with a null among the columns of their kind go, events behind the watermark are dropped.
+    """
+    kinds = {x.split(" ")[0]: x.split(" ")[1] for x in EVENT.split(", ")}
+    d = events.select("symbol", *[F.col(c).cast(k).alias(c) for c, k in kinds.items()]).filter("symbol is not null and us is not null")
+    whole = lambda *names: F.concat(*[F.col(c).cast("string") for c in names]).isNotNull()
+    d = d.filter(F.when(F.col("side").isNotNull(), whole("seq", "snapshot", "level", "amount")).otherwise(whole("qty", "buyer_maker")))
+    d = d.withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", lateness)
+    return d.groupBy("symbol").transformWithState(ValidBook(step_us), SAMPLE, "append", "eventTime")
+
+
 class Regression(Exception):
     """Arrival times that go back."""
 

@@ -111,3 +111,29 @@ def test_late_rows_and_regressions(spark):
         run([("a", 900, 900)])
     main, late = (spark.read.schema(kind).parquet(f"{state}/{k}") for k in ("main", "late"))
     assert main.count() == 2 and late.count() == 2
+
+
+def test_sampled_rows_equal_their_twin_over_restarts(spark):
+    from chronomart.operators import books
+
+    g = random.Random(5)
+    kind = "symbol string, us long, seq long, snapshot boolean, side string, level double, amount double, qty double, buyer_maker boolean"
+    rows = []
+    for k in range(260):
+        us, s = g.randrange(1, 60_000_000), g.choice("aab")
+        side = g.choice(["bid", "ask"])
+        rows.append((s, us, k, g.random() < 0.12, side, float(g.randrange(1, 9) if side == "bid" else g.randrange(8, 20)), float(g.choice([0, 1, 2, 5])), None, None))
+    rows += [(g.choice("ab"), g.randrange(1, 60_000_000), None, None, None, None, None, float(g.randrange(1, 5)), g.random() < 0.5) for _ in range(200)]
+    rows += [(s, t * 1_000_000 + 7, 900 + t, True, side, level, 2.0, None, None) for s in "ab" for t in range(0, 60, 4) for side, level in (("bid", 5.0), ("ask", 9.0), ("bid", 4.0), ("ask", 21.0))]
+    rows.sort(key=lambda r: r[1])
+    s = Source(spark, kind, lambda d: stateful.sampled_rows(d, lateness="2 seconds"))
+    for k in range(0, len(rows), 160):
+        s.run(rows[k : k + 160])
+    got = s.run([("z", 300_000_000, None, None, None, None, None, 1.0, True)])
+    d = spark.createDataFrame(rows, kind)
+    state, blocks = books.books(d.filter("side is not null"), 10_000_000)
+    batch = books.sampled_rows(books.latched(state), books.slots_of(blocks, 1_000_000, 10_000_000), d.filter("side is null"), 1_000_000)
+    plain = lambda f: {(r.symbol, r.slot): {c: round(r[c], 9) if isinstance(r[c], float) else r[c] for c in batch.columns} for r in f.collect()}
+    one, two = plain(got), plain(batch)
+    last = {s: max(r[1] for r in rows if r[0] == s) for s in "ab"}
+    assert sorted(got.columns) == sorted(batch.columns) and {k: v for k, v in one.items() if k[1] <= last[k[0]]} == {k: v for k, v in two.items() if k[1] <= last[k[0]]} and len(two) > 8
