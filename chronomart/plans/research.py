@@ -143,14 +143,19 @@ def w18(spark, sf):
 _ZS = ", ".join(f"lag(z, {k - 1}) over ({W}) as l{k}" for k in (1, 2, 3, 6))
 
 
-@query("j3_lag_packet", f"""select l.symbol, l.us, l.tick_id, p.t as asof_t, {', '.join(f'coalesce(l{k}, 0.0) as z{k}, case when l{k} is null then 0.0 else 1.0 end as ok{k}' for k in (1, 2, 3, 6))} from (select 'view' as peer, * from ticks where venue = 1 and symbol = 'click') l asof left join (
+PEERS = {"click": "view", "view": "error", "error": "purchase", "purchase": "signup", "signup": "click"}
+PEERS_SQL = ", ".join(f"('{a}', '{b}')" for a, b in PEERS.items())
+
+
+@query("j3_lag_packet", f"""select l.symbol, l.us, l.tick_id, p.t as asof_t, {', '.join(f'coalesce(l{k}, 0.0) as z{k}, case when l{k} is null then 0.0 else 1.0 end as ok{k}' for k in (1, 2, 3, 6))} from (select p.peer, t.* from ticks t join (values {PEERS_SQL}) p(symbol, peer) on p.symbol = t.symbol where venue = 1) l asof left join (
   select symbol, t, {_ZS} from (select symbol, t, case when t - lag(t) over ({W}) = 3600 and dev > 0 then (close / lag(close) over ({W}) - 1) * 1e4 / dev end as z from (
   select *, case when count(r) {over(-11, 0)} = 12 then stddev_pop(r) {over(-11, 0)} end as dev from lagged))) p on p.symbol = l.peer and l.us // 1000000 >= p.t + 3600 ## z1, z2, z3, z6, ok1, ok2, ok3, ok6""", LAGGED)
 def j3(spark, sf):
     # a bar is known when its hour is over
     names = [f"{p}{k}" for k in (1, 2, 3, 6) for p in ("z", "ok")]
-    packet = venues.lag_packet(hourly(spark, sf), (1, 2, 3, 6), 12, HOUR).filter("symbol = 'view'").withColumn("at", F.col("t") + HOUR)
-    left = ticks(spark, sf).filter("venue = 1 and symbol = 'click'").select("symbol", "us", "tick_id", F.lit("view").alias("peer"), F.floor(F.col("us") / 1_000_000).cast("long").alias("at"))
+    packet = venues.lag_packet(hourly(spark, sf), (1, 2, 3, 6), 12, HOUR).withColumn("at", F.col("t") + HOUR)
+    peer = F.coalesce(*[F.when(F.col("symbol") == a, F.lit(b)) for a, b in PEERS.items()]).alias("peer")
+    left = ticks(spark, sf).filter("venue = 1").select("symbol", "us", "tick_id", peer, F.floor(F.col("us") / 1_000_000).cast("long").alias("at"))
     j = joins.asof(left, packet.withColumnRenamed("symbol", "peer"), names, on="at", by=["peer"], block=WEEK)
     return j.select("symbol", "us", "tick_id", (F.col("asof_t") - HOUR).alias("asof_t"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
 
@@ -451,11 +456,11 @@ def m15(spark, sf):
     return selection.promotion(s, ["symbol"], {"expectancy": F.col("m") > 0, "accuracy": F.col("a") > 0.5, "best": F.col("b") > 0}, 30)
 
 
-@query("u3_union_of_sources", "select symbol, venue, n from (select symbol, 'a' as venue, count(*) as n from ticks where venue = 0 group by 1 union all select symbol, 'b', count(*) from ticks where venue = 1 group by 1)", TICKS_SQL)
+@query("u3_union_of_sources", "select symbol, venue, n from (select symbol, 'a' as venue, count(*) as n from ticks where venue = 0 group by 1 union all select symbol, 'b', count(*) from ticks where venue = 1 group by 1 union all select symbol, 'c', count(*) from ticks where venue = 2 group by 1)", TICKS_SQL)
 def u3(spark, sf):
     t = ticks(spark, sf)
     one = lambda k, name: t.filter(F.col("venue") == k).withColumn("venue", F.lit(name))
-    return one(0, "a").unionByName(one(1, "b")).groupBy("symbol", "venue").agg(F.count("*").alias("n"))
+    return one(0, "a").unionByName(one(1, "b")).unionByName(one(2, "c")).groupBy("symbol", "venue").agg(F.count("*").alias("n"))
 
 
 @query("u4_first_and_last_wins", "select symbol, day, arg_min(price, us) as first_price, arg_max(price, us) as last_price from (select *, us // 86400000000 as day from ticks) group by 1, 2 ## first_price, last_price", TICKS_SQL)
