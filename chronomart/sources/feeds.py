@@ -47,13 +47,17 @@ def flag(c: Column) -> Column:
     return F.when(x.isin("true", "1", "t"), True).when(x.isin("false", "0", "f"), False).otherwise(F.raise_error(F.lit("no boolean")).cast("boolean"))
 
 
-def five_levels(books: DataFrame, levels: int = 5) -> DataFrame:
+def five_levels(books: DataFrame, levels: int = 5, *, last_of_time: bool = True) -> DataFrame:
     """Snapshots (symbol, us, pos, asks, bids: arrays of price and amount): the last of equal times, validity, mid, spread, imbalance at 1 and all levels.
 
+    last_of_time: False gives every snapshot a row, those of equal times too, and takes no pos.
+
     Valid: all values finite and above zero, asks rise, bids fall, the best bid below the best ask. Figures of others are null.
     """
-    last = Window.partitionBy("symbol", "us").orderBy(F.desc("pos"))
-    d = books.withColumn("_k", F.row_number().over(last)).filter("_k = 1").drop("_k")
+    d = books
+    if last_of_time:
+        last = Window.partitionBy("symbol", "us").orderBy(F.desc("pos"))
+        d = d.withColumn("_k", F.row_number().over(last)).filter("_k = 1").drop("_k")
     p = lambda s, k: F.get(s, F.lit(k))["price"]
     good = lambda s: (F.size(s) == levels) & F.forall(s, lambda x: (x["price"] > 0) & (x["amount"] > 0) & (x["price"] < float("inf")) & (x["amount"] < float("inf")))
     ok = good("asks") & good("bids") & (p("bids", 0) < p("asks", 0))
