@@ -66,11 +66,22 @@ def gap_segments(d: DataFrame, most_us: int, block: int | None = 86_400_000_000)
 
 
 def window_imbalance(ticks: DataFrame, seconds: int) -> DataFrame:
-    """Quantity imbalance over (us - window, us] at each tick, by a range frame on integer time."""
-    w = Window.partitionBy("symbol").orderBy("us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
+    """Quantity imbalance over (us - window, us] at each tick, on integer time.
+
+    A block is as long as the window, so a window is the end of one block and the start of the next: each row counts into its own block's running sum
+    and, moved on by the window, into the next block's sum from behind. No frame slides, work is that of two sorts of each block, and a task holds one.
+    """
+    wide = seconds * 1_000_000
     sign = F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty"))
-    total = F.sum("qty").over(w)
-    return ticks.withColumn("imbalance", F.when(total > 0, F.sum(sign).over(w) / F.when(total > 0, total)).otherwise(0.0))
+    rows = ticks.select("symbol", F.floor(F.col("us") / wide).alias("_b"), F.col("us").alias("_at"), F.col("qty").alias("_q"), sign.alias("_s"), F.struct(*ticks.columns).alias("_row"))
+    # a row of the block before is within the window of us up to its own time and the window's length less one
+    before = rows.filter("_at is not null").select("symbol", (F.col("_b") + 1).alias("_b"), (F.col("_at") + wide - 1).alias("_at"), F.col("_q").alias("_q0"), F.col("_s").alias("_s0"))
+    d = rows.unionByName(before, allowMissingColumns=True)
+    each = Window.partitionBy("symbol", "_b")
+    so_far, on = (each.orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.col("_at"), F.desc("_at")))
+    both = {c: F.coalesce(F.sum(f"_{c}").over(so_far) + F.sum(f"_{c}0").over(on), F.sum(f"_{c}").over(so_far), F.sum(f"_{c}0").over(on)) for c in "qs"}
+    d = d.withColumns({"_total": both["q"], "_signed": both["s"]}).filter("_row is not null")
+    return d.select("_row.*", F.when(F.col("_total") > 0, F.col("_signed") / F.when(F.col("_total") > 0, F.col("_total"))).otherwise(0.0).alias("imbalance"))
 
 
 def ceil_slots(ticks: DataFrame, step_us: int) -> DataFrame:

@@ -100,3 +100,20 @@ def test_known_state_counts_an_observation_once(spark):
     asked = spark.createDataFrame([(9,), (10,), (30,), (30,)], "day long")
     got = sorted(tuple(r) for r in audits.known_state(asked, ledger).select("day", "series", "observations", "latest_observed", "latest_known").collect())
     assert got == [(10, "s", 1, 1, 10), (30, "s", 2, 2, 20)]
+
+
+def test_window_imbalance_is_exact_and_takes_no_sliding_frame(spark):
+    from chronomart.operators import grids
+
+    g = random.Random(8)
+    rows = [(g.choice("ab"), g.choice([g.randrange(-30_000_000, 40_000_000), g.randrange(4) * 3_000_000]), k, float(g.randrange(0, 9)), g.choice(["buy", "sell"])) for k in range(300)]
+    rows += [("c", 5, 300, None, "buy"), ("d", None, 301, 2.0, "sell"), ("d", None, 302, 3.0, "buy"), ("e", 5, 303, 4.0, None)]
+    d = spark.createDataFrame(rows, "symbol string, us long, tick_id long, qty double, side string")
+    got = grids.window_imbalance(d, 3)
+    assert "-2999999" not in got._jdf.queryExecution().toString()
+    for r in got.collect():
+        near = [x for x in rows if x[0] == r.symbol and (x[1] is None if r.us is None else x[1] is not None and r.us - 3_000_000 < x[1] <= r.us) and x[3] is not None]
+        total = sum(x[3] for x in near)
+        want = sum(x[3] if x[4] == "buy" else -x[3] for x in near) / total if total > 0 else 0.0
+        assert abs(r.imbalance - want) < 1e-12, r
+    assert got.count() == len(rows)
