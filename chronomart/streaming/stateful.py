@@ -7,10 +7,14 @@ grow with the batch. Timers on event time give what no row triggers.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from itertools import islice
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -33,81 +37,145 @@ def rocks(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def pieces(rows: Iterator[Row], order: Callable[[Row], object]) -> Iterator[Row]:
+def pieces(rows: Iterator[Row], order: Callable[[Row], object], size: int = PIECE) -> Iterator[Row]:
     """Rows as they come, sorted within pieces of bounded length."""
-    while piece := sorted(islice(rows, PIECE), key=order):
+    while piece := sorted(islice(rows, size), key=order):
         yield from piece
 
 
+STATES = ("snapshot", "stale", "bridge", "valid", "gap", "invalid", "late", "lost")
+NOTED = [STATES.index(x) for x in ("gap", "late", "lost")]  # states with a note
 CONTINUITY = "symbol string, pos long, segment long, state string, integrity string"
+PACKET = "symbol string, ts timestamp, lo long, hi long, rows binary"
+JUDGED = "symbol string, lo long, segments binary, codes binary, notes array<string>"
+NONE = -(1 << 63)  # a null in a packet
+FIELDS = ("us", "first", "last", "previous", "snapshot_id")
+
+
+def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of consecutive positions of a symbol within each batch, at most PIECE rows a packet: its last time, first and last position, and its rows as integers."""
+    for b in batches:
+        symbol = b.column("symbol").dictionary_encode()
+        key, pos = symbol.indices.to_numpy(), b.column("pos").to_numpy()
+        by = np.lexsort((pos, key))
+        key, pos = key[by], pos[by]
+        rows = np.stack([pc.fill_null(b.column(c), NONE).to_numpy()[by] for c in FIELDS], 1) if len(by) else np.zeros((0, len(FIELDS)), np.int64)
+        cut = np.flatnonzero((key[1:] != key[:-1]) | (pos[1:] != pos[:-1] + 1)) + 1
+        ends = np.concatenate([cut, [len(by)]])
+        out = [(x, min(x + PIECE, hi)) for lo, hi in zip(np.concatenate([[0], cut]), ends, strict=True) for x in range(lo, hi, PIECE)]
+        names = symbol.dictionary.to_pylist()
+        ts = pa.array([int(rows[x:y, 0].max()) for x, y in out], pa.int64()).cast(pa.timestamp("us", tz="UTC"))
+        columns = [pa.array([names[key[x]] for x, _ in out], pa.string()), ts, pa.array([int(pos[x]) for x, _ in out], pa.int64()), pa.array([int(pos[y - 1]) for _, y in out], pa.int64())]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([rows[x:y].tobytes() for x, y in out], pa.binary())], ["symbol", "ts", "lo", "hi", "rows"])
+
+
+def judgements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each judged position."""
+    names = pa.array(STATES)
+    for b in batches:
+        for symbol, lo, segments, codes, notes in zip(*[b.column(c).to_pylist() for c in ("symbol", "lo", "segments", "codes", "notes")], strict=True):
+            code = np.frombuffer(codes, np.int8)
+            integrity = np.full(len(code), None, object)
+            integrity[np.isin(code, NOTED)] = notes
+            pos = pa.nulls(len(code), pa.int64()) if lo is None else pa.array(np.arange(lo, lo + len(code)))
+            yield pa.RecordBatch.from_arrays([pa.array([symbol] * len(code), pa.string()), pos, pa.array(np.frombuffer(segments, np.int64)), names.take(pa.array(code)), pa.array(integrity, pa.string())], ["symbol", "pos", "segment", "state", "integrity"])
 
 
 class Continuity(StatefulProcessor):
-    """State of a symbol: segment, id and last update of its book, whether it is fine, the next position, and rows that wait for one before them."""
+    """State of a symbol: segment, id and last update of its book, whether it is fine, the next position, and packets that wait for a position before them, which never overlap."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.seen = handle.getValueState("seen", "segment long, sid long, last long, fine boolean, next long, held long")
-        self.waiting = handle.getMapState("waiting", "pos long", "us long, first long, last long, previous long, snapshot_id long")
+        self.waiting = handle.getMapState("waiting", "lo long, hi long", "rows binary")
 
-    def take(self, symbol: str, pos: int, r: tuple) -> Row:
-        _, first, last, previous, snapshot_id = r
+    def load(self) -> None:
+        self.now = tuple(self.seen.get()) if self.seen.exists() else (0, None, None, True, 1, 0)
+        self.index = sorted((k[0], k[1]) for k in self.waiting.keys()) if self.now[5] else []  # ends of packets, not their rows
+
+    def save(self) -> None:
+        self.seen.update((*self.now[:5], len(self.index)))
+
+    def judged(self, symbol: str, lo: int | None, segments: list[int], codes: list[int], notes: list[str]) -> Row:
+        return Row(symbol=symbol, lo=lo, segments=np.array(segments, np.int64).tobytes(), codes=np.array(codes, np.int8).tobytes(), notes=notes)
+
+    def take(self, symbol: str, lo: int, rows: np.ndarray) -> Row:
         segment, sid, end, fine, _, held = self.now
-        note = None
-        if snapshot_id is not None:
-            segment, sid, end, fine, what = segment + 1, snapshot_id, None, True, "snapshot"
-        elif segment == 0 or not fine:
-            what = "invalid"
-        elif last is None or last < sid:
-            what = "stale"
-        else:
-            fine = bool((first is not None and first <= sid) if end is None else previous == end)
-            what = ("bridge" if end is None else "valid") if fine else "gap"
-            note = None if fine else f"after {sid if end is None else end} came {first if end is None else previous}"
-            end = last
-        self.now = (segment, sid, end, fine, pos + 1, held)
-        return Row(symbol=symbol, pos=pos, segment=segment, state=what, integrity=note)
+        segments, codes, notes = [], [], []
+        for _, *values in rows.tolist():
+            first, last, previous, snapshot_id = (None if x == NONE else x for x in values)
+            if snapshot_id is not None:
+                segment, sid, end, fine, what = segment + 1, snapshot_id, None, True, 0
+            elif segment == 0 or not fine:
+                what = 5
+            elif last is None or last < sid:
+                what = 1
+            else:
+                fine = bool((first is not None and first <= sid) if end is None else previous == end)
+                what = (2 if end is None else 3) if fine else 4
+                if not fine:
+                    notes.append(f"after {sid if end is None else end} came {first if end is None else previous}")
+                end = last
+            segments.append(segment)
+            codes.append(what)
+        self.now = (segment, sid, end, fine, lo + len(rows), held)
+        return self.judged(symbol, lo, segments, codes, notes)
 
     def follow(self, symbol: str) -> Iterator[Row]:
-        """Rows that waited and are next."""
-        while self.now[5] and self.waiting.containsKey((self.now[4],)):
-            pos = self.now[4]
-            r = tuple(self.waiting.getValue((pos,)))
-            self.waiting.removeKey((pos,))
-            self.now = (*self.now[:5], self.now[5] - 1)
-            yield self.take(symbol, pos, r)
+        """Packets that waited and are next."""
+        done = 0
+        while done < len(self.index) and self.index[done][0] == self.now[4]:
+            key = self.index[done]
+            rows = self.waiting.getValue(key)[0]
+            self.waiting.removeKey(key)
+            done += 1
+            yield self.take(symbol, key[0], np.frombuffer(rows, np.int64).reshape(-1, len(FIELDS)))
+        del self.index[:done]
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        self.now = tuple(self.seen.get()) if self.seen.exists() else (0, None, None, True, 1, 0)
+        self.load()
         early = None
-        for r in pieces(rows, lambda r: r.pos):
-            values = (r.us, r.first, r.last, r.previous, r.snapshot_id)
-            if r.pos == self.now[4]:
-                yield self.take(key[0], r.pos, values)
-                yield from self.follow(key[0])
-            elif r.pos < self.now[4]:
-                yield Row(symbol=key[0], pos=r.pos, segment=self.now[0], state="late", integrity=f"position {self.now[4]} was next")
-            elif not self.waiting.containsKey((r.pos,)):
-                self.waiting.updateValue((r.pos,), values)
-                self.now = (*self.now[:5], self.now[5] + 1)
-                early = min(r.us, early) if early is not None else r.us
-        if self.now[5] and early is not None:
+        for r in pieces(rows, lambda r: r.lo, 64):
+            whole, at = np.frombuffer(r.rows, np.int64).reshape(-1, len(FIELDS)), r.lo
+            while at <= r.hi:
+                if at < self.now[4]:
+                    n = min(r.hi + 1, self.now[4]) - at
+                    yield self.judged(key[0], at, [self.now[0]] * n, [6] * n, [f"position {self.now[4]} was next"] * n)
+                    at += n
+                    continue
+                k = bisect_right(self.index, (at, r.hi + (1 << 62)))
+                if k and self.index[k - 1][1] >= at:  # waits already
+                    at = self.index[k - 1][1] + 1
+                    continue
+                end = min(r.hi, self.index[k][0] - 1) if k < len(self.index) else r.hi
+                part = whole[at - r.lo : end + 1 - r.lo]
+                if at == self.now[4]:
+                    yield self.take(key[0], at, part)
+                    yield from self.follow(key[0])
+                else:
+                    self.waiting.updateValue((at, end), (part.tobytes(),))
+                    self.index.insert(k, (at, end))
+                    us = int(part[:, 0].min())
+                    early = us if early is None else min(us, early)
+                at = end + 1
+        if self.index and early is not None:
             self.handle.registerTimer(early // 1000 + 1)
-        self.seen.update(self.now)
+        self.save()
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """What is still missing before rows the watermark has passed will not come: it is reported lost, and they follow."""
-        self.now = tuple(self.seen.get())
+        self.load()
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        while self.now[5]:
-            pos = min(k[0] for k in self.waiting.keys())  # a pass over what waits, no list of it
-            if self.waiting.getValue((pos,))[0] > mark:
-                self.handle.registerTimer(self.waiting.getValue((pos,))[0] // 1000 + 1)
+        while self.index:
+            pos = self.index[0][0]
+            us = int(np.frombuffer(self.waiting.getValue(self.index[0])[0], np.int64, 1)[0])
+            if us > mark:
+                self.handle.registerTimer(us // 1000 + 1)
                 break
-            yield Row(symbol=key[0], pos=None, segment=self.now[0], state="lost", integrity=f"positions {self.now[4]} to {pos - 1}")
+            yield self.judged(key[0], None, [self.now[0]], [7], [f"positions {self.now[4]} to {pos - 1}"])
             self.now = (*self.now[:4], pos, self.now[5])
             yield from self.follow(key[0])
-        self.seen.update(self.now)
+        self.save()
 
 
 def continuity(events: DataFrame, lateness: str = "10 seconds") -> DataFrame:
@@ -118,10 +186,13 @@ def continuity(events: DataFrame, lateness: str = "10 seconds") -> DataFrame:
     without pos) and it follows. A row whose position is past is given as late, one that waits already is given once. Rows without symbol
     or pos go. integrity says at a gap what came instead.
 
+    Consecutive rows travel and wait as packets (packets), so the state is asked once a packet. Rows behind the watermark are dropped when all of their packet is.
+
     Returns symbol, pos, segment, state, integrity.
     """
-    d = events.filter("symbol is not null and pos is not null and us is not null").select("symbol", "us", "pos", "first", "last", "previous", "snapshot_id", F.timestamp_micros("us").alias("ts"))
-    return d.withWatermark("ts", lateness).groupBy("symbol").transformWithState(Continuity(), CONTINUITY, "append", "eventTime")
+    d = events.filter("symbol is not null and pos is not null and us is not null").select("symbol", *[F.col(c).cast("long") for c in ("us", "pos", "first", "last", "previous", "snapshot_id")])
+    d = d.mapInArrow(packets, PACKET).withWatermark("ts", lateness)
+    return d.groupBy("symbol").transformWithState(Continuity(), JUDGED, "append", "eventTime").mapInArrow(judgements, CONTINUITY)
 
 
 RING = 10  # seconds that a window reaches back

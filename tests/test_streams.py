@@ -137,3 +137,39 @@ def test_sampled_rows_equal_their_twin_over_restarts(spark):
     one, two = plain(got), plain(batch)
     last = {s: max(r[1] for r in rows if r[0] == s) for s in "ab"}
     assert sorted(got.columns) == sorted(batch.columns) and {k: v for k, v in one.items() if k[1] <= last[k[0]]} == {k: v for k, v in two.items() if k[1] <= last[k[0]]} and len(two) > 8
+
+
+def test_a_file_that_waits_asks_the_state_once_a_packet():
+    """Positions 4097 on come before 1 to 4096: few calls to the state, each position judged once, in order."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import Row
+
+    calls = []
+
+    class Store:
+        def __init__(self):
+            self.held = {}
+            get = lambda k=0: self.held[k]
+            self.of = {
+                "exists": lambda: 0 in self.held, "get": get, "update": lambda v: self.held.__setitem__(0, v), "keys": lambda: iter(list(self.held)), "getValue": get, "updateValue": self.held.__setitem__,
+                "removeKey": self.held.__delitem__, "containsKey": self.held.__contains__, "getValueState": lambda *_: Store(), "getMapState": lambda *_: Store(), "registerTimer": lambda _: None,
+            }
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return self.of[name]
+
+    n = 20_000
+    column = lambda x: pa.array(x, pa.int64())
+    pos = np.arange(1, n + 1)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"] * n), column(pos), column(pos), column(pos * 10 - 9), column(pos * 10), column(pos * 10 - 10), column([25, *[None] * (n - 1)])], ["symbol", "us", "pos", "first", "last", "previous", "snapshot_id"])
+    sent = [Row(**r) for b in stateful.packets([batch.slice(4096), batch.slice(0, 4096)]) for r in b.to_pylist()]
+    c = stateful.Continuity()
+    c.init(Store())
+    out = [r for half in (sent[:-1], sent[-1:]) for r in c.handleInputRows(("a",), iter(half), None)]
+    columns = [[r[c] for r in out] for c in ("symbol", "lo", "segments", "codes", "notes")]
+    kinds = (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string()))
+    rows = [r for b in stateful.judgements([pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["symbol", "lo", "segments", "codes", "notes"])]) for r in b.to_pylist()]
+    assert [r["pos"] for r in rows] == list(range(1, n + 1)) and len(calls) < 60
+    assert [r["state"] for r in rows] == ["snapshot", "stale", "bridge", *["valid"] * (n - 3)]
