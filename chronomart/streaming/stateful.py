@@ -217,61 +217,44 @@ FEATURES = (
     "ret1", "ret3", "qty_imbalance1", "count_imbalance1", "qty_imbalance3", "count_imbalance3", "qty_imbalance5", "count_imbalance5", "qty_imbalance10", "count_imbalance10",
     "log_qty1", "log_count1", "log_qty5", "log_count5", "vwap_gap_bps", "has_buys", "has_sells",
 )
-SECOND = "price double, us long, tick_id long, buy_qty double, sell_qty double, buys long, sells long, buy_notional double, sell_notional double"
 FLOW = "symbol string, t long, price double, " + ", ".join(f"{c} {'boolean' if c.startswith('has') else 'double'}" for c in FEATURES)
 
 
 class SecondFlow(StatefulProcessor):
-    """State of a symbol: the sums of seconds that are still open, a ring of the last ones that are closed, and how many were."""
+    """State of a symbol: a ring of its last closed seconds, and how many there were. Seconds come once, when they are closed; a batch's are put in order here."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "t long", SECOND)
         self.closed = handle.getValueState("closed", "t long, n long, ring array<struct<price:double,bq:double,sq:double,buys:double,sells:double,bv:double,sv:double>>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        rows = iter(rows)
-        while piece := list(islice(rows, PIECE)):
-            sums: dict[int, list] = {}
-            for r in piece:
-                t = r.us // 1_000_000
-                s = sums.get(t) or sums.setdefault(t, list(self.open.getValue((t,))) if self.open.containsKey((t,)) else [None, -1, -1, 0.0, 0.0, 0, 0, 0.0, 0.0])
-                if (r.us, r.tick_id) > (s[1], s[2]):
-                    s[:3] = [r.price, r.us, r.tick_id]
-                side = 1 if r.buyer_maker else 0
-                s[3 + side] += r.qty
-                s[5 + side] += 1
-                s[7 + side] += r.qty * r.price
-            for t, s in sums.items():
-                self.open.updateValue((t,), tuple(s))
-                self.handle.registerTimer((t + 1) * 1000)
-        yield from ()
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        """A second that had ticks is over: those without any since the last one are given first, then it."""
-        t = expiredTimerInfo.getExpiryTimeInMs() // 1000 - 1
-        s = self.open.getValue((t,))
-        self.open.removeKey((t,))
         last, n, ring = self.closed.get() if self.closed.exists() else (None, 0, [])
         ring = [tuple(x) for x in ring]
-        quiet = range(last + 1, t) if last is not None else range(0)
-        for second in (*quiet, t):
-            now = (s[0], s[3], s[4], float(s[5]), float(s[6]), s[7], s[8]) if second == t else (ring[-1][0], *[0.0] * 6)
-            ring, n = [*ring[-(RING - 1) :], now], n + 1
-            if n > 3:
-                yield Row(symbol=key[0], t=second, price=now[0], **dict(zip(FEATURES, second_features(ring), strict=True)))
-        self.closed.update((t, n, ring))
+        for r in sorted(rows, key=lambda r: r.t):
+            for second in (*(range(last + 1, r.t) if last is not None else ()), r.t):
+                now = (r.price, r.buy_qty, r.sell_qty, float(r.buys), float(r.sells), r.buy_notional, r.sell_notional) if second == r.t else (ring[-1][0], *[0.0] * 6)
+                ring, n = [*ring[-(RING - 1) :], now], n + 1
+                if n > 3:
+                    yield Row(symbol=key[0], t=second, price=now[0], **dict(zip(FEATURES, second_features(ring), strict=True)))
+            last = r.t
+        self.closed.update((last, n, ring))
 
 
 def second_flow(ticks: DataFrame, lateness: str = "5 seconds") -> DataFrame:
     """The streaming twin of grids.flow_features without its label; start it within rocks().
 
     ticks: symbol, us, tick_id, price, qty, buyer_maker. A second is closed when the watermark has passed its end, the quiet ones before it with it:
-    every second from a symbol's fourth on has a row. Ticks behind the watermark are dropped. Open seconds are sums, so state does not grow
-    with their ticks. Rows with a null among these columns go.
+    every second from a symbol's fourth on has a row. Ticks of closed seconds are dropped. Ticks are summed up to seconds by Spark, spread over tasks by symbol and
+    second; only sums reach the state of a symbol, so its work does not grow with the ticks of a second. Rows with a null among these columns go.
     """
-    d = ticks.select("symbol", "us", "tick_id", "price", "qty", "buyer_maker").dropna().withColumn("ts", F.timestamp_micros("us"))
-    return d.withWatermark("ts", lateness).filter("us >= 0").groupBy("symbol").transformWithState(SecondFlow(), FLOW, "append", "eventTime")
+    d = ticks.select("symbol", "us", "tick_id", "price", "qty", "buyer_maker").dropna().withColumn("ts", F.timestamp_micros("us")).filter("us >= 0")
+    part = lambda c, f: F.sum(F.when(f, c).otherwise(0.0))
+    sell, notional = F.col("buyer_maker"), F.col("qty") * F.col("price")
+    g = d.withWatermark("ts", lateness).groupBy("symbol", F.window("ts", "1 second").alias("w")).agg(
+        F.max_by("price", F.struct("us", "tick_id")).cast("double").alias("price"), part(F.col("qty"), ~sell).alias("buy_qty"), part(F.col("qty"), sell).alias("sell_qty"),
+        F.count_if(~sell).alias("buys"), F.count_if(sell).alias("sells"), part(notional, ~sell).alias("buy_notional"), part(notional, sell).alias("sell_notional"),
+    )
+    return g.withColumn("t", F.unix_seconds("w.start")).groupBy("symbol").transformWithState(SecondFlow(), FLOW, "append", "eventTime")
 
 
 METRICS = (

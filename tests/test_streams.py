@@ -173,3 +173,11 @@ def test_a_file_that_waits_asks_the_state_once_a_packet():
     rows = [r for b in stateful.judgements([pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["symbol", "lo", "segments", "codes", "notes"])]) for r in b.to_pylist()]
     assert [r["pos"] for r in rows] == list(range(1, n + 1)) and len(calls) < 60
     assert [r["state"] for r in rows] == ["snapshot", "stale", "bridge", *["valid"] * (n - 3)]
+
+
+def test_only_sums_of_seconds_reach_the_state(spark):
+    path = new_folder(spark, "ticks")
+    spark.createDataFrame([("a", 1, 1, 1.0, 1.0, True)], "symbol string, us long, tick_id long, price double, qty double, buyer_maker boolean").write.parquet(path)
+    d = stateful.second_flow(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path))
+    plan = d._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan.split("TransformWithState")[1]
