@@ -276,80 +276,101 @@ def book_figures(bids: dict[float, float], asks: dict[float, float]) -> dict[str
     return out
 
 
+FOLDED = ("slot", "us", "seq", "snapshot", "ask", "buys", "sells"), ("level", "amount", "buy_qty", "sell_qty")  # ask: 0 or 1, NONE at trades
+SUMS = "symbol string, whole binary, parts binary"
+
+
+def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The summed events of a symbol within each batch in one row: whole numbers and doubles, columns as in FOLDED."""
+    for b in batches:
+        symbol = b.column("symbol").dictionary_encode()
+        key = symbol.indices.to_numpy()
+        whole = np.stack([pc.fill_null(b.column(c), NONE).to_numpy() for c in FOLDED[0]], 1)
+        parts = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in FOLDED[1]], 1)
+        of = [key == k for k in range(len(symbol.dictionary))]
+        yield pa.RecordBatch.from_arrays([symbol.dictionary, *[pa.array([m[x].tobytes() for x in of], pa.binary()) for m in (whole, parts)]], ["symbol", "whole", "parts"])
+
+
 class ValidBook(StatefulProcessor):
-    """State of a symbol: the events of slots that are still open, and the book as the closed ones left it."""
+    """State of a symbol: the book as the closed slots left it. Each slot's sums come once, when it is closed; a batch's are put in order here."""
 
     def __init__(self, step_us: int) -> None:
         self.step = step_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "slot long", f"events array<struct<{', '.join(x.replace(' ', ':') for x in EVENT.split(', '))}>>")
         self.book = handle.getValueState("book", "bids array<struct<level:double,amount:double>>, asks array<struct<level:double,amount:double>>, there boolean, valid boolean, seq long, slot long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        rows = iter(rows)
-        while piece := list(islice(rows, PIECE)):
-            slots: dict[int, list] = {}
-            for r in piece:
-                slots.setdefault(-(-r.us // self.step), []).append((r.us, r.seq, r.snapshot, r.side, r.level, r.amount, r.qty, r.buyer_maker))
-            for slot, events in slots.items():
-                held = [tuple(e) for e in self.open.getValue((slot,))[0]] if self.open.containsKey((slot,)) else []
-                self.open.updateValue((slot,), (held + events,))
-                self.handle.registerTimer(slot * self.step // 1000 + 1)
-        yield from ()
-
-    def row(self, symbol: str, slot: int, state: tuple, trades: list) -> Iterator[Row]:
-        bids, asks, _, valid, seq = state
-        if valid:
-            sums = [0.0, 0.0, 0, 0]
-            for qty, maker in trades:
-                sums[int(maker)] += qty
-                sums[2 + int(maker)] += 1
-            ratio = lambda x, y: (x - y) / (x + y) if x + y > 0 else 0.0
-            figures = book_figures(bids, asks)
-            yield Row(symbol=symbol, slot=slot, valid=True, **{c: figures[c] for c in METRICS}, last_id=seq, buy_qty=sums[0], sell_qty=sums[1], buys=sums[2], sells=sums[3], qty_imbalance=ratio(*sums[:2]), count_imbalance=ratio(*sums[2:]))
+    def row(self, symbol: str, slot: int, state: tuple, trades: tuple, figures: dict[str, float]) -> Row:
+        ratio = lambda x, y: (x - y) / (x + y) if x + y > 0 else 0.0
+        return Row(symbol=symbol, slot=slot * self.step, valid=True, **{c: figures[c] for c in METRICS}, last_id=state[4], buy_qty=trades[0], sell_qty=trades[1], buys=trades[2], sells=trades[3], qty_imbalance=ratio(*trades[:2]), count_imbalance=ratio(*trades[2:]))
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        """A slot with events is over: the quiet ones before it show the book as it stood, then its groups change the book, and it is shown if it is valid."""
-        slot = (expiredTimerInfo.getExpiryTimeInMs() - 1) * 1000 // self.step
-        events = [tuple(e) for e in self.open.getValue((slot,))[0]]
-        self.open.removeKey((slot,))
-        bids, asks, there, valid, seq, last = self.book.get() if self.book.exists() else ([], [], False, False, None, None)
-        bids, asks = ({x[0]: x[1] for x in side} for side in (bids, asks))
-        for quiet in range(last + 1, slot) if last is not None else ():
-            yield from self.row(key[0], quiet * self.step, (bids, asks, there, valid, seq), [])
-        cut, trades = None, [(e[0], e[6], e[7]) for e in events if e[3] is None]
-        updates = [e for e in events if e[3] is not None]
-        for us in sorted({e[0] for e in updates}):
-            group = [e for e in updates if e[0] == us]
-            if any(e[2] for e in group):
+    def change(self, state: tuple, us: np.ndarray, whole: np.ndarray, parts: np.ndarray) -> tuple[tuple, int | None]:
+        """The book after the groups of a slot, and the last time at which it was not valid."""
+        bids, asks, there, valid, seq = state
+        cut, edges = None, np.flatnonzero(np.diff(us, prepend=-1, append=-1) != 0) if len(us) else [0]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if whole[a:b, 3].any():
                 bids, asks, there, valid = {}, {}, True, True
             if not there:
                 continue
-            for _, _, _, side, level, amount, _, _ in sorted(group, key=lambda e: (e[1], e[5])):
-                (bids if side == "bid" else asks)[level] = amount
+            for ask, level, amount in zip(whole[a:b, 4].tolist(), *parts[a:b, :2].T.tolist(), strict=True):
+                (asks if ask else bids)[level] = amount
             bids, asks = ({p: q for p, q in x.items() if q > 0} for x in (bids, asks))
             valid = valid and bool(bids and asks) and max(bids) < min(asks)
-            seq = max(e[1] for e in group)
-            cut = cut if valid else us
-        yield from self.row(key[0], slot * self.step, (bids, asks, there, valid, seq), [t[1:] for t in trades if cut is None or t[0] > cut])
-        self.book.update((list(bids.items()), list(asks.items()), there, valid, seq, slot))
+            seq = int(whole[a:b, 2].max())
+            cut = cut if valid else int(us[a])
+        return (bids, asks, there, valid, seq), cut
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        """Slots with events in their order: the quiet ones before each show the book as it stood, then its groups change the book, and it is shown if it is valid."""
+        bids, asks, *rest, last = self.book.get() if self.book.exists() else ([], [], False, False, None, None)
+        state = (*({x[0]: x[1] for x in side} for side in (bids, asks)), *rest)
+        raw = [(r.whole, r.parts) for r in rows]
+        whole = np.frombuffer(b"".join(x for x, _ in raw), np.int64).reshape(-1, len(FOLDED[0]))
+        parts = np.frombuffer(b"".join(x for _, x in raw), np.float64).reshape(-1, len(FOLDED[1]))
+        by = np.lexsort((parts[:, 1], whole[:, 2], whole[:, 1], whole[:, 0]))
+        whole, parts = whole[by], parts[by]
+        edges = np.flatnonzero(np.diff(whole[:, 0], prepend=NONE, append=NONE))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            slot = int(whole[a, 0])
+            if state[3] and last is not None and last + 1 < slot:
+                figures = book_figures(*state[:2])
+                yield from (self.row(key[0], quiet, state, (0.0, 0.0, 0, 0), figures) for quiet in range(last + 1, slot))
+            w, p = whole[a:b], parts[a:b]
+            trade = w[:, 4] == NONE
+            state, cut = self.change(state, w[~trade, 1], w[~trade], p[~trade])
+            if state[3]:
+                counted = trade if cut is None else trade & (w[:, 1] > cut)
+                totals = (*map(float, p[counted, 2:].sum(0)), *map(int, w[counted, 5:].sum(0)))
+                yield self.row(key[0], slot, state, totals, book_figures(*state[:2]))
+            last = slot
+        bids, asks, *rest = state
+        self.book.update((list(bids.items()), list(asks.items()), *rest, last))
 
 
 def sampled_rows(events: DataFrame, step_us: int = 1_000_000, lateness: str = "5 seconds") -> DataFrame:
     """The streaming twin of books.sampled_rows: one operator over two kinds of events; start it within rocks().
 
     events: book updates (symbol, us, seq, snapshot, side, level, amount) and trades (symbol, us, qty, buyer_maker; no side) in one stream. A slot is folded when the watermark
-    has passed its end; the trades of a slot up to the last time at which the book was not valid are cleared. Only events of open slots and the book itself are
-    kept. Rows with a null among the columns of their kind go, events behind the watermark are dropped.
+    has passed its end; the trades of a slot up to the last time at which the book was not valid are cleared. Spark sums events up by symbol and time, updates by level too,
+    of which the last amount counts, spread over tasks; only sums of closed slots reach the state of a symbol, so its work does not grow with the events of a time. Events of
+    closed slots are dropped. Rows with a null among the columns of their kind go.
     """
     kinds = {x.split(" ")[0]: x.split(" ")[1] for x in EVENT.split(", ")}
     d = events.select("symbol", *[F.col(c).cast(k).alias(c) for c, k in kinds.items()]).filter("symbol is not null and us is not null")
     whole = lambda *names: F.concat(*[F.col(c).cast("string") for c in names]).isNotNull()
     d = d.filter(F.when(F.col("side").isNotNull(), whole("seq", "snapshot", "level", "amount")).otherwise(whole("qty", "buyer_maker")))
-    d = d.withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", lateness)
-    return d.groupBy("symbol").transformWithState(ValidBook(step_us), SAMPLE, "append", "eventTime")
+    d = d.withColumn("ask", F.when(F.col("side") == "bid", 0).when(F.col("side").isNotNull(), 1).cast("long")).withColumn("level", F.when(F.col("side").isNotNull(), F.col("level")))
+    slot, trade, sell = F.ceil(F.col("us") / step_us).cast("long").alias("slot"), F.col("ask").isNull(), F.col("buyer_maker")
+    part = lambda f: F.sum(F.when(trade & f, F.col("qty")).otherwise(0.0))
+    slots = F.window("ts", f"{step_us} microseconds", startTime="1 microsecond").alias("w")  # right-closed
+    g = d.withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", lateness).groupBy("symbol", slots, slot, "us", "ask", "level").agg(
+        F.max("seq").alias("seq"), F.max(F.col("snapshot").cast("long")).alias("snapshot"), F.max_by("amount", F.struct("seq", "amount")).alias("amount"),
+        part(~sell).alias("buy_qty"), part(sell).alias("sell_qty"), F.count_if(trade & ~sell).alias("buys"), F.count_if(trade & sell).alias("sells"),
+    )
+    d = g.select("symbol", *FOLDED[0], *FOLDED[1]).mapInArrow(sums, SUMS)
+    return d.groupBy("symbol").transformWithState(ValidBook(step_us), SAMPLE, "append", "none")
 
 
 class Regression(Exception):

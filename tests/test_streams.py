@@ -181,3 +181,11 @@ def test_only_sums_of_seconds_reach_the_state(spark):
     d = stateful.second_flow(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path))
     plan = d._jdf.queryExecution().analyzed().toString()
     assert "Aggregate" in plan.split("TransformWithState")[1]
+
+
+def test_only_sums_of_times_reach_the_state_of_a_book(spark):
+    path = new_folder(spark, "events")
+    kind = "symbol string, us long, seq long, snapshot boolean, side string, level double, amount double, qty double, buyer_maker boolean"
+    spark.createDataFrame([("a", 1, 1, True, "bid", 1.0, 1.0, None, None)], kind).write.parquet(path)
+    d = stateful.sampled_rows(spark.readStream.schema(kind).parquet(path))
+    assert "Aggregate" in d._jdf.queryExecution().analyzed().toString().split("TransformWithState")[1]
