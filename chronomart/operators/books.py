@@ -60,6 +60,12 @@ def open_books(updates: DataFrame, blocks: DataFrame, block_us: int) -> DataFram
     return held.filter(until > F.col("block")).select("symbol", F.explode(F.sequence(F.col("block") + 1, until)).alias("block"), "side", "level", "amount")
 
 
+def _one_a_level(updates: DataFrame) -> DataFrame:
+    """Of a level's rows in a group the one that counts, with the group's last seq of the level and whether any was of a snapshot: a block's fold does not grow with the rows of a time."""
+    g = updates.groupBy("symbol", "us", "side", "level").agg(F.max(F.struct("seq", "amount")).alias("_l"), F.max("snapshot").alias("snapshot"))
+    return g.select("symbol", "us", "_l.seq", "snapshot", "side", "level", "_l.amount")
+
+
 def _fold(depth: int, block_us: int, cells: int):
     """The states of one block: its open book, then the book after each of its groups."""
 
@@ -139,6 +145,7 @@ def books(updates: DataFrame, block_us: int, depth: int = 10, whole_days: bool =
     Blocks: see blocks_of. block_us must be a multiple of every step that is asked of the states.
     """
     u = updates.select("symbol", F.col("us").cast("long"), F.col("seq").cast("long"), "snapshot", "side", F.col("level").cast("double"), F.col("amount").cast("double")).dropna()
+    u = _one_a_level(u)
     blocks = blocks_of(u, block_us, whole_days)
     none = {c: F.lit(0).cast(k) for c, k in (("us", "long"), ("seq", "long"), ("snapshot", "boolean"), ("level", "double"), ("amount", "double"), ("bid", "boolean"))}
     order = ["symbol", "block", "kind", "us", "seq", "snapshot", "bid", "level", "amount"]

@@ -108,3 +108,21 @@ def test_small_chunks_and_odd_rows(spark, monkeypatch):
     assert got == {(s, us): (b, a) for s, states in plain(rows).items() for us, _, b, a, _, _ in states}
     empty, blocks = books.books(d.limit(0), 1000)
     assert books.latched(empty).count() == 0 and books.slots_of(blocks, 10, 1000).count() == 0
+
+
+def test_a_fold_gets_one_row_for_each_level_of_a_time(spark, monkeypatch):
+    rows = [(*r[:2], r[2] + 1000 * k, *r[3:6], r[6] + k * (k < 19), *r[7:]) for r in made(6) for k in range(20)]
+    real = books._fold
+
+    def few(*args):
+        fold = real(*args)
+
+        def checked(t):
+            assert t.num_rows < 500, t.num_rows
+            return fold(t)
+
+        return checked
+
+    monkeypatch.setattr(books, "_fold", few)
+    got = {(r.symbol, r.us): ([tuple(x) for x in r.bids], [tuple(x) for x in r.asks]) for r in books.books(spark.createDataFrame(rows, KIND), 10_000, DEPTH)[0].filter("not carried").collect()}
+    assert got == {(s, us): (b, a) for s, states in plain(rows).items() for us, _, b, a, _, _ in states}
