@@ -20,8 +20,8 @@ W = "partition by symbol order by t"
 WEEK, DAY_US = 7 * 86400, 86_400_000_000
 
 
-def query(name: str, sql: str | None = None, ctes: str = BARS) -> Callable:
-    """Register a query; its doubles are rounded, as are those listed after '##' in its SQL."""
+def query(name: str, sql: str | None = None, ctes: str = BARS, rounded: bool = False) -> Callable:
+    """Register a query; its doubles are rounded, unless it has rounded them itself, as are those listed after '##' in its SQL."""
     body, _, doubles = (sql or "").partition("##")
     names = [x.strip() for x in doubles.split(",") if x.strip()]
     whole = f"with {ctes}, answer as ({body}) select * replace ({', '.join(f'round(cast({x} as double), 6) + 0.0 as {x}' for x in names)}) from answer" if names else f"with {ctes} {body}"
@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None, ctes: str = BARS) -> Callable:
     def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             d = f(spark, sf_dir)
-            return d.select(*[(F.round(c, 6) + 0.0).alias(c) if k == "double" else F.col(c) for c, k in d.dtypes])
+            return d if rounded else d.select(*[(F.round(c, 6) + 0.0).alias(c) if k == "double" else F.col(c) for c, k in d.dtypes])
 
         run.__name__ = name
         registry.query(name, whole if sql else None)(run)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..sources.shared import new_folder
 from .stateful import rocks
@@ -32,12 +36,40 @@ def trades_once(trades: DataFrame, key: list[str], within: str) -> DataFrame:
     return trades.withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", within).dropDuplicatesWithinWatermark(key).drop("ts")
 
 
+def packed(rows: DataFrame, seconds: int, lateness: str) -> DataFrame:
+    """Rows (symbol, us, ...) of a stream as packets: those of a symbol and a slot (w) within a batch of Arrow, one array a column."""
+    names = [c for c in rows.columns if c != "symbol"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            g = pa.Table.from_batches([b]).group_by(["symbol", "_slot"], use_threads=False).aggregate([(c, "list") for c in names])
+            yield from g.select(["symbol", *[f"{c}_list" for c in names]]).rename_columns(["symbol", *names]).to_batches()
+
+    d = rows.filter("symbol is not null and us is not null").select("symbol", *names, F.floor(F.col("us") / (seconds * 1_000_000)).alias("_slot"))
+    kept = StructType([StructField("symbol", rows.schema["symbol"].dataType), *[StructField(c, ArrayType(rows.schema[c].dataType)) for c in names]])
+    d = d.mapInArrow(pack, kept).withColumn("ts", F.timestamp_micros(F.array_max("us"))).withWatermark("ts", lateness)
+    return d.withColumn("w", F.window("ts", f"{seconds} seconds")).drop("ts")
+
+
+def sampled_packets(books: DataFrame, trades: DataFrame, seconds: int, lateness: str) -> DataFrame:
+    """Packets of trades with the packets of book samples (symbol, us, mid) of their slot: a join of two streams whose state the watermarks bound.
+
+    What is joined, kept in the state and given grows with the rows, as far as rows of a slot come together; each_pair makes the pairs of them.
+    """
+    b = packed(books.select("symbol", "us", "mid"), seconds, lateness).withColumnRenamed("us", "book_us")
+    return packed(trades, seconds, lateness).join(b, ["symbol", "w"]).drop("w")
+
+
+def each_pair(packets: DataFrame) -> DataFrame:
+    """Every trade with every book sample of its slot."""
+    names = [c for c in packets.columns if c not in ("symbol", "book_us", "mid")]
+    d = packets.select("symbol", F.explode(F.arrays_zip(*names)).alias("_t"), F.arrays_zip("book_us", "mid").alias("_b"))
+    return d.select("symbol", "_t", F.explode("_b").alias("_b")).select("symbol", *[F.col("_t")[c].alias(c) for c in names], "_b.book_us", "_b.mid")
+
+
 def sampled(books: DataFrame, trades: DataFrame, seconds: int, lateness: str) -> DataFrame:
-    """Trades with the book samples (symbol, us, mid) of their slot: a join of two streams whose state the watermarks bound."""
-    slot = lambda: F.window("ts", f"{seconds} seconds")
-    b = books.select("symbol", F.timestamp_micros("us").alias("ts"), F.col("us").alias("book_us"), "mid").withWatermark("ts", lateness).withColumn("w", slot()).drop("ts")
-    t = trades.withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", lateness).withColumn("w", slot()).drop("ts")
-    return t.join(b, ["symbol", "w"]).drop("w")
+    """Trades with the book samples (symbol, us, mid) of their slot, as a stream of pairs. Their number is a product by slot: a table of packets (sampled_packets) stays small, and can be read as pairs (each_pair)."""
+    return each_pair(sampled_packets(books, trades, seconds, lateness))
 
 
 def with_staleness(d: DataFrame, most_us: int) -> DataFrame:

@@ -189,3 +189,17 @@ def test_only_sums_of_times_reach_the_state_of_a_book(spark):
     spark.createDataFrame([("a", 1, 1, True, "bid", 1.0, 1.0, None, None)], kind).write.parquet(path)
     d = stateful.sampled_rows(spark.readStream.schema(kind).parquet(path))
     assert "Aggregate" in d._jdf.queryExecution().analyzed().toString().split("TransformWithState")[1]
+
+
+def test_joined_packets_are_few_and_hold_every_pair(spark):
+    from chronomart.streaming import feeds
+
+    g = random.Random(7)
+    made = lambda n: sorted((g.choice("ab"), g.randrange(0, 40_000_000), g.choice([None, 1.0, 2.0])) for _ in range(n))
+    books, trades = made(300), made(200)
+    one = spark.createDataFrame([*books, (None, 1, 1.0), ("a", None, 1.0)], "symbol string, us long, mid double").coalesce(1)
+    two = spark.createDataFrame([*trades, (None, 1, 1.0), ("a", None, 1.0)], "symbol string, us long, qty double").coalesce(1)
+    packets = feeds.drain(feeds.sampled_packets(feeds.replay(one, "books"), feeds.replay(two, "trades"), 10, "10 minutes"), "packets")
+    got = sorted(map(str, feeds.each_pair(packets).select("symbol", "us", "qty", "book_us", "mid").collect()))
+    want = sorted(f"Row(symbol={s!r}, us={t}, qty={q}, book_us={u}, mid={m})" for s, t, q in trades for z, u, m in books if s == z and t // 10_000_000 == u // 10_000_000)
+    assert got == want and packets.count() == 8
