@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from ._shared import as_doc_text, pack, ship, slices, unpack, written
 DIMENSIONS = 1 << 20
 REMEMBERED = 100_000
 WORD = re.compile(r"[^\W\d_]+")
+SPACED = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))  # ASCII without letters is no part of a word
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -31,8 +33,24 @@ def hashed(word: str) -> list[int]:
     return [zlib.crc32(x.encode()) % DIMENSIONS for x in raw]
 
 
+class Remembered(dict):
+    """What a function gives for each word, kept."""
+
+    def __init__(self, of: Callable[[str], object]) -> None:
+        self.of = of
+
+    def __missing__(self, word: str) -> object:
+        out = self[word] = self.of(word)
+        return out
+
+
 def words_of(text: str) -> set[str]:
-    return set(WORD.findall(text.lower()))
+    """The distinct matches of WORD in lower case; only pieces that are not ASCII need the expression."""
+    found = set(text.lower().encode("utf-8", "surrogatepass").translate(SPACED).decode("utf-8", "surrogatepass").split())
+    if odd := [w for w in found if not w.isascii()]:
+        found.difference_update(odd)
+        found.update(WORD.findall(" ".join(odd)))
+    return found
 
 
 def nn_risk(z: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
@@ -71,18 +89,15 @@ def _features(docs: DataFrame, candidates: str | None = None) -> DataFrame:
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {int(f): i for i, f in enumerate(unpack(SparkFiles.get(candidates))["features"])} if candidates else None
-        known: dict[str, tuple[int, ...]] = {}
+        begins = Remembered(lambda x: place.get(zlib.crc32(x.encode()) % DIMENSIONS))
+        known = Remembered(hashed if place is None else lambda w: tuple([f for f in (place.get(zlib.crc32(f"w{w}".encode()) % DIMENSIONS), begins["4" + w[:4]], begins["5" + w[:5]]) if f is not None]))
         for b in slices(batches, 500, 2 << 20):
             out = []
             for t in b.column("text").to_pylist():
-                found: set[int] = set()
-                for w in words_of(t or ""):
-                    own = known.get(w)
-                    if own is None:
-                        if len(known) > REMEMBERED:
-                            known.clear()
-                        own = known[w] = tuple(hashed(w)) if place is None else tuple(place[f] for f in hashed(w) if f in place)
-                    found.update(own)
+                if len(known) > REMEMBERED:
+                    known.clear()
+                    begins.clear()
+                found = set(chain.from_iterable(map(known.__getitem__, words_of(t or ""))))
                 out.append(np.array(sorted(found), np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["features"])
 
@@ -179,20 +194,17 @@ def score_toxicity(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFra
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = unpack(SparkFiles.get(name))
         w, b0 = model["w"], float(model["b"][0])
-        known: dict[str, float] = {}
+        at_all = np.flatnonzero(w)
+        weight = dict(zip(at_all.tolist(), w[at_all].tolist(), strict=True)).get
+        begins = Remembered(lambda x: weight(zlib.crc32(x.encode()) % DIMENSIONS, 0.0))
+        known = Remembered(lambda x: weight(zlib.crc32(f"w{x}".encode()) % DIMENSIONS, 0.0) + begins["4" + x[:4]] + begins["5" + x[:5]])
         for b in slices(batches, 500, 2 << 20):
             out = []
             for t in b.column(at).to_pylist():
-                words = words_of(t or "")
-                try:
-                    z = sum(map(known.__getitem__, words))
-                except KeyError:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    for x in words:
-                        if x not in known:
-                            known[x] = float(w[hashed(x)].sum())
-                    z = sum(map(known.__getitem__, words))
+                if len(known) > REMEMBERED:
+                    known.clear()
+                    begins.clear()
+                z = sum(map(known.__getitem__, words_of(t or "")))
                 out.append(z + b0)
             p = 1 / (1 + np.exp(-np.clip(np.array(out, np.float64), -700, 700)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], [*b.schema.names, "score"])

@@ -377,6 +377,15 @@ def test_toxicity(spark, edge):
     assert toxicity.score_toxicity(edge.limit(0), w, b).count() == 0
 
 
+def test_words_without_the_expression(monkeypatch):
+    """Equal to the expression; texts of ASCII never ask it."""
+    texts = ["", "Plain ASCII, 2 words_and a_third's x\x00y\x1fz", "Straße\u00a0ÉTÉ·½²x\u2003y İi\u0307 中文3字", "a\ud800b", "".join(map(chr, range(1, 0x3000)))]
+    want = [set(toxicity.WORD.findall(t.lower())) for t in texts]
+    assert [toxicity.words_of(t) for t in texts] == want
+    monkeypatch.setattr(toxicity, "WORD", None)
+    assert [toxicity.words_of(t) for t in texts[:2]] == want[:2]
+
+
 def brute_quality(t):
     words = WORD.findall(t)
     win = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
